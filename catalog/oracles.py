@@ -186,3 +186,91 @@ ORACLES = {
     "forward_pairs": f"WITH {BASE},\n{_forward(False)}\n{PAIRS}",
     "forward_pairs_strict": f"WITH {BASE},\n{_forward(True)}\n{PAIRS}",
 }
+
+# --- ingest, quarantine, quality -------------------------------------------------
+
+FEED = """ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+feed0 AS (
+  SELECT 'TXN_' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS transaction_id, ' U' || CAST(user_id AS VARCHAR) || ' ' AS sender_account_id,
+   CASE WHEN k = 13 THEN '  ' ELSE 'U' || CAST((user_id * 7 + event_id * 13 + 1) % (SELECT max(user_id) + 1 FROM events) AS VARCHAR) END AS receiver_account_id,
+   CASE WHEN k = 29 THEN 'INVALID' WHEN k = 31 THEN '-' || printf('%.2f', value) ELSE printf('%.2f', value) END AS amount,
+   CASE WHEN k = 57 THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS "timestamp",
+   CASE WHEN event_type = 'view' THEN ' none ' WHEN event_type = 'click' THEN '' ELSE ' ' || event_type END AS transaction_type,
+   CASE WHEN event_type = 'error' THEN '1' ELSE '0' END AS is_mule_pattern, event_type
+  FROM ev),
+feed AS (SELECT * EXCLUDE (event_type) FROM feed0 UNION ALL
+  SELECT * EXCLUDE (event_type) REPLACE (transaction_id || 'R' AS transaction_id) FROM feed0 WHERE event_type = 'purchase'),
+norm AS (SELECT transaction_id, trim(sender_account_id) AS sender_account_id, trim(receiver_account_id) AS receiver_account_id,
+  TRY_CAST(amount AS DOUBLE) AS amount, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp", transaction_type, CAST(is_mule_pattern AS INTEGER) AS is_mule_pattern FROM feed),
+std AS (SELECT * REPLACE (CASE WHEN upper(trim(transaction_type)) IN ('', 'NAN', 'NONE') THEN 'TRANSFER' ELSE upper(trim(transaction_type)) END AS transaction_type),
+  CASE WHEN sender_account_id = '' OR receiver_account_id = '' THEN 'MISSING_SENDER_OR_RECEIVER_ID'
+       WHEN amount IS NULL OR amount <= 0 THEN 'INVALID_OR_NON_POSITIVE_AMOUNT'
+       WHEN "timestamp" IS NULL THEN 'UNPARSEABLE_TIMESTAMP' END AS reason FROM norm),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sender_account_id, receiver_account_id, amount, "timestamp", transaction_type ORDER BY transaction_id) AS rn FROM std WHERE reason IS NULL),
+kept AS (SELECT * EXCLUDE (reason, rn) FROM ranked WHERE rn = 1),
+bad AS (SELECT * EXCLUDE (reason), reason AS rejection_reason FROM std WHERE reason IS NOT NULL
+  UNION ALL SELECT * EXCLUDE (reason, rn), 'EXACT_DUPLICATE_TRANSACTION' FROM ranked WHERE rn > 1)"""
+
+TS_TEXT = "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f') AS \"timestamp\""
+
+ORDERS = """txo AS (SELECT 'C' || CAST(o_custkey AS VARCHAR) AS sender_account_id, 'S' || CAST(l_suppkey AS VARCHAR) AS receiver_account_id,
+  l_extendedprice * (1 - l_discount) AS amount, l_shipdate AS "timestamp", l_returnflag AS transaction_type,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_mule_pattern FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+_PROFILE_COLS = "transaction_id sender_account_id receiver_account_id amount timestamp transaction_type is_mule_pattern".split()
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS source_column, \"{c}\" AS raw, trim(\"{c}\") AS v FROM feed" for c in _PROFILE_COLS)
+PROFILE = f"""long AS ({_LONG}),
+prof AS (SELECT source_column, count(*) AS row_count, count(*) FILTER (WHERE v IS NULL) AS null_count, count(DISTINCT raw) AS unique_count,
+  count(*) FILTER (WHERE TRY_CAST(v AS DOUBLE) IS NOT NULL) AS nums, count(*) FILTER (WHERE NOT regexp_full_match(v, '[0-9]{{1,6}}')) AS cand,
+  count(*) FILTER (WHERE NOT regexp_full_match(v, '[0-9]{{1,6}}') AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL) AS dts FROM long GROUP BY 1),
+pct AS (SELECT *, nums * 100.0::DOUBLE / (row_count - null_count) AS numeric_compatibility_pct, dts * 100.0::DOUBLE / greatest(cand, 1) AS datetime_compatibility_pct FROM prof)"""
+
+ORACLES |= {
+    "preprocess_clean": f"WITH {FEED} SELECT * REPLACE ({TS_TEXT}) FROM kept",
+    "preprocess_rejected": f"WITH {FEED} SELECT * REPLACE ({TS_TEXT}) FROM bad",
+    "preprocess_stats": f"""WITH {FEED}
+ SELECT 'total' AS section, 'initial_rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM feed
+ UNION ALL SELECT 'total', 'final_rows', count(*) FROM kept
+ UNION ALL SELECT 'total', 'label_rate', sum(is_mule_pattern) / count(*) FROM kept
+ UNION ALL SELECT 'rejected', rejection_reason, count(*) FROM bad GROUP BY 2
+ UNION ALL SELECT 'type', transaction_type, count(*) FROM kept GROUP BY 2
+ UNION ALL SELECT 'unique', 'senders', count(DISTINCT sender_account_id) FROM kept
+ UNION ALL SELECT 'unique', 'receivers', count(DISTINCT receiver_account_id) FROM kept""",
+    "quality_report": f"""WITH {FEED} SELECT count(*) AS total_rows, count(*) FILTER (WHERE transaction_id IS NULL) AS null_transaction_id,
+ count(*) FILTER (WHERE sender_account_id IS NULL) AS null_sender_account_id, count(*) FILTER (WHERE receiver_account_id IS NULL) AS null_receiver_account_id,
+ count(*) FILTER (WHERE amount IS NULL) AS null_amount, count(*) FILTER (WHERE "timestamp" IS NULL) AS null_timestamp,
+ count(*) FILTER (WHERE amount IS NULL OR amount <= 0) AS invalid_amounts, (max(epoch_us("timestamp")) - min(epoch_us("timestamp"))) / 86400000000.0::DOUBLE AS span_days,
+ count(*) FILTER (WHERE is_mule_pattern = 1) AS label_1, count(*) FILTER (WHERE is_mule_pattern = 0) AS label_0,
+ count(DISTINCT sender_account_id) AS unique_senders, count(DISTINCT receiver_account_id) AS unique_receivers, count(DISTINCT transaction_id) AS unique_transaction_ids,
+ count(*) - (SELECT count(*) FROM (SELECT DISTINCT sender_account_id, receiver_account_id, amount, "timestamp" FROM norm)) AS duplicate_rows FROM norm""",
+    "invalid_amounts": f"WITH {FEED} SELECT transaction_id, amount AS raw_value FROM feed WHERE TRY_CAST(amount AS DOUBLE) IS NULL OR TRY_CAST(amount AS DOUBLE) <= 0 ORDER BY 1 LIMIT 20",
+    "amount_policy_fill": f"""WITH {FEED} SELECT * REPLACE (coalesce(amount, 0.0) AS amount,
+ strftime(coalesce("timestamp", (SELECT min("timestamp") FROM norm)), '%Y-%m-%d %H:%M:%S.%f') AS "timestamp") FROM norm""",
+    "profile_columns": f"""WITH {FEED}, {PROFILE} SELECT source_column, source_column AS normalized_name, row_count, null_count, null_count * 100.0::DOUBLE / row_count AS null_percentage,
+ unique_count, unique_count * 100.0::DOUBLE / (row_count - null_count) AS unique_percentage, numeric_compatibility_pct, datetime_compatibility_pct, false AS is_integer_step,
+ CASE WHEN datetime_compatibility_pct >= 80 THEN 'datetime' WHEN numeric_compatibility_pct >= 80 THEN 'numeric' ELSE 'string' END AS inferred_type FROM pct""",
+    "profile_samples": f"""WITH {FEED}, long AS ({_LONG}) SELECT source_column, v AS value FROM (
+ SELECT source_column, v, row_number() OVER (PARTITION BY source_column ORDER BY v) AS rn FROM (SELECT DISTINCT source_column, v FROM long)) WHERE rn <= 5""",
+    "synthetic_ids": f"""WITH {TXN} SELECT * EXCLUDE (us) REPLACE ({TS_TEXT},
+ 'TXN_' || lpad(CAST(row_number() OVER (ORDER BY "timestamp", sender_account_id, receiver_account_id, amount, transaction_type) - 1 AS VARCHAR), 8, '0') AS transaction_id) FROM txn""",
+    "eda_daily": f"""WITH {ORDERS} SELECT strftime("timestamp", '%Y-%m-%d') AS day, count(*) AS txn_count, {money()} AS total_amount FROM txo GROUP BY 1""",
+    "eda_hourly": f"""WITH {TXN} SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS hour_start, count(*) AS txn_count, {money()} AS total_amount FROM txn GROUP BY 1""",
+    "eda_amounts": f"""WITH {TXN} SELECT count(*) AS n, min(amount) AS min_amount, max(amount) AS max_amount, {money()} / count(*) AS mean_amount, round(stddev_samp(amount), 6) AS std_amount,
+ round(skewness(amount), 6) AS skewness, quantile_cont(amount, 0.25) AS p25, quantile_cont(amount, 0.5) AS p50, quantile_cont(amount, 0.75) AS p75, quantile_cont(amount, 0.95) AS p95, quantile_cont(amount, 0.99) AS p99 FROM txn""",
+    "eda_labels": f"""WITH {TXN}, c AS (SELECT count(*) FILTER (WHERE is_mule_pattern = 1) AS flagged, count(*) FILTER (WHERE is_mule_pattern = 0) AS clean, count(*) AS n FROM txn)
+ SELECT flagged, clean, flagged * 100.0::DOUBLE / n AS flagged_pct, clean / flagged AS imbalance_ratio, greatest(1.0, clean / flagged) AS recommended_weight FROM c""",
+    "eda_amount_by_label": f"""WITH {TXN} SELECT is_mule_pattern, count(*) AS txn_count, {money()} / count(*) AS mean_amount, min(amount) AS min_amount, max(amount) AS max_amount,
+ {money()} AS total_amount, median(amount) AS median_amount FROM txn GROUP BY 1""",
+    "eda_types": f"""WITH {ORDERS} SELECT transaction_type, count(*) AS txn_count, {money()} AS total_amount, count(*) FILTER (WHERE is_mule_pattern = 1) AS flagged,
+ count(*) FILTER (WHERE is_mule_pattern = 1) / count(*) AS flagged_rate, {money()} * 100.0::DOUBLE / (SELECT {money()} FROM txo) AS volume_pct FROM txo GROUP BY 1""",
+    "eda_role_activity": f"""WITH {ORDERS}, p AS (SELECT 'sender' AS role, sender_account_id AS a, count(*) AS n FROM txo GROUP BY 2 UNION ALL SELECT 'receiver', receiver_account_id, count(*) FROM txo GROUP BY 2)
+ SELECT role, count(*) AS unique_accounts, CAST(sum(n) AS DOUBLE) / count(*) AS mean_txns, max(n) AS max_txns, count(*) FILTER (WHERE n > 1) AS repeat_accounts FROM p GROUP BY 1""",
+    "eda_flow_roles": f"""WITH {ORDERS}, s AS (SELECT DISTINCT sender_account_id AS a FROM txo), r AS (SELECT DISTINCT receiver_account_id AS a FROM txo),
+ c AS (SELECT (SELECT count(*) FROM (SELECT a FROM s UNION SELECT a FROM r)) AS accounts, (SELECT count(*) FROM (SELECT a FROM s EXCEPT SELECT a FROM r)) AS pure_senders,
+ (SELECT count(*) FROM (SELECT a FROM r EXCEPT SELECT a FROM s)) AS pure_receivers, (SELECT count(*) FROM (SELECT a FROM r INTERSECT SELECT a FROM s)) AS pass_through)
+ SELECT *, pure_senders * 100.0::DOUBLE / accounts AS pure_senders_pct, pure_receivers * 100.0::DOUBLE / accounts AS pure_receivers_pct, pass_through * 100.0::DOUBLE / accounts AS pass_through_pct FROM c""",
+    "eda_top_senders": f"WITH {ORDERS} SELECT sender_account_id AS account_id, count(*) AS txn_count, {money()} AS total_amount FROM txo GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+    "eda_top_receivers": f"WITH {ORDERS} SELECT receiver_account_id AS account_id, count(*) AS txn_count, {money()} AS total_amount FROM txo GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
+    "eda_hour_profile": f"""WITH {TXN}, h AS (SELECT CAST(hour("timestamp") AS INTEGER) AS hour, count(*) AS txn_count, count(*) FILTER (WHERE is_mule_pattern = 1) AS flagged FROM txn GROUP BY 1)
+ SELECT *, flagged / txn_count AS flagged_rate, CASE WHEN hour = (SELECT hour FROM h ORDER BY txn_count DESC, hour LIMIT 1) THEN 1 ELSE 0 END AS is_peak FROM h""",
+}

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.operators import account_features as af
-from flowsentry.operators import flow
+from flowsentry.operators import eda, flow, preprocess
 from flowsentry.session import configure
-from flowsentry.sources import tables
+from flowsentry.sources import profile, readers, tables
 
 QUERIES = {}
 
@@ -78,3 +78,114 @@ def forward_pairs(spark, sf_dir):
 @query
 def forward_pairs_strict(spark, sf_dir):
     return shown(flow.forward_pairs(tables.txn_events(spark, sf_dir), strict=True))
+
+
+# --- ingest, quarantine, quality -------------------------------------------------
+
+
+def _feed(spark, sf_dir):
+    return readers.normalize(tables.raw_feed(spark, sf_dir))
+
+
+@query
+def preprocess_clean(spark, sf_dir):
+    return shown(preprocess.clean(_feed(spark, sf_dir)))
+
+
+@query
+def preprocess_rejected(spark, sf_dir):
+    return shown(preprocess.rejected(_feed(spark, sf_dir)))
+
+
+@query
+def preprocess_stats(spark, sf_dir):
+    return preprocess.preprocess_stats(_feed(spark, sf_dir))
+
+
+@query
+def quality_report(spark, sf_dir):
+    return preprocess.quality_report(_feed(spark, sf_dir))
+
+
+@query
+def invalid_amounts(spark, sf_dir):
+    return preprocess.amount_check(tables.raw_feed(spark, sf_dir))
+
+
+@query
+def amount_policy_fill(spark, sf_dir):
+    return shown(readers.fill_missing_time(readers.apply_amount_policy(_feed(spark, sf_dir))))
+
+
+@query
+def profile_columns(spark, sf_dir):
+    return profile.profile_columns(tables.raw_feed(spark, sf_dir)).drop("label_like")
+
+
+@query
+def profile_samples(spark, sf_dir):
+    return profile.sample_values(tables.raw_feed(spark, sf_dir))
+
+
+@query
+def synthetic_ids(spark, sf_dir):
+    txns = tables.txn_events(spark, sf_dir).withColumn("transaction_id", F.lit(None).cast("string"))
+    return shown(readers.number_transactions(txns))
+
+
+# --- exploratory aggregates ------------------------------------------------------
+
+
+@query
+def eda_daily(spark, sf_dir):
+    return eda.daily_volume(tables.txn_orders(spark, sf_dir))
+
+
+@query
+def eda_hourly(spark, sf_dir):
+    return shown(eda.hourly_volume(tables.txn_events(spark, sf_dir)))
+
+
+@query
+def eda_amounts(spark, sf_dir):
+    return shown(eda.amount_distribution(tables.txn_events(spark, sf_dir)), "std_amount", "skewness")
+
+
+@query
+def eda_labels(spark, sf_dir):
+    return eda.label_distribution(tables.txn_events(spark, sf_dir))
+
+
+@query
+def eda_amount_by_label(spark, sf_dir):
+    return eda.amount_by_label(tables.txn_events(spark, sf_dir))
+
+
+@query
+def eda_types(spark, sf_dir):
+    return eda.by_type(tables.txn_orders(spark, sf_dir))
+
+
+@query
+def eda_role_activity(spark, sf_dir):
+    return eda.role_activity(tables.txn_orders(spark, sf_dir))
+
+
+@query
+def eda_flow_roles(spark, sf_dir):
+    return eda.flow_roles(tables.txn_orders(spark, sf_dir))
+
+
+@query
+def eda_top_senders(spark, sf_dir):
+    return eda.top_accounts(tables.txn_orders(spark, sf_dir), "sender")
+
+
+@query
+def eda_top_receivers(spark, sf_dir):
+    return eda.top_accounts(tables.txn_orders(spark, sf_dir), "receiver")
+
+
+@query
+def eda_hour_profile(spark, sf_dir):
+    return eda.hour_profile(tables.txn_events(spark, sf_dir))
