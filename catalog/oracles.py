@@ -274,3 +274,89 @@ ORACLES |= {
     "eda_hour_profile": f"""WITH {TXN}, h AS (SELECT CAST(hour("timestamp") AS INTEGER) AS hour, count(*) AS txn_count, count(*) FILTER (WHERE is_mule_pattern = 1) AS flagged FROM txn GROUP BY 1)
  SELECT *, flagged / txn_count AS flagged_rate, CASE WHEN hour = (SELECT hour FROM h ORDER BY txn_count DESC, hour LIMIT 1) THEN 1 ELSE 0 END AS is_peak FROM h""",
 }
+
+# --- transaction graph -----------------------------------------------------------
+
+
+def _edge_cte(where: str = "") -> str:
+    return f"""e AS (SELECT sender_account_id AS src, receiver_account_id AS dst, {money()} AS weight, count(*) AS txn_count FROM txn {where} GROUP BY 1, 2),
+nd AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
+
+
+EDGES = _edge_cte()
+PURCHASE = _edge_cte("WHERE transaction_type = 'PURCHASE'")
+DEG = f"""deg AS (SELECT id AS account_id, count(*) FILTER (WHERE d = 'in') AS in_degree, count(*) FILTER (WHERE d = 'out') AS out_degree, count(*) AS total_degree,
+ {money("d = 'in'", 'weight')} AS transaction_weighted_in_degree, {money("d = 'out'", 'weight')} AS transaction_weighted_out_degree
+ FROM (SELECT src AS id, 'out' AS d, weight FROM e UNION ALL SELECT dst, 'in', weight FROM e) GROUP BY 1)"""
+CYC = """a2 AS (SELECT x.src AS i, y.dst AS j, count(*) AS n FROM e x JOIN e y ON x.dst = y.src GROUP BY 1, 2),
+walks AS (SELECT i AS id, n FROM a2 WHERE i = j UNION ALL SELECT a2.i, a2.n FROM a2 JOIN e ON e.src = a2.j AND e.dst = a2.i
+ UNION ALL SELECT p.i, p.n * q.n FROM a2 p JOIN a2 q ON p.j = q.i AND p.i = q.j),
+cyc AS (SELECT nd.id, CAST(coalesce(sum(n), 0) AS BIGINT) AS cycle_count FROM nd LEFT JOIN walks USING (id) GROUP BY 1),
+s AS (SELECT i, j, count(*) AS w FROM (SELECT src AS i, dst AS j FROM e WHERE src <> dst UNION ALL SELECT dst, src FROM e WHERE src <> dst) GROUP BY 1, 2),
+s3 AS (SELECT a.i AS id, sum(a.w * b.w * c.w) AS t FROM s a JOIN s b ON a.j = b.i JOIN s c ON b.j = c.i AND c.j = a.i GROUP BY 1),
+sd AS (SELECT i AS id, sum(w) AS dt, count(*) FILTER (WHERE w = 2) AS db FROM s GROUP BY 1),
+motif AS (SELECT cyc.id AS account_id, cycle_count, CASE WHEN cycle_count > 0 THEN 1 ELSE 0 END AS is_in_short_cycle, CASE WHEN cycle_count > 0 THEN 1 ELSE 0 END AS short_cycle_indicator,
+ coalesce(CAST(t AS DOUBLE) / 2 / CAST(dt * (dt - 1) - 2 * db AS DOUBLE), 0.0) AS clustering_coefficient FROM cyc LEFT JOIN s3 USING (id) LEFT JOIN sd USING (id))"""
+
+
+def _pagerank(iterations: int) -> str:
+    parts = [
+        "ow AS (SELECT src, sum(CAST(weight AS DECIMAL(28,8)))::DOUBLE AS total FROM e GROUP BY 1)",
+        "mv AS MATERIALIZED (SELECT e.src, dst, weight / total AS p FROM e JOIN ow ON e.src = ow.src)",
+        "cnt AS (SELECT count(*) AS n FROM nd)",
+        "r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS r FROM nd, cnt)",
+    ]
+    for k in range(1, iterations + 1):
+        parts.append(
+            f"""r{k} AS MATERIALIZED (SELECT nd.id, 0.85::DOUBLE * (coalesce(g.gain, 0) + (SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE id NOT IN (SELECT src FROM e)) / n) + (1 - 0.85::DOUBLE) / n AS r
+ FROM nd CROSS JOIN cnt LEFT JOIN (SELECT dst, sum(r * p) AS gain FROM mv JOIN r{k - 1} ON id = src GROUP BY 1) g ON g.dst = nd.id)"""
+        )
+    return ",\n".join(parts) + f" SELECT id AS account_id, round(r, 10) AS pagerank FROM r{iterations}"
+
+
+BETWEEN = """a AS (SELECT src AS i, dst AS j FROM e WHERE src <> dst),
+w1 AS MATERIALIZED (SELECT i, j, 1.0::DOUBLE AS n FROM a),
+w2 AS MATERIALIZED (SELECT w.i, a.j, sum(n) AS n FROM w1 w JOIN a ON w.j = a.i GROUP BY 1, 2),
+w3 AS MATERIALIZED (SELECT w.i, a.j, sum(n) AS n FROM w2 w JOIN a ON w.j = a.i GROUP BY 1, 2),
+w4 AS MATERIALIZED (SELECT w.i, a.j, sum(n) AS n FROM w3 w JOIN a ON w.j = a.i GROUP BY 1, 2),
+allw AS (SELECT i, j, 1 AS d, n FROM w1 UNION ALL SELECT i, j, 2, n FROM w2 UNION ALL SELECT i, j, 3, n FROM w3 UNION ALL SELECT i, j, 4, n FROM w4),
+sp AS MATERIALIZED (SELECT i, j, min(d) AS d, arg_min(n, d) AS sigma FROM allw WHERE i <> j GROUP BY 1, 2),
+bt AS MATERIALIZED (SELECT x.j AS v, sum(x.sigma * y.sigma / t.sigma) AS b FROM sp x JOIN sp y ON x.j = y.i JOIN sp t ON t.i = x.i AND t.j = y.j AND x.d + y.d = t.d GROUP BY 1),
+bc AS (SELECT id AS account_id, coalesce(b, 0.0) / ((n - 1) * (n - 2)) AS betweenness_centrality FROM nd CROSS JOIN (SELECT count(*) AS n FROM nd) LEFT JOIN bt ON v = id)"""
+
+_EGO = """nb AS (SELECT 'U1' AS id UNION SELECT receiver_account_id FROM txn WHERE sender_account_id = 'U1' UNION SELECT sender_account_id FROM txn WHERE receiver_account_id = 'U1'),
+ego AS (SELECT transaction_id, sender_account_id, receiver_account_id, amount, "timestamp",
+ CASE WHEN sender_account_id = 'U1' THEN 'OUTGOING' WHEN receiver_account_id = 'U1' THEN 'INCOMING' ELSE 'FORWARDING' END AS direction
+ FROM txn WHERE sender_account_id IN (FROM nb) AND receiver_account_id IN (FROM nb))"""
+
+ORACLES |= {
+    "edges": f"WITH {TXN}, {EDGES} SELECT * FROM e",
+    "degrees": f"""WITH {TXN}, {EDGES}, {DEG} SELECT *, in_degree AS unique_in_counterparties, out_degree AS unique_out_counterparties,
+ in_degree / (total_degree + 1e-9) AS fan_in_ratio, out_degree / (total_degree + 1e-9) AS fan_out_ratio FROM deg""",
+    "graph_stats": f"""WITH {TXN}, {EDGES}, {DEG} SELECT count(*) AS node_count, (SELECT count(*) FROM e) AS edge_count,
+ (SELECT count(*) FROM e) / CAST(count(*) * (count(*) - 1) AS DOUBLE) AS density, max(in_degree) AS max_in_degree, max(out_degree) AS max_out_degree FROM deg""",
+    "short_cycles": f"WITH {TXN}, {EDGES}, {CYC} SELECT * FROM motif",
+    "short_cycles_purchases": f"WITH {TXN}, {PURCHASE}, {CYC} SELECT * FROM motif",
+    "pagerank": f"WITH {TXN}, {EDGES}, {_pagerank(20)}",
+    "betweenness": f"WITH {TXN}, {EDGES}, {BETWEEN} SELECT account_id, round(betweenness_centrality, 10) AS betweenness_centrality FROM bc",
+    "weak_components": f"""WITH RECURSIVE {ORDERS}, a AS (SELECT DISTINCT sender_account_id AS i, receiver_account_id AS j FROM txo), b AS (SELECT i, j FROM a UNION SELECT j, i FROM a),
+ start AS (SELECT min(i) AS id FROM b), reach AS (SELECT id FROM start UNION SELECT j FROM reach JOIN b ON b.i = reach.id)
+ SELECT id AS account_id, (SELECT id FROM start) AS component FROM reach""",
+    "strong_components": f"""WITH RECURSIVE {TXN}, {PURCHASE}, a AS (SELECT src AS i, dst AS j FROM e), reach AS (SELECT i, j FROM a UNION SELECT r.i, a.j FROM reach r JOIN a ON r.j = a.i),
+ mutual AS (SELECT x.i AS id, max(x.j) AS m FROM reach x JOIN reach y ON x.i = y.j AND x.j = y.i GROUP BY 1)
+ SELECT id AS account_id, greatest(id, coalesce(m, id)) AS component FROM nd LEFT JOIN mutual USING (id)""",
+    "rings": f"""WITH RECURSIVE {TXN}, {PURCHASE}, {CYC}, b AS (SELECT src AS i, dst AS j FROM e UNION SELECT dst, src FROM e),
+ reach AS (SELECT i, j FROM b UNION SELECT r.i, b.j FROM reach r JOIN b ON r.j = b.i), comp AS (SELECT id, least(id, coalesce(min(j), id)) AS component FROM nd LEFT JOIN reach ON i = id GROUP BY id),
+ sz AS (SELECT component, count(*) AS node_count, sum(is_in_short_cycle) AS cyc FROM comp JOIN motif ON account_id = id GROUP BY 1),
+ ec AS (SELECT component, count(*) AS edge_count FROM e JOIN comp ON src = id GROUP BY 1)
+ SELECT 'RING_' || component AS ring_id, component, node_count, edge_count, edge_count / greatest(node_count * (node_count - 1), 1) AS density, CAST(cyc AS DOUBLE) / node_count AS cycle_involvement_ratio,
+ (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM comp c WHERE c.component = sz.component ORDER BY id LIMIT 20)) AS sample_nodes, 'HIGH_NETWORK_DENSITY_MULE_RING' AS risk_flag
+ FROM sz JOIN ec USING (component) WHERE node_count >= 3 AND (edge_count / greatest(node_count * (node_count - 1), 1) >= 0.15 OR CAST(cyc AS DOUBLE) / node_count >= 0.30)""",
+    "ego_network": f"WITH {TXN}, {_EGO} SELECT * REPLACE ({TS_TEXT}) FROM ego",
+    "ego_two_hops": f"""WITH {TXN}, {_EGO} SELECT id FROM nb UNION SELECT receiver_account_id FROM txn WHERE sender_account_id IN (FROM nb)
+ UNION SELECT sender_account_id FROM txn WHERE receiver_account_id IN (FROM nb)""",
+    "edge_filter": f"""WITH {TXN} SELECT * EXCLUDE (us) REPLACE ({TS_TEXT}) FROM txn WHERE amount >= 50 AND amount <= 400 AND "timestamp" >= TIMESTAMP '2024-01-05'
+ AND "timestamp" <= TIMESTAMP '2024-01-20' AND sender_account_id = 'U1'""",
+    "short_paths": f"""WITH {TXN}, {_EGO} SELECT transaction_id, sender_account_id || ' -> ' || receiver_account_id AS path, amount FROM ego
+ WHERE sender_account_id = 'U1' OR receiver_account_id = 'U1' ORDER BY amount DESC, transaction_id LIMIT 10""",
+}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.operators import account_features as af
-from flowsentry.operators import eda, flow, preprocess
-from flowsentry.session import configure
+from flowsentry.operators import centrality, components, eda, flow, graph, motifs, preprocess
+from flowsentry.session import configure, cut
 from flowsentry.sources import profile, readers, tables
 
 QUERIES = {}
@@ -189,3 +189,91 @@ def eda_top_receivers(spark, sf_dir):
 @query
 def eda_hour_profile(spark, sf_dir):
     return eda.hour_profile(tables.txn_events(spark, sf_dir))
+
+
+# --- transaction graph -----------------------------------------------------------
+
+
+def _edges(spark, sf_dir):
+    return graph.edges(tables.txn_events(spark, sf_dir))
+
+
+@query
+def edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query
+def degrees(spark, sf_dir):
+    return graph.degree_features(_edges(spark, sf_dir))
+
+
+@query
+def graph_stats(spark, sf_dir):
+    return graph.graph_stats(_edges(spark, sf_dir))
+
+
+@query
+def short_cycles(spark, sf_dir):
+    return motifs.motif_features(_edges(spark, sf_dir))
+
+
+def _purchase_edges(spark, sf_dir):
+    txns = tables.txn_events(spark, sf_dir)
+    return graph.edges(txns.where(F.col("transaction_type") == "PURCHASE"))
+
+
+@query
+def short_cycles_purchases(spark, sf_dir):
+    return motifs.motif_features(_purchase_edges(spark, sf_dir))
+
+
+@query
+def pagerank(spark, sf_dir):
+    return shown(centrality.pagerank(_edges(spark, sf_dir), iterations=20), "pagerank", digits=10)
+
+
+@query
+def betweenness(spark, sf_dir):
+    return shown(centrality.betweenness(_edges(spark, sf_dir)), "betweenness_centrality", digits=10)
+
+
+@query
+def weak_components(spark, sf_dir):
+    return components.weak_components(graph.edges(tables.txn_orders(spark, sf_dir)))
+
+
+@query
+def strong_components(spark, sf_dir):
+    return components.strong_components(_purchase_edges(spark, sf_dir))
+
+
+@query
+def rings(spark, sf_dir):
+    rows = cut(_purchase_edges(spark, sf_dir))
+    found = graph.suspicious_rings(rows, components.weak_components(rows), motifs.motif_features(rows))
+    return found.withColumn("sample_nodes", F.array_join("sample_nodes", ","))
+
+
+EGO = "U1"
+
+
+@query
+def ego_network(spark, sf_dir):
+    return shown(graph.ego_edges(tables.txn_events(spark, sf_dir), EGO))
+
+
+@query
+def ego_two_hops(spark, sf_dir):
+    return graph.neighbourhood(tables.txn_events(spark, sf_dir), EGO, 2)
+
+
+@query
+def edge_filter(spark, sf_dir):
+    txns = tables.txn_events(spark, sf_dir)
+    return shown(graph.edge_filter(txns, 50.0, 400.0, "2024-01-05", "2024-01-20", EGO, "outgoing"))
+
+
+@query
+def short_paths(spark, sf_dir):
+    return graph.short_paths(graph.ego_edges(tables.txn_events(spark, sf_dir), EGO), EGO)
