@@ -360,3 +360,293 @@ ORACLES |= {
     "short_paths": f"""WITH {TXN}, {_EGO} SELECT transaction_id, sender_account_id || ' -> ' || receiver_account_id AS path, amount FROM ego
  WHERE sender_account_id = 'U1' OR receiver_account_id = 'U1' ORDER BY amount DESC, transaction_id LIMIT 10""",
 }
+
+# --- feature table and what is computed from it ----------------------------------
+
+GRAPH = {
+    "in_degree": "in_degree", "out_degree": "out_degree", "total_degree": "total_degree",
+    "fan_in_ratio": "in_degree / (total_degree + 1e-9)", "fan_out_ratio": "out_degree / (total_degree + 1e-9)",
+    "unique_in_counterparties": "in_degree", "unique_out_counterparties": "out_degree",
+    "transaction_weighted_in_degree": "transaction_weighted_in_degree", "transaction_weighted_out_degree": "transaction_weighted_out_degree",
+    "is_in_short_cycle": "is_in_short_cycle", "short_cycle_indicator": "short_cycle_indicator", "cycle_count": "cycle_count",
+    "pagerank": "pr", "betweenness_centrality": "betweenness_centrality", "clustering_coefficient": "clustering_coefficient",
+}
+ANOM_COLS = {c: c for c in ("amount_zscore_avg", "round_number_txn_ratio", "odd_hour_txn_ratio")}
+TEMPORAL_COLS = {c: c for c in TEMPORAL_NAMES}
+FLAGS = ("is_new_high_volume_flag", "new_account_high_volume_flag", "is_in_short_cycle", "short_cycle_indicator")
+
+
+def _raw(cols: dict[str, str]) -> dict[str, str]:
+    """Drop presentation rounding."""
+    return {k: v[len("round("):-len(", 6)")] if v.startswith("round(") else v for k, v in cols.items()}
+
+
+CORE = {**VELOCITY, **_raw(BEHAVIORAL), **GRAPH, **ANOM_COLS}
+ALL_FEATURES = {**CORE, **MULE, **TEMPORAL_COLS}
+
+
+def _two_forwards() -> str:
+    loose = _forward(False)
+    strict = _forward(True).replace("outs AS", "outs_s AS").replace("JOIN outs o", "JOIN outs_s o").replace("pairs AS", "pairs_s AS")
+    return f"{loose},\n{strict},\n{FWD.replace('FROM pairs', 'FROM pairs_s')},\n{FLOW_STATS}"
+
+
+_PR = _pagerank(20).rsplit(" SELECT ", 1)[0]
+FEAT = f"""{BASE},
+{ACT},
+{_two_forwards()},
+{TEMPORAL_CTE},
+{_anom('100')},
+{EDGES},
+{DEG},
+{CYC},
+{_PR},
+{BETWEEN},
+lab AS (SELECT sender_account_id AS la, max(is_mule_pattern) AS lbl FROM txn GROUP BY 1),
+feat AS MATERIALIZED (SELECT act.account_id, {", ".join(f"{v} AS {k}" for k, v in ALL_FEATURES.items())}, coalesce(lbl, 0) AS is_mule_pattern
+ FROM act LEFT JOIN fwd ON fa = act.account_id LEFT JOIN fs ON fsa = act.account_id LEFT JOIN tmp2 ON ta = act.account_id LEFT JOIN anom ON na = act.account_id
+ LEFT JOIN deg ON deg.account_id = act.account_id LEFT JOIN motif ON motif.account_id = act.account_id LEFT JOIN (SELECT id AS pid, r AS pr FROM r20) ON pid = act.account_id
+ LEFT JOIN bc ON bc.account_id = act.account_id LEFT JOIN lab ON la = act.account_id)"""
+
+INEXACT = ("transaction_amount_std", "transaction_amount_cv", "amount_zscore_avg", "velocity_change_score", "pagerank", "betweenness_centrality")
+
+MEDLAB = """ml AS (SELECT sender_account_id AS ma, CASE WHEN sum(is_mule_pattern) * 5 > count(*) THEN 1 ELSE 0 END AS l FROM txn GROUP BY 1),
+fl AS MATERIALIZED (SELECT feat.*, coalesce(l, 0) AS label FROM feat LEFT JOIN ml ON ma = account_id)"""
+
+
+def _unpivot(source: str, label: str) -> str:
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ALL_FEATURES)
+    return f"""longf AS MATERIALIZED (SELECT account_id, label, feature, value FROM (SELECT account_id, {label} AS label, {cols} FROM {source}) UNPIVOT (value FOR feature IN ({", ".join(ALL_FEATURES)})))"""
+
+
+VC = """vc AS MATERIALIZED (SELECT feature, value, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0, count(*) AS n FROM longf GROUP BY 1, 2),
+rk AS MATERIALIZED (SELECT *, sum(n) OVER w - n + (n + 1) / 2.0::DOUBLE AS r, sum(n1) OVER w AS c1, sum(n0) OVER w AS c0, sum(n1) OVER (PARTITION BY feature) AS t1, sum(n0) OVER (PARTITION BY feature) AS t0
+ FROM vc WINDOW w AS (PARTITION BY feature ORDER BY value)),
+us AS MATERIALIZED (SELECT feature, CAST(max(t1) AS DOUBLE) AS t1, CAST(max(t0) AS DOUBLE) AS t0, sum(n1 * r) - max(t1) * (max(t1) + 1) / 2 AS u, sum(CAST(n AS DOUBLE) * n * n - n) AS ties, sum(n * r * r) AS rr, sum(n1 * r) AS r1 FROM rk GROUP BY 1)"""
+
+_PHI = """(1 / (1 + 0.3275911::DOUBLE * zz)) AS tt"""
+MW = """mw0 AS (SELECT *, sqrt(t1 * t0 / 12 * ((t1 + t0 + 1) - ties / ((t1 + t0) * (t1 + t0 - 1)))) AS s FROM us),
+mw1 AS (SELECT *, CASE WHEN s > 0 THEN (greatest(u, t1 * t0 - u) - t1 * t0 / 2 - 0.5) / s END AS z FROM mw0),
+mw2 AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS zz, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2.0::DOUBLE)) AS tt FROM mw1),
+mw AS (SELECT feature, CAST(u AS DOUBLE) AS u_statistic, CASE WHEN s > 0 AND z > 0 THEN least(1.0, tt * (0.254829592::DOUBLE + tt * (-0.284496736::DOUBLE + tt * (1.421413741::DOUBLE + tt * (-1.453152027::DOUBLE + tt * 1.061405429::DOUBLE)))) * exp(-zz * zz)) ELSE 1.0 END AS p_value,
+ abs(1 - 2 * u / (t1 * t0)) AS effect_size FROM mw2)"""
+
+
+def _edges_of(where: str = "") -> str:
+    q = ", ".join(f"{i / 10}::DOUBLE" for i in range(11))
+    return f"""eg AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [{q}]))) AS edges FROM longf {where} GROUP BY 1),
+bins AS (SELECT vc.*, len(list_filter(edges[2:greatest(len(edges) - 1, 1)], e -> e <= value)) AS bin, len(edges) AS n_edges FROM vc JOIN eg USING (feature)),
+bn AS (SELECT feature, bin, CAST(sum(n1) AS DOUBLE) AS n1, CAST(sum(n0) AS DOUBLE) AS n0, max(n_edges) AS n_edges FROM bins GROUP BY 1, 2),
+bt2 AS (SELECT *, sum(n1) OVER (PARTITION BY feature) AS t1, sum(n0) OVER (PARTITION BY feature) AS t0 FROM bn)"""
+
+
+MI = """mi AS (SELECT feature, greatest(0.0, sum(CASE WHEN n1 > 0 THEN n1 / (t1 + t0) * ln(n1 * (t1 + t0) / ((n1 + n0) * t1)) ELSE 0 END + CASE WHEN n0 > 0 THEN n0 / (t1 + t0) * ln(n0 * (t1 + t0) / ((n1 + n0) * t0)) ELSE 0 END)) AS mi_score FROM bt2 GROUP BY 1)"""
+
+DRIFT = f"""fd AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY account_id) - 1 >= floor((SELECT count(*) FROM feat) * 0.6::DOUBLE) THEN 1 ELSE 0 END AS is_recent FROM feat),
+{_unpivot('fd', 'is_recent')}, {VC}, {_edges_of('WHERE label = 0')},
+ps AS (SELECT feature, sum(CASE WHEN n_edges > 1 THEN (pa - pe) * ln(pa / pe) ELSE 0.0 END) AS psi FROM (SELECT feature, n_edges, CASE WHEN n1 = 0 THEN 1e-4 ELSE n1 / t1 END AS pa, CASE WHEN n0 = 0 THEN 1e-4 ELSE n0 / t0 END AS pe FROM bt2) GROUP BY 1),
+dm AS (SELECT feature, avg(value) FILTER (WHERE label = 0) AS baseline_mean, stddev_pop(value) FILTER (WHERE label = 0) AS baseline_std, avg(value) FILTER (WHERE label = 1) AS recent_mean, stddev_pop(value) FILTER (WHERE label = 1) AS recent_std, any_value(psi) AS psi,
+ CASE WHEN any_value(psi) >= 0.25 THEN 'CRITICAL' WHEN any_value(psi) >= 0.1 THEN 'WARNING' ELSE 'NORMAL' END AS status FROM longf JOIN ps USING (feature) GROUP BY 1),
+ds AS (SELECT avg(psi) AS overall_psi, count(*) FILTER (WHERE status = 'CRITICAL') AS critical_features, count(*) FILTER (WHERE status = 'WARNING') AS warning_features,
+ CASE WHEN count(*) FILTER (WHERE status = 'CRITICAL') > 0 THEN 'CRITICAL' WHEN count(*) FILTER (WHERE status = 'WARNING') > 0 THEN 'WARNING' ELSE 'NORMAL' END AS drift_status,
+ CASE WHEN count(*) FILTER (WHERE status = 'CRITICAL') > 0 THEN 'HIGH' WHEN count(*) FILTER (WHERE status = 'WARNING') > 0 THEN 'MODERATE' ELSE 'LOW' END AS severity FROM dm)"""
+
+
+def _bands(names) -> str:
+    return "bands AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names)) + ") v(band, band_name))"
+
+
+def alert_key(seed: str) -> str:
+    return f"'ALT-' || upper(substr(sha256({seed}), 1, 8))"
+
+
+TIER = "CASE WHEN {0} >= 85 THEN 'Critical' WHEN {0} >= 70 THEN 'High' WHEN {0} >= 30 THEN 'Medium' ELSE 'Low' END"
+SEV = "CASE WHEN {0} >= 85 THEN 'CRITICAL' WHEN {0} >= 70 THEN 'HIGH' WHEN {0} >= 30 THEN 'MEDIUM' ELSE 'LOW' END"
+
+ALERTS = f"""al0 AS (SELECT *, least(100.0::DOUBLE, round(30.0 + amount / 5.0, 1)) AS sc FROM txn WHERE is_mule_pattern = 1),
+al AS (SELECT {alert_key('transaction_id')} AS alert_id, sender_account_id AS account_id, sc AS risk_score, upper({TIER.format('sc')}) AS risk_tier, {SEV.format('sc')} AS severity, 'flagged transfer' AS summary,
+ 'amount' AS top_features, 'amount' AS top_reasons, 0.5::DOUBLE AS anomaly_score, CAST(floor(amount) AS DOUBLE) AS network_risk, CAST(0 AS BIGINT) AS connected_suspicious_count, 'rules-0' AS model_version,
+ CASE WHEN amount >= 200 THEN 'CONFIRMED_MULE' WHEN amount < 20 THEN 'FALSE_POSITIVE' ELSE 'OPEN' END AS status, date_trunc('minute', "timestamp") AS created_at, date_trunc('minute', "timestamp") + INTERVAL 1 DAY AS updated_at FROM al0)"""
+LOOKUP = """alk AS (SELECT account_id, count(*) AS alert_count, arg_max(status, (status = 'OPEN', created_at, alert_id)) AS investigation_status FROM al GROUP BY 1)"""
+ALERT_TEXT = "strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at"
+
+SCORED = f"""{FEAT}, {ALERTS}, {LOOKUP},
+last AS (SELECT account_id AS laa, max("timestamp") AS last_activity FROM legs GROUP BY 1),
+s0 AS (SELECT *, least(greatest(0.4::DOUBLE * pct_funds_forwarded_within_15min + 0.3::DOUBLE * night_transaction_ratio + 0.3::DOUBLE * least(1.0::DOUBLE, transaction_velocity_change / 24.0::DOUBLE), 0.0), 1.0) AS mule_probability,
+ least(greatest((amount_zscore_avg / 4.0::DOUBLE + odd_hour_txn_ratio) / 2.0::DOUBLE, 0.0), 1.0) AS anomaly_score, least(greatest(50 * betweenness_centrality + 40 * is_in_short_cycle + 10 * fan_out_ratio, 0.0), 100.0) AS network_risk_score FROM feat),
+s1 AS (SELECT *, round(least(greatest((0.6::DOUBLE * mule_probability + 0.25::DOUBLE * anomaly_score + 0.15::DOUBLE * (network_risk_score / 100)) * 100, 0.0), 100.0), 1) AS risk_score FROM s0),
+scored AS MATERIALIZED (SELECT s1.account_id, risk_score, {TIER.format('risk_score')} AS risk_tier, mule_probability, anomaly_score, network_risk_score, txn_count_24h AS transaction_count, total_amount_in_24h AS incoming_amount, total_amount_out_24h AS outgoing_amount,
+ unique_counterparty_count AS unique_counterparties, account_age_days AS account_age, last_activity, coalesce(alert_count, 0) AS alert_count, coalesce(investigation_status, 'NONE') AS investigation_status
+ FROM s1 LEFT JOIN last ON laa = s1.account_id LEFT JOIN alk ON alk.account_id = s1.account_id)"""
+
+FEEDBACK = f"""fb AS (SELECT transaction_id AS feedback_id, {alert_key('transaction_id')} AS alert_id, sender_account_id AS account_id,
+ CASE transaction_type WHEN 'ERROR' THEN 'CONFIRMED_MULE' WHEN 'SIGNUP' THEN 'LEGITIMATE' WHEN 'VIEW' THEN 'FALSE_POSITIVE' ELSE 'UNDER_INVESTIGATION' END AS decision, '' AS note, 'analyst' AS investigator, "timestamp" FROM txn),
+fb2 AS (SELECT *, CASE decision WHEN 'LEGITIMATE' THEN 'DISMISSED' ELSE decision END AS alert_status FROM fb),
+ov AS (SELECT account_id AS oa, CASE WHEN arg_max(decision, ("timestamp", feedback_id)) = 'CONFIRMED_MULE' THEN 1 ELSE 0 END AS o FROM fb WHERE decision <> 'UNDER_INVESTIGATION' GROUP BY 1)"""
+
+CAND = f"{FEAT}, {FEEDBACK}, cand AS (SELECT account_id, coalesce(o, is_mule_pattern) AS is_mule_pattern, CASE WHEN o IS NULL THEN 0 ELSE 1 END AS is_overridden FROM feat LEFT JOIN ov ON oa = account_id)"
+
+ARCH = """ar0 AS (SELECT account_id, CASE WHEN avg_time_to_forward_funds_minutes < 20 THEN 4.0 WHEN avg_time_to_forward_funds_minutes < 45 THEN 2.0 ELSE 0.0 END::DOUBLE AS s1,
+ (CASE WHEN fan_in_ratio > 0.65 OR in_degree > out_degree * 2.0 THEN 3.5 ELSE 0 END + CASE WHEN in_degree > 3 THEN 1.5 ELSE 0 END)::DOUBLE AS s2,
+ (CASE WHEN fan_out_ratio > 0.65 OR out_degree > in_degree * 2.0 THEN 3.5 ELSE 0 END + CASE WHEN out_degree > 3 THEN 1.5 ELSE 0 END)::DOUBLE AS s3,
+ CASE WHEN is_new_high_volume_flag = 1 OR amount_zscore_avg > 2 THEN 3.5 ELSE 0 END::DOUBLE AS s4,
+ (CASE WHEN is_in_short_cycle = 1 THEN 4.0 ELSE 0 END + CASE WHEN betweenness_centrality > 0.05 THEN 2.0 ELSE 0 END)::DOUBLE AS s5 FROM feat),
+keys AS (SELECT * FROM (VALUES (1, 'RAPID_PASSTHROUGH', 'ARCH-01', 'Rapid Pass-Through Mule', 'Layering & Forwarding'), (2, 'FUNNEL_AGGREGATOR', 'ARCH-02', 'Funnel Aggregator', 'Collection Node'),
+ (3, 'SCATTER_DISTRIBUTOR', 'ARCH-03', 'Scatter Distributor', 'Structuring Node'), (4, 'DORMANT_REACTIVATED', 'ARCH-04', 'Dormant Reactivated Mule', 'Sleeper Account'), (5, 'CIRCULAR_RING', 'ARCH-05', 'Circular Ring Mule', 'Network Cohesion')) k(i, key, aid, name, cat)),
+ar1 AS (SELECT *, greatest(s1, s2, s3, s4, s5) AS best FROM ar0),
+arch AS (SELECT account_id, key AS archetype_key, aid AS archetype_id, name AS archetype_name, cat AS category, best / 5.0::DOUBLE AS confidence_score, s1 AS score_rapid_passthrough, s2 AS score_funnel_aggregator,
+ s3 AS score_scatter_distributor, s4 AS score_dormant_reactivated, s5 AS score_circular_ring FROM ar1 JOIN keys ON i = CASE best WHEN s1 THEN 1 WHEN s2 THEN 2 WHEN s3 THEN 3 WHEN s4 THEN 4 ELSE 5 END)"""
+
+_RULES = {
+    "txn_count_24h": 0.5, "total_amount_out_24h": 0.4, "unique_counterparty_count": 0.3, "fan_out_ratio": 0.25,
+    "avg_time_to_forward_funds_minutes": -0.6, "odd_hour_txn_ratio": 0.2, "account_age_days": -0.1,
+}
+_UP_DOWN = {
+    "txn_count_24h": ("recent transaction volume spike", "low 24-hour transaction frequency"),
+    "total_amount_out_24h": ("large 24-hour outbound transaction volume", "low outbound transfer volume"),
+    "unique_counterparty_count": ("large number of counterparties", "few unique counterparties"),
+    "fan_out_ratio": ("high fan-out distribution ratio", "low fan-out distribution ratio"),
+    "avg_time_to_forward_funds_minutes": ("rapid fund forwarding", "extended fund retention delay"),
+    "odd_hour_txn_ratio": ("elevated proportion of off-hours transactions", "standard business-hour transactions"),
+    "account_age_days": ("newly created account history", "established account history"),
+}
+CONTRIB = "con AS (" + " UNION ALL ".join(
+    f"SELECT account_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, CASE WHEN stddev_pop({c}) OVER () > 0 THEN {w}::DOUBLE * (({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) ELSE 0 END AS c, '{_UP_DOWN[c][0]}' AS up, '{_UP_DOWN[c][1]}' AS down FROM feat"
+    for c, w in _RULES.items()
+) + ")"
+
+
+def shown(cols, inexact, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" if c in inexact else c for c in cols)
+
+
+SCORED_COLS = ("account_id risk_score risk_tier mule_probability anomaly_score network_risk_score transaction_count incoming_amount outgoing_amount unique_counterparties "
+               "account_age alert_count investigation_status").split()
+_LAST = "strftime(last_activity, '%Y-%m-%d %H:%M:%S.%f') AS last_activity"
+_SIGNALS = ("txn_count_24h average_transaction_amount unique_counterparty_count fan_out_ratio cycle_count odd_hour_txn_ratio avg_time_to_forward_funds_minutes").split()
+_STATS = f"{FEAT}, {MEDLAB}, {_unpivot('fl', 'label')}, {VC}"
+_PAGE = "WHERE contains(lower(account_id), 'u1') AND risk_score >= 1"
+NOW = "(SELECT date_trunc('minute', max(\"timestamp\")) FROM txn)"
+_BANDS = ("0.0 - 0.2 (Low Risk)", "0.2 - 0.4 (Mild Risk)", "0.4 - 0.6 (Medium Risk)", "0.6 - 0.8 (High Risk)", "0.8 - 1.0 (Critical Mule)")
+_ABANDS = ("0.0 - 0.2 (Normal)", "0.2 - 0.4 (Mild)", "0.4 - 0.6 (Moderate)", "0.6 - 0.8 (Elevated)", "0.8 - 1.0 (Critical)")
+_KS_P = " + ".join(f"{2.0 * (-1) ** (k - 1)}::DOUBLE * exp({-2.0 * k * k}::DOUBLE * lam * lam)" for k in range(1, 21))
+CORE_NAMES = [c for c in CORE]
+
+ORACLES |= {
+    "feature_matrix": f"WITH {FEAT} SELECT account_id, {shown(ALL_FEATURES, INEXACT)}, is_mule_pattern FROM feat",
+    "account_labels": f"WITH {BASE} SELECT account_id, max(is_mule_pattern) AS is_mule_pattern FROM legs GROUP BY 1",
+    "feature_contract": f"WITH {FEAT} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{'expected' if c in CORE else 'extra'}' AS state, count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(*) FILTER (WHERE isnan({c}::DOUBLE) OR isinf({c}::DOUBLE)) AS non_finite_count FROM feat"
+        for c in [*ALL_FEATURES, "is_mule_pattern"]
+    ) + " UNION ALL SELECT 'device_count', 'missing', 0, 0",
+    "signal_comparison": f"WITH {FEAT}, sg AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg({c}) FILTER (WHERE is_mule_pattern = 1) AS a, avg({c}) FILTER (WHERE is_mule_pattern = 0) AS b FROM feat" for c in _SIGNALS
+    ) + ") SELECT feature, round(a, 6) AS flagged_mean, round(b, 6) AS clean_mean, round(a / b, 6) AS mean_ratio, CASE WHEN a / b >= 1.5 OR a / b <= 0.67 THEN 1 ELSE 0 END AS differs FROM sg",
+    "missingness": f"WITH {FEED} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) FILTER (WHERE \"{c}\" IS NULL) / count(*) AS missing_fraction FROM norm" for c in ("transaction_id", "sender_account_id", "receiver_account_id", "amount", "timestamp")
+    ),
+    "correlations": f"""WITH {_STATS}, pe AS (SELECT feature, CASE WHEN stddev_pop(value) > 1e-12 AND stddev_pop(label) > 1e-12 THEN covar_pop(value, label) / (stddev_pop(value) * stddev_pop(label)) ELSE 0.0 END AS p FROM longf GROUP BY 1),
+ sp2 AS (SELECT feature, (r1 - t1 * (t1 + t0 + 1) / 2) * (t1 + t0) / 2 AS cv, rr - (t1 + t0) * ((t1 + t0 + 1) / 2) * ((t1 + t0 + 1) / 2) AS vr, t1 * t0 / (t1 + t0) * ((t1 + t0) / 2) * ((t1 + t0) / 2) AS vl FROM us)
+ SELECT feature, round(p, 6) AS pearson, round(CASE WHEN vr > 1e-9 AND vl > 1e-9 THEN cv / sqrt(vr * vl) ELSE 0.0 END, 6) AS spearman FROM pe JOIN sp2 USING (feature)""",
+    "mann_whitney": f"WITH {_STATS}, {MW} SELECT feature, u_statistic, round(p_value, 6) AS p_value, round(effect_size, 6) AS effect_size FROM mw",
+    "ks": f"""WITH {_STATS}, k AS (SELECT feature, max(abs(c1 / CAST(t1 AS DOUBLE) - c0 / CAST(t0 AS DOUBLE))) AS d, sqrt(max(t1) * max(t0) / CAST(max(t1) + max(t0) AS DOUBLE)) AS en FROM rk GROUP BY 1), k2 AS (SELECT *, en * d AS lam FROM k)
+ SELECT feature, round(d, 6) AS ks_statistic, round(CASE WHEN lam <= 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, {_KS_P})) END, 6) AS p_value FROM k2""",
+    "roc_auc": f"WITH {_STATS} SELECT feature, round(u / (t1 * t0), 6) AS roc_auc FROM us",
+    "binned_mi": f"WITH {_STATS}, {_edges_of()}, {MI} SELECT feature, round(mi_score, 6) AS mi_score FROM mi",
+    "pr_curve": f"""WITH {TXN}, v AS (SELECT amount AS threshold, count(*) FILTER (WHERE is_mule_pattern = 1) AS n1, count(*) FILTER (WHERE is_mule_pattern = 0) AS n0 FROM txn GROUP BY 1),
+ c AS (SELECT threshold, n1, CAST(sum(n1) OVER w AS BIGINT) AS tp, CAST(sum(n0) OVER w AS BIGINT) AS fp, sum(n1) OVER () AS p, sum(n0) OVER () AS q FROM v WINDOW w AS (ORDER BY threshold DESC))
+ SELECT threshold, n1, tp, fp, tp / (tp + fp) AS precision, tp / CAST(p AS DOUBLE) AS recall, fp / CAST(q AS DOUBLE) AS false_positive_rate FROM c""",
+    "average_precision": f"""WITH {TXN}, v AS (SELECT amount, count(*) FILTER (WHERE is_mule_pattern = 1) AS n1, count(*) AS n FROM txn GROUP BY 1), c AS (SELECT n1, sum(n1) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS pr FROM v WINDOW w AS (ORDER BY amount DESC))
+ SELECT round(sum(n1 * pr) / CAST(sum(n1) AS DOUBLE), 6) AS average_precision FROM c""",
+    "amount_percentile": f"""WITH {TXN} SELECT transaction_id, amount, (rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0::DOUBLE) * 100.0::DOUBLE / count(*) OVER () AS percentile FROM txn""",
+    "class_comparison": f"""WITH {FEAT}, {MEDLAB} SELECT label, count(*) AS accounts, round(avg(average_transaction_amount), 6) AS mean_score, round(median(average_transaction_amount), 6) AS median_score,
+ round(avg(average_transaction_amount) / ((SELECT avg(average_transaction_amount) FROM fl WHERE label = 0) + 1e-9), 6) AS ratio_to_clean FROM fl GROUP BY 1""",
+    "feature_ranking": f"""WITH {_STATS}, {MW}, {_edges_of()}, {MI}, m AS (SELECT feature, round(mi_score, 5) AS mi_score, round(effect_size, 5) AS effect_size, 0.0::DOUBLE AS missing_fraction FROM mi JOIN mw USING (feature)),
+ nm AS (SELECT *, round(((mi_score - min(mi_score) OVER ()) / (max(mi_score) OVER () - min(mi_score) OVER ()) + (effect_size - min(effect_size) OVER ()) / (max(effect_size) OVER () - min(effect_size) OVER ())) / 2.0::DOUBLE, 6) AS composite_score FROM m)
+ SELECT *, CAST(row_number() OVER (ORDER BY composite_score DESC, feature) AS INTEGER) AS composite_rank, CAST(rank() OVER (ORDER BY mi_score DESC) AS INTEGER) AS mi_score_rank, CAST(rank() OVER (ORDER BY effect_size DESC) AS INTEGER) AS effect_size_rank,
+ CASE WHEN missing_fraction > 0.3 AND composite_score < 0.05 THEN 'REJECTED' ELSE 'RETAINED' END AS retention_decision FROM nm""",
+    "drift_metrics": f"WITH {FEAT}, {DRIFT} SELECT feature, status, {shown(['psi', 'baseline_mean', 'baseline_std', 'recent_mean', 'recent_std'], ['psi', 'baseline_mean', 'baseline_std', 'recent_mean', 'recent_std'], 4)} FROM dm",
+    "drift_summary": f"WITH {FEAT}, {DRIFT} SELECT * REPLACE (round(overall_psi, 6) AS overall_psi) FROM ds",
+    "drift_alert": f"""WITH {FEAT}, {DRIFT} SELECT {alert_key("'MODEL-DRIFT-2024-02-01'")} AS alert_id, 'SYSTEM-MODEL-MONITOR' AS account_id, 89.5::DOUBLE AS risk_score, 'CRITICAL' AS risk_tier, 'CRITICAL' AS severity,
+ printf('Overall PSI (%.3f) exceeded threshold (0.10). %d critical feature drift(s) detected.', overall_psi, critical_features) AS summary, 'overall_psi|feature_drift' AS top_features,
+ 'Population stability drift threshold exceeded|Feature distribution shift' AS top_reasons, 90.0::DOUBLE AS network_risk, CAST(0 AS BIGINT) AS connected_suspicious_count, 'rules-1' AS model_version, 'OPEN' AS status,
+ '2024-02-01 00:00:00.000000' AS created_at, '2024-02-01 00:00:00.000000' AS updated_at FROM ds WHERE drift_status <> 'NORMAL' OR overall_psi >= 0.1""",
+    "score_shift": f"""WITH {SCORED}, {_bands(_BANDS)}, sl AS (SELECT least(CAST(floor(risk_score / 100.0::DOUBLE * 5.0::DOUBLE) AS INTEGER), 4) AS band, CASE WHEN row_number() OVER (ORDER BY account_id) - 1 >= floor((SELECT count(*) FROM feat) * 0.6::DOUBLE) THEN 1 ELSE 0 END AS rec FROM scored)
+ SELECT band, band_name, count(*) FILTER (WHERE rec = 0) AS baseline_n, count(*) FILTER (WHERE rec = 1) AS recent_n FROM bands LEFT JOIN sl USING (band) GROUP BY 1, 2""",
+    "risk_scores": f"WITH {SCORED} SELECT {shown(SCORED_COLS, ('mule_probability', 'anomaly_score', 'network_risk_score'))}, {_LAST} FROM scored",
+    "threshold_table": f"""WITH {SCORED}, {MEDLAB}, c AS (SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE risk_score >= t AND label = 1) AS tp, count(*) FILTER (WHERE risk_score >= t AND label = 0) AS fp, count(*) FILTER (WHERE risk_score < t AND label = 0) AS tn,
+ count(*) FILTER (WHERE risk_score < t AND label = 1) AS fn FROM scored JOIN (SELECT account_id, label FROM fl) USING (account_id) CROSS JOIN (SELECT unnest([10, 20, 30, 40, 50, 60, 70, 80, 90]) AS t) GROUP BY 1),
+ d AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+ SELECT threshold, precision, recall, CASE WHEN precision + recall > 0 THEN 2.0::DOUBLE * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score, tp + fp AS alert_volume_count, (tp + fp) * 100.0::DOUBLE / (tp + fp + tn + fn) AS alert_volume_pct,
+ CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END AS false_positive_rate, tp, fp, tn, fn FROM d""",
+    "archetypes": f"WITH {FEAT}, {ARCH} SELECT * FROM arch",
+    "archetype_distribution": f"WITH {FEAT}, {ARCH} SELECT key AS archetype_key, name AS archetype_name, count(account_id) AS accounts, count(account_id) * 100.0::DOUBLE / (SELECT count(*) FROM arch) AS percentage FROM keys LEFT JOIN arch ON archetype_key = key GROUP BY 1, 2",
+    "risk_page": f"WITH {SCORED} SELECT account_id, risk_score, risk_tier, transaction_count, alert_count FROM scored {_PAGE} ORDER BY risk_score DESC, account_id LIMIT 10 OFFSET 10",
+    "risk_page_totals": f"WITH {SCORED} SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 10)) AS BIGINT) AS total_pages FROM scored {_PAGE}",
+    "anomaly_summary": f"""WITH {SCORED} SELECT count(*) AS accounts, count(*) FILTER (WHERE anomaly_score >= 0.5) AS anomalous, count(*) FILTER (WHERE anomaly_score >= 0.7) AS highly_anomalous,
+ count(*) FILTER (WHERE anomaly_score >= 0.5) * 100.0::DOUBLE / count(*) AS anomaly_rate, round(avg(anomaly_score), 6) AS mean_anomaly_score FROM scored""",
+    "anomaly_histogram": f"WITH {SCORED}, {_bands(_ABANDS)} SELECT band, band_name, count(account_id) AS n FROM bands LEFT JOIN scored ON least(CAST(floor(anomaly_score * 5.0::DOUBLE) AS INTEGER), 4) = band GROUP BY 1, 2",
+    "dashboard_overview": f"""WITH {SCORED} SELECT count(*) AS accounts, count(*) FILTER (WHERE risk_score >= 70) AS flagged, round(least(100.0, avg(risk_score)), 6) AS mean_score, count(*) FILTER (WHERE risk_tier = 'Low') AS tier_low,
+ count(*) FILTER (WHERE risk_tier = 'Medium') AS tier_medium, count(*) FILTER (WHERE risk_tier = 'High') AS tier_high, count(*) FILTER (WHERE risk_tier = 'Critical') AS tier_critical FROM scored""",
+    "dataset_overview": f"""WITH {TXN} SELECT count(*) AS transactions, strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS first_time, strftime(max("timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS last_time, count(*) FILTER (WHERE is_mule_pattern = 1) AS flagged,
+ count(*) FILTER (WHERE is_mule_pattern = 0) AS clean, count(DISTINCT sender_account_id) AS senders, count(DISTINCT receiver_account_id) AS receivers FROM txn""",
+    "behaviour_signals": f"""WITH {FEAT} SELECT count(*) FILTER (WHERE txn_count_24h > 10) AS high_velocity_accounts, count(*) FILTER (WHERE avg_time_to_forward_funds_minutes < 60) AS rapid_fund_forwarding_accounts,
+ count(*) FILTER (WHERE fan_out_ratio > 0.65) AS high_fan_out_accounts, count(*) FILTER (WHERE amount_zscore_avg > 2.0) AS anomalous_accounts, count(*) FILTER (WHERE is_in_short_cycle = 1) AS high_network_risk_accounts FROM feat""",
+    "account_detail": f"""WITH {SCORED}, ent AS ({ORACLES['account_entity'].split(') SELECT account_id, strftime', 1)[0] and 'SELECT account_id, strftime' + ORACLES['account_entity'].split('SELECT account_id, strftime', 1)[1]})
+ SELECT ent.*, risk_score, risk_tier, round(anomaly_score, 6) AS anomaly_score, round(network_risk_score, 6) AS network_risk_score, investigation_status FROM ent LEFT JOIN scored USING (account_id) WHERE account_id = 'U1'""",
+    "top_risk_nodes": f"""WITH {FEAT} SELECT account_id, total_degree, is_in_short_cycle, round(betweenness_centrality, 6) AS betweenness_centrality, round(pagerank, 6) AS pagerank FROM feat
+ ORDER BY is_in_short_cycle DESC, feat.betweenness_centrality DESC, feat.pagerank DESC, account_id LIMIT 10""",
+    "ego_nodes": f"""WITH {SCORED}, {_EGO} SELECT account_id, coalesce(risk_score, 0.0) AS risk_score, coalesce(risk_tier, 'Low') AS risk_tier FROM (SELECT sender_account_id AS account_id FROM ego UNION SELECT receiver_account_id FROM ego) LEFT JOIN scored USING (account_id)""",
+    "ego_tier_edges": f"""WITH {SCORED}, {_EGO}, med AS (SELECT account_id AS id FROM scored WHERE risk_tier = 'Medium') SELECT * REPLACE ({TS_TEXT}) FROM ego WHERE sender_account_id IN (FROM med) AND receiver_account_id IN (FROM med)""",
+    "neighbour_summary": f"""WITH {SCORED}, nbs AS (SELECT CASE WHEN sender_account_id = 'U1' THEN receiver_account_id ELSE sender_account_id END AS counterparty, CASE WHEN sender_account_id = 'U1' THEN 'OUTGOING' ELSE 'INCOMING' END AS direction,
+ {money()} AS total_amount, count(*) AS txn_count, max("timestamp") AS lt FROM txn WHERE sender_account_id = 'U1' OR receiver_account_id = 'U1' GROUP BY 1, 2)
+ SELECT counterparty, direction, total_amount, txn_count, strftime(lt, '%Y-%m-%d %H:%M:%S.%f') AS last_time, risk_score, risk_tier, CASE WHEN risk_score >= 20 THEN 1 ELSE 0 END AS is_suspicious FROM nbs LEFT JOIN scored ON account_id = counterparty""",
+    "attribution": f"""WITH {FEAT}, {CONTRIB} SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY abs(c) DESC, feature) AS INTEGER) AS importance_rank, feature, round(value, 6) AS value, round(c, 6) AS contribution,
+ CASE WHEN c >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM con""",
+    "reasons": f"""WITH {SCORED}, {CONTRIB}, pos AS (SELECT con.*, max(CASE WHEN c > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account_id) AS has_up, max(CASE WHEN c < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account_id) AS has_down FROM con),
+ hdr AS (SELECT pos.*, (risk_score >= 30 OR has_up = 1) AS elevated FROM pos JOIN scored USING (account_id)),
+ use AS (SELECT * FROM hdr WHERE CASE WHEN elevated THEN (CASE WHEN has_up = 1 THEN c > 0 ELSE c < 0 END) ELSE (CASE WHEN has_down = 1 THEN c < 0 ELSE c > 0 END) END),
+ rnk AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(c) DESC, feature) AS k FROM use)
+ SELECT account_id, any_value(CASE WHEN elevated THEN 'Risk is elevated primarily because of:' ELSE 'Risk is low primarily because of:' END) || chr(10) || string_agg(k || '. ' || CASE WHEN c >= 0 THEN up ELSE down END, chr(10) ORDER BY k) AS explanation FROM rnk WHERE k <= 5 GROUP BY 1""",
+    "global_attribution": f"WITH {FEAT}, {CONTRIB} SELECT feature, round(avg(abs(c)), 6) AS mean_abs_contribution FROM con GROUP BY 1",
+    "account_summary": f"""WITH {FEAT}, x AS (SELECT *, total_amount_in_24h AS ai, total_amount_out_24h AS ao, CASE WHEN txn_count_1h > 0 THEN round(txn_count_1h / greatest(txn_count_24h / 24.0::DOUBLE, 0.001), 1) ELSE 1.0 END AS spk, recent_vs_historical_transaction_ratio AS rec FROM feat)
+ SELECT account_id, txn_count_24h AS transaction_count, in_degree AS incoming_count, out_degree AS outgoing_count, ai AS total_received, ao AS total_forwarded, greatest(0.0, ai - ao) AS retained_amount,
+ CASE WHEN ai > 0 THEN least(100.0, ao * 100.0::DOUBLE / ai) ELSE 0.0 END AS forwarding_ratio, greatest(0.0, (ai - ao) / greatest(ai, 1.0)) AS retention_ratio, ai / greatest(ao, 1.0) AS incoming_outgoing_ratio,
+ avg_time_to_forward_funds_minutes AS average_forwarding_delay, CASE WHEN avg_time_to_forward_funds_minutes < 15 THEN 1 ELSE 0 END AS rapid_forwarding_flag, spk AS spike_ratio,
+ CASE WHEN spk > 1.5 THEN printf('Transaction velocity %.1fx above 24h hourly average in peak window.', spk) ELSE 'Velocity within normal baseline limits.' END AS velocity_text,
+ CASE WHEN rec >= 3.0 THEN printf('Transaction volume %.1fx above historical baseline', rec) WHEN rec >= 1.5 THEN printf('Moderate increase: %.1fx above historical transaction baseline', rec)
+ WHEN account_age_days <= 30 AND txn_count_24h >= 5 THEN 'New account with elevated 24h transaction count' ELSE 'Consistent historical transaction trajectory' END AS temporal_text FROM x""",
+    "account_history": f"""WITH {BASE} SELECT account_id, counterparty, direction, {TS_TEXT}, amount, transaction_id, transaction_type FROM legs WHERE account_id = 'U1' ORDER BY legs."timestamp" DESC, transaction_id, direction LIMIT 15""",
+    "connected_counterparties": f"""WITH {SCORED}, p AS (SELECT account_id, counterparty, max(us) AS u FROM legs WHERE counterparty <> account_id AND account_id IN (SELECT account_id FROM scored WHERE risk_score > 30) GROUP BY 1, 2),
+ r AS (SELECT account_id, counterparty, CAST(row_number() OVER (PARTITION BY account_id ORDER BY u DESC, counterparty) AS INTEGER) AS position FROM p) SELECT * FROM r WHERE position <= 4""",
+    "alert_upsert": f"""WITH {SCORED}, dr AS (SELECT account_id, risk_score, upper(risk_tier) AS risk_tier, {SEV.format('risk_score')} AS severity,
+ printf('Account %s flagged with risk score %.1f [%s]. Top signals: txn_count_24h, fan_out_ratio.', account_id, risk_score, upper(risk_tier)) AS summary, 'txn_count_24h|fan_out_ratio' AS top_features, 'txn_count_24h|fan_out_ratio' AS top_reasons,
+ round(anomaly_score, 4) AS anomaly_score, round(network_risk_score, 1) AS network_risk, CASE WHEN risk_score >= 60 THEN unique_counterparties ELSE 0 END AS connected_suspicious_count, 'rules-1' AS model_version FROM scored WHERE risk_score >= 20),
+ lt AS (SELECT account_id AS lacc, max(row(created_at, alert_id, status)) AS m FROM al GROUP BY 1),
+ tch AS (SELECT CASE WHEN m[1] >= {NOW} - INTERVAL 24 HOUR THEN m[2] ELSE {alert_key(f"account_id || '-' || strftime({NOW}, '%Y-%m-%dT%H:%M:%S')")} END AS alert_id, dr.*, CASE WHEN m[1] >= {NOW} - INTERVAL 24 HOUR THEN m[3] ELSE 'OPEN' END AS status,
+ CASE WHEN m[1] >= {NOW} - INTERVAL 24 HOUR THEN m[1] ELSE {NOW} END AS created_at, {NOW} AS updated_at FROM dr LEFT JOIN lt ON lacc = account_id)
+ SELECT * EXCLUDE (created_at, updated_at), {ALERT_TEXT} FROM (SELECT * FROM al WHERE alert_id NOT IN (SELECT alert_id FROM tch) UNION ALL BY NAME SELECT * FROM tch)""",
+    "alert_queue": f"""WITH {TXN}, {ALERTS} SELECT alert_id, account_id, risk_score, severity, network_risk, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM al WHERE status = 'OPEN'
+ ORDER BY risk_score DESC, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC, network_risk DESC, connected_suspicious_count DESC, al.created_at DESC, alert_id LIMIT 25""",
+    "alert_filter": f"""WITH {TXN}, {ALERTS} SELECT * EXCLUDE (created_at, updated_at), {ALERT_TEXT} FROM al WHERE (contains(lower(account_id), 'u1') OR contains(lower(alert_id), 'u1')) AND severity = 'HIGH' AND risk_score BETWEEN 71 AND 84
+ AND al.created_at >= TIMESTAMP '2024-01-03' AND al.created_at <= TIMESTAMP '2024-01-28'""",
+    "alert_trend": f"""WITH {TXN}, {ALERTS}, sp0 AS (SELECT CAST(unnest(generate_series(DATE '2024-01-17', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS d) SELECT strftime(d, '%Y-%m-%d') AS day, (SELECT count(*) FROM al WHERE CAST(created_at AS DATE) = d) AS alerts,
+ (SELECT count(*) FROM al WHERE CAST(updated_at AS DATE) = d AND status IN ('CONFIRMED_MULE', 'FALSE_POSITIVE', 'DISMISSED')) AS resolved FROM sp0""",
+    "alert_counts": f"WITH {TXN}, {ALERTS} SELECT count(*) FILTER (WHERE status = 'OPEN') AS open_alerts, count(*) FILTER (WHERE status = 'CONFIRMED_MULE') AS confirmed_alerts, count(*) AS all_alerts FROM al",
+    "alert_lookup": f"WITH {TXN}, {ALERTS}, {LOOKUP} SELECT * FROM alk",
+    "feedback_current": f'WITH {TXN}, {FEEDBACK} SELECT account_id, arg_max(decision, ("timestamp", feedback_id)) AS current_status, count(*) AS entries FROM fb GROUP BY 1',
+    "feedback_summary": f"""WITH {TXN}, {FEEDBACK} SELECT count(*) AS total_entries, count(*) FILTER (WHERE decision = 'CONFIRMED_MULE') AS confirmed_mule, count(*) FILTER (WHERE decision = 'LEGITIMATE') AS legitimate,
+ count(*) FILTER (WHERE decision = 'FALSE_POSITIVE') AS false_positive, count(*) FILTER (WHERE decision = 'UNDER_INVESTIGATION') AS under_investigation, count(*) FILTER (WHERE decision = 'CONFIRMED_MULE') AS validated_positives,
+ count(*) FILTER (WHERE decision IN ('LEGITIMATE', 'FALSE_POSITIVE')) AS validated_negatives FROM fb""",
+    "feedback_history": f"WITH {TXN}, {FEEDBACK} SELECT * REPLACE ({TS_TEXT}) FROM fb2 WHERE account_id = 'U1'",
+    "alert_status_update": f"""WITH {TXN}, {ALERTS}, {FEEDBACK}, ch AS (SELECT alert_id, arg_max(alert_status, ("timestamp", feedback_id)) AS ns FROM fb2 GROUP BY 1)
+ SELECT al.alert_id, account_id, coalesce(ns, status) AS status, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(CASE WHEN ns IS NULL THEN updated_at ELSE TIMESTAMP '2024-02-01' END, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM al LEFT JOIN ch USING (alert_id)""",
+    "candidate_labels": f"WITH {CAND} SELECT * FROM cand",
+    "candidate_summary": f"WITH {CAND} SELECT count(*) AS accounts, CAST(sum(is_overridden) AS BIGINT) AS overridden, count(*) FILTER (WHERE is_mule_pattern = 1) AS positives, count(*) FILTER (WHERE is_mule_pattern = 0) AS negatives FROM cand",
+    "sar_drafts": f"""WITH {SCORED} SELECT 'SAR-' || account_id AS sar_id, account_id, 'ALT-' || account_id AS alert_id, 'DRAFT' AS status, '2024-02-01' AS filing_date,
+ 'SUSPICIOUS ACTIVITY REPORT - CONFIDENTIAL' || chr(10) || 'Subject account: ' || account_id || chr(10) || printf('1. Risk score: %.1f/100 (%s tier)', risk_score, upper(risk_tier)) || chr(10) || printf('2. Anomaly score: %.2f', anomaly_score) || chr(10) ||
+ '3. Leading signals: txn_count_24h, fan_out_ratio' || chr(10) || 'Status: draft, pending identity checks and transaction verification.' AS narrative, risk_score, upper(risk_tier) AS risk_tier, round(anomaly_score, 6) AS anomaly_score,
+ 'txn_count_24h|fan_out_ratio' AS top_features, 'unassigned' AS investigator, '2024-02-01 00:00:00.000000' AS created_at, '2024-02-01 00:00:00.000000' AS updated_at FROM scored WHERE risk_score >= 20""",
+    "sar_upsert": f"""WITH {SCORED} SELECT account_id, 'SAR-' || account_id AS sar_id, CASE WHEN risk_score >= 40 THEN 'SUBMITTED' ELSE 'DRAFT' END AS status, '2024-01-20 00:00:00.000000' AS created_at,
+ CASE WHEN risk_score >= 40 THEN '2024-02-01 00:00:00.000000' ELSE '2024-01-20 00:00:00.000000' END AS updated_at FROM scored WHERE risk_score >= 20""",
+}

@@ -6,7 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.operators import account_features as af
-from flowsentry.operators import centrality, components, eda, flow, graph, motifs, preprocess
+from flowsentry.operators import (
+    alerts,
+    cases,
+    centrality,
+    components,
+    dashboard,
+    eda,
+    explain,
+    flow,
+    graph,
+    motifs,
+    preprocess,
+    scoring,
+    stats,
+)
+from flowsentry.operators.legs import legs
+from flowsentry.plans import feature_matrix as feature_matrix_plan
 from flowsentry.session import configure, cut
 from flowsentry.sources import profile, readers, tables
 
@@ -277,3 +293,446 @@ def edge_filter(spark, sf_dir):
 @query
 def short_paths(spark, sf_dir):
     return graph.short_paths(graph.ego_edges(tables.txn_events(spark, sf_dir), EGO), EGO)
+
+
+# --- feature table and what is computed from it ----------------------------------
+
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(name: str, build, spark, sf_dir: str) -> DataFrame:
+    """Build a derived table once per session and read it from storage afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = cut(build(spark, sf_dir))
+    return _TABLES[key]
+
+
+def matrix(spark, sf_dir) -> DataFrame:
+    def build(s, d):
+        return feature_matrix_plan.build_feature_matrix(tables.txn_events(s, d), pagerank_iterations=20)
+
+    return stored("matrix", build, spark, sf_dir)
+
+
+def rule_probability():
+    """Published linear rule that stands in for a model where SQL must agree."""
+    return (
+        0.4 * F.col("pct_funds_forwarded_within_15min")
+        + 0.3 * F.col("night_transaction_ratio")
+        + 0.3 * F.least(F.lit(1.0), F.col("transaction_velocity_change") / 24.0)
+    )
+
+
+def scored_accounts(spark, sf_dir) -> DataFrame:
+    def build(s, d):
+        txns = tables.txn_events(s, d)
+        return scoring.score_accounts(
+            matrix(s, d), rule_probability(), txns=txns, alerts=alert_log(s, d), top_features=scoring.top_deviating(STAT_COLUMNS)
+        )
+
+    return stored("scored", build, spark, sf_dir)
+
+
+STAT_COLUMNS = feature_matrix_plan.EXTENDED_COLUMNS
+INEXACT = (
+    "transaction_amount_std", "transaction_amount_cv", "amount_zscore_avg", "velocity_change_score", "pagerank", "betweenness_centrality",
+)
+
+
+@query
+def feature_matrix(spark, sf_dir):
+    return shown(matrix(spark, sf_dir), *INEXACT)
+
+
+@query
+def account_labels(spark, sf_dir):
+    return af.account_labels(tables.txn_events(spark, sf_dir), "both")
+
+
+@query
+def feature_contract(spark, sf_dir):
+    expected = [*feature_matrix_plan.CORE_COLUMNS, "device_count"]
+    return feature_matrix_plan.contract_report(matrix(spark, sf_dir), expected)
+
+
+@query
+def signal_comparison(spark, sf_dir):
+    return shown(eda.signal_comparison(matrix(spark, sf_dir), SIGNALS), "flagged_mean", "clean_mean", "mean_ratio")
+
+
+SIGNALS = [
+    "txn_count_24h", "average_transaction_amount", "unique_counterparty_count", "fan_out_ratio", "cycle_count",
+    "odd_hour_txn_ratio", "avg_time_to_forward_funds_minutes",
+]
+
+
+@query
+def missingness(spark, sf_dir):
+    feed = readers.normalize(tables.raw_feed(spark, sf_dir))
+    return stats.missingness(feed, ["transaction_id", "sender_account_id", "receiver_account_id", "amount", "timestamp"])
+
+
+def with_median_label(spark, sf_dir) -> DataFrame:
+    """Feature table labelled by whether most of an account's sent transfers were errors or views."""
+    txns = tables.txn_events(spark, sf_dir)
+    share = txns.groupBy(F.col("sender_account_id").alias("account_id")).agg(
+        (F.sum("is_mule_pattern") * 5 > F.count(F.lit(1))).cast("int").alias("label")
+    )
+    return matrix(spark, sf_dir).join(share, "account_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+@query
+def correlations(spark, sf_dir):
+    return shown(stats.correlations(with_median_label(spark, sf_dir), STAT_COLUMNS, "label"), "pearson", "spearman")
+
+
+@query
+def mann_whitney(spark, sf_dir):
+    return shown(stats.mann_whitney(with_median_label(spark, sf_dir), STAT_COLUMNS, "label"), "p_value", "effect_size")
+
+
+@query
+def ks(spark, sf_dir):
+    return shown(stats.ks_two_sample(with_median_label(spark, sf_dir), STAT_COLUMNS, "label"), "ks_statistic", "p_value")
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return shown(stats.roc_auc(with_median_label(spark, sf_dir), STAT_COLUMNS, "label"), "roc_auc")
+
+
+@query
+def binned_mi(spark, sf_dir):
+    return shown(stats.mutual_information(with_median_label(spark, sf_dir), STAT_COLUMNS, "label"), "mi_score")
+
+
+@query
+def pr_curve(spark, sf_dir):
+    txns = tables.txn_events(spark, sf_dir)
+    return stats.curve(txns, "amount", "is_mule_pattern")
+
+
+@query
+def average_precision(spark, sf_dir):
+    return shown(stats.average_precision(tables.txn_events(spark, sf_dir), "amount", "is_mule_pattern"), "average_precision")
+
+
+@query
+def amount_percentile(spark, sf_dir):
+    txns = tables.txn_events(spark, sf_dir).select("transaction_id", "amount")
+    return stats.percentile_of(txns, "amount")
+
+
+@query
+def class_comparison(spark, sf_dir):
+    rows = stats.class_comparison(with_median_label(spark, sf_dir), "average_transaction_amount", "label")
+    return shown(rows, "mean_score", "median_score", "ratio_to_clean")
+
+
+@query
+def feature_ranking(spark, sf_dir):
+    data = with_median_label(spark, sf_dir)
+    metrics = (
+        stats.mutual_information(data, STAT_COLUMNS, "label")
+        .join(stats.mann_whitney(data, STAT_COLUMNS, "label").select("feature", "effect_size"), "feature")
+        .join(stats.missingness(data, STAT_COLUMNS), "feature")
+    )
+    metrics = shown(metrics, "mi_score", "effect_size", digits=5)
+    return stats.composite_ranking(metrics, ["mi_score", "effect_size"])
+
+
+def drift_frame(spark, sf_dir) -> DataFrame:
+    return stats.slice_by_order(matrix(spark, sf_dir))
+
+
+@query
+def drift_metrics(spark, sf_dir):
+    rows = stats.drift_metrics(drift_frame(spark, sf_dir), STAT_COLUMNS, "is_recent")
+    return shown(rows, "psi", "baseline_mean", "baseline_std", "recent_mean", "recent_std", digits=4)
+
+
+@query
+def drift_summary(spark, sf_dir):
+    rows = stats.drift_summary(stats.drift_metrics(drift_frame(spark, sf_dir), STAT_COLUMNS, "is_recent"))
+    return shown(rows, "overall_psi")
+
+
+@query
+def drift_alert(spark, sf_dir):
+    summary = stats.drift_summary(stats.drift_metrics(drift_frame(spark, sf_dir), STAT_COLUMNS, "is_recent"))
+    return flat_alerts(alerts.drift_alert(summary, F.lit("2024-02-01").cast("timestamp"))).drop("anomaly_score")
+
+
+@query
+def score_shift(spark, sf_dir):
+    scored = stats.slice_by_order(scored_accounts(spark, sf_dir))
+    share = F.col("risk_score") / 100.0
+    old = scoring.score_bands(scored.where("is_recent = 0"), share).withColumnRenamed("n", "baseline_n")
+    new = scoring.score_bands(scored.where("is_recent = 1"), share).select("band", F.col("n").alias("recent_n"))
+    return old.join(new, "band")
+
+
+# --- scoring, archetypes, listings ------------------------------------------------
+
+
+@query
+def risk_scores(spark, sf_dir):
+    rows = scored_accounts(spark, sf_dir).drop("top_features")
+    return shown(rows, "mule_probability", "anomaly_score", "network_risk_score")
+
+
+@query
+def threshold_table(spark, sf_dir):
+    scored = scored_accounts(spark, sf_dir).join(with_median_label(spark, sf_dir).select("account_id", "label"), "account_id")
+    return scoring.threshold_table(scored, "risk_score", "label")
+
+
+@query
+def archetypes(spark, sf_dir):
+    return scoring.archetypes(matrix(spark, sf_dir))
+
+
+@query
+def archetype_distribution(spark, sf_dir):
+    return scoring.archetype_distribution(scoring.archetypes(matrix(spark, sf_dir)))
+
+
+@query
+def risk_page(spark, sf_dir):
+    found = dashboard.filter_accounts(scored_accounts(spark, sf_dir), search="u1", min_score=1.0)
+    rows = alerts.page(found, dashboard.risk_order("highest_risk"), page_no=2, size=10)
+    return rows.select("account_id", "risk_score", "risk_tier", "transaction_count", "alert_count")
+
+
+@query
+def risk_page_totals(spark, sf_dir):
+    found = dashboard.filter_accounts(scored_accounts(spark, sf_dir), search="u1", min_score=1.0)
+    return dashboard.page_totals(found, 10)
+
+
+@query
+def anomaly_summary(spark, sf_dir):
+    return shown(dashboard.anomaly_summary(scored_accounts(spark, sf_dir)), "mean_anomaly_score")
+
+
+@query
+def anomaly_histogram(spark, sf_dir):
+    return dashboard.anomaly_histogram(scored_accounts(spark, sf_dir))
+
+
+@query
+def dashboard_overview(spark, sf_dir):
+    return shown(dashboard.overview(scored_accounts(spark, sf_dir)), "mean_score")
+
+
+@query
+def dataset_overview(spark, sf_dir):
+    return shown(dashboard.dataset_overview(tables.txn_events(spark, sf_dir)))
+
+
+@query
+def behaviour_signals(spark, sf_dir):
+    return dashboard.behaviour_signals(matrix(spark, sf_dir))
+
+
+@query
+def account_detail(spark, sf_dir):
+    entity = af.account_entity(tables.txn_events(spark, sf_dir))
+    rows = dashboard.account_detail(entity, scored_accounts(spark, sf_dir), EGO)
+    return shown(rows, "anomaly_score", "network_risk_score")
+
+
+@query
+def top_risk_nodes(spark, sf_dir):
+    return shown(graph.top_risk_nodes(matrix(spark, sf_dir)), "betweenness_centrality", "pagerank")
+
+
+@query
+def ego_nodes(spark, sf_dir):
+    ego = graph.ego_edges(tables.txn_events(spark, sf_dir), EGO)
+    return graph.ego_nodes(ego, scored_accounts(spark, sf_dir))
+
+
+@query
+def ego_tier_edges(spark, sf_dir):
+    ego = graph.ego_edges(tables.txn_events(spark, sf_dir), EGO)
+    return shown(graph.filter_tier(ego, graph.ego_nodes(ego, scored_accounts(spark, sf_dir)), "medium"))
+
+
+@query
+def neighbour_summary(spark, sf_dir):
+    return shown(graph.neighbour_summary(tables.txn_events(spark, sf_dir), EGO, scored_accounts(spark, sf_dir), 20.0))
+
+
+# --- explanations ------------------------------------------------------------------
+
+# Weights of the linear score that the explanation queries attribute.
+RULE_WEIGHTS = {
+    "txn_count_24h": 0.5, "total_amount_out_24h": 0.4, "unique_counterparty_count": 0.3, "fan_out_ratio": 0.25,
+    "avg_time_to_forward_funds_minutes": -0.6, "odd_hour_txn_ratio": 0.2, "account_age_days": -0.1,
+}
+
+
+def _explained(spark, sf_dir):
+    scores = scored_accounts(spark, sf_dir).select("account_id", "risk_score")
+    return explain.explain(explain.linear_contributions(matrix(spark, sf_dir), RULE_WEIGHTS).join(scores, "account_id"))
+
+
+@query
+def attribution(spark, sf_dir):
+    rows = _explained(spark, sf_dir).select("account_id", F.explode("ranked").alias("r")).select("account_id", "r.*")
+    return shown(rows, "contribution", "value")
+
+
+@query
+def reasons(spark, sf_dir):
+    return _explained(spark, sf_dir).select("account_id", "explanation")
+
+
+@query
+def global_attribution(spark, sf_dir):
+    return shown(explain.global_attribution(_explained(spark, sf_dir)), "mean_abs_contribution")
+
+
+@query
+def account_summary(spark, sf_dir):
+    return explain.account_summary(matrix(spark, sf_dir))
+
+
+@query
+def account_history(spark, sf_dir):
+    rows = legs(tables.txn_events(spark, sf_dir), "transaction_id", "transaction_type")
+    return shown(explain.account_history(rows, EGO).drop("us"))
+
+
+@query
+def connected_counterparties(spark, sf_dir):
+    rows = legs(tables.txn_events(spark, sf_dir))
+    return explain.connected_counterparties(rows, scored_accounts(spark, sf_dir), 30.0)
+
+
+# --- alerts, feedback, reports -----------------------------------------------------
+
+
+def alert_log(spark, sf_dir) -> DataFrame:
+    """An alert history derived from the whole table: one alert per flagged transfer."""
+    flagged = tables.txn_events(spark, sf_dir).where(F.col("is_mule_pattern") == 1)
+    score = F.least(F.lit(100.0), F.round(30.0 + F.col("amount") / 5.0, 1))
+    status = F.when(F.col("amount") >= 200, "CONFIRMED_MULE").when(F.col("amount") < 20, "FALSE_POSITIVE").otherwise("OPEN")
+    minute = F.date_trunc("minute", "timestamp")
+    return flagged.select(
+        alerts.alert_id(F.col("transaction_id")).alias("alert_id"), F.col("sender_account_id").alias("account_id"),
+        score.alias("risk_score"), F.upper(scoring.risk_tier(score)).alias("risk_tier"), alerts.severity(score).alias("severity"),
+        F.lit("flagged transfer").alias("summary"), F.array(F.lit("amount")).alias("top_features"), F.array(F.lit("amount")).alias("top_reasons"),
+        F.lit(0.5).alias("anomaly_score"), F.floor("amount").cast("double").alias("network_risk"),
+        F.lit(0).cast("long").alias("connected_suspicious_count"), F.lit("rules-0").alias("model_version"),
+        status.alias("status"), minute.alias("created_at"), F.expr("date_trunc('minute', timestamp) + INTERVAL 1 DAY").alias("updated_at"),
+    )
+
+
+def flat_alerts(rows: DataFrame) -> DataFrame:
+    flat = rows.withColumns({"top_features": F.array_join("top_features", "|"), "top_reasons": F.array_join("top_reasons", "|")})
+    return shown(flat, "anomaly_score", digits=4)
+
+
+def run_time(spark, sf_dir):
+    return tables.txn_events(spark, sf_dir).agg(F.date_trunc("minute", F.max("timestamp"))).scalar()
+
+
+@query
+def alert_upsert(spark, sf_dir):
+    scored = scored_accounts(spark, sf_dir).withColumn("top_features", F.array(F.lit("txn_count_24h"), F.lit("fan_out_ratio")))
+    rows = alerts.upsert_alerts(alert_log(spark, sf_dir), scored, run_time(spark, sf_dir), threshold=20.0)
+    return flat_alerts(rows)
+
+
+@query
+def alert_queue(spark, sf_dir):
+    rows = alerts.page(alerts.filter_alerts(alert_log(spark, sf_dir), status="open"), alerts.queue_order(), 1, 25)
+    return flat_alerts(rows).select("alert_id", "account_id", "risk_score", "severity", "network_risk", "created_at")
+
+
+@query
+def alert_filter(spark, sf_dir):
+    rows = alerts.filter_alerts(
+        alert_log(spark, sf_dir), search="u1", severity_is="HIGH", min_score=71.0, max_score=84.0, start="2024-01-03", end="2024-01-28"
+    )
+    return flat_alerts(rows)
+
+
+@query
+def alert_trend(spark, sf_dir):
+    return alerts.alert_trend(alert_log(spark, sf_dir), F.lit("2024-01-30").cast("date"))
+
+
+@query
+def alert_counts(spark, sf_dir):
+    return dashboard.alert_counts(alert_log(spark, sf_dir))
+
+
+@query
+def alert_lookup(spark, sf_dir):
+    return scoring.alert_lookup(alert_log(spark, sf_dir))
+
+
+def feedback_log(spark, sf_dir) -> DataFrame:
+    """Analyst decisions derived from the whole table, in the spellings analysts use."""
+    txns = tables.txn_events(spark, sf_dir)
+    kind = F.col("transaction_type")
+    said = F.when(kind == "ERROR", "confirmed").when(kind == "SIGNUP", "Legitimate").when(kind == "VIEW", " dismissed").otherwise("reviewed")
+    raw = txns.select(
+        F.col("transaction_id").alias("feedback_id"), alerts.alert_id(F.col("transaction_id")).alias("alert_id"),
+        F.col("sender_account_id").alias("account_id"), said.alias("decision"), F.lit("").alias("note"),
+        F.lit("analyst").alias("investigator"), "timestamp",
+    )
+    return cases.normalise_feedback(raw)
+
+
+@query
+def feedback_current(spark, sf_dir):
+    return cases.current_status(feedback_log(spark, sf_dir))
+
+
+@query
+def feedback_summary(spark, sf_dir):
+    return cases.summary(feedback_log(spark, sf_dir))
+
+
+@query
+def feedback_history(spark, sf_dir):
+    return shown(cases.history(feedback_log(spark, sf_dir), account_id=EGO))
+
+
+@query
+def alert_status_update(spark, sf_dir):
+    changes = cases.status_changes(feedback_log(spark, sf_dir))
+    rows = alerts.update_status(alert_log(spark, sf_dir), changes, F.lit("2024-02-01").cast("timestamp"))
+    return flat_alerts(rows).select("alert_id", "account_id", "status", "created_at", "updated_at")
+
+
+@query
+def candidate_labels(spark, sf_dir):
+    rows = cases.candidate_labels(matrix(spark, sf_dir), feedback_log(spark, sf_dir))
+    return rows.select("account_id", "is_mule_pattern", "is_overridden")
+
+
+@query
+def candidate_summary(spark, sf_dir):
+    return cases.candidate_summary(cases.candidate_labels(matrix(spark, sf_dir), feedback_log(spark, sf_dir)))
+
+
+@query
+def sar_drafts(spark, sf_dir):
+    scored = scored_accounts(spark, sf_dir).withColumn("top_features", F.array(F.lit("txn_count_24h"), F.lit("fan_out_ratio")))
+    rows = cases.sar_drafts(scored, F.lit("2024-02-01").cast("date"), threshold=20.0)
+    return shown(rows.withColumn("top_features", F.array_join("top_features", "|")), "anomaly_score")
+
+
+@query
+def sar_upsert(spark, sf_dir):
+    scored = scored_accounts(spark, sf_dir).withColumn("top_features", F.array(F.lit("txn_count_24h")))
+    drafts = cases.sar_drafts(scored, F.lit("2024-01-20").cast("date"), threshold=20.0)
+    filed = cases.sar_drafts(scored, F.lit("2024-02-01").cast("date"), threshold=40.0).withColumn("status", F.lit("SUBMITTED"))
+    rows = cases.latest_report(cases.upsert_reports(drafts, filed))
+    return shown(rows.select("account_id", "sar_id", "status", "created_at", "updated_at"))
