@@ -435,7 +435,7 @@ mw AS (SELECT feature, CAST(u AS DOUBLE) AS u_statistic, CASE WHEN s > 0 AND z >
 def _edges_of(where: str = "") -> str:
     q = ", ".join(f"{i / 10}::DOUBLE" for i in range(11))
     return f"""eg AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [{q}]))) AS edges FROM longf {where} GROUP BY 1),
-bins AS (SELECT vc.*, len(list_filter(edges[2:greatest(len(edges) - 1, 1)], e -> e <= value)) AS bin, len(edges) AS n_edges FROM vc JOIN eg USING (feature)),
+bins AS (SELECT vc.*, len(list_filter(edges[2:greatest(len(edges) - 1, 1)], lambda e: e <= value)) AS bin, len(edges) AS n_edges FROM vc JOIN eg USING (feature)),
 bn AS (SELECT feature, bin, CAST(sum(n1) AS DOUBLE) AS n1, CAST(sum(n0) AS DOUBLE) AS n0, max(n_edges) AS n_edges FROM bins GROUP BY 1, 2),
 bt2 AS (SELECT *, sum(n1) OVER (PARTITION BY feature) AS t1, sum(n0) OVER (PARTITION BY feature) AS t0 FROM bn)"""
 
@@ -597,7 +597,7 @@ ORACLES |= {
     "top_risk_nodes": f"""WITH {FEAT} SELECT account_id, total_degree, is_in_short_cycle, round(betweenness_centrality, 6) AS betweenness_centrality, round(pagerank, 6) AS pagerank FROM feat
  ORDER BY is_in_short_cycle DESC, feat.betweenness_centrality DESC, feat.pagerank DESC, account_id LIMIT 10""",
     "ego_nodes": f"""WITH {SCORED}, {_EGO} SELECT account_id, coalesce(risk_score, 0.0) AS risk_score, coalesce(risk_tier, 'Low') AS risk_tier FROM (SELECT sender_account_id AS account_id FROM ego UNION SELECT receiver_account_id FROM ego) LEFT JOIN scored USING (account_id)""",
-    "ego_tier_edges": f"""WITH {SCORED}, {_EGO}, med AS (SELECT account_id AS id FROM scored WHERE risk_tier = 'Medium') SELECT * REPLACE ({TS_TEXT}) FROM ego WHERE sender_account_id IN (FROM med) AND receiver_account_id IN (FROM med)""",
+    "ego_tier_edges": f"""WITH {SCORED}, {_EGO}, med AS (SELECT account_id AS id FROM scored WHERE risk_tier = 'Low') SELECT * REPLACE ({TS_TEXT}) FROM ego WHERE sender_account_id IN (FROM med) AND receiver_account_id IN (FROM med)""",
     "neighbour_summary": f"""WITH {SCORED}, nbs AS (SELECT CASE WHEN sender_account_id = 'U1' THEN receiver_account_id ELSE sender_account_id END AS counterparty, CASE WHEN sender_account_id = 'U1' THEN 'OUTGOING' ELSE 'INCOMING' END AS direction,
  {money()} AS total_amount, count(*) AS txn_count, max("timestamp") AS lt FROM txn WHERE sender_account_id = 'U1' OR receiver_account_id = 'U1' GROUP BY 1, 2)
  SELECT counterparty, direction, total_amount, txn_count, strftime(lt, '%Y-%m-%d %H:%M:%S.%f') AS last_time, risk_score, risk_tier, CASE WHEN risk_score >= 20 THEN 1 ELSE 0 END AS is_suspicious FROM nbs LEFT JOIN scored ON account_id = counterparty""",
@@ -617,7 +617,7 @@ ORACLES |= {
  CASE WHEN rec >= 3.0 THEN printf('Transaction volume %.1fx above historical baseline', rec) WHEN rec >= 1.5 THEN printf('Moderate increase: %.1fx above historical transaction baseline', rec)
  WHEN account_age_days <= 30 AND txn_count_24h >= 5 THEN 'New account with elevated 24h transaction count' ELSE 'Consistent historical transaction trajectory' END AS temporal_text FROM x""",
     "account_history": f"""WITH {BASE} SELECT account_id, counterparty, direction, {TS_TEXT}, amount, transaction_id, transaction_type FROM legs WHERE account_id = 'U1' ORDER BY legs."timestamp" DESC, transaction_id, direction LIMIT 15""",
-    "connected_counterparties": f"""WITH {SCORED}, p AS (SELECT account_id, counterparty, max(us) AS u FROM legs WHERE counterparty <> account_id AND account_id IN (SELECT account_id FROM scored WHERE risk_score > 30) GROUP BY 1, 2),
+    "connected_counterparties": f"""WITH {SCORED}, p AS (SELECT account_id, counterparty, max(us) AS u FROM legs WHERE counterparty <> account_id AND account_id IN (SELECT account_id FROM scored WHERE risk_score > 15) GROUP BY 1, 2),
  r AS (SELECT account_id, counterparty, CAST(row_number() OVER (PARTITION BY account_id ORDER BY u DESC, counterparty) AS INTEGER) AS position FROM p) SELECT * FROM r WHERE position <= 4""",
     "alert_upsert": f"""WITH {SCORED}, dr AS (SELECT account_id, risk_score, upper(risk_tier) AS risk_tier, {SEV.format('risk_score')} AS severity,
  printf('Account %s flagged with risk score %.1f [%s]. Top signals: txn_count_24h, fan_out_ratio.', account_id, risk_score, upper(risk_tier)) AS summary, 'txn_count_24h|fan_out_ratio' AS top_features, 'txn_count_24h|fan_out_ratio' AS top_reasons,
@@ -650,3 +650,52 @@ ORACLES |= {
     "sar_upsert": f"""WITH {SCORED} SELECT account_id, 'SAR-' || account_id AS sar_id, CASE WHEN risk_score >= 40 THEN 'SUBMITTED' ELSE 'DRAFT' END AS status, '2024-01-20 00:00:00.000000' AS created_at,
  CASE WHEN risk_score >= 40 THEN '2024-02-01 00:00:00.000000' ELSE '2024-01-20 00:00:00.000000' END AS updated_at FROM scored WHERE risk_score >= 20""",
 }
+
+# --- rolling features ----------------------------------------------------------------
+
+ROLLING = f"""inr AS (SELECT account_id, us AS in_us FROM legs WHERE direction = 'in' GROUP BY ALL),
+pr0 AS (SELECT o.account_id, o.us, i.in_us FROM (SELECT * FROM legs WHERE direction = 'out') o ASOF JOIN inr i ON i.account_id = o.account_id AND o.us >= i.in_us),
+pw AS (SELECT l.account_id, l.us, count(*) AS np, sum(p.us - p.in_us) AS du FROM (SELECT DISTINCT account_id, us FROM legs) l JOIN pr0 p ON p.account_id = l.account_id AND p.us <= l.us AND p.in_us >= l.us - {DAY} GROUP BY 1, 2),
+rw AS (SELECT legs.*, count(*) OVER h AS c1, count(*) OVER d AS c24, count(DISTINCT counterparty) OVER d AS cps, coalesce(CAST(sum(CAST(amount AS DECIMAL(28,8))) FILTER (WHERE direction = 'out') OVER d AS DOUBLE), 0.0) AS sent,
+ coalesce(CAST(sum(CAST(amount AS DECIMAL(28,8))) FILTER (WHERE direction = 'in') OVER d AS DOUBLE), 0.0) AS recv, avg(amount) OVER d AS mean, stddev_pop(amount) OVER d AS sd, count(*) FILTER (WHERE hour("timestamp") < 6) OVER d AS odd FROM legs
+ WINDOW h AS (PARTITION BY account_id ORDER BY us RANGE BETWEEN {HOUR} PRECEDING AND CURRENT ROW), d AS (PARTITION BY account_id ORDER BY us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)),
+rf AS (SELECT rw.account_id, transaction_id, direction, counterparty, {TS_TEXT}, amount, c1 AS txn_count_1h, c24 AS txn_count_24h, c1 * 1.5::DOUBLE AS velocity, cps AS unique_counterparty_count,
+ CASE WHEN sent > 0 THEN recv / greatest(sent, 1.0) WHEN recv > 0 THEN 1.0 ELSE 0.0 END AS ratio_received_to_sent_24h, round((amount - mean) / CASE WHEN c24 > 1 THEN greatest(sd, 1.0) ELSE 1.0 END, 6) AS amount_zscore_avg,
+ CASE WHEN np > 0 THEN CAST(du AS DOUBLE) / np / 60000000.0::DOUBLE ELSE 15.0 END AS avg_time_to_forward_funds_minutes, odd / c24 AS odd_hour_txn_ratio FROM rw LEFT JOIN pw ON pw.account_id = rw.account_id AND pw.us = rw.us)"""
+
+ORACLES |= {"rolling_realtime_features": f"WITH {BASE}, {ROLLING} SELECT * FROM rf"}
+
+# --- streams -------------------------------------------------------------------------
+
+VTXN = f"""{TXN.replace('txn AS', 'txn_all AS')}, txn AS (SELECT * FROM txn_all WHERE sender_account_id <> receiver_account_id),
+{LEGS}"""
+_VOL = "count(*) AS txn_count, " + money() + " AS total_amount"
+_WIN = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime({1}, '%Y-%m-%d %H:%M:%S.%f') AS window_end"
+
+LIVE = f"""{VTXN}, {ROLLING.replace('round((amount - mean) / CASE WHEN c24 > 1 THEN greatest(sd, 1.0) ELSE 1.0 END, 6)', '(amount - mean) / CASE WHEN c24 > 1 THEN greatest(sd, 1.0) ELSE 1.0 END')},
+lv0 AS (SELECT transaction_id, account_id AS sender_id, counterparty AS receiver_id, amount, "timestamp" AS prediction_time, unique_counterparty_count AS cps,
+ least(greatest(0.5::DOUBLE * least(1.0, txn_count_1h / 10.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN avg_time_to_forward_funds_minutes < 15 THEN 1.0 ELSE 0.0 END + 0.2::DOUBLE * odd_hour_txn_ratio, 0.0), 1.0) AS supervised_probability,
+ least(greatest((amount_zscore_avg / 4.0::DOUBLE + odd_hour_txn_ratio) / 2.0::DOUBLE, 0.0), 1.0) AS anomaly_score, 0.0::DOUBLE AS network_risk_score FROM rf WHERE direction = 'out'),
+lv AS MATERIALIZED (SELECT *, round(least(greatest((0.6::DOUBLE * supervised_probability + 0.25::DOUBLE * anomaly_score + 0.15::DOUBLE * 0) * 100, 0.0), 100.0), 1) AS risk_score FROM lv0)"""
+
+ORACLES |= {
+    "stream_validated": f"WITH {TXN} SELECT * EXCLUDE (us, is_mule_pattern) REPLACE ({TS_TEXT}) FROM txn WHERE sender_account_id <> receiver_account_id",
+    "stream_rejected": f"""WITH {TXN} SELECT transaction_id, sender_account_id AS sender_id, receiver_account_id AS receiver_id, amount, {TS_TEXT}, lower(transaction_type) AS transaction_type, 'SENDER_EQUALS_RECEIVER' AS rejection_reason
+ FROM txn WHERE sender_account_id = receiver_account_id""",
+    "stream_hourly": f"""WITH {VTXN} SELECT {_WIN.format("date_trunc('hour', \"timestamp\")", "date_trunc('hour', \"timestamp\") + INTERVAL 1 HOUR")}, transaction_type, {_VOL} FROM txn GROUP BY ALL""",
+    "stream_sliding": f"""WITH {VTXN}, x AS (SELECT date_trunc('hour', "timestamp") - to_hours(CAST(k AS INTEGER)) AS w, amount FROM txn CROSS JOIN range(24) r(k)) SELECT {_WIN.format('w', 'w + INTERVAL 24 HOUR')}, {_VOL} FROM x GROUP BY w""",
+    "stream_sessions": f"""WITH {VTXN}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY sender_account_id ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM txn),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY sender_account_id ORDER BY us) AS sid FROM g)
+ SELECT {_WIN.format('min("timestamp")', 'max("timestamp") + INTERVAL 30 MINUTE')}, sender_account_id, {_VOL} FROM s GROUP BY sender_account_id, sid""",
+    "stream_dedup": f"WITH {TXN} SELECT * EXCLUDE (us, is_mule_pattern) REPLACE ({TS_TEXT}) FROM txn WHERE sender_account_id <> receiver_account_id",
+    "stream_rolling_features": f"WITH {VTXN}, {ROLLING} SELECT * FROM rf",
+    "stream_scores": f"""WITH {LIVE} SELECT transaction_id, prediction_time, 'live-rules-1' AS model_version, sender_id, receiver_id, amount, risk_score, {TIER.format('risk_score')} AS risk_tier, round(supervised_probability, 6) AS supervised_probability,
+ round(anomaly_score, 6) AS anomaly_score, network_risk_score, CASE WHEN risk_score >= 40 THEN 1 ELSE 0 END AS alert_created FROM lv""",
+    "stream_alerts": f"""WITH RECURSIVE {LIVE}, hit AS MATERIALIZED (SELECT *, sender_id AS account_id, epoch_us(CAST(prediction_time AS TIMESTAMP)) AS us FROM lv WHERE risk_score >= 40),
+ ch AS (SELECT account_id, min(us) AS s FROM hit GROUP BY 1 UNION ALL SELECT account_id, s FROM (SELECT ch.account_id, (SELECT min(h.us) FROM hit h WHERE h.account_id = ch.account_id AND h.us > ch.s + 43200000000) AS s FROM ch) WHERE s IS NOT NULL),
+ asg AS (SELECT ch.s, hit.* FROM hit JOIN ch ON ch.account_id = hit.account_id AND us BETWEEN s AND s + 43200000000),
+ fin AS (SELECT account_id, s, count(*) AS events, arg_max(row(risk_score, anomaly_score, cps, amount, receiver_id, prediction_time), (us, transaction_id)) AS e FROM asg GROUP BY 1, 2)
+ SELECT {alert_key("account_id || '-' || s")} AS alert_id, account_id, e[1] AS risk_score, upper({TIER.format('e[1]')}) AS risk_tier, {SEV.format('e[1]')} AS severity,
+ 'Real-time transaction alert for ' || account_id || ' ($' || printf('%.2f', e[4]) || ' transfer to ' || e[5] || ')' AS summary, round(e[2], 6) AS anomaly_score, 0.0::DOUBLE AS network_risk, e[3] AS connected_suspicious_count, 'live-rules-1' AS model_version,
+ 'OPEN' AS status, strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S.%f') AS created_at, e[6] AS updated_at, events FROM fin""",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,15 @@ from flowsentry.operators import (
     graph,
     motifs,
     preprocess,
+    rolling,
     scoring,
     stats,
 )
 from flowsentry.operators.legs import legs
 from flowsentry.plans import feature_matrix as feature_matrix_plan
-from flowsentry.session import configure, cut
+from flowsentry.session import configure, cut, shared_dir
 from flowsentry.sources import profile, readers, tables
+from flowsentry.streaming import events, live
 
 QUERIES = {}
 
@@ -557,7 +561,7 @@ def ego_nodes(spark, sf_dir):
 @query
 def ego_tier_edges(spark, sf_dir):
     ego = graph.ego_edges(tables.txn_events(spark, sf_dir), EGO)
-    return shown(graph.filter_tier(ego, graph.ego_nodes(ego, scored_accounts(spark, sf_dir)), "medium"))
+    return shown(graph.filter_tier(ego, graph.ego_nodes(ego, scored_accounts(spark, sf_dir)), "low"))
 
 
 @query
@@ -609,7 +613,7 @@ def account_history(spark, sf_dir):
 @query
 def connected_counterparties(spark, sf_dir):
     rows = legs(tables.txn_events(spark, sf_dir))
-    return explain.connected_counterparties(rows, scored_accounts(spark, sf_dir), 30.0)
+    return explain.connected_counterparties(rows, scored_accounts(spark, sf_dir), 15.0)
 
 
 # --- alerts, feedback, reports -----------------------------------------------------
@@ -736,3 +740,104 @@ def sar_upsert(spark, sf_dir):
     filed = cases.sar_drafts(scored, F.lit("2024-02-01").cast("date"), threshold=40.0).withColumn("status", F.lit("SUBMITTED"))
     rows = cases.latest_report(cases.upsert_reports(drafts, filed))
     return shown(rows.select("account_id", "sar_id", "status", "created_at", "updated_at"))
+
+
+# --- rolling features (batch twin of the stream) -----------------------------------
+
+
+@query
+def rolling_realtime_features(spark, sf_dir):
+    rows = legs(tables.txn_events(spark, sf_dir), "transaction_id")
+    return shown(rolling.rolling_features(rows), "amount_zscore_avg")
+
+
+# --- streams: replay the whole events table, compare with the batch results ----------
+
+
+def _event_stream(spark, sf_dir):
+    """The events table as a file stream under the payload's column names."""
+    static = tables.table(spark, sf_dir, "events")
+    users = static.agg(F.max("user_id") + 1).first()[0]
+    raw = events.read_files(spark, sf_dir, static.schema, "parquet", pathGlobFilter="events.parquet")
+    receiver = (F.col("user_id") * 7 + F.col("event_id") * 13 + 1) % F.lit(users)
+    return raw.select(
+        F.format_string("TXN_%08d", F.col("event_id")).alias("transaction_id"),
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("sender_id"),
+        F.concat(F.lit("U"), receiver.cast("string")).alias("receiver_id"),
+        F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("transaction_type"),
+    )
+
+
+def _run_dir(spark) -> str:
+    return f"{shared_dir(spark)}/stream-runs/{uuid.uuid4().hex}"
+
+
+def _replay(spark, stream, mode: str = "append"):
+    base = _run_dir(spark)
+    sink = live.replace_at(f"{base}/out") if mode == "complete" else live.append_to(f"{base}/out")
+    live.run_to_end(stream, sink, f"{base}/checkpoint", mode)
+    out = spark.read.parquet(f"{base}/out")
+    return out.drop("batch_id")
+
+
+@query
+def stream_validated(spark, sf_dir):
+    return shown(_replay(spark, events.as_transactions(_event_stream(spark, sf_dir))))
+
+
+@query
+def stream_rejected(spark, sf_dir):
+    return shown(_replay(spark, events.rejected(_event_stream(spark, sf_dir))))
+
+
+@query
+def stream_hourly(spark, sf_dir):
+    txns = events.as_transactions(_event_stream(spark, sf_dir))
+    return shown(_replay(spark, events.hourly_volume(txns), "complete"))
+
+
+@query
+def stream_sliding(spark, sf_dir):
+    txns = events.as_transactions(_event_stream(spark, sf_dir))
+    return shown(_replay(spark, events.sliding_volume(txns), "complete"))
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    txns = events.as_transactions(_event_stream(spark, sf_dir))
+    return shown(_replay(spark, events.burst_sessions(txns), "complete"))
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir)
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return shown(events.as_transactions(_replay(spark, events.without_repeats(twice))))
+
+
+def _live(spark, sf_dir):
+    def build(s, d):
+        scorer = live.LiveScorer(_run_dir(s), threshold=40.0)
+        live.run_to_end(events.as_transactions(_event_stream(s, d)), scorer, scorer.path("checkpoint"))
+        return scorer
+
+    key = (spark.sparkContext.applicationId, sf_dir, "live")
+    if key not in _TABLES:
+        _TABLES[key] = build(spark, sf_dir)
+    return _TABLES[key]
+
+
+@query
+def stream_rolling_features(spark, sf_dir):
+    return shown(_live(spark, sf_dir).result(spark, "features"), "amount_zscore_avg")
+
+
+@query
+def stream_scores(spark, sf_dir):
+    rows = _live(spark, sf_dir).result(spark, "audit")
+    return shown(rows, "supervised_probability", "anomaly_score")
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    return shown(_live(spark, sf_dir).current_alerts(spark), "anomaly_score")

@@ -95,9 +95,10 @@ def ks_two_sample(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     en = F.sqrt(F.col("t1") * F.col("t0") / (F.col("t1") + F.col("t0")).cast("double"))
     lam = en * F.col("ks_statistic")
     # Kolmogorov series; 20 terms are exact to double precision once lam > 0.2
-    series = F.lit(0.0)
-    for k in range(1, 21):
-        series = series + F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam)
+    terms = F.transform(
+        F.sequence(F.lit(1), F.lit(20)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam)
+    )
+    series = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
     p = F.when(lam <= 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
     return stat.select("feature", "ks_statistic", p.alias("p_value"))
 
@@ -135,15 +136,22 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Pearson and Spearman of each column with a 0/1 label; constant columns give 0."""
-    long = unpivot(df, columns, F.col(label).alias("label"))
-    target = F.col("label").cast("double")
-    # corr() divides by zero on a constant column under ANSI rules
-    sx, sy = F.stddev_pop("value"), F.stddev_pop(target)
-    varied = (sx > 1e-12) & (sy > 1e-12)
-    pearson = long.groupBy("feature").agg(
-        F.coalesce(F.when(varied, F.try_divide(F.covar_pop("value", target), sx * sy)), F.lit(0.0)).alias("pearson")
+    counts = feature_counts(df, columns, label)
+    # centred sums: means first (one row per feature), then deviations from them
+    total_n = F.sum("n").cast("double")
+    means = counts.groupBy("feature").agg(
+        (F.sum(F.col("n") * F.col("value")) / total_n).alias("mx"), (F.sum("n1") / total_n).alias("my"), total_n.alias("tn")
+    )
+    dx, my = F.col("value") - F.col("mx"), F.col("my")
+    dev = counts.join(means, "feature").groupBy("feature").agg(
+        F.sum(F.col("n") * dx * dx).alias("sxx"), F.sum((F.col("n1") - F.col("n") * my) * dx).alias("sxy"),
+        F.max(F.col("tn") * my * (1 - my)).alias("syy"), F.max("tn").alias("tn"),
+    )
+    varied = (F.sqrt(F.col("sxx") / F.col("tn")) > 1e-12) & (F.sqrt(F.col("syy") / F.col("tn")) > 1e-12)
+    pearson = dev.select(
+        "feature", F.coalesce(F.when(varied, F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))), F.lit(0.0)).alias("pearson")
     )
-    ranked = _ranked(feature_counts(df, columns, label), ["feature"])
+    ranked = _ranked(counts, ["feature"])
     n, r = F.col("n").cast("double"), F.col("avg_rank")
     sums = ranked.groupBy("feature").agg(
         F.max("t1").cast("double").alias("t1"),
@@ -244,6 +252,7 @@ def composite_ranking(metrics: DataFrame, parts: list[str], missing: str = "miss
 
     `metrics` has one row per feature, so its windows are as small as the schema.
     """
+    metrics = cut(metrics)
     whole = Window.partitionBy()
     normed = metrics.withColumns(
         {
