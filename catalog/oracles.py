@@ -699,3 +699,9 @@ ORACLES |= {
  'Real-time transaction alert for ' || account_id || ' ($' || printf('%.2f', e[4]) || ' transfer to ' || e[5] || ')' AS summary, round(e[2], 6) AS anomaly_score, 0.0::DOUBLE AS network_risk, e[3] AS connected_suspicious_count, 'live-rules-1' AS model_version,
  'OPEN' AS status, strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S.%f') AS created_at, e[6] AS updated_at, events FROM fin""",
 }
+
+ORACLES |= {
+    "temporal_split": f"""WITH {BASE}, f AS (SELECT account_id, min(us) AS u, strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS first_transaction_time FROM legs GROUP BY 1),
+ r AS (SELECT *, row_number() OVER (ORDER BY u, account_id) - 1 AS k, count(*) OVER () AS n FROM f)
+ SELECT account_id, first_transaction_time, CASE WHEN k < floor(n * 0.6::DOUBLE) THEN 'train' WHEN k < floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'validation' ELSE 'test' END AS fold FROM r""",
+}

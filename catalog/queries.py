@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.operators import account_features as af
+from flowsentry.operators import attribution as attribution_op
 from flowsentry.operators import (
     alerts,
     cases,
     centrality,
     components,
     dashboard,
+    dictionary,
     eda,
     explain,
     flow,
     graph,
+    isolation,
+    models,
     motifs,
     preprocess,
     rolling,
@@ -841,3 +845,128 @@ def stream_scores(spark, sf_dir):
 @query
 def stream_alerts(spark, sf_dir):
     return shown(_live(spark, sf_dir).current_alerts(spark), "anomaly_score")
+
+
+# --- models (no SQL twin: fitted models; invariants are tested) ----------------------
+
+# GBT iterations in the registered queries.
+BOOST_ROUNDS = 8
+
+
+def _forest(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "forest")
+    if key not in _TABLES:
+        _TABLES[key] = isolation.IsolationForest.fit(matrix(spark, sf_dir), STAT_COLUMNS)
+    return _TABLES[key]
+
+
+def _folds(spark, sf_dir):
+    return stored("folds", lambda s, d: models.stratified_split(with_median_label(s, d), "label"), spark, sf_dir)
+
+
+def _trained(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir, "trained")
+    if key not in _TABLES:
+        _TABLES[key] = models.train_boosted(_folds(spark, sf_dir), STAT_COLUMNS, "label", max_iter=BOOST_ROUNDS)
+    return _TABLES[key]
+
+
+@query
+def iforest_scores(spark, sf_dir):
+    return _forest(spark, sf_dir).report(matrix(spark, sf_dir))
+
+
+@query
+def iforest_report(spark, sf_dir):
+    return isolation.anomaly_report(_forest(spark, sf_dir).score(matrix(spark, sf_dir)))
+
+
+@query
+def iforest_top(spark, sf_dir):
+    return isolation.top_anomalies(_forest(spark, sf_dir).report(matrix(spark, sf_dir)))
+
+
+@query
+def iforest_contamination(spark, sf_dir):
+    return isolation.choose_contamination(_forest(spark, sf_dir).score(with_median_label(spark, sf_dir)), "label")
+
+
+@query
+def temporal_split(spark, sf_dir):
+    first = af.account_entity(tables.txn_events(spark, sf_dir)).select("account_id", "first_transaction_time")
+    data = with_median_label(spark, sf_dir).select("account_id", "label").join(first, "account_id")
+    split = models.temporal_split(data, "first_transaction_time")
+    return shown(split.select("account_id", "first_transaction_time", "fold"))
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return models.split_report(_folds(spark, sf_dir), "label")
+
+
+@query
+def gbt_scores(spark, sf_dir):
+    trained = _trained(spark, sf_dir)
+    return models.with_probability(trained.model, _folds(spark, sf_dir)).select("account_id", "fold", "probability_1")
+
+
+@query
+def gbt_metrics(spark, sf_dir):
+    return _trained(spark, sf_dir).metrics
+
+
+@query
+def gbt_importance(spark, sf_dir):
+    return _trained(spark, sf_dir).importances()
+
+
+@query
+def gbt_trade_off(spark, sf_dir):
+    trained = _trained(spark, sf_dir)
+    return models.trade_off(trained, _folds(spark, sf_dir).where("fold = 'test'"), "label")
+
+
+@query
+def gbt_attribution(spark, sf_dir):
+    trained = _trained(spark, sf_dir)
+    rows = attribution_op.tree_contributions(matrix(spark, sf_dir), STAT_COLUMNS, trained.model.stages[-1])
+    return explain.global_attribution(rows)
+
+
+@query
+def gbt_explanations(spark, sf_dir):
+    """Attribution and reasons of every flagged account."""
+    trained = _trained(spark, sf_dir)
+    scores = scored_accounts(spark, sf_dir).where("risk_score >= 20").select("account_id", "risk_score")
+    flagged = matrix(spark, sf_dir).join(scores, "account_id")
+    rows = explain.explain(attribution_op.tree_contributions(flagged, STAT_COLUMNS, trained.model.stages[-1]))
+    return rows.select("account_id", "risk_score", "explanation")
+
+
+@query
+def feature_selection(spark, sf_dir):
+    trained = _trained(spark, sf_dir)
+    shap = explain.global_attribution(
+        attribution_op.tree_contributions(matrix(spark, sf_dir), STAT_COLUMNS, trained.model.stages[-1])
+    )
+    return dictionary.select_features(with_median_label(spark, sf_dir), STAT_COLUMNS, "label", trained.importances(), shap)
+
+
+@query
+def benchmark_models(spark, sf_dir):
+    results = models.benchmark(_folds(spark, sf_dir), STAT_COLUMNS, "label", max_iter=BOOST_ROUNDS, trees=20)
+    return models.benchmark_table(results)
+
+
+@query
+def kmeans_clusters(spark, sf_dir):
+    return models.cluster_accounts(matrix(spark, sf_dir))
+
+
+@query
+def model_comparison(spark, sf_dir):
+    """Production against a candidate trained on feedback-corrected labels."""
+    features = _folds(spark, sf_dir).withColumnRenamed("label", "is_flagged")
+    candidates = cases.candidate_labels(features, feedback_log(spark, sf_dir), "is_flagged")
+    candidate = models.train_boosted(candidates, STAT_COLUMNS, "is_flagged", max_iter=BOOST_ROUNDS, grid=models.GRID[:1])
+    return cases.compare_models(_trained(spark, sf_dir).metrics, candidate.metrics)
