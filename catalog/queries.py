@@ -442,8 +442,8 @@ def class_comparison(spark, sf_dir):
 def feature_ranking(spark, sf_dir):
     data = with_median_label(spark, sf_dir)
     metrics = (
-        stats.mutual_information(data, STAT_COLUMNS, "label")
-        .join(stats.mann_whitney(data, STAT_COLUMNS, "label").select("feature", "effect_size"), "feature")
+        cut(stats.mutual_information(data, STAT_COLUMNS, "label"))
+        .join(cut(stats.mann_whitney(data, STAT_COLUMNS, "label").select("feature", "effect_size")), "feature")
         .join(stats.missingness(data, STAT_COLUMNS), "feature")
     )
     metrics = shown(metrics, "mi_score", "effect_size", digits=5)

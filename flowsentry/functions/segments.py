@@ -172,7 +172,7 @@ def quantiles(
 def row_index(df: DataFrame, order: Sequence[Column], out: str = "row_index") -> DataFrame:
     """0-based position in a total order, computed by a range-partitioned sort.
 
-    The sorted frame is checkpointed first: range bounds are sampled, so the
+    The sorted frame is written first: range bounds are sampled, so the
     partition numbers must be read from one stored copy.
     """
     stored = cut(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))

@@ -1,4 +1,4 @@
-"""PageRank and betweenness as checkpointed join loops."""
+"""PageRank and betweenness as join loops that store each step."""
 
 from __future__ import annotations
 

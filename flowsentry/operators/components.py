@@ -1,4 +1,4 @@
-"""Weakly and strongly connected components as checkpointed join loops."""
+"""Weakly and strongly connected components as join loops that store each step."""
 
 from __future__ import annotations
 

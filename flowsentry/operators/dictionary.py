@@ -79,16 +79,17 @@ def select_features(df: DataFrame, columns: list[str], label: str, gain: DataFra
     `gain(feature, importance)` and `attribution(feature, mean_abs_contribution)` come from a model.
     """
     zero = F.lit(0.0)
+    # one row per feature each: stored, so that the join plans only small scans
     metrics = (
-        stats.mutual_information(df, columns, label)
-        .join(stats.mann_whitney(df, columns, label).select("feature", "p_value", "effect_size"), "feature")
-        .join(stats.correlations(df, columns, label), "feature")
-        .join(stats.missingness(df, columns), "feature")
+        cut(stats.mutual_information(df, columns, label))
+        .join(cut(stats.mann_whitney(df, columns, label).select("feature", "p_value", "effect_size")), "feature")
+        .join(cut(stats.correlations(df, columns, label)), "feature")
+        .join(cut(stats.missingness(df, columns)), "feature")
         .join(gain.select("feature", "importance"), "feature", "left")
-        .join(attribution, "feature", "left")
+        .join(cut(attribution), "feature", "left")
         .withColumns({"importance": F.coalesce("importance", zero), "mean_abs_contribution": F.coalesce("mean_abs_contribution", zero)})
     )
-    ranked = stats.composite_ranking(cut(metrics), ["mi_score", "effect_size", "importance", "mean_abs_contribution"])
+    ranked = stats.composite_ranking(metrics, ["mi_score", "effect_size", "importance", "mean_abs_contribution"])
     return ranked.join(feature_dictionary(df.sparkSession), "feature", "left")
 
 

@@ -253,17 +253,17 @@ def composite_ranking(metrics: DataFrame, parts: list[str], missing: str = "miss
     `metrics` has one row per feature, so its windows are as small as the schema.
     """
     metrics = cut(metrics)
-    whole = Window.partitionBy()
-    normed = metrics.withColumns(
-        {
-            f"{p}_norm": F.when(
-                (F.max(p).over(whole) - F.min(p).over(whole)) < 1e-9, F.lit(0.0)
-            ).otherwise((F.col(p) - F.min(p).over(whole)) / (F.max(p).over(whole) - F.min(p).over(whole)))
-            for p in parts
-        }
+    bounds = metrics.agg(
+        F.struct(*[F.min(p).alias(f"{p}_low") for p in parts], *[F.max(p).alias(f"{p}_high") for p in parts]).alias("b")
     )
-    score = sum((F.col(f"{p}_norm") for p in parts[1:]), F.col(f"{parts[0]}_norm")) / float(len(parts))
-    ranked = normed.withColumn("composite_score", F.round(score, 6))
+    bounded = metrics.withColumn("_b", bounds.scalar())
+
+    def norm(p: str) -> Column:
+        low, span = F.col(f"_b.{p}_low"), F.col(f"_b.{p}_high") - F.col(f"_b.{p}_low")
+        return F.when(span < 1e-9, F.lit(0.0)).otherwise((F.col(p) - low) / span)
+
+    score = sum((norm(p) for p in parts[1:]), norm(parts[0])) / float(len(parts))
+    ranked = cut(bounded.withColumn("composite_score", F.round(score, 6)).drop("_b"))
     decided = F.when((F.col(missing) > MISSING_LIMIT) & (F.col("composite_score") < COMPOSITE_LIMIT), "REJECTED").otherwise("RETAINED")
     return ranked.select(
         *metrics.columns,

@@ -67,7 +67,7 @@ def build_feature_matrix(
     """One row per account, no nulls, fixed column order and types.
 
     Leg statistics of all groups come from one aggregation; the account-sized
-    intermediate is checkpointed because the population moments read it again.
+    intermediate is stored because the population moments read it again.
     """
     kept = until(txns, as_of)
     rows = legs(kept)

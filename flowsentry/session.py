@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable storage and return it with a fresh lineage."""
+    """Write `df` to the shared folder and return it read back: fresh lineage, real size.
+
+    A table is preferred to `checkpoint()`, whose result keeps the size estimate of
+    the plan it replaces: in a loop of joins those estimates multiply until planning
+    stalls, and they hide from the planner that a side is small enough to broadcast.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(shared_dir(spark), "lineage"))
-    return df.checkpoint(eager=True)
+    path = os.path.join(shared_dir(spark), "flowsentry", spark.sparkContext.applicationId, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
