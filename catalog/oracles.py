@@ -705,3 +705,39 @@ ORACLES |= {
  r AS (SELECT *, row_number() OVER (ORDER BY u, account_id) - 1 AS k, count(*) OVER () AS n FROM f)
  SELECT account_id, first_transaction_time, CASE WHEN k < floor(n * 0.6::DOUBLE) THEN 'train' WHEN k < floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'validation' ELSE 'test' END AS fold FROM r""",
 }
+
+
+def _section(name: str, sql: str, key: str, metrics: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS section, CAST({key} AS VARCHAR) AS key, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({sql})" for m in metrics.split())
+
+
+_T = "count(*) AS txn_count, " + money() + " AS total_amount"
+_ROLES = """WITH p AS (SELECT 'sender' AS role, sender_account_id AS a, count(*) AS n FROM txo GROUP BY 2 UNION ALL SELECT 'receiver', receiver_account_id, count(*) FROM txo GROUP BY 2)
+ SELECT role, count(*) AS unique_accounts, CAST(sum(n) AS DOUBLE) / count(*) AS mean_txns, max(n) AS max_txns, count(*) FILTER (WHERE n > 1) AS repeat_accounts FROM p GROUP BY 1"""
+_DISTRIBUTION = f"""SELECT count(*) AS n, min(amount) AS min_amount, max(amount) AS max_amount, {money()} / count(*) AS mean_amount, stddev_samp(amount) AS std_amount, skewness(amount) AS skewness,
+ quantile_cont(amount, 0.25) AS p25, quantile_cont(amount, 0.5) AS p50, quantile_cont(amount, 0.75) AS p75, quantile_cont(amount, 0.95) AS p95, quantile_cont(amount, 0.99) AS p99 FROM txo"""
+
+
+def _body(name: str) -> str:
+    """The final SELECT of an oracle over `txo`."""
+    return ORACLES[name].split(f"WITH {ORDERS}", 1)[1].strip()
+
+
+_SECTIONS = [
+    _section("daily", f"""SELECT strftime("timestamp", '%Y-%m-%d') AS day, {_T} FROM txo GROUP BY 1""", "day", "txn_count total_amount"),
+    _section("hourly", f"""SELECT strftime(date_trunc('hour', "timestamp"), '%Y-%m-%d %H:%M:%S') AS hs, {_T} FROM txo GROUP BY 1""", "hs", "txn_count total_amount"),
+    _section("hour_of_day", """SELECT hour("timestamp") AS h, count(*) AS txn_count, sum(is_mule_pattern) AS flagged FROM txo GROUP BY 1""", "h", "txn_count flagged"),
+    _section("labels", "SELECT count(*) AS txn_count, sum(is_mule_pattern) AS flagged FROM txo", "'all'", "txn_count flagged"),
+    _section("amounts", _DISTRIBUTION, "'all'", "n min_amount max_amount mean_amount std_amount skewness p25 p50 p75 p95 p99"),
+    _section(
+        "amount_by_label",
+        f"SELECT is_mule_pattern AS k, count(*) AS txn_count, {money()} / count(*) AS mean_amount, min(amount) AS min_amount, max(amount) AS max_amount, {money()} AS total_amount, median(amount) AS median_amount FROM txo GROUP BY 1",
+        "k", "txn_count mean_amount min_amount max_amount total_amount median_amount",
+    ),
+    _section("types", _body("eda_types"), "transaction_type", "txn_count total_amount flagged flagged_rate volume_pct"),
+    _section("role_activity", _ROLES, "role", "unique_accounts mean_txns max_txns repeat_accounts"),
+    _section("flow_roles", "WITH " + _body("eda_flow_roles").lstrip(", "), "'all'", "accounts pure_senders pure_receivers pass_through pure_senders_pct pure_receivers_pct pass_through_pct"),
+    _section("top_senders", _body("eda_top_senders"), "account_id", "txn_count total_amount"),
+    _section("top_receivers", _body("eda_top_receivers"), "account_id", "txn_count total_amount"),
+]
+ORACLES |= {"eda_report": f"WITH {ORDERS}, rep AS ({' UNION ALL '.join(_SECTIONS)}) SELECT section, key, metric, round(value, 4) AS value FROM rep"}

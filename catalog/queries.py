@@ -29,6 +29,7 @@ from flowsentry.operators import (
     stats,
 )
 from flowsentry.operators.legs import legs
+from flowsentry.plans import eda_report as eda_report_plan
 from flowsentry.plans import feature_matrix as feature_matrix_plan
 from flowsentry.session import configure, cut, shared_dir
 from flowsentry.sources import profile, readers, tables
@@ -192,22 +193,22 @@ def eda_types(spark, sf_dir):
 
 @query
 def eda_role_activity(spark, sf_dir):
-    return eda.role_activity(tables.txn_orders(spark, sf_dir))
+    return eda.role_activity(eda.account_roles(tables.txn_orders(spark, sf_dir)))
 
 
 @query
 def eda_flow_roles(spark, sf_dir):
-    return eda.flow_roles(tables.txn_orders(spark, sf_dir))
+    return eda.flow_roles(eda.account_roles(tables.txn_orders(spark, sf_dir)))
 
 
 @query
 def eda_top_senders(spark, sf_dir):
-    return eda.top_accounts(tables.txn_orders(spark, sf_dir), "sender")
+    return eda.top_accounts(eda.account_roles(tables.txn_orders(spark, sf_dir)), "sender")
 
 
 @query
 def eda_top_receivers(spark, sf_dir):
-    return eda.top_accounts(tables.txn_orders(spark, sf_dir), "receiver")
+    return eda.top_accounts(eda.account_roles(tables.txn_orders(spark, sf_dir)), "receiver")
 
 
 @query
@@ -611,7 +612,7 @@ def account_summary(spark, sf_dir):
 @query
 def account_history(spark, sf_dir):
     rows = legs(tables.txn_events(spark, sf_dir), "transaction_id", "transaction_type")
-    return shown(explain.account_history(rows, EGO).drop("us"))
+    return shown(explain.account_history(rows, EGO).drop("us", "money"))
 
 
 @query
@@ -970,3 +971,12 @@ def model_comparison(spark, sf_dir):
     candidates = cases.candidate_labels(features, feedback_log(spark, sf_dir), "is_flagged")
     candidate = models.train_boosted(candidates, STAT_COLUMNS, "is_flagged", max_iter=BOOST_ROUNDS, grid=models.GRID[:1])
     return cases.compare_models(_trained(spark, sf_dir).metrics, candidate.metrics)
+
+
+# --- whole reports -------------------------------------------------------------------
+
+
+@query
+def eda_report(spark, sf_dir):
+    rows = eda_report_plan.eda_report(tables.txn_orders(spark, sf_dir))
+    return shown(rows, "value", digits=4)

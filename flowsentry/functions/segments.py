@@ -90,6 +90,24 @@ def next_marked(
     )
 
 
+def neighbours(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Add `prev_` and `next_` of the order column within each key, across segments.
+
+    One row per (keys, order).
+    """
+    inside = Window.partitionBy(*keys, SEG).orderBy(order)
+    along = Window.partitionBy(*keys).orderBy(SEG)
+    edges = (
+        df.groupBy(*keys, SEG)
+        .agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+        .select(*keys, SEG, F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
+    )
+    local = df.select("*", F.lag(order).over(inside).alias("_prev"), F.lead(order).over(inside).alias("_next"))
+    return local.join(edges, [*keys, SEG]).select(
+        *df.columns, F.coalesce("_prev", "_before").alias(f"prev_{order}"), F.coalesce("_next", "_after").alias(f"next_{order}")
+    )
+
+
 def quantiles(
     counts: DataFrame,
     keys: Sequence[str],

@@ -56,7 +56,7 @@ def activity(leg_rows: DataFrame, t_ref: Column, round_unit: float = ROUND_UNIT)
     age = t_ref - F.col("us")
     is_in, is_out = F.col("direction") == "in", F.col("direction") == "out"
     hour = F.hour("timestamp")
-    amount = F.col("amount")
+    amount = F.col("money")
     historic = F.col("us") < t_ref - F.lit(HOUR_US)
 
     aggs = [_count_if(age <= width).alias(f"txn_count_{name}") for name, width in _WINDOWS.items()]
@@ -79,7 +79,7 @@ def activity(leg_rows: DataFrame, t_ref: Column, round_unit: float = ROUND_UNIT)
         _count_if(hour.isin(*NIGHT_HOURS)).alias("n_night"),
         _count_if(F.weekday("timestamp") >= 5).alias("n_weekend"),
         _count_if(hour < ODD_HOUR_BOUND).alias("n_odd"),
-        _count_if(amount.cast(MONEY) % F.lit(round_unit).cast(MONEY) == 0).alias("n_round"),
+        _count_if(amount % F.lit(round_unit).cast(MONEY) == 0).alias("n_round"),
         _count_if(historic).alias("n_hist"),
         money_sum(amount, historic).alias("hist_amount"),
     ]
@@ -250,8 +250,8 @@ def account_entity(txns: DataFrame, as_of=None) -> DataFrame:
         F.count(F.lit(1)).alias("total_transaction_count"),
         _count_if(is_in).alias("total_incoming_count"),
         _count_if(is_out).alias("total_outgoing_count"),
-        money_sum(F.col("amount"), is_in).alias("total_incoming_amount"),
-        money_sum(F.col("amount"), is_out).alias("total_outgoing_amount"),
+        money_sum(F.col("money"), is_in).alias("total_incoming_amount"),
+        money_sum(F.col("money"), is_out).alias("total_outgoing_amount"),
         F.max("is_mule_pattern").alias("is_mule_pattern"),
     )
 

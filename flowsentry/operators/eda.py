@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.functions.exprs import flag, money_sum, safe_div
+from flowsentry.functions.exprs import MONEY, flag, money_sum, safe_div
 from flowsentry.functions.segments import quantiles
 
 AMOUNT = "amount"
@@ -23,7 +23,12 @@ def hourly_volume(txns: DataFrame) -> DataFrame:
     )
 
 
-def amount_distribution(txns: DataFrame) -> DataFrame:
+def amount_counts(txns: DataFrame) -> DataFrame:
+    """(is_mule_pattern, amount, n): the grain all amount quantiles are taken from."""
+    return txns.groupBy("is_mule_pattern", "amount").agg(F.count(F.lit(1)).alias("n"))
+
+
+def amount_distribution(txns: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Moments and exact percentiles; skewness carries the sample bias correction."""
     n = F.count("amount")
     skew = F.skewness("amount") * F.sqrt(n * (n - 1)) / F.greatest(n - 2, F.lit(1))
@@ -35,10 +40,10 @@ def amount_distribution(txns: DataFrame) -> DataFrame:
         F.stddev_samp("amount").alias("std_amount"),
         skew.alias("skewness"),
     )
-    counts = txns.groupBy("amount").agg(F.count(F.lit(1)).alias("n"))
+    counts = (counts if counts is not None else amount_counts(txns)).groupBy("amount").agg(F.sum("n").alias("n"))
     cuts = quantiles(counts, [], "amount", "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
-    one_row = [cuts.select(c).scalar().alias(c) for c in cuts.columns]
-    return moments.select("*", *one_row)
+    packed = cuts.select(F.struct(*cuts.columns).alias("q")).scalar()
+    return moments.withColumn("_q", packed).select(*moments.columns, "_q.*")
 
 
 def label_distribution(txns: DataFrame) -> DataFrame:
@@ -52,8 +57,8 @@ def label_distribution(txns: DataFrame) -> DataFrame:
     )
 
 
-def amount_by_label(txns: DataFrame) -> DataFrame:
-    counts = txns.groupBy("is_mule_pattern", "amount").agg(F.count(F.lit(1)).alias("n"))
+def amount_by_label(txns: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    counts = counts if counts is not None else amount_counts(txns)
     stats = txns.groupBy("is_mule_pattern").agg(
         F.count(F.lit(1)).alias("txn_count"),
         (money_sum(F.col(AMOUNT)) / F.count(F.lit(1))).alias("mean_amount"),
@@ -65,24 +70,40 @@ def amount_by_label(txns: DataFrame) -> DataFrame:
 
 
 def by_type(txns: DataFrame) -> DataFrame:
-    total = txns.agg(money_sum(F.col(AMOUNT))).scalar()
+    """Count, volume, volume share and label rate per transaction type."""
     flagged = F.count_if(F.col("is_mule_pattern") == 1)
-    return txns.groupBy("transaction_type").agg(
+    types = txns.groupBy("transaction_type").agg(
         F.count(F.lit(1)).alias("txn_count"),
         money_sum(F.col(AMOUNT)).alias("total_amount"),
         flagged.alias("flagged"),
         safe_div(flagged, F.count(F.lit(1))).alias("flagged_rate"),
-    ).withColumn("volume_pct", safe_div(F.col("total_amount") * 100.0, total))
+        F.sum(F.col(AMOUNT).cast(MONEY)).alias("_exact"),
+    )
+    # one row per type: the grand total is a window over a handful of rows
+    whole = F.sum("_exact").over(Window.partitionBy()).cast("double")
+    return types.withColumn("volume_pct", safe_div(F.col("total_amount") * 100.0, whole)).drop("_exact")
 
 
-def role_activity(txns: DataFrame) -> DataFrame:
-    """Per role: accounts, transfers per account (mean, max) and accounts with more than one."""
+def account_roles(txns: DataFrame) -> DataFrame:
+    """(account_id, n_sender, n_receiver, amount_sender, amount_receiver): the grain of all role reports."""
     sides = F.array(
-        F.struct(F.lit("sender").alias("role"), F.col("sender_account_id").alias("account_id")),
-        F.struct(F.lit("receiver").alias("role"), F.col("receiver_account_id").alias("account_id")),
+        F.struct(F.col("sender_account_id").alias("account_id"), F.lit(True).alias("sent")),
+        F.struct(F.col("receiver_account_id").alias("account_id"), F.lit(False).alias("sent")),
+    )
+    sent = F.col("s.sent")
+    return txns.select(F.explode(sides).alias("s"), F.col(AMOUNT).cast(MONEY).alias("money")).groupBy("s.account_id").agg(
+        F.count_if(sent).alias("n_sender"),
+        F.count_if(~sent).alias("n_receiver"),
+        money_sum(F.col("money"), sent).alias("amount_sender"),
+        money_sum(F.col("money"), ~sent).alias("amount_receiver"),
     )
-    per_account = txns.select(F.explode(sides).alias("s")).groupBy("s.role", "s.account_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_account.groupBy("role").agg(
+
+
+def role_activity(roles: DataFrame) -> DataFrame:
+    """Per role: accounts, transfers per account (mean, max) and accounts with more than one."""
+    both = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"n_{r}").alias("n")) for r in ("sender", "receiver")])
+    per_role = roles.select(F.explode(both).alias("r")).select("r.*").where(F.col("n") > 0)
+    return per_role.groupBy("role").agg(
         F.count(F.lit(1)).alias("unique_accounts"),
         (F.sum("n") / F.count(F.lit(1))).alias("mean_txns"),
         F.max("n").alias("max_txns"),
@@ -90,33 +111,22 @@ def role_activity(txns: DataFrame) -> DataFrame:
     )
 
 
-def flow_roles(txns: DataFrame) -> DataFrame:
-    """Pure senders, pure receivers and pass-through accounts (one aggregation instead of set operators)."""
-    sides = F.array(
-        F.struct(F.col("sender_account_id").alias("account_id"), F.lit(1).alias("bit")),
-        F.struct(F.col("receiver_account_id").alias("account_id"), F.lit(2).alias("bit")),
-    )
-    masks = txns.select(F.explode(sides).alias("s")).groupBy("s.account_id").agg(F.bit_or("s.bit").alias("mask"))
+def flow_roles(roles: DataFrame) -> DataFrame:
+    """Pure senders, pure receivers and pass-through accounts."""
     n = F.count(F.lit(1))
-
-    def share(mask: int):
-        return safe_div(F.count_if(F.col("mask") == mask) * 100.0, n)
-
-    return masks.agg(
+    sends, receives = F.col("n_sender") > 0, F.col("n_receiver") > 0
+    kinds = {"pure_senders": sends & ~receives, "pure_receivers": receives & ~sends, "pass_through": sends & receives}
+    return roles.agg(
         n.alias("accounts"),
-        F.count_if(F.col("mask") == 1).alias("pure_senders"),
-        F.count_if(F.col("mask") == 2).alias("pure_receivers"),
-        F.count_if(F.col("mask") == 3).alias("pass_through"),
-        share(1).alias("pure_senders_pct"),
-        share(2).alias("pure_receivers_pct"),
-        share(3).alias("pass_through_pct"),
+        *[F.count_if(cond).alias(name) for name, cond in kinds.items()],
+        *[safe_div(F.count_if(cond) * 100.0, n).alias(f"{name}_pct") for name, cond in kinds.items()],
     )
 
 
-def top_accounts(txns: DataFrame, role: str = "sender", k: int = 5) -> DataFrame:
+def top_accounts(roles: DataFrame, role: str = "sender", k: int = 5) -> DataFrame:
     return (
-        txns.groupBy(F.col(f"{role}_account_id").alias("account_id"))
-        .agg(F.count(F.lit(1)).alias("txn_count"), money_sum(F.col(AMOUNT)).alias("total_amount"))
+        roles.where(F.col(f"n_{role}") > 0)
+        .select("account_id", F.col(f"n_{role}").alias("txn_count"), F.col(f"amount_{role}").alias("total_amount"))
         .orderBy(F.desc("txn_count"), "account_id")
         .limit(k)
     )

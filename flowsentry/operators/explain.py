@@ -183,5 +183,5 @@ def connected_counterparties(leg_rows: DataFrame, scored: DataFrame, score_above
 
 def counterparty_totals(leg_rows: DataFrame, account_id: str) -> DataFrame:
     return leg_rows.where(F.col("account_id") == account_id).groupBy("counterparty", "direction").agg(
-        money_sum(F.col("amount")).alias("total_amount"), F.count(F.lit(1)).alias("txn_count")
+        money_sum(F.col("money")).alias("total_amount"), F.count(F.lit(1)).alias("txn_count")
     )

@@ -28,7 +28,7 @@ MULE_FLOW_COLUMNS = [
 
 def instants(leg_rows: DataFrame) -> DataFrame:
     """One row per (account, µs): how many and how much came in and went out."""
-    money = F.col("amount").cast(MONEY)
+    money = F.col("money")
     is_in, is_out = F.col("direction") == "in", F.col("direction") == "out"
     return (
         leg_rows.groupBy("account_id", "us")
@@ -107,7 +107,7 @@ def mule_flow_exprs():
 
 def mule_flow(txns: DataFrame, as_of=None) -> DataFrame:
     rows = legs(until(txns, as_of))
-    money = F.col("amount").cast(MONEY)
+    money = F.col("money")
     totals = rows.groupBy("account_id").agg(
         F.coalesce(F.sum(F.when(F.col("direction") == "in", money)).cast("double"), F.lit(0.0)).alias("total_in"),
         F.coalesce(F.sum(F.when(F.col("direction") == "out", money)).cast("double"), F.lit(0.0)).alias("total_out"),

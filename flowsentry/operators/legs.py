@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.functions.exprs import MONEY
+
 
 def until(txns: DataFrame, as_of=None) -> DataFrame:
     """Keep transfers up to `as_of` (a timestamp literal), so no future leaks in."""
@@ -21,7 +23,11 @@ def reference_us(txns: DataFrame, as_of=None) -> Column:
 
 
 def legs(txns: DataFrame, *extra: str) -> DataFrame:
-    """One scan, two rows per transfer: direction 'out' for the sender, 'in' for the receiver."""
+    """One scan, two rows per transfer: direction 'out' for the sender, 'in' for the receiver.
+
+    `money` is the amount as an exact decimal, converted once per transfer below
+    the explode because that conversion is the costly part of every exact sum.
+    """
     sides = F.array(
         F.struct(
             F.col("sender_account_id").alias("account_id"),
@@ -35,5 +41,6 @@ def legs(txns: DataFrame, *extra: str) -> DataFrame:
         ),
     )
     return txns.select(
-        F.explode(sides).alias("side"), "timestamp", F.unix_micros("timestamp").alias("us"), "amount", *extra
-    ).select("side.account_id", "side.counterparty", "side.direction", "timestamp", "us", "amount", *extra)
+        F.explode(sides).alias("side"), "timestamp", F.unix_micros("timestamp").alias("us"), "amount",
+        F.col("amount").cast(MONEY).alias("money"), *extra,
+    ).select("side.account_id", "side.counterparty", "side.direction", "timestamp", "us", "amount", "money", *extra)

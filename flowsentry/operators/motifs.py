@@ -13,39 +13,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.exprs import flag
+from flowsentry.functions.segments import row_index
 from flowsentry.operators.graph import nodes
 from flowsentry.session import cut
 
 
-def _ranked_pairs(edge_rows: DataFrame) -> DataFrame:
-    """Undirected pairs oriented low -> high with direction flags and loop flags.
+def _ranked_accounts(edge_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, loop, rank): accounts numbered by (undirected degree, id)."""
+    loops = edge_rows.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"), F.lit(1).cast("long").alias("loop"))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
+    info = (
+        nodes(edge_rows)
+        .join(degree, "id", "left")
+        .join(loops, "id", "left")
+        .select("id", F.coalesce("deg", F.lit(0).cast("long")).alias("deg"), F.coalesce("loop", F.lit(0).cast("long")).alias("loop"))
+    )
+    return row_index(info, [F.col("deg"), F.col("id")], "rank").select("id", "loop", "rank")
+
 
-    lo/hi are structs (degree, id), whose natural order is the orientation.
+def _ranked_pairs(pairs: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Undirected pairs oriented low -> high rank, with direction and loop flags.
+
+    Ranks are longs, so wedges shuffle and compare integers instead of account ids.
     """
-    plain = edge_rows.where(F.col("src") != F.col("dst"))
-    forward = F.col("src") < F.col("dst")
-    pairs = plain.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
-        F.max(F.when(forward, 1).otherwise(0)).alias("ab"), F.max(F.when(~forward, 1).otherwise(0)).alias("ba")
-    )
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
-    loops = edge_rows.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"), F.lit(1).alias("loop"))
-    info = degree.join(loops, "id", "left").select("id", "deg", F.coalesce("loop", F.lit(0)).alias("loop"))
-    a, b = (info.select(F.col("id").alias(x), F.col("deg").alias(f"{x}_deg"), F.col("loop").alias(f"{x}_loop")) for x in "ab")
+    a, b = (accounts.select(F.col("id").alias(x), F.col("rank").alias(f"{x}_rank"), F.col("loop").alias(f"{x}_loop")) for x in "ab")
     full = pairs.join(a, "a").join(b, "b")
-    low_is_a = F.struct(F.col("a_deg"), F.col("a")) < F.struct(F.col("b_deg"), F.col("b"))
+    low_is_a = F.col("a_rank") < F.col("b_rank")
 
-    def pick(when_a, when_b):
-        return F.when(low_is_a, when_a).otherwise(when_b)
+    def pick(when_a: str, when_b: str):
+        return F.when(low_is_a, F.col(when_a)).otherwise(F.col(when_b))
 
-    a_key = F.struct(F.col("a_deg").alias("deg"), F.col("a").alias("id"))
-    b_key = F.struct(F.col("b_deg").alias("deg"), F.col("b").alias("id"))
     return full.select(
-        pick(a_key, b_key).alias("lo"),
-        pick(b_key, a_key).alias("hi"),
-        pick(F.col("ab"), F.col("ba")).alias("up"),
-        pick(F.col("ba"), F.col("ab")).alias("down"),
-        pick(F.col("a_loop"), F.col("b_loop")).alias("lo_loop"),
-        pick(F.col("b_loop"), F.col("a_loop")).alias("hi_loop"),
+        pick("a_rank", "b_rank").alias("lo"),
+        pick("b_rank", "a_rank").alias("hi"),
+        pick("ab", "ba").alias("up"),
+        pick("ba", "ab").alias("down"),
+        pick("a_loop", "b_loop").alias("lo_loop"),
+        pick("b_loop", "a_loop").alias("hi_loop"),
+    )
+
+
+def _pairs(edge_rows: DataFrame) -> DataFrame:
+    """(a < b, ab, ba): undirected pairs with the directions that exist."""
+    plain = edge_rows.where(F.col("src") != F.col("dst"))
+    forward = F.col("src") < F.col("dst")
+    return plain.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+        F.max(F.when(forward, 1).otherwise(0)).alias("ab"), F.max(F.when(~forward, 1).otherwise(0)).alias("ba")
     )
 
 
@@ -64,7 +77,7 @@ def _triangles(pairs: DataFrame) -> DataFrame:
     product = (F.col("xy") + F.col("yx")) * (F.col("yz") + F.col("zy")) * (F.col("xz") + F.col("zx"))
     loop_sum = F.col("x_loop") + F.col("y_loop") + F.col("z_loop")
     corners = F.array(
-        *[F.struct(F.col(c).getField("id").alias("id"), (loop_sum + F.col(f"{c}_loop")).alias("loops")) for c in "xyz"]
+        *[F.struct(F.col(c).alias("id"), (loop_sum + F.col(f"{c}_loop")).alias("loops")) for c in "xyz"]
     )
     return (
         found.select(F.explode(corners).alias("c"), cycles.alias("cycles"), product.alias("product"))
@@ -105,11 +118,11 @@ def _four_cycles(pairs: DataFrame) -> DataFrame:
         .withColumn("n_cycles", F.col("n_out") * F.col("n_back") - F.col("n_both"))
         .where(F.col("n_cycles") > 0)
     )
-    at_tips = tips.select(F.explode(F.array("apex.id", "end.id")).alias("id"), F.col("n_cycles").alias("n"))
+    at_tips = tips.select(F.explode(F.array("apex", "end")).alias("id"), F.col("n_cycles").alias("n"))
     at_mid = (
         wedges.join(tips, ["apex", "end"])
         .select(
-            F.col("mid.id").alias("id"),
+            F.col("mid").alias("id"),
             (F.col("out") * (F.col("n_back") - F.col("back")) + F.col("back") * (F.col("n_out") - F.col("out"))).alias("n"),
         )
     )
@@ -122,8 +135,8 @@ def _reciprocal(pairs: DataFrame) -> DataFrame:
     links = mutual.select(
         F.explode(
             F.array(
-                F.struct(F.col("lo.id").alias("id"), F.col("hi.id").alias("other"), F.col("hi_loop").alias("other_loop")),
-                F.struct(F.col("hi.id").alias("id"), F.col("lo.id").alias("other"), F.col("lo_loop").alias("other_loop")),
+                F.struct(F.col("lo").alias("id"), F.col("hi").alias("other"), F.col("hi_loop").alias("other_loop")),
+                F.struct(F.col("hi").alias("id"), F.col("lo").alias("other"), F.col("lo_loop").alias("other_loop")),
             )
         ).alias("l")
     ).select("l.*")
@@ -138,16 +151,16 @@ def _reciprocal(pairs: DataFrame) -> DataFrame:
 
 def motif_features(edge_rows: DataFrame) -> DataFrame:
     """cycle_count, short-cycle flags and directed clustering coefficient per account."""
-    pairs = cut(_ranked_pairs(edge_rows))
-    loops = edge_rows.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"), F.lit(1).cast("long").alias("loop"))
+    unranked = cut(_pairs(edge_rows))
+    accounts = cut(_ranked_accounts(edge_rows, unranked))
+    pairs = cut(_ranked_pairs(unranked, accounts))
     pair_degree = (
-        pairs.select(F.explode(F.array("lo.id", "hi.id")).alias("id"), (F.col("up") + F.col("down")).alias("d"), (F.col("up") * F.col("down")).alias("m"))
+        pairs.select(F.explode(F.array("lo", "hi")).alias("id"), (F.col("up") + F.col("down")).alias("d"), (F.col("up") * F.col("down")).alias("m"))
         .groupBy("id")
         .agg(F.sum("d").alias("deg_total"), F.sum("m").alias("deg_mutual"))
     )
     joined = (
-        nodes(edge_rows)
-        .join(loops, "id", "left")
+        accounts.select(F.col("id").alias("account_id"), F.col("rank").alias("id"), "loop")
         .join(pair_degree, "id", "left")
         .join(_reciprocal(pairs), "id", "left")
         .join(_triangles(pairs), "id", "left")
@@ -168,7 +181,7 @@ def motif_features(edge_rows: DataFrame) -> DataFrame:
     total = (walks2 + walks3 + walks4).cast("long")
     wedge_count = F.col("deg_total") * (F.col("deg_total") - 1) - 2 * F.col("deg_mutual")
     return joined.select(
-        F.col("id").alias("account_id"),
+        "account_id",
         total.alias("cycle_count"),
         flag(total > 0).alias("is_in_short_cycle"),
         flag(total > 0).alias("short_cycle_indicator"),

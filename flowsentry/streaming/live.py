@@ -29,7 +29,7 @@ LIVE_THRESHOLD = 60.0
 LIVE_DEDUP_HOURS = 12.0
 MODEL_VERSION = "live-rules-1"
 
-_LEG_COLUMNS = ["account_id", "counterparty", "direction", "timestamp", "us", "amount", "transaction_id"]
+_LEG_COLUMNS = ["account_id", "counterparty", "direction", "timestamp", "us", "amount", "money", "transaction_id"]
 
 
 def run_to_end(events: DataFrame, handle, checkpoint: str, mode: str = "append") -> StreamingQuery:
