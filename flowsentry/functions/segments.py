@@ -33,6 +33,18 @@ def value_segment(value: Column, resolution: int = VALUE_RESOLUTION) -> Column:
     return (F.signum(value) * magnitude).cast("long")
 
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with a full key and segment.
+
+    The helpers join a frame with its own segment summary. Stating the not-null
+    condition of that join here keeps both uses of the frame identical, so that
+    Spark runs its scan and shuffle once and reuses the exchange.
+    """
+    for name in [*keys, SEG]:
+        df = df.where(F.col(name).isNotNull())
+    return df
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,6 +56,7 @@ def running_totals(
 
     `df` needs a `_seg` column and one row per (keys, order).
     """
+    df = _keyed(df, keys)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inside = (
         Window.partitionBy(*keys, SEG).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -69,6 +82,7 @@ def next_marked(
 
     One row per (keys, order). `strict` excludes the row itself.
     """
+    df = _keyed(df, keys)
     pick = F.max if backward else F.min
     first = (lambda c: F.col(c).asc()) if backward else (lambda c: F.col(c).desc())
     inside = (
@@ -95,6 +109,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
     One row per (keys, order).
     """
+    df = _keyed(df, keys)
     inside = Window.partitionBy(*keys, SEG).orderBy(order)
     along = Window.partitionBy(*keys).orderBy(SEG)
     edges = (
@@ -120,7 +135,7 @@ def quantiles(
     Histogram selection: segment totals locate the order statistics, and only the
     segments that hold one are ordered. Equal to NumPy's default `percentile`.
     """
-    binned = counts.where(F.col(value).isNotNull()).withColumn(SEG, value_segment(F.col(value)))
+    binned = _keyed(counts.where(F.col(value).isNotNull()).withColumn(SEG, value_segment(F.col(value))), keys)
     ordered = Window.partitionBy(*keys).orderBy(SEG)
     whole = Window.partitionBy(*keys)
     hist = (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.exprs import DAY_US, EPS, HOUR_US, MINUTE_US, MONEY, flag, money_sum, ratio
 from flowsentry.functions.segments import quantiles
-from flowsentry.operators.flow import strict_forward_minutes
+from flowsentry.operators.flow import instants, strict_forward_minutes
 from flowsentry.operators.legs import legs, reference_us, until
 
 # Night hours and early-morning bound of the feature definitions.
@@ -213,7 +213,7 @@ def behavioral(
     kept = until(txns, as_of)
     rows = legs(kept)
     t_ref = reference_us(kept, as_of)
-    frame = _join([activity(rows, t_ref), active_days(rows, t_ref), counterparties(rows), strict_forward_minutes(rows)])
+    frame = _join([activity(rows, t_ref), active_days(rows, t_ref), counterparties(rows), strict_forward_minutes(instants(rows))])
     return with_age(frame, t_ref).select(
         "account_id", *behavioral_exprs(high_volume_threshold, new_account_age_days)
     )

@@ -42,10 +42,10 @@ def instants(leg_rows: DataFrame) -> DataFrame:
     )
 
 
-def matched_inflows(leg_rows: DataFrame, strict: bool) -> DataFrame:
+def matched_inflows(at: DataFrame, strict: bool) -> DataFrame:
     """Instants with inflow and the first outflow at (or, if strict, after) them."""
     return (
-        next_marked(instants(leg_rows), ["account_id"], "us", F.col("n_out") > 0, "out_us", strict)
+        next_marked(at, ["account_id"], "us", F.col("n_out") > 0, "out_us", strict)
         .where((F.col("n_in") > 0) & F.col("out_us").isNotNull())
         .withColumn("delay_us", F.col("out_us") - F.col("us"))
     )
@@ -57,17 +57,18 @@ def _mean_minutes(weight: str, delay: str):
     return (total.cast("double") / F.sum(weight)) / F.lit(60_000_000.0)
 
 
-def strict_forward_minutes(leg_rows: DataFrame) -> DataFrame:
+def strict_forward_minutes(at: DataFrame) -> DataFrame:
+    """Mean minutes to the first strictly later outflow, from an `instants` frame."""
     return (
-        matched_inflows(leg_rows, strict=True)
+        matched_inflows(at, strict=True)
         .groupBy("account_id")
         .agg(_mean_minutes("n_in", "delay_us").alias("strict_forward_minutes"))
     )
 
 
-def flow_statistics(leg_rows: DataFrame) -> DataFrame:
+def flow_statistics(at: DataFrame) -> DataFrame:
     """Delay and amount statistics over the matched inflows of each account."""
-    matched = matched_inflows(leg_rows, strict=False).withColumn("minutes", F.col("delay_us") / F.lit(60_000_000.0))
+    matched = matched_inflows(at, strict=False).withColumn("minutes", F.col("delay_us") / F.lit(60_000_000.0))
     volume = F.sum("amt_in").cast("double") + F.lit(EPS)
 
     def share(limit: float):
@@ -112,7 +113,7 @@ def mule_flow(txns: DataFrame, as_of=None) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("direction") == "in", money)).cast("double"), F.lit(0.0)).alias("total_in"),
         F.coalesce(F.sum(F.when(F.col("direction") == "out", money)).cast("double"), F.lit(0.0)).alias("total_out"),
     )
-    return totals.join(flow_statistics(rows), "account_id", "left").select("account_id", *mule_flow_exprs())
+    return totals.join(flow_statistics(instants(rows)), "account_id", "left").select("account_id", *mule_flow_exprs())
 
 
 def forward_pairs(txns: DataFrame, strict: bool = False, rapid_minutes: float = 15.0) -> DataFrame:
@@ -121,7 +122,7 @@ def forward_pairs(txns: DataFrame, strict: bool = False, rapid_minutes: float =
     Among outflows at the same instant the smallest transaction id is reported.
     """
     rows = legs(txns, "transaction_id")
-    matched = matched_inflows(rows, strict).select("account_id", "us", "out_us")
+    matched = matched_inflows(instants(rows), strict).select("account_id", "us", "out_us")
     outs = (
         rows.where(F.col("direction") == "out")
         .groupBy("account_id", F.col("us").alias("out_us"))

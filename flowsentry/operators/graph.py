@@ -15,6 +15,15 @@ def edges(txns: DataFrame) -> DataFrame:
     )
 
 
+def edge_sides(edge_rows: DataFrame) -> DataFrame:
+    """(account_id, counterparty, direction) of every edge from both of its ends."""
+    ends = F.array(
+        F.struct(F.col("src").alias("account_id"), F.col("dst").alias("counterparty"), F.lit("out").alias("direction")),
+        F.struct(F.col("dst").alias("account_id"), F.col("src").alias("counterparty"), F.lit("in").alias("direction")),
+    )
+    return edge_rows.select(F.explode(ends).alias("e")).select("e.*")
+
+
 def nodes(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from flowsentry.operators import account_features as af
 from flowsentry.operators import flow
 from flowsentry.operators.centrality import betweenness, pagerank
-from flowsentry.operators.graph import degree_features, edges
+from flowsentry.operators.graph import degree_features, edge_sides, edges
 from flowsentry.operators.legs import legs, reference_us, until
 from flowsentry.operators.motifs import motif_features
 from flowsentry.session import cut
@@ -72,15 +72,18 @@ def build_feature_matrix(
     kept = until(txns, as_of)
     rows = legs(kept)
     t_ref = reference_us(kept, as_of)
+    # two reduced forms of the legs that several groups read: edges and (account, instant) sums
+    edge_rows = cut(edges(kept))
+    at = cut(flow.instants(rows))
     parts = [
         af.activity(rows, t_ref),
         af.median_amount(rows),
         af.active_days(rows, t_ref),
-        af.counterparties(rows),
-        flow.strict_forward_minutes(rows),
+        af.counterparties(edge_sides(edge_rows)),
+        flow.strict_forward_minutes(at),
     ]
     if extended:
-        parts.append(flow.flow_statistics(rows))
+        parts.append(flow.flow_statistics(at))
     account = cut(af.with_age(reduce(lambda a, b: a.join(b, "account_id", "left"), parts), t_ref))
     scored = af.with_amount_zscore(account).select(
         "account_id",
@@ -95,7 +98,7 @@ def build_feature_matrix(
         ratios = account.select("account_id", *af.temporal_exprs())
         scores = af.with_velocity_score(ratios).select("account_id", "velocity_change_score")
         scored = scored.join(scores, "account_id")
-    matrix = scored.join(graph_features(cut(edges(kept)), pagerank_iterations, pivots), "account_id", "full")
+    matrix = scored.join(graph_features(edge_rows, pagerank_iterations, pivots), "account_id", "full")
     columns = EXTENDED_COLUMNS if extended else CORE_COLUMNS
     if "is_mule_pattern" in kept.columns:
         matrix = matrix.join(af.account_labels(kept, label_scope), "account_id", "left")

@@ -189,12 +189,14 @@ class LiveScorer:
         past = self._before(spark, "legs", batch_id)
         union = new.withColumn("_new", F.lit(True))
         if past is not None:
-            recent = past.where(F.col("us") >= earliest - DAY_US).select(*_LEG_COLUMNS)
+            # the day folders prune the listing of older batches, the time test trims the rest
+            since = F.timestamp_micros(F.lit(earliest - DAY_US))
+            recent = past.where((F.col("day") >= F.to_date(since)) & (F.col("us") >= earliest - DAY_US)).select(*_LEG_COLUMNS)
             union = union.unionByName(recent.withColumn("_new", F.lit(False)))
         features = rolling_features(union.drop("_new")).join(
             new.select("transaction_id", "direction"), ["transaction_id", "direction"], "left_semi"
         )
-        self._write(new, "legs", batch_id)
+        self._write(new.withColumn("day", F.to_date("timestamp")), "legs", batch_id, "day")
         stored = self._write(features, "features", batch_id)
         scored = score_events(stored, self.network)
         existing = self._before(spark, "alerts", batch_id)
@@ -202,9 +204,9 @@ class LiveScorer:
         self._write(touched, "alerts", batch_id)
         self._write(audit_records(scored, self.threshold), "audit", batch_id)
 
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+    def _write(self, df: DataFrame, name: str, batch_id: int, *folders: str) -> DataFrame:
         target = f"{self.path(name)}/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").partitionBy(*folders).parquet(target)
         return df.sparkSession.read.parquet(target)
 
     def result(self, spark, name: str) -> DataFrame:
