@@ -31,9 +31,8 @@ def eda_report(txns: DataFrame) -> DataFrame:
     hours = t.groupBy(F.date_trunc("hour", "timestamp").alias("hour_start"), "is_mule_pattern").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast("decimal(28,8)")).alias("amount")
     )
-    hours = cut(hours)  # calendar-sized: daily, hourly and hour-of-day views come from it
-    roles = cut(eda.account_roles(t))
-    counts = cut(eda.amount_counts(t))
+    # daily, hourly and hour-of-day views all come from the calendar-sized `hours`
+    roles, counts = cut(eda.account_roles(t)), eda.amount_counts(t)
     n, flagged = F.sum("n"), F.sum(F.when(F.col("is_mule_pattern") == 1, F.col("n")).otherwise(0))
     daily = hours.groupBy(F.to_date("hour_start").alias("day")).agg(n.alias("txn_count"), F.sum("amount").alias("total_amount"))
     hourly = hours.groupBy("hour_start").agg(n.alias("txn_count"), F.sum("amount").alias("total_amount"))
