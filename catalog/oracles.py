@@ -741,3 +741,19 @@ _SECTIONS = [
     _section("top_receivers", _body("eda_top_receivers"), "account_id", "txn_count total_amount"),
 ]
 ORACLES |= {"eda_report": f"WITH {ORDERS}, rep AS ({' UNION ALL '.join(_SECTIONS)}) SELECT section, key, metric, round(value, 4) AS value FROM rep"}
+
+_IDX = "ix AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(ALL_FEATURES)) + ") v(i, feature))"
+ORACLES |= {
+    "top_deviating": f"""WITH {FEAT}, {_unpivot('feat', 'is_mule_pattern')}, {_IDX}, m AS (SELECT account_id, avg(value) AS mu, stddev_pop(value) AS sd FROM longf GROUP BY 1),
+ d AS (SELECT account_id, feature, i, abs(value - mu) / (sd + 1e-9) AS dev FROM longf JOIN m USING (account_id) JOIN ix USING (feature)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY round(dev, 12) DESC, i) AS k FROM d) SELECT account_id, string_agg(feature, ',' ORDER BY k) AS top_features FROM r WHERE k <= 3 GROUP BY 1""",
+    "class_rate_shift": f"""WITH {FEAT}, {FEEDBACK}, v AS (SELECT count(*) FILTER (WHERE decision = 'CONFIRMED_MULE') AS p, count(*) FILTER (WHERE decision IN ('LEGITIMATE', 'FALSE_POSITIVE')) AS q FROM fb)
+ SELECT round((SELECT avg(is_mule_pattern) * 100.0::DOUBLE FROM feat), 6) AS baseline_rate, p * 100.0::DOUBLE / (p + q) AS validated_rate, p + q AS validated FROM v""",
+    "live_network_scores": f"""WITH {SCORED}, vt AS (SELECT * FROM legs WHERE account_id <> counterparty),
+ {ROLLING.replace('FROM legs', 'FROM vt').replace('legs.*', 'vt.*').replace('round((amount - mean) / CASE WHEN c24 > 1 THEN greatest(sd, 1.0) ELSE 1.0 END, 6)', '(amount - mean) / CASE WHEN c24 > 1 THEN greatest(sd, 1.0) ELSE 1.0 END')},
+ z AS (SELECT transaction_id, rf.account_id AS sender_id, counterparty AS receiver_id, coalesce(scored.network_risk_score, 0.0) AS net,
+ least(greatest(0.5::DOUBLE * least(1.0, txn_count_1h / 10.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN avg_time_to_forward_funds_minutes < 15 THEN 1.0 ELSE 0.0 END + 0.2::DOUBLE * odd_hour_txn_ratio, 0.0), 1.0) AS p,
+ least(greatest((amount_zscore_avg / 4.0::DOUBLE + odd_hour_txn_ratio) / 2.0::DOUBLE, 0.0), 1.0) AS a FROM rf LEFT JOIN scored ON scored.account_id = rf.account_id WHERE direction = 'out'),
+ z2 AS (SELECT *, round(least(greatest((0.6::DOUBLE * p + 0.25::DOUBLE * a + 0.15::DOUBLE * (net / 100)) * 100, 0.0), 100.0), 1) AS risk_score FROM z)
+ SELECT transaction_id, sender_id, receiver_id, round(net, 6) AS network_risk_score, risk_score, {TIER.format('risk_score')} AS risk_tier FROM z2""",
+}

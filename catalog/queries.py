@@ -980,3 +980,40 @@ def model_comparison(spark, sf_dir):
 def eda_report(spark, sf_dir):
     rows = eda_report_plan.eda_report(tables.txn_orders(spark, sf_dir))
     return shown(rows, "value", digits=4)
+
+
+@query
+def top_deviating(spark, sf_dir):
+    """The three features of each account that stand out most from its own row."""
+    names = F.array_join(scoring.top_deviating(STAT_COLUMNS), ",")
+    return matrix(spark, sf_dir).select("account_id", names.alias("top_features"))
+
+
+@query
+def class_rate_shift(spark, sf_dir):
+    return shown(cases.class_rate_shift(matrix(spark, sf_dir), feedback_log(spark, sf_dir)), "baseline_rate")
+
+
+@query
+def proxy_labels(spark, sf_dir):
+    return isolation.proxy_labels(matrix(spark, sf_dir), STAT_COLUMNS).select("account_id", "anomaly_score", "label")
+
+
+@query
+def feature_groups(spark, sf_dir):
+    return dictionary.group_counts(stored("selection", QUERIES["feature_selection"], spark, sf_dir))
+
+
+@query
+def feature_top(spark, sf_dir):
+    report = stored("selection", QUERIES["feature_selection"], spark, sf_dir)
+    return dictionary.top_report(report, 10).select("feature", "feature_group", "composite_score", "composite_rank")
+
+
+@query
+def live_network_scores(spark, sf_dir):
+    """Streamed rolling features scored against the batch job's network risk table."""
+    features = _live(spark, sf_dir).result(spark, "features")
+    scored = live.score_events(features, scored_accounts(spark, sf_dir).select("account_id", "network_risk_score"))
+    rows = scored.select("transaction_id", "sender_id", "receiver_id", "network_risk_score", "risk_score", "risk_tier")
+    return shown(rows, "network_risk_score")

@@ -94,6 +94,22 @@ def candidate_summary(candidates: DataFrame, label: str = "is_mule_pattern") ->
     )
 
 
+def class_rate_shift(features: DataFrame, feedback: DataFrame, label: str = "is_mule_pattern") -> DataFrame:
+    """Share of positives in the training labels against the share analysts confirmed.
+
+    Without validated feedback the second rate equals the first.
+    """
+    rates = features.agg((F.avg(F.col(label).cast("double")) * 100.0).alias("baseline_rate"))
+    validated = summary(feedback).select("validated_positives", "validated_negatives")
+    packed = validated.select(F.struct("validated_positives", "validated_negatives")).scalar()
+    pos, neg = F.col("_v.validated_positives"), F.col("_v.validated_negatives")
+    return rates.withColumn("_v", packed).select(
+        "baseline_rate",
+        F.coalesce(F.try_divide(pos * 100.0, (pos + neg).cast("double")), F.col("baseline_rate")).alias("validated_rate"),
+        (pos + neg).alias("validated"),
+    )
+
+
 def compare_models(production: DataFrame, candidate: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Metric deltas of two 1-row metric tables and the promotion recommendation."""
     names = ("precision", "recall", "f1", "pr_auc")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.segments import quantiles, row_index
 from flowsentry.operators import stats
+from flowsentry.operators.isolation import IsolationForest
 from flowsentry.operators.scoring import ARCHETYPE_FEATURES, threshold_table
 from flowsentry.session import cut
 
@@ -46,6 +47,14 @@ def stratified_split(df: DataFrame, label: str, shares=SPLIT, seed: int = 42) ->
     return drawn.withColumn("fold", fold).drop("_u", "_a", "_b", "_class")
 
 
+def auto_split(df: DataFrame, label: str, time_columns=("first_transaction_time", "timestamp", "created_at"), seed: int = 42) -> DataFrame:
+    """Temporal split on the first time column present, else a stratified one."""
+    for name in time_columns:
+        if name in df.columns:
+            return temporal_split(df, name)
+    return stratified_split(df, label, seed=seed)
+
+
 def split_report(split: DataFrame, label: str, order: str | None = None) -> DataFrame:
     """Rows, class counts and period of every fold."""
     period = [F.min(order).cast("string").alias("first"), F.max(order).cast("string").alias("last")] if order else []
@@ -125,6 +134,13 @@ def train_boosted(split: DataFrame, columns: list[str], label: str, max_iter: in
     return Trained(model, columns, kept, evaluate(with_probability(model, test), label))
 
 
+def train_or_detect(split: DataFrame, columns: list[str], label: str, contamination: float = 0.05, **options):
+    """Boosted trees, or an isolation forest when the labels have fewer than two classes."""
+    if split.select(label).where(F.col(label).isNotNull()).distinct().count() < 2:
+        return IsolationForest.fit(split, columns, contamination=contamination)
+    return train_boosted(split, columns, label, **options)
+
+
 def benchmark(split: DataFrame, columns: list[str], label: str, max_iter: int = 40, trees: int = 100, seed: int = 42) -> dict[str, Trained]:
     """Logistic regression, random forest and boosted trees on identical folds."""
     data = cut(_weighted(split, label))

@@ -106,6 +106,15 @@ def build_feature_matrix(
     return matrix.select("account_id", *[F.coalesce(F.col(c).cast(feature_type(c)), F.lit(0).cast(feature_type(c))).alias(c) for c in columns])
 
 
+def feature_table(spark, name: str, txns: DataFrame | None = None, **options) -> DataFrame:
+    """The stored feature table; built from `txns` and saved first when it does not exist."""
+    if not spark.catalog.tableExists(name):
+        if txns is None:
+            raise ValueError(f"no feature table {name}; pass the transactions to build it from")
+        build_feature_matrix(txns, **options).write.mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
 # --- feature contract ------------------------------------------------------------
 
 

@@ -41,6 +41,11 @@ def run_to_end(events: DataFrame, handle, checkpoint: str, mode: str = "append")
     return query
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows the watermark rejected as late, over the progress reports Spark keeps."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def append_to(path: str):
     """Idempotent parquet sink: one folder per micro-batch."""
 
@@ -85,7 +90,8 @@ def alert_starts(hits: DataFrame, last: DataFrame | None, dedup_hours: float = L
     """(account_id, start_us) of every new alert window opened by `hits(account_id, us)`.
 
     A hit opens a window unless one opened within the last `dedup_hours`. One round
-    per window length covered by the data, each a `min` per account.
+    per window length covered by the data, each a `min` per account: one or two in
+    a micro-batch; replay a long backlog in many batches.
     """
     width = int(dedup_hours * HOUR_US)
     spark = hits.sparkSession
