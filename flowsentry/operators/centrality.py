@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.exprs import MONEY
+from flowsentry.functions.segments import row_index
 from flowsentry.operators.graph import nodes
 from flowsentry.session import cut
 
@@ -63,23 +64,35 @@ def betweenness(edge_rows: DataFrame, pivots: int | None = None, seed: int = 42,
     forwards, one per level backwards. Exact up to EXACT_NODE_LIMIT accounts,
     else from PIVOTS sampled start nodes, scaled by n / pivots.
     """
-    links = cut(edge_rows.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    ids = cut(nodes(edge_rows))
+    # accounts are numbered: the per-level frames hold pivots x accounts rows of longs
+    ids = cut(row_index(nodes(edge_rows), [F.col("id")], "no"))
+    links = cut(
+        edge_rows.where(F.col("src") != F.col("dst"))
+        .select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        .distinct()
+        .join(ids.select(F.col("id").alias("a"), F.col("no").alias("src")), "a")
+        .join(ids.select(F.col("id").alias("b"), F.col("no").alias("dst")), "b")
+        .select("src", "dst")
+    )
     n = ids.count()
     if pivots is None and n > EXACT_NODE_LIMIT:
         pivots = PIVOTS
     starts = ids if pivots is None or pivots >= n else ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots)
     used = n if pivots is None else min(pivots, n)
 
-    levels = [cut(starts.select(F.col("id").alias("pivot"), F.col("id").alias("node"), F.lit(1.0).alias("sigma")))]
+    levels = [cut(starts.select(F.col("no").alias("pivot"), F.col("no").alias("node"), F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("pivot", "node")
-    while len(levels) <= max_levels:
+    unseen = used * n - used
+    # the last frontier is the widest: do not expand it when every account is reached
+    while unseen > 0 and len(levels) <= max_levels:
         reached = (
             levels[-1].join(links, F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         )
         fresh = cut(reached.join(seen, ["pivot", "node"], "left_anti"))
-        if fresh.isEmpty():
+        found = fresh.count()
+        if found == 0:
             break
+        unseen -= found
         levels.append(fresh)
         seen = seen.unionByName(fresh.select("pivot", "node"))
 
@@ -105,7 +118,7 @@ def betweenness(edge_rows: DataFrame, pivots: int | None = None, seed: int = 42,
     total = deltas[0]
     for more in deltas[1:]:
         total = total.unionByName(more)
-    summed = total.groupBy(F.col("node").alias("id")).agg(F.sum("delta").alias("delta"))
-    return ids.join(summed, "id", "left").select(
+    summed = total.groupBy(F.col("node").alias("no")).agg(F.sum("delta").alias("delta"))
+    return ids.join(summed, "no", "left").select(
         F.col("id").alias("account_id"), (F.coalesce("delta", F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality")
     )
