@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,17 +169,18 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     counts = cut(counts)
     level = delta / (len(RULES) * max(1, counts.select("stratum").distinct().count()))
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rule = group["rule"].iloc[0]
+    def choose(group: pa.Table) -> pa.Table:
+        stratum, rule = group["stratum"][0].as_py(), group["rule"][0].as_py()
         grid = RULES[rule][1]
         good, bad = np.zeros(len(grid) + 1, dtype=np.int64), np.zeros(len(grid) + 1, dtype=np.int64)
         np.add.at(good, group["first"].to_numpy(), group["good"].to_numpy())
         np.add.at(bad, group["first"].to_numpy(), group["bad"].to_numpy())
         at = choose_cutoff(np.cumsum(good)[:-1], np.cumsum(bad)[:-1], int(good.sum()), alpha / len(RULES), level)
-        return pd.DataFrame({"stratum": [group["stratum"].iloc[0]], "rule": [rule], "cutoff": [grid[at]]} if at is not None else {"stratum": [], "rule": [], "cutoff": []})
+        found = [] if at is None else [(stratum, rule, grid[at])]
+        return pa.table({"stratum": pa.array([f[0] for f in found], pa.string()), "rule": pa.array([f[1] for f in found], pa.string()), "cutoff": pa.array([f[2] for f in found], pa.float64())})
 
     # A group holds one row per cutoff at most.
-    chosen = counts.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")
+    chosen = counts.groupBy("stratum", "rule").applyInArrow(choose, "stratum string, rule string, cutoff double")
     return chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
