@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowsentry.llm.bpe import round_trip
 from flowsentry.llm.exact_dedup import exact_duplicates
+from flowsentry.llm.mixing import mix_sources
 from flowsentry.llm.near_dedup import near_duplicates
 from flowsentry.llm.quality import judge
 
@@ -23,6 +24,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -40,6 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mix_sources": op3_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
@@ -47,6 +53,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # Uniform weights, as the query uses: shares are equal and the filling order is by capacity.
+    "op3_mix_sources": r"""
+        WITH r AS (
+            SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents
+        ), rows_ AS (
+            SELECT *, CASE WHEN regexp_matches(source, '[0-9]$') THEN 'family' || (regexp_extract(source, '([0-9]{1,9})$', 1)::BIGINT % 4) ELSE 'other' END AS domain FROM r
+        ), leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * 2)::BIGINT AS capacity FROM rows_ GROUP BY ALL
+        ), domain_in AS (
+            SELECT domain, sum(capacity)::BIGINT AS capacity, 0 AS root, (SELECT (sum(tokens) // 2)::BIGINT FROM leaf) AS budget FROM leaf GROUP BY domain
+        ),
+        domain_w AS (
+            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY root ORDER BY capacity, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+                count(*) OVER (PARTITION BY root) - row_number() OVER (PARTITION BY root ORDER BY capacity, domain) + 1 AS remaining
+            FROM domain_in
+        ), domain_f AS (SELECT *, budget - used >= capacity * remaining AS filled FROM domain_w),
+        domain_o AS (
+            SELECT *, budget - coalesce(sum(CASE WHEN filled THEN capacity END) OVER (PARTITION BY root), 0) AS rest,
+                sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (PARTITION BY root) AS n_open
+            FROM domain_f
+        ), domain_b AS (
+            SELECT * EXCLUDE (budget), CASE WHEN filled THEN capacity ELSE least(capacity, CASE WHEN n_open > 0 THEN rest // n_open ELSE 0 END) END AS got FROM domain_o
+        ),
+        lang_in AS (SELECT l.domain, l.lang, sum(l.capacity)::BIGINT AS capacity, any_value(d.got) AS budget FROM leaf l JOIN domain_b d USING (domain) GROUP BY l.domain, l.lang
+        ),
+        lang_w AS (
+            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+                count(*) OVER (PARTITION BY domain) - row_number() OVER (PARTITION BY domain ORDER BY capacity, lang) + 1 AS remaining
+            FROM lang_in
+        ), lang_f AS (SELECT *, budget - used >= capacity * remaining AS filled FROM lang_w),
+        lang_o AS (
+            SELECT *, budget - coalesce(sum(CASE WHEN filled THEN capacity END) OVER (PARTITION BY domain), 0) AS rest,
+                sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (PARTITION BY domain) AS n_open
+            FROM lang_f
+        ), lang_b AS (
+            SELECT * EXCLUDE (budget), CASE WHEN filled THEN capacity ELSE least(capacity, CASE WHEN n_open > 0 THEN rest // n_open ELSE 0 END) END AS got FROM lang_o
+        ),
+        leaf_in AS (SELECT l.*, b.got AS budget FROM leaf l JOIN lang_b b USING (domain, lang)
+        ),
+        leaf_w AS (
+            SELECT *, coalesce(sum(capacity) OVER (PARTITION BY domain, lang ORDER BY capacity, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+                count(*) OVER (PARTITION BY domain, lang) - row_number() OVER (PARTITION BY domain, lang ORDER BY capacity, source) + 1 AS remaining
+            FROM leaf_in
+        ), leaf_f AS (SELECT *, budget - used >= capacity * remaining AS filled FROM leaf_w),
+        leaf_o AS (
+            SELECT *, budget - coalesce(sum(CASE WHEN filled THEN capacity END) OVER (PARTITION BY domain, lang), 0) AS rest,
+                sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (PARTITION BY domain, lang) AS n_open
+            FROM leaf_f
+        ), leaf_b AS (
+            SELECT * EXCLUDE (budget), CASE WHEN filled THEN capacity ELSE least(capacity, CASE WHEN n_open > 0 THEN rest // n_open ELSE 0 END) END AS got FROM leaf_o
+        ),
+        need AS (
+            SELECT domain, lang, source, got AS leaf_budget, CASE WHEN tokens > 0 THEN least(2, got // tokens) ELSE 0 END AS epochs,
+                got - CASE WHEN tokens > 0 THEN least(2, got // tokens) ELSE 0 END * tokens AS need FROM leaf_b
+        ), placed AS (SELECT *, md5('7:' || epochs || ':' || doc_id) AS place FROM rows_ JOIN need USING (domain, lang, source)
+        ), ahead AS (
+            SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM placed
+        )
+        SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, leaf_budget::BIGINT AS leaf_budget, (epochs + CASE WHEN before_ < need THEN 1 ELSE 0 END)::BIGINT AS copies FROM ahead
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h, length(coalesce(text, '')) AS n
