@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flowsentry.llm.blocks import Block, mix, text_blocks
 from flowsentry.session import cut
@@ -28,6 +29,8 @@ DELTA = 0.05
 #: A rejected good document weighs as much as this many rejected bad ones when a certified cutoff is chosen.
 GOOD_WEIGHT = 20
 MIN_WORDS = 50
+#: Cutoffs of so many strata at most (some MB) go to every task; more are joined.
+BROADCAST_STRATA = 20_000
 MAX_REPEAT_PERCENT = 50
 
 #: rule -> (statistic of the columns of `text_statistics`, mildest to strictest cutoffs)
@@ -199,3 +202,28 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules",
     )
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of `docs` that `judge` keeps, all their columns unchanged; row by row, so no text is shuffled."""
+    cutoffs = cut(certified_cutoffs(cut(text_statistics(docs, id_col, text_col, stratum_col)), labels))
+    at = docs.columns.index(text_col)
+    names = [f"_s{i}_{c}" for i, c in enumerate(_COUNTS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch.column(at)):
+                counts = block_statistics(block)
+                rows = batch.slice(block.first, len(block))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(counts[k], pa.int64()) for k in _COUNTS]], [*rows.schema.names, *names])
+
+    schema = StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]])
+    counted = docs.mapInArrow(run, schema).alias("d")
+    stats = {c: F.col(f"d.{n}") for c, n in zip(_COUNTS, names)}
+    small = cutoffs.count() <= BROADCAST_STRATA
+    joined = counted.join(F.broadcast(cutoffs.alias("c")) if small else cutoffs.alias("c"), F.coalesce(F.col(f"d.`{stratum_col}`").cast("string"), F.lit("")) == F.col("c.stratum"), "left")
+    packed = joined.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("_row"), *[v.alias(c) for c, v in stats.items()], F.col("c.cutoffs").alias("cutoffs"))
+    rejected = F.lit(False)
+    for r in RULES:
+        rejected = rejected | F.coalesce(_statistic(r) > F.col("cutoffs")[r], F.lit(False))
+    return packed.where(~base_failed() & ~rejected).select("_row.*")
