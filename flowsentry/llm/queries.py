@@ -11,6 +11,7 @@ from flowsentry.llm.exact_dedup import exact_duplicates
 from flowsentry.llm.mixing import mix_sources
 from flowsentry.llm.near_dedup import near_duplicates
 from flowsentry.llm.quality import judge
+from flowsentry.llm.warc import archive_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -46,6 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op6_warc_zstd": op6_warc_zstd,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
@@ -112,6 +118,17 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, leaf_budget::BIGINT AS leaf_budget, (epochs + CASE WHEN before_ < need THEN 1 ELSE 0 END)::BIGINT AS copies FROM ahead
     """,
+    # Base32 of the SHA-1: 20 bits (five hex digits) give four characters.
+    "op6_warc_zstd": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
+        ), b AS (
+            SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h) AS first_id, array_to_string(list_transform(range(8), i ->
+                array_to_string(list_transform(range(4), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * i::INT + 1, 5))::INT >> (15 - 5 * j::INT)) & 31) + 1, 1)), '')), '') AS digest
+            FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM b
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h, length(coalesce(text, '')) AS n
