@@ -122,8 +122,8 @@ ORACLES: dict[str, str] = {
     "op6_warc_zstd": r"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
         ), b AS (
-            SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h) AS first_id, array_to_string(list_transform(range(8), i ->
-                array_to_string(list_transform(range(4), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * i::INT + 1, 5))::INT >> (15 - 5 * j::INT)) & 31) + 1, 1)), '')), '') AS digest
+            SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h) AS first_id, array_to_string(list_transform(range(8), lambda i:
+                array_to_string(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * i::INT + 1, 5))::INT >> (15 - 5 * j::INT)) & 31) + 1, 1)), '')), '') AS digest
             FROM p
         )
         SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,

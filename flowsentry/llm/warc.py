@@ -136,7 +136,7 @@ def open_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     while at < len(data):
         end = frame_end(data, at)
         try:
-            yield parse_record(decoder.decompress(data[at:end]))
+            yield parse_record(decoder.decompressobj().decompress(data[at:end]))
         except zstandard.ZstdError as error:
             raise BadArchive(f"frame at byte {at}: {error}") from error
         at = end
