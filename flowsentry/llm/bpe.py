@@ -372,8 +372,8 @@ def tokenizer(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): each text's token ids as little-endian int32 bytes.
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<i4") -> DataFrame:
+    """(doc_id, n_tokens, ids): each text's token ids as numbers of `dtype`, by default little-endian int32.
 
     Null text is empty and has no tokens. Repeated rows give repeated rows, an empty table an
     empty result. `vocabulary` is a rank file that every executor has at that path. Memory
@@ -386,7 +386,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             for block in text_blocks(batch.column(1)):
                 ids, counts = bpe.encode_block(block)
                 ends = np.cumsum(counts)
-                rows = [ids[e - c : e].astype("<i4").tobytes() for c, e in zip(counts.tolist(), ends.tolist())]
+                rows = [ids[e - c : e].astype(dtype).tobytes() for c, e in zip(counts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, len(block)), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "n_tokens", "ids"]
                 )

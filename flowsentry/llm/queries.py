@@ -10,6 +10,7 @@ from flowsentry.llm.bpe import round_trip
 from flowsentry.llm.exact_dedup import exact_duplicates
 from flowsentry.llm.mixing import mix_sources
 from flowsentry.llm.near_dedup import near_duplicates
+from flowsentry.llm.packing import pack_documents
 from flowsentry.llm.quality import judge
 from flowsentry.llm.warc import archive_and_read
 
@@ -29,6 +30,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(_table(spark, sf_dir, "pages"))
 
@@ -51,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_pack_tokens": op4_pack_tokens,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
