@@ -12,6 +12,7 @@ from flowsentry.llm.mixing import mix_sources
 from flowsentry.llm.near_dedup import near_duplicates
 from flowsentry.llm.packing import pack_documents
 from flowsentry.llm.quality import judge
+from flowsentry.llm.url_filter import judge_urls
 from flowsentry.llm.warc import archive_and_read
 
 
@@ -34,6 +35,10 @@ def op4_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(_table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_tokens": op4_pack_tokens,
+    "op5_url_filter": op5_url_filter,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
