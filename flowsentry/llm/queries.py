@@ -11,6 +11,7 @@ from flowsentry.llm.exact_dedup import exact_duplicates
 from flowsentry.llm.mixing import mix_sources
 from flowsentry.llm.near_dedup import near_duplicates
 from flowsentry.llm.packing import pack_documents
+from flowsentry.llm.pii import personal_data
 from flowsentry.llm.quality import judge
 from flowsentry.llm.url_filter import judge_urls
 from flowsentry.llm.warc import archive_and_read
@@ -27,6 +28,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_personal_data": op2_personal_data,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_tokens": op4_pack_tokens,
     "op5_url_filter": op5_url_filter,
