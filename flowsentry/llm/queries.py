@@ -13,6 +13,7 @@ from flowsentry.llm.near_dedup import near_duplicates
 from flowsentry.llm.packing import pack_documents
 from flowsentry.llm.pii import personal_data
 from flowsentry.llm.quality import judge
+from flowsentry.llm.suffix_dedup import remove_repeats
 from flowsentry.llm.url_filter import judge_urls
 from flowsentry.llm.warc import archive_and_read
 
@@ -28,6 +29,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_personal_data": op2_personal_data,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_tokens": op4_pack_tokens,
@@ -77,6 +83,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # Bytes as hex digits: windows are 100 digits at even places, the bytes left are put together again.
+    "op1_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), w AS (
+            SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM t WHERE length(h) >= 100)
+        ), f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first_id FROM w) WHERE first_id < doc_id
+        ), e AS (SELECT doc_id, i, CASE WHEN i > lag(i + 49) OVER (PARTITION BY doc_id ORDER BY i) + 1 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS is_new FROM f
+        ), s AS (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(is_new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM e) GROUP BY doc_id, n
+        ), k AS (
+            SELECT t.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, any_value(h) AS h, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb FROM s JOIN t USING (doc_id) GROUP BY t.doc_id
+        ), r AS (
+            SELECT doc_id, n_removed, n_spans, array_to_string(list_transform(range(len(la) + 1), lambda j:
+                substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * lb[j::INT] + 1 END, CASE WHEN j = len(la) THEN length(h) ELSE 2 * la[j::INT + 1] END - CASE WHEN j = 0 THEN 0 ELSE 2 * lb[j::INT] END)), '') AS rest
+            FROM k
+        )
+        SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+        FROM t LEFT JOIN r USING (doc_id)
+    """,
     # Uniform weights, as the query uses: shares are equal and the filling order is by capacity.
     "op3_mix_sources": r"""
         WITH r AS (
