@@ -8,8 +8,9 @@
    Samples form bands; texts of equal words share one representative before banding.
 3. A bucket is worked off from pivots: a few members, drawn by hash, are compared with all
    members of other classes, links join classes, and the next round draws eight times as many
-   pivots, until a bucket holds one class or every member was a pivot. So a group of copies
-   costs one comparison each, and no pair of one bucket is lost.
+   pivots, until a bucket holds one class or every member was a pivot. Before that, members that
+   agree in several bands meet their bucket's least member. So members of one class are seldom
+   compared, and no pair of different classes in one bucket is lost.
 4. A pair links when the exact weighted Jaccard similarity is at least the threshold, or the
    plain one: in a large family of copies the shared shingles lose weight, the edits do not.
 """
@@ -36,6 +37,10 @@ BANDS, ROWS = 26, 5
 FEATURE_BITS, POOL_BITS = 20, 15
 #: Members compared with one copy of their pivot.
 SALT_ROWS = 500
+#: Before single bands, buckets of so many bands in a row join the closest texts.
+LEVELS = (4, 2)
+#: Bits of the bitmaps of the texts that a round compares.
+ROUND_BITS = 1 << 22
 
 _DRAWS: list[tuple[np.ndarray, ...]] = []
 
@@ -200,6 +205,8 @@ def similarities(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarr
 
 def _links(pairs: DataFrame, vectors: DataFrame, weights, id_type: str, threshold: float) -> DataFrame:
     """(src, dst) of the pairs (a, b) that link. Each salted copy of a pivot a goes ahead of some of its partners."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    vectors = in_bitmap(vectors, key_bitmap(named, "id", bits=ROUND_BITS), "id", bits=ROUND_BITS).where("_hit").drop("_hit")
     load = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(load, "a").select("a", "b", F.pmod(F.hash("b"), "salts").alias("salt")).join(vectors, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("member"), "b", "hashes", "counts")
     pivots = load.join(vectors, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("b"), "hashes", "counts")
@@ -236,44 +243,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = spark.sparkContext.broadcast(feature_weights(base))  # 4 MB
     sketch = cut(_sketch(base, weights, id_type))
 
-    texts = sketch.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.min_by(c, "doc_id").alias(c) for c in ("n", "total", "bands")])
-    banded = cut(texts.select("rep", "n", "total", F.explode("bands").alias("bucket")))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).where("members > 1")
-    live = cut(banded.join(shared, "bucket").withColumn("class", F.col("rep")))
+    # Texts of equal words have one representative, the least id. Few rows are copies, so only they meet in a join.
+    named = sketch.where("d1 is not null and doc_id is not null").select("doc_id", "d1", "d2")
+    copied = cut(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).where("rep < _last").select("d1", "d2", "rep"))
+    copies = cut(named.join(copied, ["d1", "d2"]).where("doc_id > rep").select("doc_id", "rep").distinct())
+    worded = in_bitmap(sketch.where("d1 is not null and doc_id is not null"), key_bitmap(copies, "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "total", "bands", "_hit")
+    texts = worded.where("not _hit").unionByName(worded.where("_hit").join(copies.select(F.col("doc_id").alias("rep")), "rep", "left_anti")).drop("_hit")
+
+    keys = texts.select("rep", F.explode("bands").alias("bucket"))
+    shared = cut(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").drop("_last"))
+    live = in_bitmap(keys, key_bitmap(shared, "bucket"), "bucket").where("_hit").drop("_hit").join(shared, "bucket")
+    live = cut(live)
     members = live.select(F.col("rep").alias("doc_id")).distinct()
     wanted = in_bitmap(base, key_bitmap(members, "doc_id"), "doc_id").where("_hit").select("doc_id", "text")
     vectors = cut(_vectors(wanted, id_type))
-
-    links, done, pivots, classes = None, None, 1, None
+    lively = cut(in_bitmap(texts, key_bitmap(members.withColumnRenamed("doc_id", "rep"), "rep"), "rep").where("_hit").drop("_hit"))
+    sizes = lively.select("rep", "n", "total")
+    live = cut(live.join(sizes.distinct(), "rep").withColumn("class", F.col("rep")))
+
+    state = _Classes(vectors, weights, id_type, threshold)
+    for run in LEVELS:  # the most alike first: runs of several bands agree
+        wide = lively.select("rep", "n", "total", F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("bands", k + 1, run)) for k in range(0, BANDS - run + 1, run)])).alias("bucket"))
+        lead = wide.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").drop("_last")
+        wide = state.label(wide.join(lead, "bucket"))
+        state.compare(wide, F.col("rep") == F.col("lead"))
+    live = cut(state.label(live))
+    pivots = 1
     while not live.isEmpty():
         # First the least member of each bucket, then the members up to a place in a hash order drawn for the bucket.
         place = F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("members")
-        p, m = live.where(F.col("rep") == F.col("lead") if pivots == 1 else place < pivots).alias("p"), live.alias("m")
-        near = (F.col("p.n") <= F.col("m.n") / threshold) & (F.col("m.n") <= F.col("p.n") / threshold)
-        near |= (F.col("p.total") <= F.col("m.total") / threshold) & (F.col("m.total") <= F.col("p.total") / threshold)
-        met = p.join(m, (F.col("p.bucket") == F.col("m.bucket")) & (F.col("p.class") != F.col("m.class")) & near)
-        pairs = met.select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(_links(pairs, vectors, weights, id_type, threshold))
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if not links.isEmpty():
-            classes = cut(weak_components(links).select(F.col("account_id").alias("rep"), F.col("component").alias("class")))
-            live = live.drop("class").join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        state.compare(live, F.col("rep") == F.col("lead") if pivots == 1 else place < pivots)
+        live = state.label(live)
         # A bucket is done when it is one class, or when every member's place was reached.
         still = live.groupBy("bucket").agg((F.min("class") < F.max("class")).alias("several"), F.max("members").alias("size")).where(F.col("several") & (F.col("size") > (pivots if pivots > 1 else 2)))
         live = cut(live.join(still.select("bucket"), "bucket", "left_semi"))
         pivots *= 8
 
-    by_text = texts.select("d1", "d2", "rep")
-    if classes is not None:
-        by_text = by_text.join(classes, "rep", "left").withColumn("rep", F.coalesce("class", "rep")).drop("class")
-    by_text = by_text.select("d1", "d2", F.col("rep").alias("_class"))
-    worded = sketch.where("d1 is not null").select("doc_id", "d1", "d2").join(by_text, ["d1", "d2"], "left").select("doc_id", F.coalesce("_class", "doc_id").alias("class_id"))
+    found = state.classes
+    by_text = sketch.where("d1 is not null").select("doc_id", "d1", "d2").join(copied, ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    if found is not None:
+        by_text = by_text.join(found, "rep", "left").withColumn("rep", F.coalesce("class", "rep"))
+    by_text = by_text.select("doc_id", F.col("rep").alias("class_id"))
     wordless = sketch.where("d1 is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return worded.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return by_text.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+class _Classes:
+    """Classes joined so far, and the pairs already compared."""
+
+    def __init__(self, vectors: DataFrame, weights, id_type: str, threshold: float):
+        self.vectors, self.weights, self.id_type, self.threshold = vectors, weights, id_type, threshold
+        self.classes: DataFrame | None = None
+        self.done: DataFrame | None = None
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """`rows` (rep, ...) with the class of each representative."""
+        rows = rows.drop("class")
+        if self.classes is None:
+            return rows.withColumn("class", F.col("rep"))
+        return rows.join(self.classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+
+    def compare(self, rows: DataFrame, pivot) -> None:
+        """Compare the pivots among `rows` (bucket, rep, n, total, class) with the members of their buckets in other classes, and join classes."""
+        t = self.threshold
+        p, m = rows.where(pivot).alias("p"), rows.alias("m")
+        near = (F.col("p.n") <= F.col("m.n") / t) & (F.col("m.n") <= F.col("p.n") / t)
+        near |= (F.col("p.total") <= F.col("m.total") / t) & (F.col("m.total") <= F.col("p.total") / t)
+        met = p.join(m, (F.col("p.bucket") == F.col("m.bucket")) & (F.col("p.class") != F.col("m.class")) & near)
+        pairs = met.select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b"), F.least("p.class", "m.class").alias("v"), F.greatest("p.class", "m.class").alias("u")).distinct()
+        if self.done is not None:
+            pairs = pairs.join(self.done, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        if pairs.isEmpty():
+            return
+        self.done = pairs.select("a", "b") if self.done is None else self.done.unionByName(pairs.select("a", "b"))
+        links = _links(pairs.select("a", "b"), self.vectors, self.weights, self.id_type, t)
+        joined = cut(links.join(pairs, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b"))).select(F.col("v").alias("src"), F.col("u").alias("dst")).distinct())
+        if joined.isEmpty():
+            return
+        moved = cut(weak_components(joined).select(F.col("account_id").alias("old"), F.col("component").alias("new")))
+        if self.classes is None:
+            self.classes = moved.select(F.col("old").alias("rep"), F.col("new").alias("class"))
+            return
+        known = self.classes.join(moved, F.col("class") == F.col("old"), "left").select("rep", F.coalesce("new", "class").alias("class"))
+        # Representatives that were classes of their own until now.
+        fresh = moved.join(self.classes, F.col("old") == F.col("rep"), "left_anti").select(F.col("old").alias("rep"), F.col("new").alias("class"))
+        self.classes = cut(known.unionByName(fresh))
 
 
 def expected_recall(similarity: float) -> float:
