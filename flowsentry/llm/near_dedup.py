@@ -8,9 +8,9 @@
    Samples form bands; texts of equal words share one representative before banding.
 3. A bucket is worked off from pivots: a few members, drawn by hash, are compared with all
    members of other classes, links join classes, and the next round draws eight times as many
-   pivots, until a bucket holds one class or every member was a pivot. Before that, members that
-   agree in several bands meet their bucket's least member. So members of one class are seldom
-   compared, and no pair of different classes in one bucket is lost.
+   pivots, until a bucket holds one class or every member was a pivot. Before that every member
+   meets its bucket's least member, first in buckets of several bands. So members of one class
+   are seldom compared, pairs are never rows, and no link of two classes in one bucket is lost.
 4. A pair links when the exact weighted Jaccard similarity is at least the threshold, or the
    plain one: in a large family of copies the shared shingles lose weight, the edits do not.
 """
@@ -37,8 +37,14 @@ BANDS, ROWS = 26, 5
 FEATURE_BITS, POOL_BITS = 20, 15
 #: Members compared with one copy of their pivot.
 SALT_ROWS = 500
+#: Pairs whose samples disagree in more than this many of 128 two-bit values are not compared: at a weighted
+#: similarity of 0.8 that has a chance of 1e-12, at 0.7 (such may be plainly alike) of 1e-6; unlike pairs mostly go.
+MOST_DISAGREEING = 52
+BITS = ("s0", "s1", "s2", "s3")
 #: Before single bands, buckets of so many bands in a row join the closest texts.
 LEVELS = (4, 2)
+#: Pivots of a bucket that go to a task at once.
+MOST_PIVOTS = 512
 #: Bits of the bitmaps of the texts that a round compares.
 ROUND_BITS = 1 << 22
 
@@ -156,8 +162,15 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _two_bits(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first 128 samples, as four longs: the first bits, then the second ones."""
+    mixed = mix(signature[:, :128].view(np.uint32).astype(np.uint64))
+    planes = [np.packbits((mixed >> np.uint64(k) & np.uint64(1)).astype(bool), axis=1).view(np.int64) for k in (7, 31)]
+    return np.concatenate(planes, axis=1)
+
+
 def _sketch(docs: DataFrame, weights, id_type: str) -> DataFrame:
-    """(doc_id, d1, d2, n, total, bands): digest, number and weight of the shingles, band keys; d1 is null without a word."""
+    """(doc_id, d1, d2, n, total, bands, s0..s3): digest, number and weight of the shingles, band keys, bits of the samples; d1 is null without a word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
@@ -166,31 +179,37 @@ def _sketch(docs: DataFrame, weights, id_type: str) -> DataFrame:
                 doc, hashed, d1, d2 = shingles(block)
                 doc, hashed, tf = _unique(doc, hashed)
                 weight = tf * table[_features(hashed)]
-                keys = _band_keys(signatures(doc, hashed, weight, len(block)))
+                signature = signatures(doc, hashed, weight, len(block))
+                keys, bits = _band_keys(signature), _two_bits(signature)
                 n = np.bincount(doc, weights=tf, minlength=len(block)).astype(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, len(block)), pa.array(d1.view(np.int64), pa.int64(), mask=n == 0), pa.array(d2.view(np.int64), pa.int64()),
-                     pa.array(n, pa.int64()), pa.array(np.bincount(doc, weights=weight, minlength=len(block)), pa.float64()), bands],
-                    ["doc_id", "d1", "d2", "n", "total", "bands"],
+                     pa.array(n, pa.int64()), pa.array(np.bincount(doc, weights=weight, minlength=len(block)), pa.float64()), bands, *[pa.array(bits[:, k]) for k in range(4)]],
+                    ["doc_id", "d1", "d2", "n", "total", "bands", *BITS],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n long, total double, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, d1 long, d2 long, n long, total double, bands array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
-def _vectors(docs: DataFrame, id_type: str) -> DataFrame:
-    """(id, hashes, counts): sorted distinct shingle hashes (uint64) and counts (int32) of each text."""
+def _vectors(docs: DataFrame, weights, id_type: str) -> DataFrame:
+    """(id, hashes, counts, bands, bits): sorted distinct shingle hashes (uint64) and counts (int32) of each text, its band keys and sample bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = weights.value
         for batch in batches:
             for block in text_blocks(batch.column(1)):
                 doc, hashed, tf = _unique(*shingles(block)[:2])
                 lengths = np.bincount(doc, minlength=len(block))
+                signature = signatures(doc, hashed, tf * table[_features(hashed)], len(block))
+                some = np.full(len(block), 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(block)), binary_rows(hashed, lengths), binary_rows(tf.astype(np.int32), lengths)], ["id", "hashes", "counts"]
+                    [batch.column(0).slice(block.first, len(block)), binary_rows(hashed, lengths), binary_rows(tf.astype(np.int32), lengths),
+                     binary_rows(_band_keys(signature).ravel(), some * BANDS), binary_rows(_two_bits(signature).ravel(), some * 4)],
+                    ["id", "hashes", "counts", "bands", "bits"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, hashes binary, counts binary")
+    return docs.mapInArrow(run, f"id {id_type}, hashes binary, counts binary, bands binary, bits binary")
 
 
 def similarities(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -206,7 +225,7 @@ def similarities(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarr
 def _links(pairs: DataFrame, vectors: DataFrame, weights, id_type: str, threshold: float) -> DataFrame:
     """(src, dst) of the pairs (a, b) that link. Each salted copy of a pivot a goes ahead of some of its partners."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    vectors = in_bitmap(vectors, key_bitmap(named, "id", bits=ROUND_BITS), "id", bits=ROUND_BITS).where("_hit").drop("_hit")
+    vectors = in_bitmap(vectors, key_bitmap(named, "id", bits=ROUND_BITS), "id", bits=ROUND_BITS).where("_hit").select("id", "hashes", "counts")
     load = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
     members = pairs.join(load, "a").select("a", "b", F.pmod(F.hash("b"), "salts").alias("salt")).join(vectors, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("member"), "b", "hashes", "counts")
     pivots = load.join(vectors, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("b"), "hashes", "counts")
@@ -217,8 +236,7 @@ def _links(pairs: DataFrame, vectors: DataFrame, weights, id_type: str, threshol
         for batch in batches:
             found: list[tuple] = []
             for a, member, b, hashes, counts in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
-                hashed = np.frombuffer(hashes, dtype=np.uint64)
-                this = hashed, np.frombuffer(counts, dtype=np.int32), table[_features(hashed)].astype(np.float64)
+                this = _vector(hashes, counts, table)
                 if not member:
                     pivot, vector = a, this
                 elif a == pivot and max(similarities(vector, this)) >= threshold:
@@ -229,6 +247,61 @@ def _links(pairs: DataFrame, vectors: DataFrame, weights, id_type: str, threshol
     return dealt.mapInArrow(run, f"src {id_type}, dst {id_type}")
 
 
+def _meet(live: DataFrame, pivot, vectors: DataFrame, weights, id_type: str, threshold: float) -> DataFrame:
+    """(src, dst): pairs of classes that some pivot and some member of one bucket link.
+
+    Members of a bucket are dealt over tasks, its pivots go to each of them. No pair is a row: a
+    task compares a member with the pivots of other classes by sample bits, then exactly, in the
+    first bucket that both share, and names each class it links with once.
+    """
+    chunks = F.ceil(F.col("members") / SALT_ROWS).cast("int")
+    columns = ("bucket", "class", "rep")
+    rows = live.select(*columns, F.pmod(F.hash("rep"), chunks).alias("salt"), F.lit(1).alias("member"))
+    rows = rows.unionByName(live.where(pivot).select(*columns, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("salt"), F.lit(0).alias("member")))
+    named = live.select(F.col("rep").alias("id")).distinct()
+    vectors = in_bitmap(vectors, key_bitmap(named, "id", bits=ROUND_BITS), "id", bits=ROUND_BITS).where("_hit").drop("_hit")
+    dealt = rows.join(vectors, F.col("rep") == F.col("id")).select("bucket", "salt", "member", "class", "hashes", "counts", "bands", "bits")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = weights.value
+        here, held, bits, bands = None, [], None, None
+        for batch in batches:
+            found: list[tuple] = []
+            for bucket, salt, member, klass, hashes, counts, own_bands, own_bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, salt) != here:
+                    here, held, bits = (bucket, salt), [], None
+                if not member:
+                    held.append((klass, hashes, counts, own_bands, own_bits))
+                    continue
+                if not held:
+                    continue
+                if bits is None:
+                    bits = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint64).reshape(-1, 4)
+                    bands = np.frombuffer(b"".join(h[3] for h in held), dtype=np.int64).reshape(-1, BANDS)
+                differ = bits ^ np.frombuffer(own_bits, dtype=np.uint64)
+                apart = np.bitwise_count(differ[:, :2] | differ[:, 2:]).sum(axis=1)
+                near = np.flatnonzero(apart <= MOST_DISAGREEING)
+                near = near[np.argsort(apart[near], kind="stable")]
+                mine = np.frombuffer(own_bands, dtype=np.int64)
+                met, this = {klass}, None
+                for k in near.tolist():
+                    other = held[k]
+                    if other[0] in met or bands[k][np.argmax(bands[k] == mine)] != bucket:
+                        continue
+                    this = this or _vector(hashes, counts, table)
+                    if max(similarities(_vector(other[1], other[2], table), this)) >= threshold:
+                        met.add(other[0])
+                        found.append((other[0], klass))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], batch.schema.field(3).type) for k in range(2)], ["src", "dst"])
+
+    return dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "member").mapInArrow(run, f"src {id_type}, dst {id_type}")
+
+
+def _vector(hashes: bytes, counts: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashed = np.frombuffer(hashes, dtype=np.uint64)
+    return hashed, np.frombuffer(counts, dtype=np.int32), table[_features(hashed)].astype(np.float64)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept): one row per row of `docs`; class_id is the least id of the document's class.
 
@@ -247,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sketch.where("d1 is not null and doc_id is not null").select("doc_id", "d1", "d2")
     copied = cut(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).where("rep < _last").select("d1", "d2", "rep"))
     copies = cut(named.join(copied, ["d1", "d2"]).where("doc_id > rep").select("doc_id", "rep").distinct())
-    worded = in_bitmap(sketch.where("d1 is not null and doc_id is not null"), key_bitmap(copies, "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "total", "bands", "_hit")
+    worded = in_bitmap(sketch.where("d1 is not null and doc_id is not null"), key_bitmap(copies, "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "total", "bands", *BITS, "_hit")
     texts = worded.where("not _hit").unionByName(worded.where("_hit").join(copies.select(F.col("doc_id").alias("rep")), "rep", "left_anti")).drop("_hit")
 
     keys = texts.select("rep", F.explode("bands").alias("bucket"))
@@ -256,28 +329,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = cut(live)
     members = live.select(F.col("rep").alias("doc_id")).distinct()
     wanted = in_bitmap(base, key_bitmap(members, "doc_id"), "doc_id").where("_hit").select("doc_id", "text")
-    vectors = cut(_vectors(wanted, id_type))
+    vectors = cut(_vectors(wanted, weights, id_type))
     lively = cut(in_bitmap(texts, key_bitmap(members.withColumnRenamed("doc_id", "rep"), "rep"), "rep").where("_hit").drop("_hit"))
-    sizes = lively.select("rep", "n", "total")
+    sizes = lively.drop("bands")
     live = cut(live.join(sizes.distinct(), "rep").withColumn("class", F.col("rep")))
 
     state = _Classes(vectors, weights, id_type, threshold)
     for run in LEVELS:  # the most alike first: runs of several bands agree
-        wide = lively.select("rep", "n", "total", F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("bands", k + 1, run)) for k in range(0, BANDS - run + 1, run)])).alias("bucket"))
+        wide = lively.select("rep", "n", "total", *BITS, F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("bands", k + 1, run)) for k in range(0, BANDS - run + 1, run)])).alias("bucket"))
         lead = wide.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").drop("_last")
         wide = state.label(wide.join(lead, "bucket"))
         state.compare(wide, F.col("rep") == F.col("lead"))
     live = cut(state.label(live))
-    pivots = 1
-    while not live.isEmpty():
-        # First the least member of each bucket, then the members up to a place in a hash order drawn for the bucket.
-        place = F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("members")
-        state.compare(live, F.col("rep") == F.col("lead") if pivots == 1 else place < pivots)
+    state.compare(live, F.col("rep") == F.col("lead"))
+    low, high = 0, 8
+    while True:
         live = state.label(live)
         # A bucket is done when it is one class, or when every member's place was reached.
-        still = live.groupBy("bucket").agg((F.min("class") < F.max("class")).alias("several"), F.max("members").alias("size")).where(F.col("several") & (F.col("size") > (pivots if pivots > 1 else 2)))
+        still = live.groupBy("bucket").agg((F.min("class") < F.max("class")).alias("several"), F.max("members").alias("size")).where(F.col("several") & (F.col("size") > max(low, 2)))
         live = cut(live.join(still.select("bucket"), "bucket", "left_semi"))
-        pivots *= 8
+        if live.isEmpty():
+            break
+        # Pivots by place in a hash order drawn for the bucket.
+        place = F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("members")
+        state.join(_meet(live, (place >= low) & (place < high), vectors, weights, id_type, threshold))
+        low, high = high, min(8 * high, high + MOST_PIVOTS)
 
     found = state.classes
     by_text = sketch.where("d1 is not null").select("doc_id", "d1", "d2").join(copied, ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
@@ -304,11 +380,13 @@ class _Classes:
         return rows.join(self.classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
 
     def compare(self, rows: DataFrame, pivot) -> None:
-        """Compare the pivots among `rows` (bucket, rep, n, total, class) with the members of their buckets in other classes, and join classes."""
+        """Compare the pivots among `rows` (bucket, rep, n, total, s0..s3, class) with the members of their buckets in other classes, and join classes."""
         t = self.threshold
         p, m = rows.where(pivot).alias("p"), rows.alias("m")
         near = (F.col("p.n") <= F.col("m.n") / t) & (F.col("m.n") <= F.col("p.n") / t)
         near |= (F.col("p.total") <= F.col("m.total") / t) & (F.col("m.total") <= F.col("p.total") / t)
+        differ = [F.col(f"p.{b}").bitwiseXOR(F.col(f"m.{b}")) for b in BITS]
+        near &= F.bit_count(differ[0].bitwiseOR(differ[2])) + F.bit_count(differ[1].bitwiseOR(differ[3])) <= MOST_DISAGREEING
         met = p.join(m, (F.col("p.bucket") == F.col("m.bucket")) & (F.col("p.class") != F.col("m.class")) & near)
         pairs = met.select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b"), F.least("p.class", "m.class").alias("v"), F.greatest("p.class", "m.class").alias("u")).distinct()
         if self.done is not None:
@@ -318,7 +396,11 @@ class _Classes:
             return
         self.done = pairs.select("a", "b") if self.done is None else self.done.unionByName(pairs.select("a", "b"))
         links = _links(pairs.select("a", "b"), self.vectors, self.weights, self.id_type, t)
-        joined = cut(links.join(pairs, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b"))).select(F.col("v").alias("src"), F.col("u").alias("dst")).distinct())
+        self.join(links.join(pairs, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b"))).select(F.col("v").alias("src"), F.col("u").alias("dst")))
+
+    def join(self, links: DataFrame) -> None:
+        """Join the classes that `links` (src, dst) connect."""
+        joined = cut(links.distinct())
         if joined.isEmpty():
             return
         moved = cut(weak_components(joined).select(F.col("account_id").alias("old"), F.col("component").alias("new")))
