@@ -318,7 +318,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Texts of equal words have one representative, the least id. Few rows are copies, so only they meet in a join.
     named = sketch.where("d1 is not null and doc_id is not null").select("doc_id", "d1", "d2")
-    copied = cut(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).where("rep < _last").select("d1", "d2", "rep"))
+    # Rows without an id look for a representative too.
+    same = sketch.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"), F.max(F.col("doc_id").isNull()).alias("_anon"))
+    copied = cut(same.where("rep < _last or (rep is not null and _anon)").select("d1", "d2", "rep"))
     copies = cut(named.join(copied, ["d1", "d2"]).where("doc_id > rep").select("doc_id", "rep").distinct())
     worded = in_bitmap(sketch.where("d1 is not null and doc_id is not null"), key_bitmap(copies, "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "total", "bands", *BITS, "_hit")
     texts = worded.where("not _hit").unionByName(worded.where("_hit").join(copies.select(F.col("doc_id").alias("rep")), "rep", "left_anti")).drop("_hit")

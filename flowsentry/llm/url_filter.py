@@ -88,7 +88,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
         F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b")))).alias("s"), "n"
     ).select("s.*", "n")
     out = steps.groupBy("kind", "a").agg(F.sum("n").alias("_out"))
-    steps = cut(steps.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("_out") * damping).alias("p")))
+    steps = cut(steps.join(out, ["kind", "a"]).select("kind", F.col("a").alias("host"), F.col("b").alias("to"), (F.col("n") / F.col("_out") * damping).alias("p")))
     start = seeds.select("host", "kind", (F.col("base") * (1 - damping)).alias("rank"))
     if steps.isEmpty() or seeds.isEmpty():
         return start
@@ -96,7 +96,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     while True:
         now = ranks
         for _ in range(ROUNDS_PER_STEP):
-            moved = now.join(steps, (now.host == steps.a) & (now.kind == steps.kind)).select(F.col("b").alias("host"), steps.kind, (F.col("rank") * F.col("p")).alias("rank"))
+            moved = now.join(steps, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("rank") * F.col("p")).alias("rank"))
             now = moved.unionByName(start).groupBy("host", "kind").agg(F.sum("rank").alias("rank"))
         now = cut(now)
         change = now.unionByName(ranks.withColumn("rank", -F.col("rank"))).groupBy("host", "kind").agg(F.abs(F.sum("rank")).alias("d")).agg(F.sum("d").alias("d")).first().d or 0.0
