@@ -3,6 +3,8 @@
 Every 50-byte window that also starts in a document of smaller id is removed. A window belongs to
 its anchor, the 24-byte string of least hash inside it, so equal windows have equal anchors:
 
+Copies of a whole text go as a whole; the rest of the work is for each text's first document.
+
 1. Anchors of all documents are counted in packed sorted arrays; those found in two documents or
    more are marked in a bitmap whose size follows the text up to a fixed bound. A fuller bitmap
    lets more through and changes no result.
@@ -57,10 +59,8 @@ def window_runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         key = np.minimum(key[: len(key) - reach], key[reach:])
         reach *= 2
     key = np.minimum(key[: len(key) - (width - reach)], key[width - reach :])
-    edge = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(edge, np.maximum(block.offsets[:-1], block.offsets[1:] - (WINDOW - 1)), 1)
-    np.add.at(edge, block.offsets[1:], -1)
-    at = np.flatnonzero(np.cumsum(edge[: n - WINDOW + 1]) == 0)
+    tails = np.bincount(np.maximum(block.offsets[:-1], block.offsets[1:] - (WINDOW - 1)), minlength=n + 1) - np.bincount(block.offsets[1:], minlength=n + 1)
+    at = np.flatnonzero(np.cumsum(tails[: n - WINDOW + 1]) == 0)
     if not len(at):
         return none.astype(np.uint64), none, none, none, none
     place = (key[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -74,29 +74,34 @@ def _anchor_bitmap(docs: DataFrame, text_bytes: int) -> np.ndarray:
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, text_bytes / 4)))))
     parts = max(1, math.ceil(text_bytes / COUNT_BYTES))
     borders = [(p << bits) // parts for p in range(parts + 1)]
-    limits = np.array([b << (64 - bits) for b in borders[1:-1]], dtype=np.uint64)
-    one = np.uint64(1)
+    # An anchor travels as the leading `width` bits of its hash and a mark, as the difference from the one before it in its part.
+    width = 31 + int(math.log2(parts))
+    shift, one = np.uint64(64 - width), np.uint64(1)
+    limits = np.array([b << (width + 1 - bits) for b in borders[:-1]], dtype=np.uint64)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch.column(0)):
                 anchor, _, _, doc, _ = window_runs(block)
                 order = np.argsort(anchor, kind="stable")
-                anchor, doc = anchor[order] | one, doc[order]
+                anchor, doc = anchor[order] >> shift, doc[order]
                 again = np.flatnonzero((anchor[1:] == anchor[:-1]) & (doc[1:] != doc[:-1]))
-                several = np.unique(anchor[again])
-                single = np.unique(anchor)
-                single[np.searchsorted(single, several)] -= one  # an even hash: two documents of this block have it
-                ends = np.concatenate([[0], np.searchsorted(single, limits), [len(single)]])
-                lengths = np.diff(ends)
+                single, several = np.unique(anchor), np.unique(anchor[again])
+                marked = single << one
+                marked[np.searchsorted(single, several)] |= one  # two documents of this block have it
+                starts = np.searchsorted(marked, limits)
+                lengths = np.diff(np.append(starts, len(marked)))
                 used = np.flatnonzero(lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), binary_rows(single, lengths[used])], ["part", "anchors"])
+                steps = np.diff(marked, prepend=np.uint64(0))
+                steps[starts[used]] = marked[starts[used]] - limits[used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), binary_rows(steps.astype(np.uint32), lengths[used])], ["part", "anchors"])
 
     def mark(group: pa.Table) -> pa.Table:
         part = group["part"][0].as_py()
-        anchors = np.sort(np.frombuffer(b"".join(group["anchors"].to_pylist()), dtype=np.uint64))
-        same = anchors | one
-        found = np.concatenate([same[1:][same[1:] == same[:-1]], anchors[anchors & one == 0]])
+        rows = [np.cumsum(np.frombuffer(x, dtype=np.uint32), dtype=np.uint64) for x in group["anchors"].to_pylist()]
+        marked = np.sort(np.concatenate(rows)) + limits[part]
+        anchors = marked >> one
+        found = np.concatenate([anchors[1:][anchors[1:] == anchors[:-1]], anchors[marked & one == one]]) << shift
         low = borders[part] & ~7
         flags = np.zeros((borders[part + 1] - low + 8) & ~7, dtype=bool)
         flags[(found >> np.uint64(64 - bits)).astype(np.int64) - low] = True
@@ -135,7 +140,7 @@ def _segments(docs: DataFrame, bitmap) -> DataFrame:
                 lengths = np.where(carries, last + WINDOW - first, 0)
                 rows = binary_rows(block.data[ragged_index(first[carries], lengths[carries])], lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(keys), pa.array(first - block.offsets[doc], pa.int64()), pa.array(anchor.view(np.int64)), pa.array(seg), pa.array(low), pa.array(high), rows],
+                    [pa.array(ids), pa.array(keys), pa.array(first - block.offsets[doc], pa.int64()), pa.array(anchor.view(np.int64), mask=~carries), pa.array(seg), pa.array(low, mask=~carries), pa.array(high, mask=~carries), rows],
                     ["id", "key", "pos", "anchor", "seg_hash", "low", "high", "seg"],
                 )
 
@@ -340,8 +345,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("_key")).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("_key"), F.xxhash64(F.lit(1), text).alias("_key2")).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     size = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
+    # A copy of a whole text goes as a whole, and its first document stands for it. The few rows that the bitmap takes for copies are joined.
+    names = rows.where(F.octet_length("_text") >= WINDOW).select("doc_id", "_id", "_key", "_key2", F.octet_length("_text").cast("long").alias("n_bytes"))
+    first = names.groupBy("_key", "_key2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+    copies = cut(names.join(first, ["_key", "_key2"]).where("_id > _first").select("doc_id", "_id", "_key", "_key2", "n_bytes"))
+    marked = in_bitmap(rows, key_bitmap(copies, "_id", "_key"), "_id", "_key")
+    taken_for = cut(marked.where("_hit").drop("_hit").join(copies.select("_id", "_key", "_key2"), ["_id", "_key", "_key2"], "left_anti").select("doc_id", "_text", "_key", "_id"))
+    rows = marked.where("not _hit").select("doc_id", "_text", "_key", "_id").unionByName(taken_for)
     bitmap = spark.sparkContext.broadcast(_anchor_bitmap(rows, size))  # bounded by MOST_BITS
     segments = cut(_segments(rows.select("_id", "_key", "_text"), bitmap))
     runs = cut(_sorted_runs(segments))
@@ -349,9 +361,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start = F.col("pos") + F.col("at")
     spans = hits.select("id", "key", F.struct(start.alias("start"), (start + F.col("windows") + (WINDOW - 1)).alias("end")).alias("span")).distinct()
     spans = cut(spans.groupBy("id", "key").agg(F.collect_list("span").alias("_spans")))  # bounded by one text
+    whole = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
     marked = in_bitmap(rows.withColumnsRenamed({"_id": "id", "_key": "key"}), key_bitmap(spans, "id", "key"), "id", "key")
     clean = marked.where("not _hit").select(
         "doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("_text", 256).alias("kept_sha256"), F.col("_text").cast("binary").alias("kept")
     )
     touched = marked.where("_hit").join(spans, ["id", "key"], "left").select("doc_id", "_text", "_spans")
-    return clean.unionByName(_strip(touched, "bigint"))
+    return clean.unionByName(_strip(touched, "bigint")).unionByName(whole)
