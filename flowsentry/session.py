@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,18 +34,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir` of the session.
-
-    A machine-local folder is used only in local mode when nothing is set.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="flowsentry-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    """Folder every executor can reach: `spark.checkpoint.dir` of the session, else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_dir(spark), "flowsentry", spark.sparkContext.applicationId, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `cut` wrote, once nothing that is still to run reads it."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    if f"/flowsentry/{spark.sparkContext.applicationId}/" in f"{folder}/":
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
