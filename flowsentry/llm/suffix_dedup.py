@@ -25,16 +25,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.blocks import Block, binary_rows, ragged_index, text_blocks
+from flowsentry.llm.blocks import Block, SubstringHash, binary_rows, mix, ragged_index, text_blocks
 from flowsentry.llm.exact_dedup import in_bitmap, key_bitmap
-from flowsentry.session import cut
+from flowsentry.session import cut, discard
 
 WINDOW, ANCHOR = 50, 24
-#: Text bytes for each part of the anchors' count, and segment bytes for each part of the suffix sort.
-COUNT_BYTES, SORT_BYTES = 32 << 20, 24 << 20
+#: Text bytes for each part of the anchors' count and of the suffix sort.
+COUNT_BYTES, SORT_BYTES = 32 << 20, 32 << 20
 #: Segment text that is suffix-sorted at once.
 CHUNK_BYTES = 1 << 20
 #: Bits of the anchor bitmap: text bytes / 4 in powers of two, 16 MB as text goes to 512 MB, 128 MB at most.
@@ -66,7 +67,8 @@ def window_runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     place = (key[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
     first, last = at[lead], at[np.append(lead[1:], len(at)) - 1]
-    return grams[place[lead]], first, last, block.doc_of(first), hasher(first, last + WINDOW).view(np.int64)
+    # Least hashes are small numbers: mixed again they spread over parts and bitmap.
+    return mix(grams[place[lead]]), first, last, block.doc_of(first), hasher(first, last + WINDOW).view(np.int64)
 
 
 def _anchor_bitmap(docs: DataFrame, text_bytes: int) -> np.ndarray:
@@ -115,8 +117,12 @@ def _anchor_bitmap(docs: DataFrame, text_bytes: int) -> np.ndarray:
     return bitmap[: 1 << bits >> 3]
 
 
-def _segments(docs: DataFrame, bitmap) -> DataFrame:
-    """One row per run with a marked anchor; `seg` is null but for one of a block's equal segments, whose low and high are the block's ids."""
+def _segments(docs: DataFrame, bitmap, parts: int) -> DataFrame:
+    """Occurrences and packed segments of the runs with a marked anchor.
+
+    An occurrence is (id, key, pos, seg_hash). A pack holds a block's distinct segments of one part
+    of the anchors, with the least and the greatest id that the block has them in.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = bitmap.value
@@ -132,19 +138,40 @@ def _segments(docs: DataFrame, bitmap) -> DataFrame:
                 ids, keys = (batch.column(c).slice(block.first, len(block)).to_numpy(zero_copy_only=False)[doc] for c in (0, 1))
                 order = np.argsort(seg, kind="stable")
                 lead = np.flatnonzero(np.concatenate([[True], seg[order][1:] != seg[order][:-1]]))
-                low, high = np.full(len(seg), NO_ID), np.full(len(seg), NO_ID)
-                chosen = order[lead]
-                low[chosen], high[chosen] = np.minimum.reduceat(ids[order], lead), np.maximum.reduceat(ids[order], lead)
-                carries = np.zeros(len(seg), dtype=bool)
-                carries[chosen] = True
-                lengths = np.where(carries, last + WINDOW - first, 0)
-                rows = binary_rows(block.data[ragged_index(first[carries], lengths[carries])], lengths)
+                low, high, chosen = np.minimum.reduceat(ids[order], lead), np.maximum.reduceat(ids[order], lead), order[lead]
+                by_anchor = np.argsort(anchor[chosen], kind="stable")
+                low, high, chosen = low[by_anchor], high[by_anchor], chosen[by_anchor]
+                part = _part(anchor[chosen], parts)
+                packs = []
+                used, starts = np.unique(part, return_index=True)
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+                    some = chosen[a:b]
+                    packs.append(_pack(anchor[some], low[a:b], high[a:b], last[some] + WINDOW - first[some], block.data, first[some]))
+                n, m = len(seg), len(packs)
+                blank = np.concatenate([np.zeros(n, dtype=bool), np.ones(m, dtype=bool)])
+                longs = [pa.array(np.concatenate([x, np.zeros(m, dtype=np.int64)]), pa.int64(), mask=blank) for x in (ids, keys, first - block.offsets[doc], seg)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(keys), pa.array(first - block.offsets[doc], pa.int64()), pa.array(anchor.view(np.int64), mask=~carries), pa.array(seg), pa.array(low, mask=~carries), pa.array(high, mask=~carries), rows],
-                    ["id", "key", "pos", "anchor", "seg_hash", "low", "high", "seg"],
+                    [*longs, pa.array(np.concatenate([np.zeros(n, dtype=np.int64), used]), pa.int32(), mask=~blank), pa.array([None] * n + packs, pa.binary())], ["id", "key", "pos", "seg_hash", "part", "pack"]
                 )
 
-    return docs.mapInArrow(run, "id long, key long, pos long, anchor long, seg_hash long, low long, high long, seg binary")
+    return docs.mapInArrow(run, "id long, key long, pos long, seg_hash long, part int, pack binary")
+
+
+def _part(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """Even ranges of the hash."""
+    return ((anchor >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(anchor: np.ndarray, low: np.ndarray, high: np.ndarray, lengths: np.ndarray, data: np.ndarray, starts: np.ndarray) -> bytes:
+    body = b"".join([anchor.tobytes(), low.astype(np.int64).tobytes(), high.astype(np.int64).tobytes(), lengths.astype(np.uint8).tobytes(), data[ragged_index(starts, lengths)].tobytes()])
+    return len(anchor).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def _unpack(pack: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, low, high, lengths, text) of a pack."""
+    n, body = int.from_bytes(pack[:8], "little"), zstandard.ZstdDecompressor().decompress(pack[8:])
+    longs = np.frombuffer(body, dtype=np.uint64, count=3 * n).reshape(3, n)
+    return longs[0], longs[1].view(np.int64), longs[2].view(np.int64), np.frombuffer(body, dtype=np.uint8, count=n, offset=24 * n).astype(np.int64), np.frombuffer(body, dtype=np.uint8, offset=25 * n)
 
 
 # Suffix arrays ---------------------------------------------------------------------------------
@@ -256,52 +283,56 @@ def first_documents(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, l
     return out[at]
 
 
-def _sort_chunk(anchor: np.ndarray, seg: np.ndarray, low: np.ndarray, high: np.ndarray, text: pa.Array) -> pa.RecordBatch:
+def _sort_chunk(anchor: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
     """(seg_hash, at, windows, first): runs of windows of one first document, where a document of the segment comes after it."""
+    text = data[ragged_index(starts, lengths)]
+    starts = np.cumsum(lengths) - lengths
+    seg = SubstringHash(text)(starts, starts + lengths).view(np.int64)
+    order = np.lexsort((seg, anchor))
+    anchor, seg = anchor[order], seg[order]
     lead = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (anchor[1:] != anchor[:-1])]))
-    low, high = np.minimum.reduceat(low, lead), np.maximum.reduceat(high, lead)
-    block = next(text_blocks(text.take(pa.array(lead)), block_bytes=1 << 62))
-    starts, lengths = block.offsets[:-1], np.diff(block.offsets)
-    first = first_documents(block.data, starts, lengths, low)
+    low, high, one = np.minimum.reduceat(low[order], lead), np.maximum.reduceat(high[order], lead), order[lead]
+    seg, lengths = seg[lead], lengths[one]
+    text = text[ragged_index(starts[one], lengths)]
+    first = first_documents(text, np.cumsum(lengths) - lengths, lengths, low)
     owner = np.repeat(np.arange(len(lead)), lengths - WINDOW + 1)
     run = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])]))
     own = np.cumsum(lengths - WINDOW + 1) - (lengths - WINDOW + 1)
     size = np.diff(np.append(run, len(first)))
     useful = np.flatnonzero(first[run] < high[owner[run]])
     run, size = run[useful], size[useful]
-    return pa.RecordBatch.from_arrays([pa.array(seg[lead][owner[run]]), pa.array(run - own[owner[run]], pa.int64()), pa.array(size, pa.int64()), pa.array(first[run])], ["seg_hash", "at", "windows", "first"])
+    return pa.RecordBatch.from_arrays([pa.array(seg[owner[run]]), pa.array(run - own[owner[run]], pa.int64()), pa.array(size, pa.int64()), pa.array(first[run])], ["seg_hash", "at", "windows", "first"])
 
 
-def _sorted_runs(segments: DataFrame) -> DataFrame:
-    """Suffix-sorts the segments, all of an anchor together, in chunks of whole anchors."""
-    carried = segments.where("seg is not null and length(seg) > 0").select("anchor", "seg_hash", "low", "high", "seg")
-    size = carried.agg(F.sum(F.octet_length("seg")).alias("n")).first().n or 0
+def _sorted_runs(segments: DataFrame, parts: int) -> DataFrame:
+    """Suffix-sorts the segments of each part, all of an anchor together, in chunks of whole anchors."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bytes = [], 0
-
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, held_bytes
-            table = pa.Table.from_batches(held).combine_chunks()
-            anchor = table["anchor"].to_numpy()
-            stop = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))
-            if stop:
-                some = table.slice(0, stop)
-                cols = [some[c].to_numpy() for c in ("anchor", "seg_hash", "low", "high")]
-                yield _sort_chunk(*cols, some["seg"].combine_chunks())
-            rest = table.slice(stop)
-            held, held_bytes = rest.to_batches(), rest["seg"].nbytes if len(rest) else 0
+    def sort(packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        anchor, low, high, lengths, data = (np.concatenate(x) for x in zip(*map(_unpack, packs)))
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(anchor, kind="stable")
+        anchor, upto = anchor[order], np.cumsum(lengths[order])
+        a = 0
+        while a < len(order):
+            b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK_BYTES, side="right"))
+            b = int(np.searchsorted(anchor, anchor[min(max(b, a), len(anchor) - 1)], side="left" if b > a and anchor[min(b, len(anchor) - 1)] != anchor[a] and b < len(anchor) else "right"))
+            some = order[a:b]
+            yield _sort_chunk(anchor[a:b], low[some], high[some], starts[some], lengths[some], data)
+            a = b
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, packs = None, []
         for batch in batches:
-            for a in range(0, len(batch), 4096):
-                held.append(batch.slice(a, 4096))
-                held_bytes += held[-1].column(4).nbytes
-                if held_bytes >= CHUNK_BYTES:
-                    yield from close(False)
-        if held:
-            yield from close(True)
-
-    dealt = carried.repartition(max(1, math.ceil(size / SORT_BYTES)), "anchor").sortWithinPartitions("anchor", "seg_hash")
+            for part, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != here and packs:
+                    yield from sort(packs)
+                    packs = []
+                here = part
+                packs.append(pack)
+        if packs:
+            yield from sort(packs)
+
+    dealt = segments.where("pack is not null").select("part", "pack").repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "seg_hash long, at long, windows long, first long")
 
 
@@ -355,12 +386,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     taken_for = cut(marked.where("_hit").drop("_hit").join(copies.select("_id", "_key", "_key2"), ["_id", "_key", "_key2"], "left_anti").select("doc_id", "_text", "_key", "_id"))
     rows = marked.where("not _hit").select("doc_id", "_text", "_key", "_id").unionByName(taken_for)
     bitmap = spark.sparkContext.broadcast(_anchor_bitmap(rows, size))  # bounded by MOST_BITS
-    segments = cut(_segments(rows.select("_id", "_key", "_text"), bitmap))
-    runs = cut(_sorted_runs(segments))
-    hits = segments.select("id", "key", "pos", "seg_hash").join(runs, "seg_hash").where(F.col("first") < F.col("id"))
+    parts = max(1, math.ceil(size / SORT_BYTES))
+    segments = cut(_segments(rows.select("_id", "_key", "_text"), bitmap, parts))
+    runs = cut(_sorted_runs(segments, parts))
+    hits = segments.where("pack is null").select("id", "key", "pos", "seg_hash").join(runs, "seg_hash").where(F.col("first") < F.col("id"))
     start = F.col("pos") + F.col("at")
-    spans = hits.select("id", "key", F.struct(start.alias("start"), (start + F.col("windows") + (WINDOW - 1)).alias("end")).alias("span")).distinct()
+    spans = hits.select("id", "key", F.struct(start.alias("start"), (start + F.col("windows") + (WINDOW - 1)).alias("end")).alias("span"))
     spans = cut(spans.groupBy("id", "key").agg(F.collect_list("span").alias("_spans")))  # bounded by one text
+    discard(segments)
+    discard(runs)
     whole = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
     marked = in_bitmap(rows.withColumnsRenamed({"_id": "id", "_key": "key"}), key_bitmap(spans, "id", "key"), "id", "key")
     clean = marked.where("not _hit").select(
