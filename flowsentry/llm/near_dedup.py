@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from flowsentry.llm.blocks import Block, binary_rows, mix, text_blocks
 from flowsentry.llm.exact_dedup import in_bitmap, key_bitmap
 from flowsentry.operators.components import weak_components
-from flowsentry.session import cut
+from flowsentry.session import cut, discard
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -193,7 +193,10 @@ def _sketch(docs: DataFrame, weights, id_type: str) -> DataFrame:
 
 
 def _vectors(docs: DataFrame, weights, id_type: str) -> DataFrame:
-    """(id, hashes, counts, bands, bits): sorted distinct shingle hashes (uint64) and counts (int32) of each text, its band keys and sample bits."""
+    """(id, hashes, counts, bands, bits): sorted distinct 32-bit shingle values and counts (int32, none if all are 1) of each text, its band keys and sample bits.
+
+    Two shingles of a pair share a value by chance in one pair of texts of 200 shingles out of 10**5.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
@@ -203,8 +206,14 @@ def _vectors(docs: DataFrame, weights, id_type: str) -> DataFrame:
                 lengths = np.bincount(doc, minlength=len(block))
                 signature = signatures(doc, hashed, tf * table[_features(hashed)], len(block))
                 some = np.full(len(block), 1)
+                value = (hashed >> np.uint64(32)).astype(np.uint32)
+                if len(value):
+                    first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]))
+                    doc, value, tf = doc[first], value[first], np.add.reduceat(tf, first)
+                    lengths = np.bincount(doc, minlength=len(block))
+                several = np.bincount(doc, weights=tf, minlength=len(block)).astype(np.int64) > lengths
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(block)), binary_rows(hashed, lengths), binary_rows(tf.astype(np.int32), lengths),
+                    [batch.column(0).slice(block.first, len(block)), binary_rows(value, lengths), binary_rows(tf[several[doc]].astype(np.int32), lengths * several),
                      binary_rows(_band_keys(signature).ravel(), some * BANDS), binary_rows(_two_bits(signature).ravel(), some * 4)],
                     ["id", "hashes", "counts", "bands", "bits"],
                 )
@@ -298,8 +307,9 @@ def _meet(live: DataFrame, pivot, vectors: DataFrame, weights, id_type: str, thr
 
 
 def _vector(hashes: bytes, counts: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashed = np.frombuffer(hashes, dtype=np.uint64)
-    return hashed, np.frombuffer(counts, dtype=np.int32), table[_features(hashed)].astype(np.float64)
+    value = np.frombuffer(hashes, dtype=np.uint32)
+    tf = np.frombuffer(counts, dtype=np.int32) if counts else np.ones(len(value), dtype=np.int32)
+    return value, tf, table[value >> np.uint32(32 - FEATURE_BITS)].astype(np.float64)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -357,6 +367,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         state.join(_meet(live, (place >= low) & (place < high), vectors, weights, id_type, threshold))
         low, high = high, min(8 * high, high + MOST_PIVOTS)
 
+    for step in (vectors, lively, live):
+        discard(step)
     found = state.classes
     by_text = sketch.where("d1 is not null").select("doc_id", "d1", "d2").join(copied, ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     if found is not None:
