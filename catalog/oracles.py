@@ -193,7 +193,7 @@ FEED = """ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS
 feed0 AS (
   SELECT 'TXN_' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS transaction_id, ' U' || CAST(user_id AS VARCHAR) || ' ' AS sender_account_id,
    CASE WHEN k = 13 THEN '  ' ELSE 'U' || CAST((user_id * 7 + event_id * 13 + 1) % (SELECT max(user_id) + 1 FROM events) AS VARCHAR) END AS receiver_account_id,
-   CASE WHEN k = 29 THEN 'INVALID' WHEN k = 31 THEN '-' || printf('%.2f', value) ELSE printf('%.2f', value) END AS amount,
+   CASE WHEN k = 29 THEN 'INVALID' WHEN k = 37 THEN 'NaN' WHEN k = 41 THEN 'Infinity' WHEN k = 43 THEN '1e20' WHEN k = 31 THEN '-' || printf('%.2f', value) ELSE printf('%.2f', value) END AS amount,
    CASE WHEN k = 57 THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS "timestamp",
    CASE WHEN event_type = 'view' THEN ' none ' WHEN event_type = 'click' THEN '' ELSE ' ' || event_type END AS transaction_type,
    CASE WHEN event_type = 'error' THEN '1' ELSE '0' END AS is_mule_pattern, event_type
@@ -201,7 +201,7 @@ feed0 AS (
 feed AS (SELECT * EXCLUDE (event_type) FROM feed0 UNION ALL
   SELECT * EXCLUDE (event_type) REPLACE (transaction_id || 'R' AS transaction_id) FROM feed0 WHERE event_type = 'purchase'),
 norm AS (SELECT transaction_id, trim(sender_account_id) AS sender_account_id, trim(receiver_account_id) AS receiver_account_id,
-  TRY_CAST(amount AS DOUBLE) AS amount, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp", transaction_type, CAST(is_mule_pattern AS INTEGER) AS is_mule_pattern FROM feed),
+  CASE WHEN isfinite(TRY_CAST(amount AS DOUBLE)) AND abs(TRY_CAST(amount AS DOUBLE)) < 1e15 THEN TRY_CAST(amount AS DOUBLE) END AS amount, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp", transaction_type, CAST(is_mule_pattern AS INTEGER) AS is_mule_pattern FROM feed),
 std AS (SELECT * REPLACE (CASE WHEN upper(trim(transaction_type)) IN ('', 'NAN', 'NONE') THEN 'TRANSFER' ELSE upper(trim(transaction_type)) END AS transaction_type),
   CASE WHEN sender_account_id = '' OR receiver_account_id = '' THEN 'MISSING_SENDER_OR_RECEIVER_ID'
        WHEN amount IS NULL OR amount <= 0 THEN 'INVALID_OR_NON_POSITIVE_AMOUNT'
@@ -221,8 +221,8 @@ _PROFILE_COLS = "transaction_id sender_account_id receiver_account_id amount tim
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS source_column, \"{c}\" AS raw, trim(\"{c}\") AS v FROM feed" for c in _PROFILE_COLS)
 PROFILE = f"""long AS ({_LONG}),
 prof AS (SELECT source_column, count(*) AS row_count, count(*) FILTER (WHERE v IS NULL) AS null_count, count(DISTINCT raw) AS unique_count,
-  count(*) FILTER (WHERE TRY_CAST(v AS DOUBLE) IS NOT NULL) AS nums, count(*) FILTER (WHERE NOT regexp_full_match(v, '[0-9]{{1,6}}')) AS cand,
-  count(*) FILTER (WHERE NOT regexp_full_match(v, '[0-9]{{1,6}}') AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL) AS dts FROM long GROUP BY 1),
+  count(*) FILTER (WHERE isfinite(TRY_CAST(v AS DOUBLE)) AND abs(TRY_CAST(v AS DOUBLE)) < 1e15) AS nums, count(*) FILTER (WHERE NOT regexp_full_match(v, '[0-9]{{1,6}}')) AS cand,
+  count(*) FILTER (WHERE NOT regexp_full_match(v, '[0-9]{{1,6}}') AND isfinite(TRY_CAST(v AS TIMESTAMP))) AS dts FROM long GROUP BY 1),
 pct AS (SELECT *, nums * 100.0::DOUBLE / (row_count - null_count) AS numeric_compatibility_pct, dts * 100.0::DOUBLE / greatest(cand, 1) AS datetime_compatibility_pct FROM prof)"""
 
 ORACLES |= {
@@ -243,7 +243,9 @@ ORACLES |= {
  count(*) FILTER (WHERE is_mule_pattern = 1) AS label_1, count(*) FILTER (WHERE is_mule_pattern = 0) AS label_0,
  count(DISTINCT sender_account_id) AS unique_senders, count(DISTINCT receiver_account_id) AS unique_receivers, count(DISTINCT transaction_id) AS unique_transaction_ids,
  count(*) - (SELECT count(*) FROM (SELECT DISTINCT sender_account_id, receiver_account_id, amount, "timestamp" FROM norm)) AS duplicate_rows FROM norm""",
-    "invalid_amounts": f"WITH {FEED} SELECT transaction_id, amount AS raw_value FROM feed WHERE TRY_CAST(amount AS DOUBLE) IS NULL OR TRY_CAST(amount AS DOUBLE) <= 0 ORDER BY 1 LIMIT 20",
+    "invalid_amounts": f"""WITH {FEED} SELECT transaction_id, amount AS raw_value, count(*) OVER () AS invalid_count FROM feed
+ WHERE NOT coalesce(CASE WHEN isfinite(TRY_CAST(amount AS DOUBLE)) AND abs(TRY_CAST(amount AS DOUBLE)) < 1e15 THEN TRY_CAST(amount AS DOUBLE) END > 0, false) ORDER BY 1 LIMIT 20""",
+    "amount_policy_drop": f"WITH {FEED} SELECT * REPLACE ({TS_TEXT}) FROM norm WHERE amount > 0",
     "amount_policy_fill": f"""WITH {FEED} SELECT * REPLACE (coalesce(amount, 0.0) AS amount,
  strftime(coalesce("timestamp", (SELECT min("timestamp") FROM norm)), '%Y-%m-%d %H:%M:%S.%f') AS "timestamp") FROM norm""",
     "profile_columns": f"""WITH {FEED}, {PROFILE} SELECT source_column, source_column AS normalized_name, row_count, null_count, null_count * 100.0::DOUBLE / row_count AS null_percentage,
@@ -457,7 +459,7 @@ def _bands(names) -> str:
 
 
 def alert_key(seed: str) -> str:
-    return f"'ALT-' || upper(substr(sha256({seed}), 1, 8))"
+    return f"'ALT-' || upper(substr(sha256({seed}), 1, 32))"
 
 
 TIER = "CASE WHEN {0} >= 85 THEN 'Critical' WHEN {0} >= 70 THEN 'High' WHEN {0} >= 30 THEN 'Medium' ELSE 'Low' END"
@@ -703,7 +705,7 @@ ORACLES |= {
 ORACLES |= {
     "temporal_split": f"""WITH {BASE}, f AS (SELECT account_id, min(us) AS u, strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS first_transaction_time FROM legs GROUP BY 1),
  r AS (SELECT *, row_number() OVER (ORDER BY u, account_id) - 1 AS k, count(*) OVER () AS n FROM f)
- SELECT account_id, first_transaction_time, CASE WHEN k < floor(n * 0.6::DOUBLE) THEN 'train' WHEN k < floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'validation' ELSE 'test' END AS fold FROM r""",
+ SELECT account_id, first_transaction_time, CASE WHEN k < floor(n * 0.6::DOUBLE) THEN 'train' WHEN k < floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'validation' ELSE 'test' END AS fold FROM r""",
 }
 
 

@@ -142,6 +142,11 @@ def amount_policy_fill(spark, sf_dir):
     return shown(readers.fill_missing_time(readers.apply_amount_policy(_feed(spark, sf_dir))))
 
 
+@query
+def amount_policy_drop(spark, sf_dir):
+    return shown(readers.apply_amount_policy(_feed(spark, sf_dir), drop_invalid=True))
+
+
 @query
 def profile_columns(spark, sf_dir):
     return profile.profile_columns(tables.raw_feed(spark, sf_dir)).drop("label_like")

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 EPS = 1e-9
 MONEY = "decimal(28,8)"
+#: Amounts of this size and more are invalid: sums of smaller ones fit MONEY.
+MOST_AMOUNT = 1e15
 
 MINUTE_US = 60 * 1_000_000
 HOUR_US = 60 * MINUTE_US
 DAY_US = 24 * HOUR_US
 
 
+def valid_number(value: Column) -> Column:
+    """`value`, null if it is NaN, infinite or too large to be summed exactly."""
+    return F.when(~F.isnan(value) & (F.abs(value) < MOST_AMOUNT), value)
+
+
 def money_sum(amount: Column, when: Column | None = None) -> Column:
     """Order-independent sum of an amount column, returned as double.
 

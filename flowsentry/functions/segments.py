@@ -28,9 +28,10 @@ def time_segment(us: Column, width_us: int = TIME_SEGMENT_US) -> Column:
 
 
 def value_segment(value: Column, resolution: int = VALUE_RESOLUTION) -> Column:
-    """Monotone bucket number, about 1/resolution wide in relative terms."""
-    magnitude = F.floor(F.log1p(F.abs(value) / F.lit(1e-6)) * F.lit(float(resolution)))
-    return (F.signum(value) * magnitude).cast("long")
+    """Monotone bucket number, 1/resolution wide in relative terms at every magnitude; 0 has its own."""
+    # ln of the least positive double is above -745
+    magnitude = F.floor((F.ln(F.abs(value)) + F.lit(746.0)) * F.lit(float(resolution)))
+    return F.when(value == 0, F.lit(0)).otherwise((F.signum(value) * magnitude).cast("long"))
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:

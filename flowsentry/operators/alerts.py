@@ -37,7 +37,8 @@ def severity_rank(name: Column) -> Column:
 
 
 def alert_id(seed: Column) -> Column:
-    return F.concat(F.lit("ALT-"), F.upper(F.substring(F.sha2(seed, 256), 1, 8)))
+    """Key of an alert: 128 bits of the seed's hash, so that accounts do not share one. Its first 8 digits are enough to show."""
+    return F.concat(F.lit("ALT-"), F.upper(F.substring(F.sha2(seed, 256), 1, 32)))
 
 
 def keyed_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

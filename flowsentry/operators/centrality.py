@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,11 @@ from flowsentry.functions.segments import row_index
 from flowsentry.operators.graph import nodes
 from flowsentry.session import cut
 
-# Damping, tolerance and pivot sampling of the centrality features.
+# Damping and tolerance of the centrality features.
 DAMPING = 0.85
 TOLERANCE = 1e-6
-EXACT_NODE_LIMIT = 5000
-PIVOTS = 500
+#: Rows (start node x account) that one block of start nodes may reach.
+BLOCK_ROWS = 20_000_000
 
 
 def pagerank(
@@ -23,7 +25,7 @@ def pagerank(
     """(account_id, pagerank), amount-weighted, dangling mass spread evenly.
 
     Runs until the L1 change is below n * tol, or exactly `iterations` times.
-    If it does not converge in max_iter rounds the rank is uniform.
+    Raises if it does not converge in max_iter rounds.
     """
     out_weight = edge_rows.groupBy("src").agg(F.sum(F.col("weight").cast(MONEY)).cast("double").alias("total"))
     moves = cut(edge_rows.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
@@ -38,7 +40,7 @@ def pagerank(
             break
     else:
         if iterations is None:
-            ranks = base.withColumn("rank", F.lit(1.0 / n))
+            raise RuntimeError(f"ranks still move after {max_iter} rounds")
     return ranks.select(F.col("id").alias("account_id"), F.col("rank").alias("pagerank"))
 
 
@@ -57,14 +59,15 @@ def _rank_step(moves, base, ranks, n, damping, has_dangling, measure):
     return step.drop("old"), change
 
 
-def betweenness(edge_rows: DataFrame, pivots: int | None = None, seed: int = 42, max_levels: int = 1000) -> DataFrame:
+def betweenness(edge_rows: DataFrame, pivots: int | None = None, seed: int = 42) -> DataFrame:
     """(account_id, betweenness_centrality): directed, unweighted, normalised.
 
-    Brandes' algorithm over all pivots at once: one join per breadth-first level
-    forwards, one per level backwards. Exact up to EXACT_NODE_LIMIT accounts,
-    else from PIVOTS sampled start nodes, scaled by n / pivots.
+    Brandes' algorithm, many start nodes at once: one join per breadth-first level forwards, one
+    per level backwards. Start nodes are worked off in blocks whose sums are added, so that no
+    table holds a row for every pair of accounts. Exact unless the caller asks for `pivots`
+    sampled start nodes, which are scaled by n / pivots.
     """
-    # accounts are numbered: the per-level frames hold pivots x accounts rows of longs
+    # accounts are numbered: the per-level frames hold start nodes x accounts rows of longs
     ids = cut(row_index(nodes(edge_rows), [F.col("id")], "no"))
     links = cut(
         edge_rows.where(F.col("src") != F.col("dst"))
@@ -75,16 +78,23 @@ def betweenness(edge_rows: DataFrame, pivots: int | None = None, seed: int = 42,
         .select("src", "dst")
     )
     n = ids.count()
-    if pivots is None and n > EXACT_NODE_LIMIT:
-        pivots = PIVOTS
-    starts = ids if pivots is None or pivots >= n else ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots)
-    used = n if pivots is None else min(pivots, n)
+    sampled = pivots is not None and pivots < n
+    starts = cut(row_index((ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots) if sampled else ids).select("no"), [F.col("no")], "place"))
+    used = pivots if sampled else n
+    size = max(1, BLOCK_ROWS // max(n, 1))
+    sums = [cut(_dependencies(starts.where((F.col("place") >= a) & (F.col("place") < a + size)), links, min(size, used - a), n)) for a in range(0, used, size)]
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / used if used else 1.0)
+    total = reduce(DataFrame.unionByName, sums).groupBy(F.col("node").alias("no")).agg(F.sum("delta").alias("delta")) if sums else ids.select("no", F.lit(0.0).alias("delta"))
+    return ids.join(total, "no", "left").select(F.col("id").alias("account_id"), (F.coalesce("delta", F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality"))
+
 
+def _dependencies(starts: DataFrame, links: DataFrame, used: int, n: int) -> DataFrame:
+    """(node, delta): dependencies of a block of start nodes, summed."""
     levels = [cut(starts.select(F.col("no").alias("pivot"), F.col("no").alias("node"), F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("pivot", "node")
     unseen = used * n - used
     # the last frontier is the widest: do not expand it when every account is reached
-    while unseen > 0 and len(levels) <= max_levels:
+    while unseen > 0:
         reached = (
             levels[-1].join(links, F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         )
@@ -96,7 +106,7 @@ def betweenness(edge_rows: DataFrame, pivots: int | None = None, seed: int = 42,
         levels.append(fresh)
         seen = seen.unionByName(fresh.select("pivot", "node"))
 
-    deltas: list[DataFrame] = []
+    deltas = [levels[0].select("node", F.lit(0.0).alias("delta")).limit(0)]
     below = levels[-1].withColumn("delta", F.lit(0.0))
     for level in reversed(levels[:-1]):
         share = below.select("pivot", F.col("node").alias("dst"), ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("share"))
@@ -112,13 +122,4 @@ def betweenness(edge_rows: DataFrame, pivots: int | None = None, seed: int = 42,
             )
         )
         deltas.append(below.where(F.col("pivot") != F.col("node")).groupBy("node").agg(F.sum("delta").alias("delta")))
-    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (n / used if used < n else 1.0)
-    if not deltas:
-        return ids.select(F.col("id").alias("account_id"), F.lit(0.0).alias("betweenness_centrality"))
-    total = deltas[0]
-    for more in deltas[1:]:
-        total = total.unionByName(more)
-    summed = total.groupBy(F.col("node").alias("no")).agg(F.sum("delta").alias("delta"))
-    return ids.join(summed, "no", "left").select(
-        F.col("id").alias("account_id"), (F.coalesce("delta", F.lit(0.0)) * F.lit(scale)).alias("betweenness_centrality")
-    )
+    return reduce(DataFrame.unionByName, deltas).groupBy("node").agg(F.sum("delta").alias("delta"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.operators.graph import nodes
-from flowsentry.session import cut
+from flowsentry.session import cut, discard
 
 
 def _digest(df: DataFrame) -> tuple[int, int]:
@@ -14,7 +14,7 @@ def _digest(df: DataFrame) -> tuple[int, int]:
     return row.n, row.h or 0
 
 
-def weak_components(edge_rows: DataFrame, max_rounds: int = 60) -> DataFrame:
+def weak_components(edge_rows: DataFrame) -> DataFrame:
     """(account_id, component): smallest account id of the weak component.
 
     Alternating large-star / small-star (Kiveris et al. 2014): O(log^2 n) rounds,
@@ -25,14 +25,13 @@ def weak_components(edge_rows: DataFrame, max_rounds: int = 60) -> DataFrame:
     ).distinct()
     links = cut(links)
     before = _digest(links)
-    for _ in range(max_rounds):
-        links = cut(_small_star(_large_star(links)))
+    while True:
+        last, links = links, cut(_small_star(_large_star(links)))
         after = _digest(links)
+        discard(last)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return nodes(edge_rows).join(links, F.col("id") == F.col("u"), "left").select(
         F.col("id").alias("account_id"), F.coalesce("v", "id").alias("component")
     )
@@ -50,7 +49,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def strong_components(edge_rows: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strong_components(edge_rows: DataFrame) -> DataFrame:
     """(account_id, component) by trimming and forward/backward colouring.
 
     Each round colours nodes with the largest id that reaches them, then walks
@@ -59,17 +58,15 @@ def strong_components(edge_rows: DataFrame, max_rounds: int = 200) -> DataFrame:
     all_nodes = nodes(edge_rows)
     live = cut(edge_rows.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
     found: list[DataFrame] = []
-    for _ in range(max_rounds):
-        live = _trim(live, max_rounds)
+    while True:
+        live = _trim(live)
         if live.isEmpty():
             break
-        color = _colour(live, max_rounds)
-        members = _walk_back(live, color, max_rounds)
+        color = _colour(live)
+        members = _walk_back(live, color)
         found.append(members)
         rest = live.join(members, live.src == members.id, "left_anti")
         live = cut(rest.join(members, rest.dst == members.id, "left_anti"))
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     if not found:
         return all_nodes.select(F.col("id").alias("account_id"), F.col("id").alias("component"))
     grouped = found[0]
@@ -80,10 +77,10 @@ def strong_components(edge_rows: DataFrame, max_rounds: int = 200) -> DataFrame:
     )
 
 
-def _trim(live: DataFrame, max_rounds: int) -> DataFrame:
+def _trim(live: DataFrame) -> DataFrame:
     """Drop edges that cannot lie on a cycle: no edge enters src or leaves dst."""
     size = live.count()
-    for _ in range(max_rounds):
+    while True:
         sources, targets = live.select(F.col("src").alias("id")), live.select(F.col("dst").alias("id"))
         kept = live.join(targets, live.src == targets.id, "left_semi")
         kept = cut(kept.join(sources, kept.dst == sources.id, "left_semi"))
@@ -92,33 +89,30 @@ def _trim(live: DataFrame, max_rounds: int) -> DataFrame:
         if now == size:
             return live
         size = now
-    return live
 
 
-def _colour(live: DataFrame, max_rounds: int) -> DataFrame:
+def _colour(live: DataFrame) -> DataFrame:
     color = cut(nodes(live).select("id", F.col("id").alias("component")))
     before = _digest(color)
-    for _ in range(max_rounds):
+    while True:
         incoming = live.join(color, live.src == color.id).select(F.col("dst").alias("id"), "component")
         color = cut(color.unionByName(incoming).groupBy("id").agg(F.max("component").alias("component")))
         after = _digest(color)
         if after == before:
             return color
         before = after
-    raise RuntimeError("colouring did not settle; raise max_rounds")
 
 
-def _walk_back(live: DataFrame, color: DataFrame, max_rounds: int) -> DataFrame:
+def _walk_back(live: DataFrame, color: DataFrame) -> DataFrame:
     src_color = color.select(F.col("id").alias("src"), F.col("component").alias("sc"))
     dst_color = color.select(F.col("id").alias("dst"), F.col("component").alias("dc"))
     same = cut(live.join(src_color, "src").join(dst_color, "dst").where(F.col("sc") == F.col("dc")).select("src", "dst", "sc"))
     met = cut(color.where(F.col("id") == F.col("component")))
     size = met.count()
-    for _ in range(max_rounds):
+    while True:
         back = same.join(met, same.dst == met.id, "left_semi").select(F.col("src").alias("id"), F.col("sc").alias("component"))
         met = cut(met.unionByName(back).distinct())
         now = met.count()
         if now == size:
             return met
         size = now
-    raise RuntimeError("backward walk did not settle; raise max_rounds")

@@ -101,9 +101,11 @@ def group_counts(report: DataFrame) -> DataFrame:
 
 def top_report(report: DataFrame, k: int = 10, group: str | None = None, by: str = "composite_score") -> DataFrame:
     """The k best features (1 to 50), optionally of one group, by a chosen metric."""
+    if not 1 <= k <= 50:
+        raise ValueError("k is from 1 to 50")
     if group is not None:
         report = report.where(F.col("feature_group") == group)
-    return report.orderBy(F.desc(by), "feature").limit(max(1, min(50, k)))
+    return report.orderBy(F.desc(by), "feature").limit(k)
 
 
 __all__ = ["CORE_COLUMNS", "GROUPS", "feature_dictionary", "group_counts", "select_features", "top_report"]

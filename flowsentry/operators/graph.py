@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.exprs import money_sum, ratio, safe_div
+from flowsentry.session import cut
 
 
 def edges(txns: DataFrame) -> DataFrame:
@@ -148,14 +149,15 @@ def edge_filter(
 
 
 def neighbourhood(txns: DataFrame, account_id: str, max_hops: int = 1) -> DataFrame:
-    """Accounts within `max_hops` undirected steps, by repeated semi joins."""
+    """Accounts within `max_hops` undirected steps: one join of the transfers with a stored frontier per hop."""
     spark = txns.sparkSession
-    pairs = txns.select("sender_account_id", "receiver_account_id").distinct()
-    reached = spark.createDataFrame([(account_id,)], "id string")
+    ends = [F.struct(F.col(a).alias("at"), F.col(b).alias("id")) for a, b in (("sender_account_id", "receiver_account_id"), ("receiver_account_id", "sender_account_id"))]
+    sides = txns.select(F.explode(F.array(*ends)).alias("s")).select("s.*")
+    frontier = reached = spark.createDataFrame([(account_id,)], "id string")
     for _ in range(max_hops):
-        out = pairs.join(reached, pairs.sender_account_id == reached.id, "left_semi").select(F.col("receiver_account_id").alias("id"))
-        back = pairs.join(reached, pairs.receiver_account_id == reached.id, "left_semi").select(F.col("sender_account_id").alias("id"))
-        reached = reached.unionByName(out).unionByName(back).distinct()
+        met = sides.join(frontier.withColumnRenamed("id", "_from"), F.col("at") == F.col("_from"), "left_semi").select("id").where("id is not null").distinct()
+        frontier = cut(met.join(reached, "id", "left_anti"))
+        reached = reached.unionByName(frontier)
     return reached
 
 

@@ -28,7 +28,8 @@ def temporal_split(df: DataFrame, order: str, shares=SPLIT) -> DataFrame:
     """Add `fold`: oldest rows train, then validation, newest test; ties by account."""
     indexed = row_index(df, [F.col(order), F.col("account_id")], "_row")
     n = df.count()
-    first, second = int(n * shares[0]), int(n * (shares[0] + shares[1]))
+    first = int(n * shares[0])
+    second = first + int(n * shares[1])
     fold = F.when(F.col("_row") < first, "train").when(F.col("_row") < second, "validation").otherwise("test")
     return indexed.withColumn("fold", fold).drop("_row")
 

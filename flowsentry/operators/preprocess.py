@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.functions.exprs import money_sum, safe_div
+from flowsentry.functions.exprs import money_sum, safe_div, valid_number
 from flowsentry.sources.canonical import DEFAULT_TYPE
 
 # Rejection reasons in the order they are tested.
@@ -39,7 +39,7 @@ def tag_invalid(txns: DataFrame) -> DataFrame:
 
     reason = (
         F.when(blank("sender_account_id") | blank("receiver_account_id"), MISSING_ID)
-        .when(F.col("amount").isNull() | F.isnan("amount") | (F.col("amount") <= 0), BAD_AMOUNT)
+        .when(~F.coalesce(valid_number(F.col("amount")) > 0, F.lit(False)), BAD_AMOUNT)
         .when(F.col("timestamp").isNull(), BAD_TIME)
     )
     return txns.withColumn("rejection_reason", reason)
@@ -128,7 +128,7 @@ def quality_report(txns: DataFrame) -> DataFrame:
     base = txns.agg(
         F.count(F.lit(1)).alias("total_rows"),
         *nulls,
-        F.count_if(F.col("amount").isNull() | (F.col("amount") <= 0)).alias("invalid_amounts"),
+        F.count_if(~F.coalesce(valid_number(F.col("amount")) > 0, F.lit(False))).alias("invalid_amounts"),
         ((F.max(F.unix_micros("timestamp")) - F.min(F.unix_micros("timestamp"))) / 86_400_000_000.0).alias("span_days"),
         F.count_if(F.col("is_mule_pattern") == 1).alias("label_1"),
         F.count_if(F.col("is_mule_pattern") == 0).alias("label_0"),
@@ -150,10 +150,11 @@ def quality_report(txns: DataFrame) -> DataFrame:
 
 
 def amount_check(raw: DataFrame, column: str = "amount", examples: int = 20) -> DataFrame:
-    """Invalid amounts (unparsed or <= 0): how many, and the first ids that have them."""
-    value = F.trim(F.col(column).cast("string")).try_cast("double")
-    bad = raw.where(value.isNull() | (value <= 0))
-    return bad.select("transaction_id", F.col(column).alias("raw_value")).orderBy("transaction_id").limit(examples)
+    """Invalid amounts (unparsed, not finite, out of range or <= 0): the first ids that have them, each with the number of all."""
+    value = valid_number(F.trim(F.col(column).cast("string")).try_cast("double"))
+    bad = raw.where(~F.coalesce(value > 0, F.lit(False)))
+    first = bad.select("transaction_id", F.col(column).alias("raw_value")).orderBy("transaction_id").limit(examples)
+    return first.withColumn("invalid_count", bad.agg(F.count(F.lit(1))).scalar())
 
 
 def total_volume(txns: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.functions.exprs import valid_number
 from flowsentry.sources.canonical import FIELDS, MANDATORY
 
 STEP_HEADERS = ("step", "hour", "hours", "time_step")
@@ -27,7 +28,7 @@ def profile_columns(raw: DataFrame) -> DataFrame:
         .withColumn("value", F.trim("value"))
     )
     v = F.col("value")
-    number = v.try_cast("double")
+    number = valid_number(v.try_cast("double"))
     short_int = v.rlike(r"^\d{1,6}$")
     moment = F.when(~short_int, v.try_cast("timestamp"))
     n = F.col("n")

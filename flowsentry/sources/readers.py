@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsentry.functions.exprs import valid_number
 from flowsentry.functions.segments import row_index
 from flowsentry.sources.canonical import DEFAULT_TYPE, FIELDS, MANDATORY, detect_layout
 
 STEP_ORIGIN = "2026-01-01"
-MAX_STEP = 10_000
 
 _KINDS = {f.name: f.kind for f in FIELDS}
 
@@ -22,7 +22,8 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "csv", **options: str) -
 
 
 def as_double(col: Column) -> Column:
-    return F.trim(col.cast("string")).try_cast("double")
+    """Number of a text; null if it does not parse, is not finite or is out of range."""
+    return valid_number(F.trim(col.cast("string")).try_cast("double"))
 
 
 def as_timestamp(col: Column, mode: str) -> Column:
@@ -81,10 +82,11 @@ def normalize(
 
 
 def apply_amount_policy(txns: DataFrame, drop_invalid: bool = False) -> DataFrame:
-    """Drop rows with a null or non-positive amount, or fill nulls with 0."""
+    """Drop rows with an invalid or non-positive amount, or fill invalid ones with 0."""
+    amount = valid_number(F.col("amount"))
     if drop_invalid:
-        return txns.where(F.col("amount") > 0)
-    return txns.withColumn("amount", F.coalesce("amount", F.lit(0.0)))
+        return txns.where(amount > 0)
+    return txns.withColumn("amount", F.coalesce(amount, F.lit(0.0)))
 
 
 def fill_missing_time(txns: DataFrame) -> DataFrame:

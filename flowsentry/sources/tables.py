@@ -32,7 +32,7 @@ def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same transfers as an untyped feed with the faults such feeds have.
 
-    Ids come padded, some receivers are blank, some amounts are text or negative,
+    Ids come padded, some receivers are blank, some amounts are text, negative or no finite number,
     some times do not parse, and every purchase is delivered a second time.
     """
     events = table(spark, sf_dir, "events")
@@ -47,6 +47,9 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("U"), receiver.cast("string")))
         .alias("receiver_account_id"),
         F.when(F.col("_k") == 29, F.lit("INVALID"))
+        .when(F.col("_k") == 37, F.lit("NaN"))
+        .when(F.col("_k") == 41, F.lit("Infinity"))
+        .when(F.col("_k") == 43, F.lit("1e20"))
         .when(F.col("_k") == 31, F.concat(F.lit("-"), F.format_string("%.2f", F.col("value"))))
         .otherwise(F.format_string("%.2f", F.col("value")))
         .alias("amount"),

@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
+import pandas as pd
 
 from __spark_entry__ import oracle_sql, queries
 
@@ -30,7 +31,7 @@ def canonical(frame):
     cols = sorted(frame.columns)
     rows = []
     for row in frame[cols].itertuples(index=False, name=None):
-        rows.append(tuple(None if v is None or (isinstance(v, float) and math.isnan(v)) else v for v in row))
+        rows.append(tuple(None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else v for v in row))
     return cols, sorted(rows, key=lambda r: tuple((v is None, str(type(v)) if v is None else "", str(v)) for v in r))
 
 
