@@ -34,8 +34,8 @@ from flowsentry.llm.exact_dedup import in_bitmap, key_bitmap
 from flowsentry.session import cut, discard
 
 WINDOW, ANCHOR = 50, 24
-#: Text bytes for each part of the anchors' count and of the suffix sort.
-COUNT_BYTES, SORT_BYTES = 32 << 20, 32 << 20
+#: Text bytes for each part of the anchors' count and of the suffix sort; a task holds one part of either.
+COUNT_BYTES, SORT_BYTES = 32 << 20, 8 << 20
 #: Segment text that is suffix-sorted at once.
 CHUNK_BYTES = 1 << 20
 #: Bits of the anchor bitmap: text bytes / 4 in powers of two, 16 MB as text goes to 512 MB, 128 MB at most.
