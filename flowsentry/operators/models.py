@@ -35,7 +35,7 @@ def temporal_split(df: DataFrame, order: str, shares=SPLIT) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, shares=SPLIT, seed: int = 42) -> DataFrame:
-    """Add `fold` with the same class shares in each; a seeded hash decides.
+    """Add `fold` with the same class shares in each; a seeded hash decides. Rows without a label are "unlabelled".
 
     The cuts are exact quantiles of the hash per class, so no class is gathered
     or ordered in one task.
@@ -43,8 +43,8 @@ def stratified_split(df: DataFrame, label: str, shares=SPLIT, seed: int = 42) ->
     draw = (F.pmod(F.xxhash64(F.lit(seed), "account_id"), F.lit(1 << 31)) / float(1 << 31)).alias("value")
     counts = df.select(F.col(label).alias("_class"), draw).groupBy("_class", "value").agg(F.count(F.lit(1)).alias("n"))
     cuts = quantiles(counts, ["_class"], "value", "n", {"_a": shares[0], "_b": shares[0] + shares[1]})
-    drawn = df.withColumn("_u", draw).join(cuts, F.col(label) == F.col("_class"))
-    fold = F.when(F.col("_u") < F.col("_a"), "train").when(F.col("_u") < F.col("_b"), "validation").otherwise("test")
+    drawn = df.withColumn("_u", draw).join(cuts, F.col(label) == F.col("_class"), "left")
+    fold = F.when(F.col(label).isNull(), "unlabelled").when(F.col("_u") < F.col("_a"), "train").when(F.col("_u") < F.col("_b"), "validation").otherwise("test")
     return drawn.withColumn("fold", fold).drop("_u", "_a", "_b", "_class")
 
 

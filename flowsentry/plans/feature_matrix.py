@@ -107,11 +107,11 @@ def build_feature_matrix(
 
 
 def feature_table(spark, name: str, txns: DataFrame | None = None, **options) -> DataFrame:
-    """The stored feature table; built from `txns` and saved first when it does not exist."""
-    if not spark.catalog.tableExists(name):
-        if txns is None:
-            raise ValueError(f"no feature table {name}; pass the transactions to build it from")
+    """The stored feature table; given `txns`, it is built from them and saved first."""
+    if txns is not None:
         build_feature_matrix(txns, **options).write.mode("overwrite").saveAsTable(name)
+    elif not spark.catalog.tableExists(name):
+        raise ValueError(f"no feature table {name}; pass the transactions to build it from")
     return spark.table(name)
 
 

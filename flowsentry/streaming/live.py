@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -180,11 +179,10 @@ class LiveScorer:
 
     def _before(self, spark, name: str, batch_id: int) -> DataFrame | None:
         """Rows that earlier batches wrote; a replayed batch never reads its own output."""
-        try:
-            stored = spark.read.parquet(self.path(name))
-        except AnalysisException:  # first batch: nothing stored yet
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # first batch: nothing stored yet
             return None
-        return stored.where(F.col("batch_id") < batch_id)
+        return spark.read.parquet(self.path(name)).where(F.col("batch_id") < batch_id)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

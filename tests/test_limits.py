@@ -79,3 +79,9 @@ def test_temporal_cut_adds_floored_shares(spark):
 def test_top_report_refuses_other_sizes(spark):
     with pytest.raises(ValueError):
         dictionary.top_report(spark.range(1), k=51)
+
+
+def test_rows_without_a_label_stay_in_the_split(spark):
+    df = spark.range(200).select(F.format_string("A%03d", "id").alias("account_id"), F.when(F.col("id") % 10 > 0, (F.col("id") % 2).cast("int")).alias("label"))
+    folds = {r.fold: r["count"] for r in models.stratified_split(df, "label").groupBy("fold").count().collect()}
+    assert folds["unlabelled"] == 20 and sum(folds.values()) == 200
