@@ -5,7 +5,9 @@
    a shingle's weight is its count times 1 + ln((N + 1) / (df + 1)).
 2. Improved consistent weighted sampling draws (r, c, beta) per shingle and sample and takes the
    shingle of least ln a; the draws of a shingle come from a pool row chosen by its hash.
-   Samples form bands; texts of equal words share one representative before banding.
+   Samples form bands; texts of equal words share one representative before banding. The same
+   draws are also sampled by plain counts, in as many bands of their own, so that a pair alike
+   in either similarity meets with the same chance.
 3. A bucket is worked off from pivots: a few members, drawn by hash, are compared with all
    members of other classes, links join classes, and the next round draws eight times as many
    pivots, until a bucket holds one class or every member was a pivot. Before that every member
@@ -32,15 +34,17 @@ from flowsentry.session import cut, discard
 
 WIDTH = 5
 THRESHOLD = 0.8
+#: Bands of each of the two sample sets (by weight, by plain count), and samples in a band.
 BANDS, ROWS = 26, 5
 #: Hashed features of the document frequencies (4 MB of float32 weights, whatever the corpus) and rows of the pool of draws.
 FEATURE_BITS, POOL_BITS = 20, 15
 #: Members compared with one copy of their pivot.
 SALT_ROWS = 500
-#: Pairs whose samples disagree in more than this many of 128 two-bit values are not compared: at a weighted
-#: similarity of 0.8 that has a chance of 1e-12, at 0.7 (such may be plainly alike) of 1e-6; unlike pairs mostly go.
+#: Pairs whose samples disagree in more than this many of 128 two-bit values, in both sample sets, are not compared:
+#: at a weighted or plain similarity of 0.8 that has a chance of 1e-12; unlike pairs mostly go.
 MOST_DISAGREEING = 52
-BITS = ("s0", "s1", "s2", "s3")
+#: Sample bits as longs: four of the samples by weight, then four of those by plain count.
+BITS = tuple(f"s{k}" for k in range(8))
 #: Before single bands, buckets of so many bands in a row join the closest texts.
 LEVELS = (4, 2)
 #: Pivots of a bucket that go to a task at once.
@@ -133,44 +137,54 @@ def _draws() -> tuple[np.ndarray, ...]:
     return _DRAWS[0]
 
 
-def signatures(doc: np.ndarray, hashed: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
-    """Least ln a of each document (row) and sample (column). The value names the shingle and its level t."""
+def signatures(doc: np.ndarray, hashed: np.ndarray, tf: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
+    """Least ln a of each document (row) and sample (column): the samples by `weight`, then those of the same draws by the plain count `tf`.
+
+    The value names the shingle and its level t.
+    """
     inverse, beta, base, r = _draws()
-    out = np.full((docs, BANDS * ROWS), np.inf, dtype=np.float32)
-    row, log_weight = (hashed & np.uint64((1 << POOL_BITS) - 1)).astype(np.int64), np.log(weight).astype(np.float32)[:, None]
+    size = BANDS * ROWS
+    out = np.full((docs, 2 * size), np.inf, dtype=np.float32)
+    row, log_weight, log_tf = (hashed & np.uint64((1 << POOL_BITS) - 1)).astype(np.int64), np.log(weight).astype(np.float32)[:, None], np.log(tf).astype(np.float32)[:, None]
     step = 2048
     for a in range(0, len(doc), step):
         rows, some = row[a : a + step], doc[a : a + step]
-        level = inverse[rows]
-        level *= log_weight[a : a + step]
-        level += beta[rows]
+        draws, shifts, scale, plain = inverse[rows], beta[rows], r[rows], base[rows]
+        level = draws * log_weight[a : a + step]
+        level += shifts
         np.floor(level, out=level)
-        level *= r[rows]
-        np.subtract(base[rows], level, out=level)
+        level *= scale
+        np.subtract(plain, level, out=level)
+        several = np.flatnonzero(tf[a : a + step] > 1)  # a count of 1 is level 0, as beta is under 1
+        if len(several):
+            plain[several] -= np.floor(draws[several] * log_tf[a : a + step][several] + shifts[several]) * scale[several]
         first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-        least = np.minimum.reduceat(level, first, axis=0)
         at = some[first]
-        out[at] = np.minimum(out[at], least)
+        for k, values in enumerate((level, plain)):
+            part = out[:, k * size : (k + 1) * size]
+            part[at] = np.minimum(part[at], np.minimum.reduceat(values, first, axis=0))
     return out
 
 
 def _band_keys(signature: np.ndarray) -> np.ndarray:
-    bits = signature.view(np.uint32).astype(np.uint64).reshape(len(signature), BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), bits.shape[:2]).copy()
+    bits = signature.view(np.uint32).astype(np.uint64).reshape(len(signature), 2 * BANDS, ROWS)
+    key = np.broadcast_to(mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64)), bits.shape[:2]).copy()
     for k in range(ROWS):
         key = mix(key + bits[:, :, k])
     return key.view(np.int64)
 
 
 def _two_bits(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each of the first 128 samples, as four longs: the first bits, then the second ones."""
-    mixed = mix(signature[:, :128].view(np.uint32).astype(np.uint64))
-    planes = [np.packbits((mixed >> np.uint64(k) & np.uint64(1)).astype(bool), axis=1).view(np.int64) for k in (7, 31)]
+    """Two bits of each of the first 128 samples of both sets, as eight longs: a set's first bits, then its second ones."""
+    planes = []
+    for first in (0, BANDS * ROWS):
+        mixed = mix(np.ascontiguousarray(signature[:, first : first + 128]).view(np.uint32).astype(np.uint64))
+        planes += [np.packbits((mixed >> np.uint64(k) & np.uint64(1)).astype(bool), axis=1).view(np.int64) for k in (7, 31)]
     return np.concatenate(planes, axis=1)
 
 
 def _sketch(docs: DataFrame, weights, id_type: str) -> DataFrame:
-    """(doc_id, d1, d2, n, total, bands, s0..s3): digest, number and weight of the shingles, band keys, bits of the samples; d1 is null without a word."""
+    """(doc_id, d1, d2, n, total, bands, s0..s7): digest, number and weight of the shingles, band keys, bits of the samples; d1 is null without a word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
@@ -179,13 +193,13 @@ def _sketch(docs: DataFrame, weights, id_type: str) -> DataFrame:
                 doc, hashed, d1, d2 = shingles(block)
                 doc, hashed, tf = _unique(doc, hashed)
                 weight = tf * table[_features(hashed)]
-                signature = signatures(doc, hashed, weight, len(block))
+                signature = signatures(doc, hashed, tf, weight, len(block))
                 keys, bits = _band_keys(signature), _two_bits(signature)
                 n = np.bincount(doc, weights=tf, minlength=len(block)).astype(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * 2 * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, len(block)), pa.array(d1.view(np.int64), pa.int64(), mask=n == 0), pa.array(d2.view(np.int64), pa.int64()),
-                     pa.array(n, pa.int64()), pa.array(np.bincount(doc, weights=weight, minlength=len(block)), pa.float64()), bands, *[pa.array(bits[:, k]) for k in range(4)]],
+                     pa.array(n, pa.int64()), pa.array(np.bincount(doc, weights=weight, minlength=len(block)), pa.float64()), bands, *[pa.array(bits[:, k]) for k in range(len(BITS))]],
                     ["doc_id", "d1", "d2", "n", "total", "bands", *BITS],
                 )
 
@@ -204,7 +218,7 @@ def _vectors(docs: DataFrame, weights, id_type: str) -> DataFrame:
             for block in text_blocks(batch.column(1)):
                 doc, hashed, tf = _unique(*shingles(block)[:2])
                 lengths = np.bincount(doc, minlength=len(block))
-                signature = signatures(doc, hashed, tf * table[_features(hashed)], len(block))
+                signature = signatures(doc, hashed, tf, tf * table[_features(hashed)], len(block))
                 some = np.full(len(block), 1)
                 value = (hashed >> np.uint64(32)).astype(np.uint32)
                 if len(value):
@@ -214,7 +228,7 @@ def _vectors(docs: DataFrame, weights, id_type: str) -> DataFrame:
                 several = np.bincount(doc, weights=tf, minlength=len(block)).astype(np.int64) > lengths
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, len(block)), binary_rows(value, lengths), binary_rows(tf[several[doc]].astype(np.int32), lengths * several),
-                     binary_rows(_band_keys(signature).ravel(), some * BANDS), binary_rows(_two_bits(signature).ravel(), some * 4)],
+                     binary_rows(_band_keys(signature).ravel(), some * 2 * BANDS), binary_rows(_two_bits(signature).ravel(), some * len(BITS))],
                     ["id", "hashes", "counts", "bands", "bits"],
                 )
 
@@ -285,10 +299,10 @@ def _meet(live: DataFrame, pivot, vectors: DataFrame, weights, id_type: str, thr
                 if not held:
                     continue
                 if bits is None:
-                    bits = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint64).reshape(-1, 4)
-                    bands = np.frombuffer(b"".join(h[3] for h in held), dtype=np.int64).reshape(-1, BANDS)
+                    bits = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint64).reshape(-1, len(BITS))
+                    bands = np.frombuffer(b"".join(h[3] for h in held), dtype=np.int64).reshape(-1, 2 * BANDS)
                 differ = bits ^ np.frombuffer(own_bits, dtype=np.uint64)
-                apart = np.bitwise_count(differ[:, :2] | differ[:, 2:]).sum(axis=1)
+                apart = np.minimum(*(np.bitwise_count(differ[:, k : k + 2] | differ[:, k + 2 : k + 4]).sum(axis=1) for k in (0, 4)))
                 near = np.flatnonzero(apart <= MOST_DISAGREEING)
                 near = near[np.argsort(apart[near], kind="stable")]
                 mine = np.frombuffer(own_bands, dtype=np.int64)
@@ -348,7 +362,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     state = _Classes(vectors, weights, id_type, threshold)
     for run in LEVELS:  # the most alike first: runs of several bands agree
-        wide = lively.select("rep", "n", "total", *BITS, F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("bands", k + 1, run)) for k in range(0, BANDS - run + 1, run)])).alias("bucket"))
+        wide = lively.select("rep", "n", "total", *BITS, F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("bands", k + 1, run)) for k in range(0, 2 * BANDS - run + 1, run)])).alias("bucket"))
         lead = wide.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").drop("_last")
         wide = state.label(wide.join(lead, "bucket"))
         state.compare(wide, F.col("rep") == F.col("lead"))
@@ -394,13 +408,14 @@ class _Classes:
         return rows.join(self.classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
 
     def compare(self, rows: DataFrame, pivot) -> None:
-        """Compare the pivots among `rows` (bucket, rep, n, total, s0..s3, class) with the members of their buckets in other classes, and join classes."""
+        """Compare the pivots among `rows` (bucket, rep, n, total, s0..s7, class) with the members of their buckets in other classes, and join classes."""
         t = self.threshold
         p, m = rows.where(pivot).alias("p"), rows.alias("m")
         near = (F.col("p.n") <= F.col("m.n") / t) & (F.col("m.n") <= F.col("p.n") / t)
         near |= (F.col("p.total") <= F.col("m.total") / t) & (F.col("m.total") <= F.col("p.total") / t)
         differ = [F.col(f"p.{b}").bitwiseXOR(F.col(f"m.{b}")) for b in BITS]
-        near &= F.bit_count(differ[0].bitwiseOR(differ[2])) + F.bit_count(differ[1].bitwiseOR(differ[3])) <= MOST_DISAGREEING
+        apart = [F.bit_count(differ[k].bitwiseOR(differ[k + 2])) + F.bit_count(differ[k + 1].bitwiseOR(differ[k + 3])) for k in (0, 4)]
+        near &= F.least(*apart) <= MOST_DISAGREEING
         met = p.join(m, (F.col("p.bucket") == F.col("m.bucket")) & (F.col("p.class") != F.col("m.class")) & near)
         pairs = met.select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b"), F.least("p.class", "m.class").alias("v"), F.greatest("p.class", "m.class").alias("u")).distinct()
         if self.done is not None:
@@ -428,5 +443,5 @@ class _Classes:
 
 
 def expected_recall(similarity: float) -> float:
-    """Chance that a pair of this weighted similarity shares a bucket."""
+    """Chance that a pair of this weighted or plain similarity shares a bucket of that sample set."""
     return 1 - math.pow(1 - similarity**ROWS, BANDS)
