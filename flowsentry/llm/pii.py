@@ -1,11 +1,13 @@
 """Personal data: seed patterns, then identifiers found by bootstrapped contextual extraction.
 
-The four base kinds are the seeds. Every identifier-like token (a run of letters, digits and
-._%+@- with a digit) stands in a lexical pattern: the word before it and what separates them.
-Patterns and token values form a graph. A pattern's confidence in a kind is the mean score of
-its values, a value's score is 1 for a seed and otherwise grows with the confidence of its
-patterns; a few rounds of joins settle both. Tokens in patterns of high confidence are found as
-that kind although no base pattern fits them. Everything is DataFrame expressions.
+The spans of the four base kinds are the seeds, whole, with their spaces and brackets. Candidates
+are identifier-like tokens (a run of letters, digits and ._%+@- with a digit) and runs of groups of
+digits with single spaces or brackets between them. Seeds and candidates stand in a lexical pattern:
+the word before them and what separates them. Patterns and values form a graph. A pattern's
+confidence in a kind is the mean score of its values, a value's score is 1 for a seed and otherwise
+grows with the confidence of its patterns; a few rounds of joins settle both. Candidates in patterns
+of high confidence are found as that kind although no base pattern fits them. Everything is
+DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]++"
+_GROUP = r"[0-9]++(?:[.-][0-9]++)*+(?![A-Za-z0-9_%+@]|[.-][A-Za-z0-9_%+@])"
+#: Two groups of digits or more, such as (017) 555-7713 or 4111 1111 1111 1111.
+RUN = rf"(?<![A-Za-z0-9._%+@-])\(?+\+?+{_GROUP}(?:\)?+\x20?+\(?+{_GROUP})++"
+CANDIDATES = {"token": TOKEN, "run": RUN}
 #: What a text must contain for a kind to be looked for.
-_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "token": r"[0-9]"}
+_HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "token": r"[0-9]", "run": r"[0-9][\x20()]"}
 
-#: Characters of context kept before a token; its least length and number of digits.
+#: Characters of context kept before a match; least length and number of digits of what is newly found.
 CONTEXT = 48
 TOKEN_CHARS, TOKEN_DIGITS = 6, 4
 #: Rounds of scoring; confidence and number of different seed values that a pattern needs; weight of doubt in its mean.
@@ -41,14 +47,19 @@ INHERITED = 0.9
 
 
 def _matches(kind: str) -> Column:
-    """array<struct<kind, i, gap, pre, match>>: the leftmost non-overlapping matches, each with the length and end of the text before it."""
-    pattern = TOKEN if kind == "token" else PATTERNS[kind]
+    """array<struct<kind, i, gap, pre, match>>: the leftmost non-overlapping matches, each with the length of the text since the last one and the end of all text before it."""
+    pattern = CANDIDATES.get(kind) or PATTERNS[kind]
     text = F.col("_text")
     found = F.when(text.rlike(_HINTS[kind]), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     parts = F.split(text, pattern, -1)
+    # The context goes back over the match before, whose last word may stand right before this one.
+    before = [F.slice(F.concat(F.array(F.lit("")), x), 1, F.size(found)) for x in (parts, found)]
+    tail = lambda x: F.substring(x, -CONTEXT, CONTEXT)
     rows = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(parts, 1, F.size(found)).alias("g")),
-        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), F.char_length(x["g"]).cast("long").alias("gap"), F.substring(x["g"], -CONTEXT, CONTEXT).alias("pre"), x["m"].alias("match")),
+        F.arrays_zip(found.alias("m"), F.slice(parts, 1, F.size(found)).alias("g"), before[0].alias("pg"), before[1].alias("pm")),
+        lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.cast("int").alias("i"), F.char_length(x["g"]).cast("long").alias("gap"), tail(F.concat(tail(x["pg"]), tail(x["pm"]), tail(x["g"]))).alias("pre"), x["m"].alias("match")
+        ),
     )
     return F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:bigint,pre:string,match:string>>"))
 
@@ -73,8 +84,8 @@ def _valid() -> Column:
 
 
 def find_matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, _key, kind, start, end, pre, match) of all base matches of the right kind and all tokens, from (doc_id, _key, _text)."""
-    found = docs.select("doc_id", "_key", F.concat(*[_matches(k) for k in (*KINDS, "token")]).alias("_found")).where(F.size("_found") > 0)
+    """(doc_id, _key, kind, start, end, pre, match) of all base matches of the right kind and all candidates, from (doc_id, _key, _text)."""
+    found = docs.select("doc_id", "_key", F.concat(*[_matches(k) for k in (*KINDS, *CANDIDATES)]).alias("_found")).where(F.size("_found") > 0)
     single = cut(found).dropDuplicates(["doc_id", "_key"])  # repeated rows have the same matches
     rows = single.select("doc_id", "_key", F.explode("_found").alias("f")).select("doc_id", "_key", "f.*")
     # Positions are running sums over one text's matches of one kind.
@@ -84,11 +95,11 @@ def find_matches(docs: DataFrame) -> DataFrame:
     return placed.withColumn("_d", _digits(F.col("match"))).where(_valid()).select("doc_id", "_key", "kind", "start", "end", "pre", "match")
 
 
-def contexts(tokens: DataFrame) -> DataFrame:
-    """`tokens` with _pattern: the lower-case word before the token, its digits as 0, and the separator; null without such a word."""
+def contexts(spans: DataFrame) -> DataFrame:
+    """`spans` with _pattern: the lower-case word before the span, its digits as 0, and the separator; null without such a word."""
     word = F.regexp_extract("pre", r"([A-Za-z0-9_\p{L}]++)([^A-Za-z0-9_\p{L}]{0,8})$", 1)
     gap = F.regexp_extract("pre", r"([A-Za-z0-9_\p{L}]++)([^A-Za-z0-9_\p{L}]{0,8})$", 2)
-    return tokens.withColumn("_pattern", F.when(word != "", F.concat(F.regexp_replace(F.lower(word), "[0-9]+", "0"), F.lit("\x1f"), F.regexp_replace(gap, r"\s+", " "))))
+    return spans.withColumn("_pattern", F.when(word != "", F.concat(F.regexp_replace(F.lower(word), "[0-9]+", "0"), F.lit("\x1f"), F.regexp_replace(gap, r"\s+", " "))))
 
 
 def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -111,22 +122,27 @@ def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) ->
     return confident
 
 
-def discover(found: DataFrame) -> DataFrame:
-    """(doc_id, _key, kind, start, end) of tokens that no base span overlaps, in patterns sure of one kind."""
-    base = found.where("kind <> 'token'")
-    tokens = contexts(found.where("kind = 'token'")).where("_pattern is not null").where((F.length("match") >= TOKEN_CHARS) & (F.length(_digits(F.col("match"))) >= TOKEN_DIGITS))
-    b, t = base.select("doc_id", "_key", "kind", "start", "end").alias("b"), tokens.alias("t")
+def _free(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """`spans` that none of `others` overlaps."""
+    t, b = spans.alias("t"), others.select("doc_id", "_key", "start", "end").alias("b")
     meets = F.col("t.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("t._key") == F.col("b._key")) & (F.col("b.start") < F.col("t.end")) & (F.col("t.start") < F.col("b.end"))
-    # A token is a seed of the kind whose span covers it; a token that a span only touches is neither seed nor find.
-    covers = (F.col("b.start") <= F.col("t.start")) & (F.col("t.end") <= F.col("b.end"))
-    keys = [F.col(f"t.{c}").alias(c) for c in ("doc_id", "_key", "start", "end", "match", "_pattern")]
-    joined = t.join(b, meets, "left").select(*keys, F.when(covers, F.col("b.kind")).alias("kind"), F.col("b.start").isNotNull().alias("met"))
-    marked = cut(joined.groupBy("doc_id", "_key", "start", "end", "match", "_pattern").agg(F.min("kind").alias("kind"), F.max("met").alias("met")))
+    return t.join(b, meets, "left_anti")
+
+
+def discover(found: DataFrame) -> DataFrame:
+    """(doc_id, _key, kind, start, end) of candidates that no base span overlaps, in patterns sure of one kind; a run goes before the tokens in it."""
+    keys = ("doc_id", "_key", "start", "end", "match", "_pattern")
+    base = found.where(F.col("kind").isin(*KINDS))
+    runs = _free(found.where("kind = 'run'"), base)
+    tokens = _free(found.where("kind = 'token'"), base.unionByName(runs))
+    fresh = contexts(runs.unionByName(tokens)).select(*keys, F.lit(None).cast("string").alias("kind"))
+    seeded = contexts(base).groupBy(*keys).agg(F.min("kind").alias("kind"))  # a span of two kinds stands there once
+    marked = cut(fresh.unionByName(seeded).where("_pattern is not null"))
     edges = cut(marked.groupBy(F.col("_pattern").alias("pattern"), F.col("match").alias("value")).agg(F.count(F.lit(1)).alias("n")))
     seeds = cut(marked.where("kind is not null").groupBy(F.col("match").alias("value")).agg(F.min("kind").alias("kind")))
     sure = score_patterns(edges, seeds).where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
     best = sure.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    new = marked.where("not met").drop("kind").join(best, F.col("_pattern") == F.col("pattern"))
+    new = marked.where(F.col("kind").isNull() & (F.length("match") >= TOKEN_CHARS) & (F.length(_digits(F.col("match"))) >= TOKEN_DIGITS)).drop("kind").join(best, F.col("_pattern") == F.col("pattern"))
     return new.select("doc_id", "_key", "kind", "start", "end")
 
 
@@ -146,7 +162,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     found = cut(find_matches(rows))
-    base = found.where("kind <> 'token'").select("doc_id", "_key", "kind", "start", "end", F.lit(True).alias("base"))
+    base = found.where(F.col("kind").isin(*KINDS)).select("doc_id", "_key", "kind", "start", "end", F.lit(True).alias("base"))
     spans = base.unionByName(discover(found).withColumn("base", F.lit(False)))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank")
     span = F.struct(F.col("start"), rank, F.col("kind"), F.col("end"))

@@ -121,6 +121,18 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[51].spans == "" and got[7].spans == "ip:21:29" and got[7].n_found == 0
 
 
+def test_contexts_of_whole_spans_discover_emails_cards_and_phones(spark):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "6011 0000 0000 0004"]
+    rows = [(i, f"write to mail: {'abcdefghij'[i % 10]}{'xyz'[i // 10]}@example.com now") for i in range(30)]
+    rows += [(100 + i, f"paid by card no {cards[i % 4]} today") for i in range(30)]
+    rows += [(200 + i, f"my phone: +1 ({i + 100}) 555-7713 here") for i in range(30)]
+    rows += [(300, "write to mail: joe1234_at_host now"), (301, "paid by card no 4111 1111 1111 1112 today"), (302, "my phone: (017) 555-7713 here"), (303, "room (017) 555-7713 stays")]
+    rows += [(400 + i, f"see line{i} 10.0.0.{i} end") for i in range(30)] + [(450, "see line7 10x0x0x7777 end")]
+    got = {r.doc_id: r for r in personal_data(frame(spark, rows)).collect()}
+    assert got[300].spans == "email:15:30" and got[301].spans == "card:16:35" and got[302].spans == "phone:10:24"
+    assert got[450].spans == "ip:10:21" and got[303].spans == "" and all(got[i].n_found == 0 for i, _ in rows if i % 100 < 30 and i < 300)
+
+
 def test_exact_duplicates(spark):
     rnd = random.Random(3)
     rows = EDGES + [(100 + i, rnd.choice(["ab c", "abc", "a b c", "abd", "x" * 100 + str(i % 3), "x" * 100])) for i in range(200)]
