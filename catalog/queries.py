@@ -285,6 +285,20 @@ def rings(spark, sf_dir):
     return found.withColumn("sample_nodes", F.array_join("sample_nodes", ","))
 
 
+@query
+def strong_components_all(spark, sf_dir):
+    """Over transfers of every type; strong_components is its SQL twin's part."""
+    return components.strong_components(_edges(spark, sf_dir))
+
+
+@query
+def rings_all(spark, sf_dir):
+    """Over transfers of every type; rings is its SQL twin's part."""
+    rows = cut(_edges(spark, sf_dir))
+    found = graph.suspicious_rings(rows, components.weak_components(rows), motifs.motif_features(rows))
+    return found.withColumn("sample_nodes", F.array_join("sample_nodes", ","))
+
+
 EGO = "U1"
 
 

@@ -129,3 +129,40 @@ def test_example_graph(spark, make_txns):
     assert len(rings) == 1 and rings[0].node_count == 4 and rings[0].sample_nodes == ["A", "B", "C", "D"]
     stats = graph.graph_stats(rows).first()
     assert (stats.node_count, stats.edge_count) == (4, 4)
+
+
+def test_registered_components_and_rings_take_every_type(spark):
+    from catalog.queries import QUERIES, _edges
+
+    sf = "/root/testdata/sf0.001"
+    out, back = {}, {}
+    for r in _edges(spark, sf).select("src", "dst").distinct().collect():
+        out.setdefault(r.src, set()).add(r.dst)
+        back.setdefault(r.dst, set()).add(r.src)
+    nodes = set(out) | set(back)
+
+    def reach(start, *steps):
+        seen, todo = {start}, [start]
+        while todo:
+            node = todo.pop()
+            new = set().union(*(s.get(node, set()) for s in steps)) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    def parts(of):
+        left, found = set(nodes), set()
+        while left:
+            part = of(next(iter(left)))
+            found.add(frozenset(part))
+            left -= part
+        return found
+
+    got = {}
+    for r in QUERIES["strong_components_all"](spark, sf).collect():
+        got.setdefault(r.component, set()).add(r.account_id)
+    assert set(map(frozenset, got.values())) == parts(lambda x: reach(x, out) & reach(x, back))
+    whole = [w for w in parts(lambda x: reach(x, out, back))]
+    rings = [set(r.sample_nodes.split(",")) for r in QUERIES["rings_all"](spark, sf).collect()]
+    assert rings and all(any(r <= w for w in whole) for r in rings)
+    assert max(len(w) for w in whole) >= 3 and any(r <= max(whole, key=len) for r in rings)
