@@ -166,3 +166,25 @@ def test_registered_components_and_rings_take_every_type(spark):
     rings = [set(r.sample_nodes.split(",")) for r in QUERIES["rings_all"](spark, sf).collect()]
     assert rings and all(any(r <= w for w in whole) for r in rings)
     assert max(len(w) for w in whole) >= 3 and any(r <= max(whole, key=len) for r in rings)
+
+
+def test_registered_pagerank_converges(spark):
+    import numpy as np
+
+    from catalog.queries import QUERIES, _edges
+    from flowsentry.operators.centrality import TOLERANCE
+
+    sf = "/root/testdata/sf0.001"
+    rows = _edges(spark, sf).select("src", "dst", "weight").collect()
+    place = {a: i for i, a in enumerate(sorted({r.src for r in rows} | {r.dst for r in rows}))}
+    n = len(place)
+    move = np.zeros((n, n))
+    for r in rows:
+        move[place[r.dst], place[r.src]] += float(r.weight)
+    total = move.sum(axis=0)
+    move = np.where(total > 0, move / np.where(total > 0, total, 1), 1 / n)
+    want = np.linalg.solve(np.eye(n) - 0.85 * move, np.full(n, 0.15 / n))
+    got = {r.account_id: r.pagerank for r in QUERIES["pagerank_converged"](spark, sf).collect()}
+    assert set(got) == set(place)
+    # A last change below n * TOLERANCE leaves at most 0.85 / 0.15 of it in motion; 1e-10 is the rounding.
+    assert sum(abs(got[a] - want[i]) for a, i in place.items()) < n * (TOLERANCE * 0.85 / 0.15 + 1e-10)
