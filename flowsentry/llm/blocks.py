@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,9 +81,26 @@ class Block:
     def hasher(self) -> SubstringHash:
         return SubstringHash(self.data)
 
+    def word_digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two 64-bit halves of a cryptographic digest of each document's words joined by one blank; 0, 0 without a word."""
+        keep = ~_SPACE[self.data]
+        spaced = self.data.copy()
+        between = ends[:-1][self.doc_of(starts[:-1]) == self.doc_of(starts[1:])] if len(starts) else ends
+        keep[between], spaced[between] = True, 0x20
+        borders = np.concatenate([[0], np.cumsum(keep)])[self.offsets].tolist()
+        joined = spaced[keep].data
+        out = np.zeros((2, len(self)), dtype=np.uint64)
+        for i, (a, b) in enumerate(zip(borders, borders[1:])):
+            if b > a:
+                out[:, i] = np.frombuffer(hashlib.blake2b(joined[a:b], digest_size=16).digest(), dtype="<u8")
+        return out
+
 
 class SubstringHash:
-    """64-bit hashes of byte ranges from prefix sums of weight * base**position (mod 2**64)."""
+    """64-bit hashes of byte ranges from prefix sums of weight * base**position (mod 2**64).
+
+    Made for windows of some dozens of bytes: texts of 1024 bytes and more can be built to collide.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -101,6 +119,57 @@ class SubstringHash:
         return mix((self._prefix[width:] - self._prefix[:n]) * self._inverse[:n])
 
 
+#: A 64-bit number's low 0 to 8 bytes.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Ranges of more bytes go through a cryptographic digest.
+_CHAINED = 256
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number; behind the end stand zeros."""
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def low_bytes(words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """`words` with all but the first 0 to 8 bytes (`count`, cut to that range) cleared."""
+    return words & _LOW[np.clip(count, 0, 8)]
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes a step through a non-linear finaliser.
+
+    No structure of a text makes two ranges collide, and ranges of one length up to eight bytes
+    never do; where a result hangs on equality, the bytes are compared as well (`same_ranges`).
+    """
+    at, lens = eights(data), ends - starts
+    out = mix(mix(lens.astype(np.uint64) + np.uint64(50)) ^ low_bytes(at[starts], lens))
+    rest, step = np.flatnonzero((lens > 8) & (lens <= _CHAINED)), 8
+    while len(rest):
+        out[rest] = mix(out[rest] ^ low_bytes(at[starts[rest] + step], lens[rest] - step))
+        step += 8
+        rest = rest[lens[rest] > step]
+    for i in np.flatnonzero(lens > _CHAINED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each range holds the same bytes as its partner."""
+    at, lens = eights(data), ends - starts
+    out = lens == other_ends - others
+    rest, step = np.flatnonzero(out), 0
+    while len(rest) and step < _CHAINED:
+        left = lens[rest] - step
+        out[rest] = low_bytes(at[starts[rest] + step], left) == low_bytes(at[others[rest] + step], left)
+        step += 8
+        rest = rest[out[rest] & (lens[rest] > step)]
+    for i in rest.tolist():
+        out[i] = np.array_equal(data[starts[i] + step : ends[i]], data[others[i] + step : other_ends[i]])
+    return out
+
+
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """The documents of a string column in blocks of bounded size; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

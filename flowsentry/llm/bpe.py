@@ -20,7 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from flowsentry.llm.blocks import Block, SubstringHash, ragged_index, text_blocks
+from flowsentry.llm.blocks import Block, ragged_index, text_blocks
+from flowsentry.llm.pieces import PieceCache
 
 _OPEN = np.int64(1) << 62
 _POSITION_BITS = 8
@@ -144,10 +145,6 @@ class _PairTable:
 class Tokenizer:
     """Encodes and decodes with the ranks of one vocabulary file."""
 
-    #: Slots of the cache of encoded pieces, and the tokens it holds before it starts anew.
-    CACHE_BITS = 20
-    CACHE_TOKENS = 1 << 22
-
     def __init__(self, path: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
@@ -175,13 +172,7 @@ class Tokenizer:
         for i, word in enumerate(digits):
             self.digits[i, : len(word)] = np.frombuffer(word, dtype=np.uint8)
         self.digits_len = np.array([len(d) for d in digits], dtype=np.int64)
-        self._clear()
-
-    def _clear(self) -> None:
-        self._key = np.zeros(1 << self.CACHE_BITS, dtype=np.uint64)
-        self._entry = np.full(1 << self.CACHE_BITS, -1, dtype=np.int64)
-        self._starts, self._lens = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self._tokens = np.zeros(0, dtype=np.int32)
+        self._cache = PieceCache()
 
     # One piece -----------------------------------------------------------------------------
 
@@ -331,26 +322,7 @@ class Tokenizer:
         starts, ends = split_pieces(block.data, block.offsets)
         if not len(starts):
             return np.zeros(0, dtype=np.int32), np.zeros(len(block), dtype=np.int64)
-        if len(self._tokens) > self.CACHE_TOKENS:
-            self._clear()
-        # Within one cache life of some millions of pieces a clash of these keys has a chance of about 1e-7.
-        key = SubstringHash(block.data)(starts, ends) ^ ((ends - starts).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-        slot = (key >> np.uint64(64 - self.CACHE_BITS)).astype(np.int64)
-        entry = np.where(self._key[slot] == key, self._entry[slot], -1)
-        missed = np.flatnonzero(entry < 0)
-        if len(missed):
-            names, where, inverse = np.unique(key[missed], return_index=True, return_inverse=True)
-            some = missed[where]
-            tokens, counts = self.encode_pieces(block.data, starts[some], ends[some])
-            entries = len(self._starts) + np.arange(len(names))
-            self._starts = np.concatenate([self._starts, len(self._tokens) + np.cumsum(counts) - counts])
-            self._lens = np.concatenate([self._lens, counts])
-            self._tokens = np.concatenate([self._tokens, tokens])
-            entry[missed] = entries[inverse]
-            slots = (names >> np.uint64(64 - self.CACHE_BITS)).astype(np.int64)
-            self._key[slots], self._entry[slots] = names, entries
-        lens = self._lens[entry]
-        ids = self._tokens[ragged_index(self._starts[entry], lens)]
+        ids, lens = self._cache.encode(block.data, starts, ends, self.encode_pieces)
         total = np.concatenate([[0], np.cumsum(lens)])
         upto = total[np.searchsorted(starts, block.offsets)]
         return ids, np.diff(upto)

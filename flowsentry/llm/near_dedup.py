@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.blocks import Block, binary_rows, mix, text_blocks
+from flowsentry.llm.blocks import Block, binary_rows, hash_ranges, mix, text_blocks
 from flowsentry.llm.exact_dedup import in_bitmap, key_bitmap
 from flowsentry.operators.components import weak_components
 from flowsentry.session import cut, discard
@@ -60,14 +60,10 @@ def shingles(block: Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray,
     starts, ends = block.words()
     counts = np.diff(np.searchsorted(starts, block.offsets))
     doc = np.repeat(np.arange(len(block)), counts)
-    word = block.hasher()(starts, ends)
+    word = hash_ranges(block.data, starts, ends)
     firsts = np.cumsum(counts) - counts
     place = np.arange(len(word)) - firsts[doc]
-    has = np.flatnonzero(counts)
-    digest = np.zeros((2, len(block)), dtype=np.uint64)
-    if len(has):
-        for k in range(2):
-            digest[k, has] = np.add.reduceat(mix(word + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(k))), firsts[has])
+    digest = block.word_digests(starts, ends)
     hashed = word.copy()
     step = word
     for k in range(1, width):  # the words of a shorter text all go into its only shingle

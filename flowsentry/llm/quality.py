@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from flowsentry.llm.blocks import Block, mix, text_blocks
+from flowsentry.llm.blocks import Block, hash_ranges, mix, same_ranges, text_blocks
 from flowsentry.session import cut
 
 #: Largest share of a stratum's good documents that all rules together may reject, and the chance of a breach anywhere.
@@ -70,7 +70,6 @@ def block_statistics(block: Block) -> dict[str, np.ndarray]:
     if not len(starts):
         return out | {k: np.zeros(docs, dtype=np.int64) for k in ("n_dup_lines", "n_repeat_words", "n_lines")}
     doc = np.repeat(np.arange(docs), out["n_words"])
-    hashed = block.hasher()
 
     breaks = np.flatnonzero(data == 0x0A)
     after = np.searchsorted(breaks, starts)
@@ -82,23 +81,40 @@ def block_statistics(block: Block) -> dict[str, np.ndarray]:
     lead = np.flatnonzero(np.concatenate([[True], line_start[1:] != line_start[:-1]]))
     line_doc = doc[lead]
     salt = mix(np.arange(docs, dtype=np.uint64))
-    _, where = np.unique(hashed(line_start[lead], line_end[lead]) ^ salt[line_doc], return_index=True)
+    line_start, line_end = line_start[lead], line_end[lead]
+    same = _first_equal(hash_ranges(data, line_start, line_end) ^ salt[line_doc], line_doc, lambda i, j: same_ranges(data, line_start[i], line_end[i], line_start[j], line_end[j]))
     out["n_lines"] = np.bincount(line_doc, minlength=docs)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(line_doc[where], minlength=docs)
+    out["n_dup_lines"] = np.bincount(line_doc[same != np.arange(len(same))], minlength=docs)
 
     covered = np.zeros(len(starts) + 2, dtype=bool)
     if len(starts) > 2:
-        word = hashed(starts, ends)
+        word = hash_ranges(data, starts, ends)
         three = mix(mix(mix(word[:-2]) + word[1:-1]) + word[2:]) ^ salt[doc[:-2]]
         inside = np.flatnonzero(doc[:-2] == doc[2:])
-        _, inverse, counts = np.unique(three[inside], return_inverse=True, return_counts=True)
-        again = inside[counts[inverse] > 1]
+
+        def equal(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            i, j = inside[i], inside[j]
+            return np.logical_and.reduce([same_ranges(data, starts[i + k], ends[i + k], starts[j + k], ends[j + k]) for k in range(3)])
+
+        first = _first_equal(three[inside], doc[inside], equal)
+        again = inside[np.bincount(first, minlength=len(inside))[first] > 1]
         for k in range(3):
             covered[again + k] = True
     out["n_repeat_words"] = np.bincount(doc[covered[: len(starts)]], minlength=docs)
     return out
 
 
+def _first_equal(hashed: np.ndarray, doc: np.ndarray, equal) -> np.ndarray:
+    """Number of the first item of the same document that equals each item. The hash only proposes: equal(i, j) compares the items."""
+    _, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+    first, own = where[inverse], np.arange(len(hashed))
+    rest = np.flatnonzero(first != own)
+    wrong = rest[~((doc[rest] == doc[first[rest]]) & equal(rest, first[rest]))]
+    if len(wrong):  # hashes clashed: these items and their likes are compared among themselves
+        first[wrong] = wrong[_first_equal(mix(hashed[wrong] + doc[wrong].astype(np.uint64)), doc[wrong], lambda i, j: equal(wrong[i], wrong[j]))]
+    return first
+
+
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
     """(doc_id, stratum, counts...): one row per row of `docs`; null text is empty and has no words.
 
