@@ -14,6 +14,7 @@ from flowsentry.llm.packing import pack_documents
 from flowsentry.llm.pii import personal_data
 from flowsentry.llm.quality import judge
 from flowsentry.llm.suffix_dedup import remove_repeats
+from flowsentry.llm.tree_bpe import round_trip as tree_round_trip
 from flowsentry.llm.url_filter import judge_urls
 from flowsentry.llm.warc import archive_and_read
 
@@ -22,11 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
-    """The rank file of the public tokenizer package; the file itself is never copied."""
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """A vocabulary file of the public tokenizer package; the file itself is never copied."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_personal_data": op2_personal_data,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_tree_bpe": op13_tree_bpe,
 }
 
 ORACLES: dict[str, str] = {
