@@ -12,6 +12,7 @@ from flowsentry.llm.mixing import mix_sources
 from flowsentry.llm.near_dedup import near_duplicates
 from flowsentry.llm.packing import pack_documents
 from flowsentry.llm.pii import personal_data
+from flowsentry.llm.prefix_trie import prefix_trie
 from flowsentry.llm.quality import judge
 from flowsentry.llm.suffix_dedup import remove_repeats
 from flowsentry.llm.tree_bpe import round_trip as tree_round_trip
@@ -70,6 +71,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_tree_bpe": op13_tree_bpe,
 }
 
@@ -187,4 +193,31 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k
     """,
+    # CRC-32 bit by bit; every prefix of every rebuilt conversation is spelled out.
+    "op11_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, turn, substr(sha256(strlen(r) || ':' || r || x), 1, 48) || printf('%016x', strlen(x)) AS e
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+        ), c AS (SELECT conv_id, list(e ORDER BY turn NULLS FIRST, e) AS l FROM t GROUP BY conv_id
+        ), s AS (
+            SELECT conv_id, l, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
+                lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 9 AS h FROM c
+        ), p AS (
+            SELECT s.conv_id, list_concat(coalesce(f.l[1:s.h], []), s.l[s.h + 1:]) AS l FROM s LEFT JOIN c f ON f.conv_id = s.conv_id - s.conv_id % 5
+        ), k AS (
+            SELECT conv_id, len(l) AS n, d, md5(array_to_string(l[1:d], '')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(l[1:d - 1], '')) END AS pk, CASE WHEN d > 0 THEN l[d] END AS e
+            FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM p)
+        ), v AS (
+            SELECT d, k, min(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(('0x' || right(min(e), 16))::BIGINT, 0) AS b,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM k GROUP BY d, k
+        ), kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL
+        ), w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN kids USING (d, k)
+        ), below AS (
+            SELECT k.d, k.k, sum((w.n_convs - 1) * w.b)::BIGINT AS saved_tokens, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves
+            FROM w JOIN k ON k.conv_id = w.conv_id AND k.d <= w.d GROUP BY k.d, k.k
+        )
+        SELECT w.conv_id, w.d::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+        FROM w JOIN below USING (d, k) LEFT JOIN w u ON u.d = w.d - 1 AND u.k = w.pk
+    """,
 }
