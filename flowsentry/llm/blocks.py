@@ -137,21 +137,21 @@ def low_bytes(words: np.ndarray, count: np.ndarray) -> np.ndarray:
     return words & _LOW[np.clip(count, 0, 8)]
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 50) -> np.ndarray:
     """64-bit hashes of byte ranges, eight bytes a step through a non-linear finaliser.
 
     No structure of a text makes two ranges collide, and ranges of one length up to eight bytes
     never do; where a result hangs on equality, the bytes are compared as well (`same_ranges`).
     """
     at, lens = eights(data), ends - starts
-    out = mix(mix(lens.astype(np.uint64) + np.uint64(50)) ^ low_bytes(at[starts], lens))
+    out = mix(mix(lens.astype(np.uint64) + np.uint64(seed)) ^ low_bytes(at[starts], lens))
     rest, step = np.flatnonzero((lens > 8) & (lens <= _CHAINED)), 8
     while len(rest):
         out[rest] = mix(out[rest] ^ low_bytes(at[starts[rest] + step], lens[rest] - step))
         step += 8
         rest = rest[lens[rest] > step]
     for i in np.flatnonzero(lens > _CHAINED).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([seed % 256])).digest(), "little")
     return out
 
 

@@ -14,6 +14,7 @@ from flowsentry.llm.packing import pack_documents
 from flowsentry.llm.pii import personal_data
 from flowsentry.llm.prefix_trie import prefix_trie
 from flowsentry.llm.quality import judge
+from flowsentry.llm.ranked_search import rank_documents
 from flowsentry.llm.suffix_dedup import remove_repeats
 from flowsentry.llm.tree_bpe import round_trip as tree_round_trip
 from flowsentry.llm.url_filter import judge_urls
@@ -75,6 +76,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_round_trip(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_ranked_search": op12_ranked_search,
     "op13_tree_bpe": op13_tree_bpe,
 }
 
@@ -220,4 +226,22 @@ ORACLES: dict[str, str] = {
         SELECT w.conv_id, w.d::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
         FROM w JOIN below USING (d, k) LEFT JOIN w u ON u.d = w.d - 1 AND u.k = w.pk
     """,
+    "op12_ranked_search": r"""
+        WITH i AS (
+            SELECT item, item_id, term, count(*) AS q
+            FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY ALL
+        ), d AS (
+            SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), c AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+        ), t AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL
+        ), w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, n_docs
+        ), s AS (
+            SELECT item, item_id, doc_id, row_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(terms) * n_docs) // n_terms))))::BIGINT AS score
+            FROM i JOIN w USING (term) JOIN t USING (term) JOIN d USING (row_id), c GROUP BY ALL
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, row_id)::INT AS rank FROM s WHERE score > 0
+        ) WHERE rank <= 10
+    """,
 }
