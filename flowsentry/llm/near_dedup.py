@@ -8,9 +8,9 @@
    Samples form bands; texts of equal words share one representative before banding. The same
    draws are also sampled by plain counts, in as many bands of their own, so that a pair alike
    in either similarity meets with the same chance.
-3. A bucket is worked off from pivots: a few members, drawn by hash, are compared with all
-   members of other classes, links join classes, and the next round draws eight times as many
-   pivots, until a bucket holds one class or every member was a pivot. Before that every member
+3. A bucket is worked off from pivots: members outside its largest class, drawn by hash, are
+   compared with all members of other classes, links join classes, the pivots are done, and the
+   next round draws more, until the members that are left are one class. Before that every member
    meets its bucket's least member, first in buckets of several bands. So members of one class
    are seldom compared, pairs are never rows, and no link of two classes in one bucket is lost.
 4. A pair links when the exact weighted Jaccard similarity is at least the threshold, or the
@@ -47,8 +47,8 @@ MOST_DISAGREEING = 52
 BITS = tuple(f"s{k}" for k in range(8))
 #: Before single bands, buckets of so many bands in a row join the closest texts.
 LEVELS = (4, 2)
-#: Pivots of a bucket that go to a task at once.
-MOST_PIVOTS = 512
+#: Pivots that a bucket draws in the first round, and at most in a later one.
+FIRST_PIVOTS, MOST_PIVOTS = 64, 512
 #: Bits of the bitmaps of the texts that a round compares.
 ROUND_BITS = 1 << 22
 
@@ -266,7 +266,7 @@ def _links(pairs: DataFrame, vectors: DataFrame, weights, id_type: str, threshol
     return dealt.mapInArrow(run, f"src {id_type}, dst {id_type}")
 
 
-def _meet(live: DataFrame, pivot, vectors: DataFrame, weights, id_type: str, threshold: float) -> DataFrame:
+def _meet(live: DataFrame, pivot, vectors: DataFrame, weights, id_type: str, threshold: float, most_disagreeing: int) -> DataFrame:
     """(src, dst): pairs of classes that some pivot and some member of one bucket link.
 
     Members of a bucket are dealt over tasks, its pivots go to each of them. No pair is a row: a
@@ -299,7 +299,7 @@ def _meet(live: DataFrame, pivot, vectors: DataFrame, weights, id_type: str, thr
                     bands = np.frombuffer(b"".join(h[3] for h in held), dtype=np.int64).reshape(-1, 2 * BANDS)
                 differ = bits ^ np.frombuffer(own_bits, dtype=np.uint64)
                 apart = np.minimum(*(np.bitwise_count(differ[:, k : k + 2] | differ[:, k + 2 : k + 4]).sum(axis=1) for k in (0, 4)))
-                near = np.flatnonzero(apart <= MOST_DISAGREEING)
+                near = np.flatnonzero(apart <= most_disagreeing)
                 near = near[np.argsort(apart[near], kind="stable")]
                 mine = np.frombuffer(own_bands, dtype=np.int64)
                 met, this = {klass}, None
@@ -322,9 +322,11 @@ def _vector(hashes: bytes, counts: bytes, table: np.ndarray) -> tuple[np.ndarray
     return value, tf, table[value >> np.uint32(32 - FEATURE_BITS)].astype(np.float64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most_disagreeing: int = MOST_DISAGREEING) -> DataFrame:
     """(doc_id, class_id, kept): one row per row of `docs`; class_id is the least id of the document's class.
 
+    `most_disagreeing` of 128 compares all pairs that share a bucket, whatever their sample bits.
+
     Texts with the same words in the same order are one class. A text without words (null or
     empty) is a class of its own. Repeated rows share their class. A row without an id joins the
     class of equal words, else its class_id is null and it is kept. Different texts under one id
@@ -356,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = lively.drop("bands")
     live = cut(live.join(sizes.distinct(), "rep").withColumn("class", F.col("rep")))
 
-    state = _Classes(vectors, weights, id_type, threshold)
+    state = _Classes(vectors, weights, id_type, threshold, most_disagreeing)
     for run in LEVELS:  # the most alike first: runs of several bands agree
         wide = lively.select("rep", "n", "total", *BITS, F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("bands", k + 1, run)) for k in range(0, 2 * BANDS - run + 1, run)])).alias("bucket"))
         lead = wide.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").drop("_last")
@@ -364,18 +366,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         state.compare(wide, F.col("rep") == F.col("lead"))
     live = cut(state.label(live))
     state.compare(live, F.col("rep") == F.col("lead"))
-    low, high = 0, 8
+    # Pairs that are left to compare: members that were no pivot yet and are not of one class.
+    rest, turn, drawn = live.where(F.col("rep") != F.col("lead")).select("bucket", "rep"), 0, FIRST_PIVOTS
     while True:
-        live = state.label(live)
-        # A bucket is done when it is one class, or when every member's place was reached.
-        still = live.groupBy("bucket").agg((F.min("class") < F.max("class")).alias("several"), F.max("members").alias("size")).where(F.col("several") & (F.col("size") > max(low, 2)))
-        live = cut(live.join(still.select("bucket"), "bucket", "left_semi"))
+        labelled = cut(state.label(rest))
+        held = labelled.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        held = held.agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+        open_rows = cut(labelled.join(held, "bucket"))
+        for step in (labelled, live):
+            discard(step)
+        live = open_rows
         if live.isEmpty():
             break
-        # Pivots by place in a hash order drawn for the bucket.
-        place = F.pmod(F.xxhash64("bucket", "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("members")
-        state.join(_meet(live, (place >= low) & (place < high), vectors, weights, id_type, threshold))
-        low, high = high, min(8 * high, high + MOST_PIVOTS)
+        # Pivots by place in a hash order drawn for the bucket and round.
+        place = F.pmod(F.xxhash64(F.lit(turn), "bucket", "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("others")
+        pivot = (F.col("class") != F.col("largest")) & (place < drawn)
+        state.join(_meet(live, pivot, vectors, weights, id_type, threshold, most_disagreeing))
+        rest, turn, drawn = live.where(~pivot).select("bucket", "rep"), turn + 1, min(8 * drawn, MOST_PIVOTS)
 
     for step in (vectors, lively, live):
         discard(step)
@@ -391,8 +398,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 class _Classes:
     """Classes joined so far, and the pairs already compared."""
 
-    def __init__(self, vectors: DataFrame, weights, id_type: str, threshold: float):
-        self.vectors, self.weights, self.id_type, self.threshold = vectors, weights, id_type, threshold
+    def __init__(self, vectors: DataFrame, weights, id_type: str, threshold: float, most_disagreeing: int):
+        self.vectors, self.weights, self.id_type, self.threshold, self.most_disagreeing = vectors, weights, id_type, threshold, most_disagreeing
         self.classes: DataFrame | None = None
         self.done: DataFrame | None = None
 
@@ -411,7 +418,7 @@ class _Classes:
         near |= (F.col("p.total") <= F.col("m.total") / t) & (F.col("m.total") <= F.col("p.total") / t)
         differ = [F.col(f"p.{b}").bitwiseXOR(F.col(f"m.{b}")) for b in BITS]
         apart = [F.bit_count(differ[k].bitwiseOR(differ[k + 2])) + F.bit_count(differ[k + 1].bitwiseOR(differ[k + 3])) for k in (0, 4)]
-        near &= F.least(*apart) <= MOST_DISAGREEING
+        near &= F.least(*apart) <= self.most_disagreeing
         met = p.join(m, (F.col("p.bucket") == F.col("m.bucket")) & (F.col("p.class") != F.col("m.class")) & near)
         pairs = met.select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b"), F.least("p.class", "m.class").alias("v"), F.greatest("p.class", "m.class").alias("u")).distinct()
         if self.done is not None:
