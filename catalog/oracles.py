@@ -675,7 +675,7 @@ _VOL = "count(*) AS txn_count, " + money() + " AS total_amount"
 _WIN = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime({1}, '%Y-%m-%d %H:%M:%S.%f') AS window_end"
 
 LIVE = f"""{VTXN}, {ROLLING.replace('round((amount - mean) / CASE WHEN c24 > 1 THEN greatest(sd, 1.0) ELSE 1.0 END, 6)', '(amount - mean) / CASE WHEN c24 > 1 THEN greatest(sd, 1.0) ELSE 1.0 END')},
-lv0 AS (SELECT transaction_id, account_id AS sender_id, counterparty AS receiver_id, amount, "timestamp" AS prediction_time, unique_counterparty_count AS cps,
+lv0 AS (SELECT transaction_id, account_id AS sender_id, counterparty AS receiver_id, amount, "timestamp" AS prediction_time, unique_counterparty_count AS cps, txn_count_1h AS c1, avg_time_to_forward_funds_minutes AS fwd,
  least(greatest(0.5::DOUBLE * least(1.0, txn_count_1h / 10.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN avg_time_to_forward_funds_minutes < 15 THEN 1.0 ELSE 0.0 END + 0.2::DOUBLE * odd_hour_txn_ratio, 0.0), 1.0) AS supervised_probability,
  least(greatest((amount_zscore_avg / 4.0::DOUBLE + odd_hour_txn_ratio) / 2.0::DOUBLE, 0.0), 1.0) AS anomaly_score, 0.0::DOUBLE AS network_risk_score FROM rf WHERE direction = 'out'),
 lv AS MATERIALIZED (SELECT *, round(least(greatest((0.6::DOUBLE * supervised_probability + 0.25::DOUBLE * anomaly_score + 0.15::DOUBLE * 0) * 100, 0.0), 100.0), 1) AS risk_score FROM lv0)"""
@@ -691,14 +691,17 @@ ORACLES |= {
  SELECT {_WIN.format('min("timestamp")', 'max("timestamp") + INTERVAL 30 MINUTE')}, sender_account_id, {_VOL} FROM s GROUP BY sender_account_id, sid""",
     "stream_dedup": f"WITH {TXN} SELECT * EXCLUDE (us, is_mule_pattern) REPLACE ({TS_TEXT}) FROM txn WHERE sender_account_id <> receiver_account_id",
     "stream_rolling_features": f"WITH {VTXN}, {ROLLING} SELECT * FROM rf",
-    "stream_scores": f"""WITH {LIVE} SELECT transaction_id, prediction_time, 'live-rules-1' AS model_version, sender_id, receiver_id, amount, risk_score, {TIER.format('risk_score')} AS risk_tier, round(supervised_probability, 6) AS supervised_probability,
+    "stream_state_features": f"WITH {VTXN}, {ROLLING} SELECT * FROM rf",
+    "stream_score_agreement": f"WITH {VTXN} SELECT count(*) AS streamed, count(*) AS batch, 0::BIGINT AS differing FROM txn",
+    "stream_rule_scores": f"""WITH {LIVE} SELECT transaction_id, prediction_time, 'live-rules-1' AS model_version, sender_id, receiver_id, amount, risk_score, {TIER.format('risk_score')} AS risk_tier, round(supervised_probability, 6) AS supervised_probability,
  round(anomaly_score, 6) AS anomaly_score, network_risk_score, CASE WHEN risk_score >= 40 THEN 1 ELSE 0 END AS alert_created FROM lv""",
     "stream_alerts": f"""WITH RECURSIVE {LIVE}, hit AS MATERIALIZED (SELECT *, sender_id AS account_id, epoch_us(CAST(prediction_time AS TIMESTAMP)) AS us FROM lv WHERE risk_score >= 40),
  ch AS (SELECT account_id, min(us) AS s FROM hit GROUP BY 1 UNION ALL SELECT account_id, s FROM (SELECT ch.account_id, (SELECT min(h.us) FROM hit h WHERE h.account_id = ch.account_id AND h.us > ch.s + 43200000000) AS s FROM ch) WHERE s IS NOT NULL),
  asg AS (SELECT ch.s, hit.* FROM hit JOIN ch ON ch.account_id = hit.account_id AND us BETWEEN s AND s + 43200000000),
- fin AS (SELECT account_id, s, count(*) AS events, arg_max(row(risk_score, anomaly_score, cps, amount, receiver_id, prediction_time), (us, transaction_id)) AS e FROM asg GROUP BY 1, 2)
+ fin AS (SELECT account_id, s, count(*) AS events, arg_max(row(risk_score, anomaly_score, cps, amount, receiver_id, prediction_time, c1, fwd), (us, transaction_id)) AS e FROM asg GROUP BY 1, 2)
  SELECT {alert_key("account_id || '-' || s")} AS alert_id, account_id, e[1] AS risk_score, upper({TIER.format('e[1]')}) AS risk_tier, {SEV.format('e[1]')} AS severity,
- 'Real-time transaction alert for ' || account_id || ' ($' || printf('%.2f', e[4]) || ' transfer to ' || e[5] || ')' AS summary, round(e[2], 6) AS anomaly_score, 0.0::DOUBLE AS network_risk, e[3] AS connected_suspicious_count, 'live-rules-1' AS model_version,
+ 'Real-time transaction alert for ' || account_id || ' ($' || printf('%.2f', e[4]) || ' transfer to ' || e[5] || ')' AS summary, 'txn_count_1h; avg_time_to_forward_funds_minutes; network_risk_score' AS top_features,
+ 'Elevated velocity burst (' || e[7] || ' txns/hr); Rapid fund forwarding latency (' || round(e[8], 1) || 'm); High network risk score (0.0)' AS top_reasons, round(e[2], 6) AS anomaly_score, 0.0::DOUBLE AS network_risk, e[3] AS connected_suspicious_count, 'live-rules-1' AS model_version,
  'OPEN' AS status, strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S.%f') AS created_at, e[6] AS updated_at, events FROM fin""",
 }
 

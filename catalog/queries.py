@@ -33,7 +33,8 @@ from flowsentry.plans import eda_report as eda_report_plan
 from flowsentry.plans import feature_matrix as feature_matrix_plan
 from flowsentry.session import configure, cut, shared_dir
 from flowsentry.sources import profile, readers, tables
-from flowsentry.streaming import events, live
+from flowsentry.sources.versions import Registry
+from flowsentry.streaming import events, live, state
 
 QUERIES = {}
 
@@ -331,17 +332,33 @@ def short_paths(spark, sf_dir):
 
 # --- feature table and what is computed from it ----------------------------------
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES: dict[tuple, object] = {}
 
 
-def stored(name: str, build, spark, sf_dir: str) -> DataFrame:
-    """Build a derived table once per session and read it from storage afterwards."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _stamp(spark, sf_dir: str) -> int:
+    """A number that changes with the names, sizes or times of the input files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
+def once(name: str, build, spark, sf_dir: str):
+    """What build(spark, sf_dir) returns, made once per session and state of the input files."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), name)
     if key not in _TABLES:
-        _TABLES[key] = cut(build(spark, sf_dir))
+        _TABLES[key] = build(spark, sf_dir)
     return _TABLES[key]
 
 
+def stored(name: str, build, spark, sf_dir: str) -> DataFrame:
+    """Build a derived table once per session and read it from storage afterwards."""
+    return once(name, lambda s, d: cut(build(s, d)), spark, sf_dir)
+
+
 def matrix(spark, sf_dir) -> DataFrame:
     def build(s, d):
         return feature_matrix_plan.build_feature_matrix(tables.txn_events(s, d), pagerank_iterations=20)
@@ -784,11 +801,9 @@ def rolling_realtime_features(spark, sf_dir):
 # --- streams: replay the whole events table, compare with the batch results ----------
 
 
-def _event_stream(spark, sf_dir):
-    """The events table as a file stream under the payload's column names."""
-    static = tables.table(spark, sf_dir, "events")
-    users = static.agg(F.max("user_id") + 1).first()[0]
-    raw = events.read_files(spark, sf_dir, static.schema, "parquet", pathGlobFilter="events.parquet")
+def _event_columns(spark, sf_dir, raw: DataFrame) -> DataFrame:
+    """Rows of the events table, or of a stream of it, under the payload's column names."""
+    users = tables.table(spark, sf_dir, "events").agg(F.max("user_id") + 1).first()[0]
     receiver = (F.col("user_id") * 7 + F.col("event_id") * 13 + 1) % F.lit(users)
     return raw.select(
         F.format_string("TXN_%08d", F.col("event_id")).alias("transaction_id"),
@@ -798,6 +813,12 @@ def _event_stream(spark, sf_dir):
     )
 
 
+def _event_stream(spark, sf_dir):
+    """The events table as a file stream under the payload's column names."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    return _event_columns(spark, sf_dir, events.read_files(spark, sf_dir, schema, "parquet", pathGlobFilter="events.parquet"))
+
+
 def _run_dir(spark) -> str:
     return f"{shared_dir(spark)}/stream-runs/{uuid.uuid4().hex}"
 
@@ -820,22 +841,55 @@ def stream_rejected(spark, sf_dir):
     return shown(_replay(spark, events.rejected(_event_stream(spark, sf_dir))))
 
 
+#: Micro-batches of the replay in event-time order, and files of each.
+REPLAY_BATCHES, REPLAY_FILES = 4, 4
+
+
+def _ordered_files(spark, sf_dir) -> tuple[str, object]:
+    """(folder, last time): the events rewritten in event-time order, so that a file stream replays them in several micro-batches."""
+
+    def build(s, d):
+        folder = f"{_run_dir(s)}/ordered"
+        rows = cut(_event_columns(s, d, tables.table(s, d, "events")))
+        at = F.unix_micros("timestamp")
+        cuts = rows.select(F.percentile_approx(at, [k / REPLAY_BATCHES for k in range(1, REPLAY_BATCHES)], 10_000)).first()[0]
+        part = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        for k in range(REPLAY_BATCHES):  # one write after another: files are replayed in the order of their times
+            rows.where(part == k).repartition(REPLAY_FILES).write.mode("append").parquet(folder)
+        return folder, rows.agg(F.max("timestamp")).first()[0]
+
+    return once("ordered", build, spark, sf_dir)
+
+
+def _ordered_stream(spark, sf_dir):
+    return events.read_files(spark, _ordered_files(spark, sf_dir)[0], events.EVENT_SCHEMA, "parquet", maxFilesPerTrigger=str(REPLAY_FILES))
+
+
+def _closed(spark, sf_dir, window):
+    """All closed windows of a replay in append mode; a flush event closes the last ones."""
+    base, last = _run_dir(spark), _ordered_files(spark, sf_dir)[1]
+    control = events.open_control(spark, f"{base}/control")
+
+    def build():
+        return window(events.as_transactions(events.with_control(_ordered_stream(spark, sf_dir), control)))
+
+    live.run_closed(build, control, live.append_to(f"{base}/out"), f"{base}/checkpoint", last)
+    return shown(spark.read.parquet(f"{base}/out").drop("batch_id"))
+
+
 @query
 def stream_hourly(spark, sf_dir):
-    txns = events.as_transactions(_event_stream(spark, sf_dir))
-    return shown(_replay(spark, events.hourly_volume(txns), "complete"))
+    return _closed(spark, sf_dir, events.hourly_volume)
 
 
 @query
 def stream_sliding(spark, sf_dir):
-    txns = events.as_transactions(_event_stream(spark, sf_dir))
-    return shown(_replay(spark, events.sliding_volume(txns), "complete"))
+    return _closed(spark, sf_dir, events.sliding_volume)
 
 
 @query
 def stream_sessions(spark, sf_dir):
-    txns = events.as_transactions(_event_stream(spark, sf_dir))
-    return shown(_replay(spark, events.burst_sessions(txns), "complete"))
+    return _closed(spark, sf_dir, events.burst_sessions)
 
 
 @query
@@ -846,15 +900,14 @@ def stream_dedup(spark, sf_dir):
 
 
 def _live(spark, sf_dir):
+    """A replay scored by the published rules."""
+
     def build(s, d):
         scorer = live.LiveScorer(_run_dir(s), threshold=40.0)
-        live.run_to_end(events.as_transactions(_event_stream(s, d)), scorer, scorer.path("checkpoint"))
+        live.run_to_end(events.as_transactions(_ordered_stream(s, d)), scorer, scorer.path("checkpoint"))
         return scorer
 
-    key = (spark.sparkContext.applicationId, sf_dir, "live")
-    if key not in _TABLES:
-        _TABLES[key] = build(spark, sf_dir)
-    return _TABLES[key]
+    return once("live", build, spark, sf_dir)
 
 
 @query
@@ -863,27 +916,86 @@ def stream_rolling_features(spark, sf_dir):
 
 
 @query
-def stream_scores(spark, sf_dir):
+def stream_rule_scores(spark, sf_dir):
     rows = _live(spark, sf_dir).result(spark, "audit")
     return shown(rows, "supervised_probability", "anomaly_score")
 
 
 @query
 def stream_alerts(spark, sf_dir):
-    return shown(_live(spark, sf_dir).current_alerts(spark), "anomaly_score")
+    rows = _live(spark, sf_dir).current_alerts(spark)
+    joined = {c: F.array_join(c, "; ") for c in ("top_features", "top_reasons")}
+    return shown(rows.withColumns(joined), "anomaly_score")
 
 
-# --- models (no SQL twin: fitted models; invariants are tested) ----------------------
+@query
+def stream_state_features(spark, sf_dir):
+    """Rolling features from expiring RocksDB state in place of a history table."""
 
-# GBT iterations in the registered queries.
-BOOST_ROUNDS = 8
+    def build(s, d):
+        state.use_rocksdb(s)
+        scorer = state.StatefulScorer(_run_dir(s), threshold=40.0)
+        live.run_to_end(state.with_recent_legs(events.as_transactions(_ordered_stream(s, d))), scorer, scorer.path("checkpoint"))
+        return scorer
+
+    return shown(once("stateful", build, spark, sf_dir).result(spark, "features"), "amount_zscore_avg")
+
+
+def _signals(spark, sf_dir) -> Registry:
+    """A registry with a boosted model and a forest of the rolling features, and the batch job's network risk."""
+
+    def build(s, d):
+        txns = tables.txn_events(s, d)
+        features = rolling.rolling_features(legs(txns, "transaction_id")).where("direction = 'out'")
+        labelled = cut(features.join(txns.select("transaction_id", F.col("is_mule_pattern").alias("label")), "transaction_id"))
+        keyed = labelled.withColumn("account_id", F.col("transaction_id"))
+        trained = models.train_boosted(models.stratified_split(keyed, "label"), live.LIVE_COLUMNS, "label")
+        registry = Registry(s, f"{_run_dir(s)}/registry")
+        live.publish_signals(registry, trained, isolation.IsolationForest.fit(keyed, live.LIVE_COLUMNS), scored_accounts(s, d))
+        return registry
+
+    return once("signals", build, spark, sf_dir)
+
+
+def _live_scored(spark, sf_dir):
+    """A replay scored by the newest model, forest and network table."""
+
+    def build(s, d):
+        scorer = live.LiveScorer(_run_dir(s), _signals(s, d), threshold=40.0)
+        live.run_to_end(events.as_transactions(_ordered_stream(s, d)), scorer, scorer.path("checkpoint"))
+        return scorer
+
+    return once("live scored", build, spark, sf_dir)
+
+
+@query
+def stream_scores(spark, sf_dir):
+    rows = _live_scored(spark, sf_dir).result(spark, "audit")
+    return shown(rows, "supervised_probability", "anomaly_score", "network_risk_score")
 
 
+@query
+def stream_scored_alerts(spark, sf_dir):
+    rows = _live_scored(spark, sf_dir).current_alerts(spark)
+    joined = {c: F.array_join(c, "; ") for c in ("top_features", "top_reasons")}
+    return shown(rows.withColumns(joined), "anomaly_score", "network_risk")
+
+
+@query
+def stream_score_agreement(spark, sf_dir):
+    """Streamed scores against those of the batch by the same model, forest and network table."""
+    got = _live_scored(spark, sf_dir).result(spark, "scores").select("transaction_id", "risk_score", "supervised_probability", "anomaly_score", "network_risk_score")
+    features = rolling.rolling_features(legs(tables.txn_events(spark, sf_dir).where("sender_account_id <> receiver_account_id"), "transaction_id"))
+    batch = live.Signals.newest(_signals(spark, sf_dir)).score(features).select(*got.columns)
+    same = F.struct(*[F.col(f"s.{c}") for c in got.columns]).eqNullSafe(F.struct(*[F.col(f"b.{c}") for c in got.columns]))
+    both = got.alias("s").join(batch.alias("b"), F.col("s.transaction_id") == F.col("b.transaction_id"), "full")
+    return both.agg(F.count("s.transaction_id").alias("streamed"), F.count("b.transaction_id").alias("batch"), F.count_if(~same).alias("differing"))
+
+
+# --- models (no SQL twin: fitted models; invariants are tested) ----------------------
+
 def _forest(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "forest")
-    if key not in _TABLES:
-        _TABLES[key] = isolation.IsolationForest.fit(matrix(spark, sf_dir), STAT_COLUMNS)
-    return _TABLES[key]
+    return once("forest", lambda s, d: isolation.IsolationForest.fit(matrix(s, d), STAT_COLUMNS), spark, sf_dir)
 
 
 def _folds(spark, sf_dir):
@@ -891,10 +1003,11 @@ def _folds(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir, "trained")
-    if key not in _TABLES:
-        _TABLES[key] = models.train_boosted(_folds(spark, sf_dir), STAT_COLUMNS, "label", max_iter=BOOST_ROUNDS)
-    return _TABLES[key]
+    return once("trained", lambda s, d: models.train_boosted(_folds(s, d), STAT_COLUMNS, "label"), spark, sf_dir)
+
+
+def _benchmark(spark, sf_dir):
+    return once("benchmark", lambda s, d: models.benchmark(_folds(s, d), STAT_COLUMNS, "label", boosted=_trained(s, d)), spark, sf_dir)
 
 
 @query
@@ -955,7 +1068,7 @@ def gbt_trade_off(spark, sf_dir):
 @query
 def gbt_attribution(spark, sf_dir):
     trained = _trained(spark, sf_dir)
-    rows = attribution_op.tree_contributions(matrix(spark, sf_dir), STAT_COLUMNS, trained.model.stages[-1])
+    rows = attribution_op.tree_contributions(matrix(spark, sf_dir), STAT_COLUMNS, trained.model)
     return explain.global_attribution(rows)
 
 
@@ -965,7 +1078,7 @@ def gbt_explanations(spark, sf_dir):
     trained = _trained(spark, sf_dir)
     scores = scored_accounts(spark, sf_dir).where("risk_score >= 20").select("account_id", "risk_score")
     flagged = matrix(spark, sf_dir).join(scores, "account_id")
-    rows = explain.explain(attribution_op.tree_contributions(flagged, STAT_COLUMNS, trained.model.stages[-1]))
+    rows = explain.explain(attribution_op.tree_contributions(flagged, STAT_COLUMNS, trained.model))
     return rows.select("account_id", "risk_score", "explanation")
 
 
@@ -973,15 +1086,19 @@ def gbt_explanations(spark, sf_dir):
 def feature_selection(spark, sf_dir):
     trained = _trained(spark, sf_dir)
     shap = explain.global_attribution(
-        attribution_op.tree_contributions(matrix(spark, sf_dir), STAT_COLUMNS, trained.model.stages[-1])
+        attribution_op.tree_contributions(matrix(spark, sf_dir), STAT_COLUMNS, trained.model)
     )
     return dictionary.select_features(with_median_label(spark, sf_dir), STAT_COLUMNS, "label", trained.importances(), shap)
 
 
 @query
 def benchmark_models(spark, sf_dir):
-    results = models.benchmark(_folds(spark, sf_dir), STAT_COLUMNS, "label", max_iter=BOOST_ROUNDS, trees=20)
-    return models.benchmark_table(results)
+    return models.benchmark_table(_benchmark(spark, sf_dir))
+
+
+@query
+def benchmark_curves(spark, sf_dir):
+    return models.benchmark_curves(_benchmark(spark, sf_dir), _folds(spark, sf_dir).where("fold = 'test'"), "label")
 
 
 @query
@@ -994,7 +1111,7 @@ def model_comparison(spark, sf_dir):
     """Production against a candidate trained on feedback-corrected labels."""
     features = _folds(spark, sf_dir).withColumnRenamed("label", "is_flagged")
     candidates = cases.candidate_labels(features, feedback_log(spark, sf_dir), "is_flagged")
-    candidate = models.train_boosted(candidates, STAT_COLUMNS, "is_flagged", max_iter=BOOST_ROUNDS, grid=models.GRID[:1])
+    candidate = models.train_boosted(candidates, STAT_COLUMNS, "is_flagged")
     return cases.compare_models(_trained(spark, sf_dir).metrics, candidate.metrics)
 
 

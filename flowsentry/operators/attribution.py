@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.operators.boosting import BoostedTrees
+
 
 def _leaves(node, path: dict, share: float, weight: float) -> Iterator[tuple[float, dict]]:
     """(value, {feature: [low, high, share]}) of every leaf below a JVM tree node."""
@@ -34,7 +36,9 @@ def _leaves(node, path: dict, share: float, weight: float) -> Iterator[tuple[flo
 
 
 def tree_leaves(booster) -> list[tuple[float, dict]]:
-    """All leaves of a fitted gradient-boosted model; the count is bounded by its size."""
+    """All leaves of a fitted gradient-boosted model, own or MLlib's; the count is bounded by its size."""
+    if isinstance(booster, BoostedTrees):
+        return booster.leaves()
     found = []
     for tree, weight in zip(booster.trees, booster.treeWeights):
         found.extend(_leaves(tree._java_obj.rootNode(), {}, 1.0, weight))

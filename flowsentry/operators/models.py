@@ -1,27 +1,28 @@
-"""Splits, MLlib classifiers, evaluation, benchmarking, clustering."""
+"""Splits, classifiers, evaluation, benchmarking, clustering."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.segments import quantiles, row_index
 from flowsentry.operators import stats
+from flowsentry.operators.boosting import GRID, BoostedTrees, Setting, fit_grid
 from flowsentry.operators.isolation import IsolationForest
 from flowsentry.operators.scoring import ARCHETYPE_FEATURES, threshold_table
 from flowsentry.session import cut
 
-# Split shares, boosting grid and probability cuts.
+# Split shares, probability cuts, trees of the fallback forest.
 SPLIT = (0.60, 0.20, 0.20)
-GRID = ({"maxDepth": 3, "stepSize": 0.1}, {"maxDepth": 4, "stepSize": 0.05}, {"maxDepth": 4, "stepSize": 0.1}, {"maxDepth": 5, "stepSize": 0.05})
 CUTS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+FALLBACK_TREES = 200
 
 
 def temporal_split(df: DataFrame, order: str, shares=SPLIT) -> DataFrame:
@@ -72,6 +73,9 @@ def _weighted(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_probability(model, df: DataFrame) -> DataFrame:
+    """Add probability_1 by boosted trees or a fitted pipeline."""
+    if isinstance(model, BoostedTrees):
+        return model.with_probability(df)
     return model.transform(df).withColumn("probability_1", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features")
 
 
@@ -88,18 +92,18 @@ def evaluate(scored: DataFrame, label: str, cut_at: float = 0.5) -> DataFrame:
 
 @dataclass
 class Trained:
-    """A fitted pipeline with the parameters chosen and its test metrics."""
+    """A fitted model with the parameters chosen, its metrics on the test and on the validation fold."""
 
-    model: object
+    model: BoostedTrees | PipelineModel
     columns: list[str]
     params: dict
     metrics: DataFrame
     name: str = "boosted trees"
+    validation: DataFrame | None = None
 
     def importances(self) -> DataFrame:
         """Importance per feature with rank (sums to 1)."""
-        stage = self.model.stages[-1]
-        weights = [float(x) for x in stage.featureImportances.toArray()]
+        weights = self.model.importances() if isinstance(self.model, BoostedTrees) else [float(x) for x in self.model.stages[-1].featureImportances.toArray()]
         rows = sorted(zip(self.columns, weights), key=lambda r: (-r[1], r[0]))
         return self.metrics.sparkSession.createDataFrame(
             [(name, w, i + 1) for i, (name, w) in enumerate(rows)], "feature string, importance double, importance_rank int"
@@ -110,42 +114,49 @@ class Trained:
 
     def save(self, path: str) -> None:
         """Model, metrics, feature schema with importances, and parameters."""
-        self.model.write().overwrite().save(f"{path}/model")
+        if isinstance(self.model, BoostedTrees):
+            self.model.save(self.metrics.sparkSession, f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         self.metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
         self.importances().coalesce(1).write.mode("overwrite").json(f"{path}/feature_schema")
         params = [(k, str(v)) for k, v in self.params.items()]
         self.metrics.sparkSession.createDataFrame(params, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def train_boosted(split: DataFrame, columns: list[str], label: str, max_iter: int = 40, grid=GRID, seed: int = 42) -> Trained:
-    """Boosted trees: grid chosen by validation PR-AUC, early stop on the validation fold."""
-    data = cut(_weighted(split, label).withColumn("_validation", F.col("fold") == "validation"))
-    fitting, held, test = (data.where(F.col("fold") != "test"), data.where(F.col("fold") == "validation"), data.where(F.col("fold") == "test"))
+def load_model(spark: SparkSession, path: str) -> BoostedTrees | PipelineModel:
+    """The model that `Trained.save` put below `path`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/model/stages")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(f"{path}/model")
+    return BoostedTrees.load(spark, f"{path}/model")
+
+
+def train_boosted(split: DataFrame, columns: list[str], label: str, grid: tuple[Setting, ...] = GRID, seed: int = 42) -> Trained:
+    """Boosted trees: the setting of the best validation PR-AUC, each setting stopped early on the validation loss."""
+    data = cut(split.where(F.col(label).isNotNull()))
+    held, test = data.where(F.col("fold") == "validation"), data.where(F.col("fold") == "test")
     best = None
-    for params in grid:
-        booster = GBTClassifier(
-            featuresCol="features", labelCol="label", weightCol="_weight", validationIndicatorCol="_validation", maxIter=max_iter, seed=seed, **params
-        )
-        fitted = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), booster]).fit(fitting)
-        quality = stats.average_precision(with_probability(fitted, held), "probability_1", label).first()[0] or 0.0
+    for setting, model, losses in fit_grid(data, columns, label, grid, seed):
+        quality = stats.average_precision(model.with_probability(held), "probability_1", label).first()[0] or 0.0
         if best is None or quality > best[0]:
-            best = (quality, fitted, params)
-    quality, model, params = best
-    kept = {**params, "trees": len(model.stages[-1].trees), "validation_pr_auc": quality}
-    return Trained(model, columns, kept, evaluate(with_probability(model, test), label))
+            best = (quality, model, setting, losses)
+    quality, model, setting, losses = best
+    kept = {**vars(setting), "trees": len(model.trees), "validation_pr_auc": quality, "validation_loss": min(losses, default=None)}
+    return Trained(model, columns, kept, evaluate(model.with_probability(test), label), validation=evaluate(model.with_probability(held), label))
 
 
 def train_or_detect(split: DataFrame, columns: list[str], label: str, contamination: float = 0.05, **options):
     """Boosted trees, or an isolation forest when the labels have fewer than two classes."""
     if split.select(label).where(F.col(label).isNotNull()).distinct().count() < 2:
-        return IsolationForest.fit(split, columns, contamination=contamination)
+        return IsolationForest.fit(split, columns, trees=FALLBACK_TREES, contamination=contamination)
     return train_boosted(split, columns, label, **options)
 
 
-def benchmark(split: DataFrame, columns: list[str], label: str, max_iter: int = 40, trees: int = 100, seed: int = 42) -> dict[str, Trained]:
-    """Logistic regression, random forest and boosted trees on identical folds."""
+def benchmark(split: DataFrame, columns: list[str], label: str, grid: tuple[Setting, ...] = GRID, trees: int = 100, seed: int = 42, boosted: Trained | None = None) -> dict[str, Trained]:
+    """Logistic regression, random forest and boosted trees on identical folds; `boosted` is used if it was fitted on them before."""
     data = cut(_weighted(split, label))
-    train, test = data.where(F.col("fold") == "train"), data.where(F.col("fold") == "test")
+    train, held, test = (data.where(F.col("fold") == fold) for fold in ("train", "validation", "test"))
     assemble = VectorAssembler(inputCols=columns, outputCol="raw")
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
     plain = VectorAssembler(inputCols=columns, outputCol="features")
@@ -157,21 +168,31 @@ def benchmark(split: DataFrame, columns: list[str], label: str, max_iter: int =
     results = {}
     for name, pipeline in pipelines.items():
         model = pipeline.fit(train)
-        results[name] = Trained(model, columns, {"name": name}, evaluate(with_probability(model, test), label), name)
-    results["boosted trees"] = train_boosted(split, columns, label, max_iter=max_iter, seed=seed)
+        results[name] = Trained(model, columns, {"name": name}, evaluate(with_probability(model, test), label), name, evaluate(with_probability(model, held), label))
+    results["boosted trees"] = boosted or train_boosted(split, columns, label, grid, seed)
     return results
 
 
 def benchmark_table(results: dict[str, Trained]) -> DataFrame:
-    """Test metrics of all models, the best by (PR-AUC, F1) marked."""
+    """Test and validation metrics of all models, the best by (PR-AUC, F1) on the test fold marked."""
     table = None
     for name, trained in results.items():
-        row = trained.metrics.withColumn("model", F.lit(name))
+        held = trained.validation.select(F.struct(*[F.col(c).alias(f"validation_{c}") for c in trained.validation.columns])).scalar()
+        row = trained.metrics.withColumn("_held", held).select("*", "_held.*").drop("_held").withColumn("model", F.lit(name))
         table = row if table is None else table.unionByName(row)
     best = table.agg(F.max_by("model", F.struct("pr_auc", "f1", "model"))).scalar()
     return table.withColumn("recommended", F.when(F.col("model") == best, 1).otherwise(0).cast("int"))
 
 
+def benchmark_curves(results: dict[str, Trained], test: DataFrame, label: str) -> DataFrame:
+    """Confusion counts and rates of every model at every probability cut."""
+    curves = None
+    for name, trained in results.items():
+        curve = trade_off(trained, test, label).withColumn("model", F.lit(name))
+        curves = curve if curves is None else curves.unionByName(curve)
+    return curves
+
+
 def trade_off(trained: Trained, test: DataFrame, label: str) -> DataFrame:
     return threshold_table(with_probability(trained.model, test), "probability_1", label, CUTS)
 

@@ -24,9 +24,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowsentry.functions.exprs import DAY_US, HOUR_US
 from flowsentry.operators.alerts import ALERT_COLUMNS, alert_id, severity
+from flowsentry.operators.boosting import BoostedTrees
 from flowsentry.operators.isolation import IsolationForest
 from flowsentry.operators.legs import legs
-from flowsentry.operators.models import with_probability
+from flowsentry.operators.models import load_model, with_probability
 from flowsentry.operators.rolling import live_probability, rolling_features
 from flowsentry.operators.scoring import anomaly_fallback, risk_score, risk_tier
 from flowsentry.session import cut
@@ -127,7 +128,7 @@ def score_events(features: DataFrame, network: DataFrame | None = None, probabil
 class Signals:
     """What scores events at one moment: model, forest and network table, each optional, with their versions."""
 
-    model: PipelineModel | None = None
+    model: BoostedTrees | PipelineModel | None = None
     forest: IsolationForest | None = None
     network: DataFrame | None = None
     version: str = MODEL_VERSION
@@ -140,7 +141,7 @@ class Signals:
         version = f"live-m{m}-f{f}-n{n}"
         if held is not None and held.version == version:
             return held
-        model = PipelineModel.load(f"{model_path}/model") if model_path else None
+        model = load_model(spark, model_path) if model_path else None
         forest = IsolationForest.load(spark, forest_path) if forest_path else None
         return cls(model, forest, network, version)
 
