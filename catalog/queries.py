@@ -266,7 +266,7 @@ def pagerank(spark, sf_dir):
 
 @query
 def pagerank_converged(spark, sf_dir):
-    """Run to the tolerance; pagerank is the 20 rounds of its SQL twin."""
+    """Run to the tolerance, as the feature table does."""
     return shown(centrality.pagerank(_edges(spark, sf_dir)), "pagerank", digits=10)
 
 
@@ -361,7 +361,7 @@ def stored(name: str, build, spark, sf_dir: str) -> DataFrame:
 
 def matrix(spark, sf_dir) -> DataFrame:
     def build(s, d):
-        return feature_matrix_plan.build_feature_matrix(tables.txn_events(s, d), pagerank_iterations=20)
+        return feature_matrix_plan.build_feature_matrix(tables.txn_events(s, d))
 
     return stored("matrix", build, spark, sf_dir)
 

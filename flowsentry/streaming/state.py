@@ -24,7 +24,7 @@ from flowsentry.streaming.live import LEG_COLUMNS, LiveScorer
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Width of a slot; a day is asked for in DAY / SLOT + 1 of them.
-SLOT_US = 6 * HOUR_US
+SLOT_US = 12 * HOUR_US
 
 _HELD = "counterparty string, direction string, us long, amount double, transaction_id string"
 _OUT = f"account_id string, {_HELD}, is_new boolean"
