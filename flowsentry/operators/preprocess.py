@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.exprs import money_sum, safe_div, valid_number
+from flowsentry.session import cut
 from flowsentry.sources.canonical import DEFAULT_TYPE
 
 # Rejection reasons in the order they are tested.
@@ -51,7 +52,11 @@ def clean(txns: DataFrame) -> DataFrame:
     The survivor is found by an aggregation with map-side partials: a key that
     is copied a billion times costs one row per map task, not one huge window.
     """
-    valid = tag_invalid(standardise(txns)).where(F.col("rejection_reason").isNull()).drop("rejection_reason")
+    return _clean(tag_invalid(standardise(txns)))
+
+
+def _clean(tagged: DataFrame) -> DataFrame:
+    valid = tagged.where(F.col("rejection_reason").isNull()).drop("rejection_reason")
     rest = [c for c in valid.columns if c not in DUPLICATE_KEYS]
     return (
         valid.groupBy(*DUPLICATE_KEYS)
@@ -62,12 +67,18 @@ def clean(txns: DataFrame) -> DataFrame:
 
 
 def rejected(txns: DataFrame) -> DataFrame:
-    """Quarantined rows with their reason, duplicates included."""
-    tagged = tag_invalid(standardise(txns))
+    """Quarantined rows with their reason, duplicates included.
+
+    The feed is parsed, trimmed and tagged once, into a stored table that all further steps read.
+    """
+    return _rejected(cut(tag_invalid(standardise(txns))))
+
+
+def _rejected(tagged: DataFrame) -> DataFrame:
     invalid = tagged.where(F.col("rejection_reason").isNotNull())
     valid = tagged.where(F.col("rejection_reason").isNull()).drop("rejection_reason")
     rest = [c for c in valid.columns if c not in DUPLICATE_KEYS]
-    # Rows equal in every column collapse to one row and a count first.
+    # Rows equal in every column collapse to one row and a count first, so a key copied without end is a few rows.
     copies = valid.groupBy(*valid.columns).agg(F.count(F.lit(1)).alias("_copies"))
     repeated = (
         copies.groupBy(*DUPLICATE_KEYS)
@@ -92,13 +103,14 @@ def _repeat(df: DataFrame, times: str, block: int = 100_000) -> DataFrame:
 
 def preprocess_stats(txns: DataFrame) -> DataFrame:
     """Tidy (section, name, value) report of a preprocessing run."""
-    kept, bad = clean(txns), rejected(txns)
+    tagged = cut(tag_invalid(standardise(txns)))
+    kept, bad = cut(_clean(tagged)), _rejected(tagged)
     summary = kept.agg(
         F.count(F.lit(1)).alias("final_rows"),
         F.sum(F.col("is_mule_pattern").cast("long")).alias("flagged_rows"),
     )
     rows = [
-        txns.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        tagged.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
             F.lit("total").alias("section"), F.lit("initial_rows").alias("name"), "value"
         ),
         summary.select(F.lit("total").alias("section"), F.lit("final_rows").alias("name"), F.col("final_rows").cast("double").alias("value")),
