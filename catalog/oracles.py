@@ -317,11 +317,11 @@ def _pagerank(iterations: int) -> str:
 
 
 def _converged_pagerank(most: int = 60) -> str:
-    """Common tables up to `rc`, the ranks of the first round whose L1 change is below n / 10**6."""
+    """Common tables up to `prc`, the ranks of the first round whose L1 change is below n / 10**6."""
     steps = _pagerank(most).rsplit(" SELECT ", 1)[0]
     changes = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(r{k}.r - r{k - 1}.r)) AS change FROM r{k} JOIN r{k - 1} USING (id)" for k in range(1, most + 1))
     ranks = " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM r{k}" for k in range(1, most + 1))
-    return f"{steps},\nrk AS (SELECT min(k) AS k FROM ({changes}), cnt WHERE change < n * 1e-6::DOUBLE),\nrc AS MATERIALIZED (SELECT id, r FROM ({ranks}) JOIN rk USING (k))"
+    return f"{steps},\nprk AS (SELECT min(k) AS k FROM ({changes}), cnt WHERE change < n * 1e-6::DOUBLE),\nprc AS MATERIALIZED (SELECT id, r FROM ({ranks}) JOIN prk USING (k))"
 
 
 BETWEEN = """a AS (SELECT src AS i, dst AS j FROM e WHERE src <> dst),
@@ -348,7 +348,7 @@ ORACLES |= {
     "short_cycles": f"WITH {TXN}, {EDGES}, {CYC} SELECT * FROM motif",
     "short_cycles_purchases": f"WITH {TXN}, {PURCHASE}, {CYC} SELECT * FROM motif",
     "pagerank": f"WITH {TXN}, {EDGES}, {_pagerank(20)}",
-    "pagerank_converged": f"WITH {TXN}, {EDGES}, {_converged_pagerank()} SELECT id AS account_id, round(r, 10) AS pagerank FROM rc",
+    "pagerank_converged": f"WITH {TXN}, {EDGES}, {_converged_pagerank()} SELECT id AS account_id, round(r, 10) AS pagerank FROM prc",
     "betweenness": f"WITH {TXN}, {EDGES}, {BETWEEN} SELECT account_id, round(betweenness_centrality, 10) AS betweenness_centrality FROM bc",
     "weak_components": f"""WITH RECURSIVE {ORDERS}, a AS (SELECT DISTINCT sender_account_id AS i, receiver_account_id AS j FROM txo), b AS (SELECT i, j FROM a UNION SELECT j, i FROM a),
  start AS (SELECT min(i) AS id FROM b), reach AS (SELECT id FROM start UNION SELECT j FROM reach JOIN b ON b.i = reach.id)
@@ -416,7 +416,7 @@ FEAT = f"""{BASE},
 lab AS (SELECT sender_account_id AS la, max(is_mule_pattern) AS lbl FROM txn GROUP BY 1),
 feat AS MATERIALIZED (SELECT act.account_id, {", ".join(f"{v} AS {k}" for k, v in ALL_FEATURES.items())}, coalesce(lbl, 0) AS is_mule_pattern
  FROM act LEFT JOIN fwd ON fa = act.account_id LEFT JOIN fs ON fsa = act.account_id LEFT JOIN tmp2 ON ta = act.account_id LEFT JOIN anom ON na = act.account_id
- LEFT JOIN deg ON deg.account_id = act.account_id LEFT JOIN motif ON motif.account_id = act.account_id LEFT JOIN (SELECT id AS pid, r AS pr FROM rc) ON pid = act.account_id
+ LEFT JOIN deg ON deg.account_id = act.account_id LEFT JOIN motif ON motif.account_id = act.account_id LEFT JOIN (SELECT id AS pid, r AS pr FROM prc) ON pid = act.account_id
  LEFT JOIN bc ON bc.account_id = act.account_id LEFT JOIN lab ON la = act.account_id)"""
 
 INEXACT = ("transaction_amount_std", "transaction_amount_cv", "amount_zscore_avg", "velocity_change_score", "pagerank", "betweenness_centrality")

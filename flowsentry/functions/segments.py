@@ -21,6 +21,9 @@ from flowsentry.session import cut
 SEG = "_seg"
 TIME_SEGMENT_US = 15 * MINUTE_US
 VALUE_RESOLUTION = 2048
+#: Cells of values per factor e: of all cells, of cells that hold too many rows, and of those parts of these that still do.
+RESOLUTIONS = (VALUE_RESOLUTION, 1 << 21, 1 << 33)
+SEGMENT_ROWS = 1 << 16
 
 
 def time_segment(us: Column, width_us: int = TIME_SEGMENT_US) -> Column:
@@ -34,6 +37,24 @@ def value_segment(value: Column, resolution: int = VALUE_RESOLUTION) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise((F.signum(value) * magnitude).cast("long"))
 
 
+def even_segments(df: DataFrame, keys: Sequence[str], value: str, most: int = SEGMENT_ROWS) -> DataFrame:
+    """Add `_seg`: ordered segments of the values of each key, of about `most` rows at most, for any distribution.
+
+    Values are cut by `value_segment`; a cell that holds too many is cut again, and its parts once
+    more. The last cut is so fine that a part has a million different doubles at most. One row per
+    (keys, value). Only the cells that are too full are looked up, so a frame without any pays two
+    small aggregations.
+    """
+    places = ["_c0"]
+    out = df.withColumn("_c0", value_segment(F.col(value), RESOLUTIONS[0]))
+    for k, resolution in enumerate(RESOLUTIONS[1:], 1):
+        cells = [*keys, *places]
+        full = out.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*cells, F.lit(True).alias("_full"))
+        out = out.join(full, cells, "left").withColumn(f"_c{k}", F.when(F.col("_full"), value_segment(F.col(value), resolution)).otherwise(F.lit(0))).drop("_full")
+        places.append(f"_c{k}")
+    return out.withColumn(SEG, F.struct(*places)).select(*df.columns, SEG)
+
+
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with a full key and segment.
 
@@ -135,8 +156,10 @@ def quantiles(
 
     Histogram selection: segment totals locate the order statistics, and only the
     segments that hold one are ordered. Equal to NumPy's default `percentile`.
+    Segments that `counts` brings along (`even_segments`) are used.
     """
-    binned = _keyed(counts.where(F.col(value).isNotNull()).withColumn(SEG, value_segment(F.col(value))), keys)
+    held = counts.where(F.col(value).isNotNull())
+    binned = _keyed(held if SEG in counts.columns else held.withColumn(SEG, value_segment(F.col(value))), keys)
     ordered = Window.partitionBy(*keys).orderBy(SEG)
     whole = Window.partitionBy(*keys)
     hist = (

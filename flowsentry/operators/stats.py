@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.exprs import normal_sf2, safe_div
-from flowsentry.functions.segments import SEG, quantiles, row_index, running_totals, value_segment
+from flowsentry.functions.segments import even_segments, quantiles, row_index, running_totals
 from flowsentry.session import cut
 
 # Drift and retention thresholds.
@@ -29,13 +29,13 @@ def unpivot(df: DataFrame, columns: list[str], *keep: Column | str) -> DataFrame
 
 def value_counts(long: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     """(keys, value, n1, n0, n) with its value segment; nulls left out."""
-    return (
+    counted = (
         long.where(F.col("value").isNotNull())
         .groupBy(*keys, "value")
         .agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0"))
         .withColumn("n", F.col("n1") + F.col("n0"))
-        .withColumn(SEG, value_segment(F.col("value")))
     )
+    return even_segments(counted, keys, "value")
 
 
 def feature_counts(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -287,14 +287,13 @@ def class_comparison(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def percentile_of(df: DataFrame, score: str, out: str = "percentile") -> DataFrame:
     """Average rank of each row's score, as a percentage of all rows."""
-    counts = (
-        df.groupBy(F.col(score).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn(SEG, value_segment(F.col("value")))
-    )
+    counts = even_segments(df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("value")).agg(F.count(F.lit(1)).alias("n")), [], "value")
     cum = running_totals(counts, [], "value", {"n": "cum"})
     total = counts.agg(F.sum("n")).scalar()
     rank = F.col("cum") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
     placed = cum.select(F.col("value").alias(score), (rank * 100.0 / total).alias(out))
-    return df.join(placed, score)
+    # A row without a score has no percentile.
+    return df.join(placed, score, "left").select(*df.columns, out)
 
 
 def slice_by_order(df: DataFrame, order: str = "account_id", fraction: float = 0.6, out: str = "is_recent") -> DataFrame:

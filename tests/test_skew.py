@@ -104,3 +104,20 @@ def test_row_index(spark):
     df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("x"))
     got = segments.row_index(df, [F.col("x")]).collect()
     assert all(r.x == r.row_index for r in got)
+
+
+def test_even_segments_for_any_distribution(spark):
+    """200 000 different values within 1e-6 of 1.0, a few elsewhere and negative ones: no segment above 1 %, order kept, sums right."""
+    close = spark.range(200_000).select(F.lit("a").alias("k"), (1.0 + F.col("id") * 5e-12).alias("value"), F.lit(1).alias("n"))
+    rest = spark.createDataFrame([("a", float(v), 1) for v in (-3.0, -2.9999999, 0.0, 5.0, 1e300, 1e-300)] + [("b", float(v), 1) for v in range(50)], "k string, value double, n int")
+    cut_up = segments.even_segments(close.unionByName(rest).distinct(), ["k"], "value", most=1000)
+    sizes = cut_up.groupBy("k", segments.SEG).agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+    total = cut_up.where("k = 'a'").count()
+    assert total > 190_000 and sizes.where("k = 'a'").agg(F.max("rows")).first()[0] <= total / 100
+    ordered = sizes.where("k = 'a'").orderBy(segments.SEG).collect()
+    assert all(x.high < y.low for x, y in zip(ordered, ordered[1:]))
+    got = segments.running_totals(cut_up, ["k"], "value", {"n": "upto"}).groupBy("k").agg(F.max("upto").alias("m"), F.count_distinct("upto").alias("d")).collect()
+    assert {r.k: (r.m, r.d) for r in got} == {"a": (total, total), "b": (50, 50)}
+    middle = segments.quantiles(cut_up, ["k"], "value", "n", {"q": 0.5}).collect()
+    values = np.array(sorted(r.value for r in cut_up.where("k = 'a'").select("value").collect()))
+    assert {r.k: r.q for r in middle} == {"a": float(np.percentile(values, 50)), "b": 24.5}
