@@ -691,6 +691,7 @@ lv AS MATERIALIZED (SELECT *, round(least(greatest((0.6::DOUBLE * supervised_pro
 
 ORACLES |= {
     "stream_validated": f"WITH {TXN} SELECT * EXCLUDE (us, is_mule_pattern) REPLACE ({TS_TEXT}) FROM txn WHERE sender_account_id <> receiver_account_id",
+    "stream_payloads": f"WITH {TXN} SELECT * EXCLUDE (us, is_mule_pattern) REPLACE ({TS_TEXT}) FROM txn WHERE sender_account_id <> receiver_account_id",
     "stream_rejected": f"""WITH {TXN} SELECT transaction_id, sender_account_id AS sender_id, receiver_account_id AS receiver_id, amount, {TS_TEXT}, lower(transaction_type) AS transaction_type, 'SENDER_EQUALS_RECEIVER' AS rejection_reason
  FROM txn WHERE sender_account_id = receiver_account_id""",
     "stream_hourly": f"""WITH {VTXN} SELECT {_WIN.format("date_trunc('hour', \"timestamp\")", "date_trunc('hour', \"timestamp\") + INTERVAL 1 HOUR")}, transaction_type, {_VOL} FROM txn GROUP BY ALL""",

@@ -34,7 +34,7 @@ from flowsentry.plans import feature_matrix as feature_matrix_plan
 from flowsentry.session import configure, cut, shared_dir
 from flowsentry.sources import profile, readers, tables
 from flowsentry.sources.versions import Registry
-from flowsentry.streaming import events, live, state
+from flowsentry.streaming import events, live, payloads, state
 
 QUERIES = {}
 
@@ -836,13 +836,22 @@ def stream_validated(spark, sf_dir):
     return shown(_replay(spark, events.as_transactions(_event_stream(spark, sf_dir))))
 
 
+@query
+def stream_payloads(spark, sf_dir):
+    """The events as JSON payloads, replayed by the payload source and parsed."""
+    folder = f"{_run_dir(spark)}/payloads"
+    rows = _event_columns(spark, sf_dir, tables.table(spark, sf_dir, "events"))
+    rows.select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value")).write.text(folder)
+    return shown(_replay(spark, events.as_transactions(payloads.read_payloads(spark, folder))))
+
+
 @query
 def stream_rejected(spark, sf_dir):
     return shown(_replay(spark, events.rejected(_event_stream(spark, sf_dir))))
 
 
 #: Micro-batches of the replay in event-time order, and files of each.
-REPLAY_BATCHES, REPLAY_FILES = 4, 4
+REPLAY_BATCHES, REPLAY_FILES = 3, 4
 
 
 def _ordered_files(spark, sf_dir) -> tuple[str, object]:
