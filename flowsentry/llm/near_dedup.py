@@ -356,7 +356,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vectors = cut(_vectors(wanted, weights, id_type))
     lively = cut(in_bitmap(texts, key_bitmap(members.withColumnRenamed("doc_id", "rep"), "rep"), "rep").where("_hit").drop("_hit"))
     sizes = lively.drop("bands")
-    live = cut(live.join(sizes.distinct(), "rep").withColumn("class", F.col("rep")))
+    bare, live = live, cut(live.join(sizes.distinct(), "rep").withColumn("class", F.col("rep")))
+    digests = cut(sketch.select("doc_id", "d1", "d2"))  # what the end still needs
+    for step in (bare, shared, sketch):
+        discard(step)
 
     state = _Classes(vectors, weights, id_type, threshold, most_disagreeing)
     for run in LEVELS:  # the most alike first: runs of several bands agree
@@ -364,7 +367,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lead = wide.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").drop("_last")
         wide = state.label(wide.join(lead, "bucket"))
         state.compare(wide, F.col("rep") == F.col("lead"))
-    live = cut(state.label(live))
+    former, live = live, cut(state.label(live))
+    discard(former)
     state.compare(live, F.col("rep") == F.col("lead"))
     # Pairs that are left to compare: members that were no pivot yet and are not of one class.
     rest, turn, drawn = live.where(F.col("rep") != F.col("lead")).select("bucket", "rep"), 0, FIRST_PIVOTS
@@ -387,11 +391,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for step in (vectors, lively, live):
         discard(step)
     found = state.classes
-    by_text = sketch.where("d1 is not null").select("doc_id", "d1", "d2").join(copied, ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    by_text = digests.where("d1 is not null").join(copied, ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     if found is not None:
         by_text = by_text.join(found, "rep", "left").withColumn("rep", F.coalesce("class", "rep"))
     by_text = by_text.select("doc_id", F.col("rep").alias("class_id"))
-    wordless = sketch.where("d1 is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    wordless = digests.where("d1 is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return by_text.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
