@@ -116,6 +116,32 @@ def test_components(spark, pairs):
         assert got_strong[name] == max(same)
 
 
+@pytest.mark.parametrize("seed", [1])
+def test_strong_components_of_sparse_and_dense_parts(spark, seed):
+    """A dense core with chains into, out of and around it, rings that hang on it, and rings of their own."""
+    rng = np.random.default_rng(seed)
+    pairs = random_pairs(seed + 40, 12, 40) | {(i, i + 1) for i in range(12, 30)} | {(30, 12)} | {(i, i + 1) for i in range(31, 45)}
+    pairs |= {(3, 31), (45, 4), (46, 47), (47, 46), (47, 0), (5, 48), (48, 49), (49, 48)} | {(int(x), int(y)) for x, y in rng.integers(31, 50, (6, 2))}
+    ids, a = matrix(pairs)
+    strong = reach(a)
+    got = {r.account_id: r.component for r in components.strong_components(edge_frame(spark, pairs)).collect()}
+    want = {ids[i]: max(ids[j] for j in range(len(ids)) if strong[i, j] and strong[j, i]) for i in range(len(ids))}
+    assert got == want
+
+
+def test_strong_components_of_a_long_ring_and_its_tails(spark, monkeypatch):
+    """5000 accounts in a ring, 2000 on a path into it and 2000 on a path out: rounds grow with the logarithm."""
+    n, rounds = 5000, []
+    step = components._bypass
+    monkeypatch.setattr(components, "_bypass", lambda *args: (rounds.append(1), step(*args))[1])
+    monkeypatch.setattr(components, "_ranks", lambda *args: pytest.fail("nothing should be left to search"))
+    pairs = [(i, (i + 1) % n) for i in range(n)] + [(i, i + 1) for i in range(n, n + 2000)] + [(n + 2000, 17)] + [(23, n + 2001)] + [(i, i + 1) for i in range(n + 2001, n + 4000)]
+    frame = spark.createDataFrame([(f"{x:06d}", f"{y:06d}") for x, y in pairs], "src string, dst string")
+    got = components.strong_components(frame)
+    sizes = {r.component: r["count"] for r in got.groupBy("component").count().collect()}
+    assert sizes[f"{n - 1:06d}"] == n and len(sizes) == 4002 and len(rounds) < 60
+
+
 def test_example_graph(spark, make_txns):
     txns = make_txns([("2026-01-01 00:00:00", *r) for r in (("A", "B", 500.0), ("B", "C", 450.0), ("C", "A", 400.0), ("C", "D", 1000.0))])
     rows = graph.edges(txns)
