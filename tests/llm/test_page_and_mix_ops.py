@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -114,6 +115,54 @@ def record(i, payload):
     return warc.build_record(i, "u", payload, len(payload), warc.payload_digest(payload))
 
 
+def foreign(kind, record_id, block, *fields):
+    lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: " + record_id, b"WARC-Date: 2024-01-01T00:00:00Z", *fields, b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archives_from_files(spark, tmp_path):
+    """Any record type and id, skippable frames anywhere, hexadecimal digests, no dictionary."""
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    body = http.partition(b"\r\n\r\n")[2]
+    is_http, sha = b"Content-Type: application/http; msgtype=response", hashlib.sha1(body).hexdigest().encode()
+    records = [
+        foreign(b"warcinfo", b"<urn:uuid:1>", b"software: x\r\n", b"Content-Type: application/warc-fields"),
+        foreign(b"request", b"<urn:uuid:2>", b"GET / HTTP/1.1\r\n\r\n", b"Content-Type: application/http; msgtype=request"),
+        foreign(b"response", b"<urn:uuid:3>", http, is_http, b"WARC-Payload-Digest: sha1:" + sha, b"WARC-Target-URI: http://a.example/?q=1:2"),
+        foreign(b"revisit", b"<urn:uuid:4>", b"HTTP/1.1 304 Not Modified\r\n\r\n", is_http, b"WARC-Refers-To: <urn:uuid:3>", b"WARC-Payload-Digest: sha1:" + sha),
+        foreign(b"resource", b"<urn:uuid:5>", b"", b"Content-Type: text/plain"),
+    ]
+    skip, pack = struct.pack("<II", 0x184D2A50, 3) + b"abc", zstandard.ZstdCompressor().compress
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.warc.zst").write_bytes(skip + skip.join(map(pack, records)) + skip)
+    (tmp_path / "empty.warc.zst").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"no archive")
+    archives = warc.load_archives(spark, str(tmp_path))
+    got = warc.read_records(archives).orderBy("place").collect()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "revisit", "resource"]
+    assert [bytes(r.payload) for r in got] == [b"software: x\r\n", b"", body, b"", b""] and got[2].target_uri == "http://a.example/?q=1:2"
+    assert got[3].refers_to == "<urn:uuid:3>" and got[2].headers["warc-date"] == "2024-01-01T00:00:00Z" and got[4].target_uri is None
+    pages_read = {(r.record_type, r.page_id, r.payload_bytes) for r in warc.read_archives(archives).collect()}
+    assert pages_read == {("response", None, len(body)), ("revisit", None, None)}
+    for broken in (skip[:-1], pack(records[2].replace(b"hello", b"jello"))):
+        with pytest.raises(warc.BadArchive):
+            for headers, block in warc.open_archive(pack(records[0]) + broken):
+                warc.read_payload(headers, block)
+
+
+def test_archive_files_name_every_record_once(spark, tmp_path):
+    """Repeated rows, repeated ids with other payloads and rows without an id, written as files and read back."""
+    rows = [(1, "u", "same")] * 3 + [(1, "u", "other"), (2, "v", "same"), (None, "w", "same"), (None, "w", None), (None, "w", None), (3, None, "x" * 5000)]
+    frame = pages(spark, rows).repartition(3)
+    made = warc.save_archives(warc.write_archives(frame), str(tmp_path / "out")).collect()
+    assert made and all(r.path.endswith(".warc.zst") for r in made) and sum(r.bytes for r in made) == sum(f.stat().st_size for f in (tmp_path / "out").iterdir())
+    archives = warc.load_archives(spark, str(tmp_path / "out"))
+    names = [r.record_id for r in warc.read_records(archives).collect()]
+    assert len(names) == len(set(names)) == len(rows) and {"<urn:page:2>", "<urn:page:3>"} <= set(names)
+    assert sorted(map(tuple, warc.read_archives(archives).collect()), key=str) == sorted(map(tuple, warc.archive_and_read(frame).collect()), key=str)
+    assert warc.save_archives(warc.write_archives(pages(spark, [])), str(tmp_path / "none")).count() == 0
+
+
 def test_archives_carry_a_dictionary_and_one_frame_per_record():
     records = [record(i, b"<p>hello %d</p>" % i * 800) for i in range(60)]
     archive = warc.seal_archive(records)
