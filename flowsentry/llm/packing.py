@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.llm.bpe import encode_documents
+from flowsentry.llm.exact_dedup import in_bitmap, key_bitmap
 
 ROW_TOKENS = 2048
 #: Bytes of text in a block on average.
@@ -24,6 +25,8 @@ BLOCK_TEXT_BYTES = 16 << 20
 PAD_ID = 50256
 #: Ids and positions are written as little-endian 16-bit numbers.
 ID_TYPE = "<u2"
+#: Equal rows (id and text) beyond which their copies are dealt by input partition as well.
+MANY_COPIES = 32
 
 
 class Capacities:
@@ -81,23 +84,32 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> list[list[int]]:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", row_tokens: int = ROW_TOKENS) -> DataFrame:
-    """(block, pack, n_tokens, ids, cu_seqlens, position_ids, doc_ids, doc_offsets): one row per packed row.
+    """(block, pack, n_tokens, ids, cu_seqlens, position_ids, doc_ids, doc_offsets, doc_rows): one row per packed row.
 
     ids and position_ids are `row_tokens` little-endian 16-bit numbers; behind n_tokens stand PAD_ID
     and position 0. Segment i spans cu_seqlens[i]:cu_seqlens[i + 1], holds tokens of doc_ids[i] from
-    its token doc_offsets[i] on, and its positions start at 0 again.
+    its token doc_offsets[i] on, and its positions start at 0 again. doc_rows[i] numbers the rows of
+    `docs` within a block, so (block, doc_rows) tells rows of equal id apart.
 
     Null and empty texts have no tokens and so no segment; rows with a null id are packed under a
     null id. Repeated rows are packed each. An empty table gives an empty result; other columns
-    are not read. Equal lengths go by id, so a result does not depend on the order of rows.
+    are not read. Equal lengths go by id, so a result does not depend on the order of rows; copies of
+    a row that is there more than MANY_COPIES times are spread by the partition they are read in.
+    A vocabulary with an id of PAD_ID or above raises ValueError.
     """
     if not 1 <= row_tokens <= 1 << 16:
         raise ValueError("positions are 16-bit numbers: row_tokens is at most 65536")
+    if (most := highest_id(vocabulary)) >= PAD_ID:
+        raise ValueError(f"the vocabulary's highest id {most} reaches the padding {PAD_ID}")
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     blocks = max(1, math.ceil(size / BLOCK_TEXT_BYTES))
-    encoded = encode_documents(docs, vocabulary, id_col, text_col, dtype=ID_TYPE).where("n_tokens > 0")
-    dealt = encoded.withColumn("block", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(blocks)))
-    id_type = encoded.schema["doc_id"].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("same"))
+    many = rows.groupBy("same").count().where(F.col("count") > MANY_COPIES)
+    # A row that is only marked by chance is dealt elsewhere, nothing else.
+    salted = in_bitmap(rows, key_bitmap(many, "same"), "same").select(F.struct("id", F.when(F.col("_hit"), F.spark_partition_id()).alias("salt")).alias("key"), "text")
+    encoded = encode_documents(salted, vocabulary, "key", "text", dtype=ID_TYPE).where("n_tokens > 0")
+    dealt = encoded.select(F.col("doc_id.id").alias("doc_id"), "n_tokens", "ids", F.pmod(F.xxhash64("doc_id.id", "ids", "doc_id.salt"), F.lit(blocks)).alias("block"))
+    id_type = docs.schema[id_col].dataType
 
     def pack(group: pa.Table) -> pa.Table:
         block, order = group["block"][0].as_py(), [("doc_id", "ascending"), ("n_tokens", "ascending"), ("ids", "ascending")]
@@ -117,7 +129,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         ids = np.full((len(rows), row_tokens), PAD_ID, dtype=ID_TYPE)
         positions = np.zeros((len(rows), row_tokens), dtype=ID_TYPE)
         counting = np.arange(row_tokens, dtype=ID_TYPE)
-        lengths_of, docs_of, offsets_of = [], [], []
+        lengths_of, docs_of, offsets_of, rows_of = [], [], [], []
         names = group["doc_id"].to_pylist()
         for r, row in enumerate(rows):
             at, ends = 0, [0]
@@ -130,25 +142,32 @@ def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             lengths_of.append(ends)
             docs_of.append([names[d] for d, _, _ in row])
             offsets_of.append([o for _, o, _ in row])
+            rows_of.append([d for d, _, _ in row])
         return pa.table({
             "block": pa.array([block] * len(rows), pa.int64()), "pack": pa.array(range(len(rows)), pa.int64()), "n_tokens": pa.array([e[-1] for e in lengths_of], pa.int32()),
             "ids": pa.array([r.tobytes() for r in ids], pa.binary()), "cu_seqlens": pa.array(lengths_of, pa.list_(pa.int32())),
             "position_ids": pa.array([r.tobytes() for r in positions], pa.binary()), "doc_ids": pa.array(docs_of, pa.list_(group.schema.field("doc_id").type)),
-            "doc_offsets": pa.array(offsets_of, pa.list_(pa.int64())),
+            "doc_offsets": pa.array(offsets_of, pa.list_(pa.int64())), "doc_rows": pa.array(rows_of, pa.list_(pa.int64())),
         })
 
     kind = id_type.simpleString()
     return dealt.groupBy("block").applyInArrow(
-        pack, f"block long, pack long, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, doc_offsets array<long>"
+        pack, f"block long, pack long, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, doc_offsets array<long>, doc_rows array<long>"
     )
 
 
+def highest_id(vocabulary: str) -> int:
+    """Highest id of a rank file, -1 of an empty one."""
+    with open(vocabulary, "rb") as lines:
+        return max((int(line.split()[1]) for line in lines if line.strip()), default=-1)
+
+
 def unpack_documents(packed: DataFrame) -> DataFrame:
-    """(doc_id, ids): the tokens of each document put together again, as in `encode_documents` with 16-bit ids."""
+    """(doc_id, ids): the tokens of each packed row of documents put together again, as in `encode_documents` with 16-bit ids."""
     width = np.dtype(ID_TYPE).itemsize
-    parts = packed.select("ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "doc_offsets")).alias("i", "s"))
+    parts = packed.select("block", "ids", "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "doc_offsets", "doc_rows")).alias("i", "s"))
     start = F.col("cu_seqlens")[F.col("i")]
     piece = F.substring(F.col("ids"), start * width + 1, (F.col("cu_seqlens")[F.col("i") + 1] - start) * width)
-    rows = parts.select(F.col("s.doc_ids").alias("doc_id"), F.struct(F.col("s.doc_offsets").alias("o"), piece.alias("p")).alias("part"))
+    rows = parts.select("block", F.col("s.doc_rows").alias("row"), F.col("s.doc_ids").alias("doc_id"), F.struct(F.col("s.doc_offsets").alias("o"), piece.alias("p")).alias("part"))
     joined = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(b""), lambda all_, x: F.concat(all_, x["p"]))
-    return rows.groupBy("doc_id").agg(joined.alias("ids"))
+    return rows.groupBy("block", "row", "doc_id").agg(joined.alias("ids")).select("doc_id", "ids")

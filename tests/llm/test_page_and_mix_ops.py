@@ -356,3 +356,11 @@ def test_filters_keep_columns_of_rows_without_ids(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns
     assert corpus_pipeline.exact_stage(spark, df, str(tmp_path)).count() == 2
+
+
+def test_near_stage_keeps_a_text_whose_id_also_has_a_copy(spark, tmp_path):
+    same, other = "the quick brown fox jumps over the lazy dog again and again " * 3, "nothing of this has been said before in any of the other texts here " * 3
+    rows = [(3, same), (5, same), (5, other), (7, same), (7, same), (None, same)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(3, same), (5, same), (5, other), (None, same)], key=str)

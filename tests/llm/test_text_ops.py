@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowsentry.llm import bpe, suffix_dedup
 from flowsentry.llm.blocks import SubstringHash, text_blocks
@@ -262,11 +263,29 @@ def test_packing_is_lossless(spark, reference):
         assert len(r.doc_ids) == len(r.doc_offsets) == len(r.cu_seqlens) - 1
         assert positions[: r.n_tokens].tolist() == [k for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]) for k in range(b - a)]
         assert (ids[r.n_tokens :] == 50256).all()
-    back = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in unpack_documents(packed).collect()}
-    assert back == {i: ids for i, t in rows if (ids := reference.encode_ordinary(t or ""))}
+    back = sorted(((r.doc_id, np.frombuffer(r.ids, "<u2").tolist()) for r in unpack_documents(packed).collect()), key=str)
+    assert back == sorted(((i, ids) for i, t in rows if (ids := reference.encode_ordinary(t or ""))), key=str)
     assert pack_documents(frame(spark, []), vocabulary_path()).count() == 0
 
 
+def test_packing_spreads_equal_rows_and_checks_the_vocabulary(spark, monkeypatch, tmp_path):
+    """A third of the rows are one row without an id: they come back as often, and no block holds most of them."""
+    from flowsentry.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK_TEXT_BYTES", 1 << 15)
+    rows = [(None, "one and the same text " * 3)] * 4000 + [(i, f"text number {i} of many") for i in range(8000)]
+    random.Random(3).shuffle(rows)
+    packed = pack_documents(frame(spark, rows).repartition(40), vocabulary_path(), row_tokens=256).cache()
+    counts = {r.doc_id: r["count"] for r in unpack_documents(packed).groupBy("doc_id").count().collect()}
+    assert counts == {None: 4000, **{i: 1 for i in range(8000)}}
+    held = [r.n for r in packed.select("block", F.explode("doc_ids").alias("id")).where("id is null").groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(held) < 1500 and len(held) > 5
+    packed.unpersist()
+    (tmp_path / "wide.tiktoken").write_text("YQ== 0\nYg== 70000\n")
+    with pytest.raises(ValueError, match="padding"):
+        pack_documents(frame(spark, rows[:2]), str(tmp_path / "wide.tiktoken"))
+
+
 def test_best_fit_takes_the_fullest_row_with_room():
     lengths = np.random.default_rng(7).integers(1, 65, 500)
     rows = best_fit_decreasing(lengths, 64)
