@@ -47,8 +47,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id."""
-    dropped = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct().alias("m")
+    """One document of each class of near duplicates, the one with the least id; rows of one id stay if one of their texts does."""
+    ids = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    dropped = ids.where("not kept").select("doc_id").alias("m")
     return docs.alias("d").join(dropped, F.col("d.doc_id") == F.col("m.doc_id"), "left_anti")
 
 
