@@ -1,7 +1,8 @@
 """URL verdicts: host and path rules, and for the rest trust and distrust spread over host links.
 
-Hosts most of whose pages a rule allows are trusted seeds, hosts most of whose pages a rule
-blocks are blocked seeds. Trust is the personalised PageRank from the trusted seeds along the
+Every host with pages that a rule allows is a trusted seed, weighted by the share of its pages
+that are allowed, and every host with pages that a rule blocks likewise a blocked seed; a host may
+be both. Trust is the personalised PageRank from the trusted seeds along the
 links, distrust the one from the blocked seeds along the reversed links: who links to blocked
 hosts is distrusted. Everything is DataFrame expressions.
 """
@@ -21,7 +22,6 @@ TOLERANCE = 1e-4
 ROUNDS_PER_STEP = 5
 #: A host without a rule is blocked when its distrust is above its trust and above this multiple of the mean rank 1 / hosts.
 DISTRUST_FACTOR = 0.5
-SEED_SHARE = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An absolute or protocol-relative link; relative ones stay on their host.
@@ -121,7 +121,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         judged.where("_host <> ''").groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_verdict") == "allow").alias("allow"), F.count_if(F.col("_verdict") == "block").alias("block"))
     )
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("weight")) for k, c in (("trust", "allow"), ("distrust", "block"))])
-    seeds = hosts.select(F.col("_host").alias("host"), "n", F.explode(kinds).alias("s")).where(F.col("s.weight") > SEED_SHARE * F.col("n")).select("host", "s.kind", F.col("s.weight").cast("double").alias("weight"))
+    seeds = hosts.select(F.col("_host").alias("host"), "n", F.explode(kinds).alias("s")).where("s.weight > 0").select("host", "s.kind", (F.col("s.weight") / F.col("n")).alias("weight"))
     ranks = spread(host_links(rows, "_html"), seeds)
     scores = ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     mean = 1.0 / max(1, hosts.count())

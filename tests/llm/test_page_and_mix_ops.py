@@ -48,7 +48,7 @@ def brute_verdicts(rows):
     ranks = {}
     for kind, verdict in (("trust", "allow"), ("distrust", "block")):
         n = {h: sum(j[1] == h for j in judged) for h in hosts}
-        seeds = {h: k for h in hosts if (k := sum(j[1] == h and j[3] is not None and j[3].verdict == verdict for j in judged)) > 0.5 * n[h]}
+        seeds = {h: k / n[h] for h in hosts if (k := sum(j[1] == h and j[3] is not None and j[3].verdict == verdict for j in judged)) > 0}
         total = sum(seeds.values())
         edges = links if kind == "trust" else {(b, a): w for (a, b), w in links.items()}
         out = {}
@@ -88,6 +88,17 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_hosts_with_few_judged_pages_seed_by_their_share(spark):
+    """A tenth of a host's pages are blocked, nothing else is: distrust starts there and reaches the host that links to it."""
+    link = '<a href="http://mixed.example.com/">m</a>'
+    rows = [(i, f"http://mixed.example.com/{'de' if i == 0 else 'en'}/{i}", "") for i in range(10)]
+    rows += [(20, "http://farm.example/", link), (21, "http://c.org/fr/1", ""), (22, "http://c.org/x", ""), (23, "http://far.example/", None)]
+    got = {r.page_id: r for r in url_filter.judge_urls(pages(spark, rows)).collect()}
+    assert [got[i].verdict for i in (0, 20, 21, 22, 23)] == ["block", "block", "allow", "allow", "allow"]
+    assert got[20].distrust == pytest.approx(0.15 * 0.85) and got[1].distrust == pytest.approx(0.15) and got[22].trust == pytest.approx(0.15) and got[23].distrust == 0
+    assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.values()), key=str) == brute_verdicts(rows)
+
+
 # WARC ---------------------------------------------------------------------------------------------
 
 
