@@ -85,3 +85,30 @@ def test_rows_without_a_label_stay_in_the_split(spark):
     df = spark.range(200).select(F.format_string("A%03d", "id").alias("account_id"), F.when(F.col("id") % 10 > 0, (F.col("id") % 2).cast("int")).alias("label"))
     folds = {r.fold: r["count"] for r in models.stratified_split(df, "label").groupBy("fold").count().collect()}
     assert folds["unlabelled"] == 20 and sum(folds.values()) == 200
+
+
+def test_betweenness_of_several_blocks_and_tasks(spark, monkeypatch):
+    """Links, levels and start nodes in several blocks; a long chain, a hub and a part of its own give the same sums."""
+    chain = {(i, i + 1) for i in range(7)}
+    pairs = chain | {(20, i) for i in range(0, 20, 2)} | {(i, 20) for i in range(1, 20, 3)} | {(30, 31), (31, 32), (32, 30), (31, 31)}
+    out = {a: sorted({d for s, d in pairs if s == a and d != a}) for p in pairs for a in p}
+    want = dict.fromkeys(out, 0.0)
+    for start in out:
+        levels, sigma = [[start]], {start: 1.0}
+        dist = {start: 0}
+        while levels[-1]:
+            for v in levels[-1]:
+                for w in out[v]:
+                    if dist.setdefault(w, dist[v] + 1) == dist[v] + 1:
+                        sigma[w] = sigma.get(w, 0.0) + sigma[v]
+            levels.append([w for w, d in dist.items() if d == len(levels)])
+        delta = dict.fromkeys(dist, 0.0)
+        for v in sorted(dist, key=dist.get, reverse=True):
+            delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in out[v] if dist[w] == dist[v] + 1)
+            want[v] += delta[v] if v != start else 0.0
+    n = len(out)
+    for name, value in {"SIDE": 9, "TASK_STARTS": 5, "TASK_CELLS": n * 5, "BLOCK_ROWS": n * 13}.items():
+        monkeypatch.setattr(centrality, name, value)
+    edges = spark.createDataFrame([(f"A{a:02d}", f"A{b:02d}", 1.0) for a, b in sorted(pairs)], "src string, dst string, weight double")
+    got = {r.account_id: r.betweenness_centrality for r in centrality.betweenness(edges).collect()}
+    assert got == pytest.approx({f"A{a:02d}": v / ((n - 1) * (n - 2)) for a, v in want.items()})
