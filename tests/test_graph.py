@@ -214,3 +214,18 @@ def test_registered_pagerank_converges(spark):
     assert set(got) == set(place)
     # A last change below n * TOLERANCE leaves at most 0.85 / 0.15 of it in motion; 1e-10 is the rounding.
     assert sum(abs(got[a] - want[i]) for a, i in place.items()) < n * (TOLERANCE * 0.85 / 0.15 + 1e-10)
+
+
+def test_closed_walks_met_in_classes_and_chunks(spark, monkeypatch):
+    """Many groups, and fewer wedges at a time than one apex has."""
+    pairs = random_pairs(7, 24, 190) | {(3, 3), (5, 5)}
+    for name, value in {"LEAST_CLASSES": 4, "WEDGES": 5}.items():
+        monkeypatch.setattr(motifs, name, value)
+    ids, a = matrix(pairs)
+    walks = np.diag(a @ a) + np.diag(a @ a @ a) + np.diag(a @ a @ a @ a)
+    b = a * (1 - np.eye(len(a)))
+    s = b + b.T
+    d, mutual = s.sum(1), (b * b.T).sum(1)
+    got = {r.account_id: r for r in motifs.motif_features(edge_frame(spark, pairs)).collect()}
+    assert [got[i].cycle_count for i in ids] == list(walks)
+    assert [got[i].clustering_coefficient for i in ids] == pytest.approx(list(np.diag(s @ s @ s) / (2 * (d * (d - 1) - 2 * mutual))))
