@@ -121,3 +121,14 @@ def test_even_segments_for_any_distribution(spark):
     middle = segments.quantiles(cut_up, ["k"], "value", "n", {"q": 0.5}).collect()
     values = np.array(sorted(r.value for r in cut_up.where("k = 'a'").select("value").collect()))
     assert {r.k: r.q for r in middle} == {"a": float(np.percentile(values, 50)), "b": 24.5}
+
+
+def test_rolling_state_deals_its_steps_once(spark, make_txns):
+    """The steps of an account were exchanged for each of: equal instants, windows, segment sums; each twice."""
+    from flowsentry.operators import rolling
+    from flowsentry.operators.legs import legs
+
+    state = rolling.rolling_state(legs(make_txns([("2024-01-01 00:00:00", "A", "B", 1.0), ("2024-01-02 00:00:00", "B", "A", 2.0)]), "transaction_id"))
+    assert len(state.collect()) == 4
+    final = state._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") < 20
