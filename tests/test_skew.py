@@ -132,3 +132,12 @@ def test_rolling_state_deals_its_steps_once(spark, make_txns):
     assert len(state.collect()) == 4
     final = state._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("Exchange hashpartitioning") < 20
+
+
+def test_rolling_sums_without_an_amount_in_the_quarter_are_null(spark, make_txns):
+    from flowsentry.operators import rolling
+    from flowsentry.operators.legs import legs
+
+    rows = [("2024-01-01 00:01:00", "A", "C", 10.0), ("2024-01-01 00:05:00", "B", "A", 5.0), ("2024-01-01 00:10:00", "B", "A", None), ("2024-01-01 02:00:00", "B", "A", None)]
+    got = rolling.rolling_features(legs(make_txns(rows), "transaction_id")).where("account_id = 'A'").collect()
+    assert {r.transaction_id: r.ratio_received_to_sent_24h for r in got} == {"T0000": 0.0, "T0001": 0.5, "T0002": 0.5, "T0003": None}
