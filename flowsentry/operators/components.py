@@ -20,10 +20,10 @@ def weak_components(edge_rows: DataFrame) -> DataFrame:
     Alternating large-star / small-star (Kiveris et al. 2014): O(log^2 n) rounds,
     and every group is reduced by `min` with map-side partials.
     """
-    links = edge_rows.where(F.col("src") != F.col("dst")).select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
-    ).distinct()
-    links = cut(links)
+    ends = cut(edge_rows.select("src", "dst"))
+    # a first small-star needs no distinct links and leaves far fewer where accounts share a neighbour
+    links = ends.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    links = cut(_small_star(links))
     before = _digest(links)
     while True:
         last, links = links, cut(_small_star(_large_star(links)))
@@ -32,7 +32,7 @@ def weak_components(edge_rows: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return nodes(edge_rows).join(links, F.col("id") == F.col("u"), "left").select(
+    return nodes(ends).join(links, F.col("id") == F.col("u"), "left").select(
         F.col("id").alias("account_id"), F.coalesce("v", "id").alias("component")
     )
 
