@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm.blocks import Block, binary_rows, hash_ranges, mix, text_blocks
 from flowsentry.llm.exact_dedup import in_bitmap, key_bitmap
-from flowsentry.operators.components import weak_components
+from flowsentry.operators.components import component_stars
 from flowsentry.session import cut, discard
 
 WIDTH = 5
@@ -439,7 +439,8 @@ class _Classes:
         joined = cut(links.distinct())
         if joined.isEmpty():
             return
-        moved = cut(weak_components(joined).select(F.col("account_id").alias("old"), F.col("component").alias("new")))
+        # the least class of a component keeps its name, so it needs no row
+        moved = component_stars(joined).select(F.col("u").alias("old"), F.col("v").alias("new"))
         if self.classes is None:
             self.classes = moved.select(F.col("old").alias("rep"), F.col("new").alias("class"))
             return

@@ -15,26 +15,35 @@ def _digest(df: DataFrame) -> tuple[int, int]:
 
 
 def weak_components(edge_rows: DataFrame) -> DataFrame:
-    """(account_id, component): smallest account id of the weak component.
+    """(account_id, component): smallest account id of the weak component."""
+    ends = cut(edge_rows.select("src", "dst"))
+    return nodes(ends).join(component_stars(ends), F.col("id") == F.col("u"), "left").select(
+        F.col("id").alias("account_id"), F.coalesce("v", "id").alias("component")
+    )
+
+
+def component_stars(ends: DataFrame) -> DataFrame:
+    """(u, v): every account of the stored links `ends` (src, dst) that is not the smallest of its weak component, and the smallest.
 
     Alternating large-star / small-star (Kiveris et al. 2014): O(log^2 n) rounds,
-    and every group is reduced by `min` with map-side partials.
+    and every group is reduced by `min` with map-side partials. A round leaves stars
+    as they are, so none is run once the links are stars.
     """
-    ends = cut(edge_rows.select("src", "dst"))
     # a first small-star needs no distinct links and leaves far fewer where accounts share a neighbour
     links = ends.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     links = cut(_small_star(links))
-    before = _digest(links)
-    while True:
+    stored, _ = _digest(links)
+    while stored and not _are_stars(links):
         last, links = links, cut(_small_star(_large_star(links)))
-        after = _digest(links)
         discard(last)
-        if after == before:
-            break
-        before = after
-    return nodes(ends).join(links, F.col("id") == F.col("u"), "left").select(
-        F.col("id").alias("account_id"), F.coalesce("v", "id").alias("component")
-    )
+    return links
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every u of the distinct links (u, v < u) has one v that is no u itself."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("id"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+    held = ends.groupBy("id").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("leaf"))
+    return held.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("leaf") == 0))).isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
