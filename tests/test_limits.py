@@ -160,3 +160,28 @@ def test_stars_need_no_round_of_components(spark, monkeypatch):
     chain = [(f"N{i:02d}", f"N{i + 1:02d}") for i in range(20)]
     assert set(found(chain).values()) == {"N00"} and rounds
     assert found([("F", "F")]) == {"F": "F"} and not rounds
+
+
+def test_levels_are_packed_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for most in (1, 255, 256, 1 << 16, 1 << 32, 1 << 60):
+        for share in (0.0, 0.01, 0.9):
+            cells = np.flatnonzero(rng.random(1000) < share)
+            paths = np.minimum(rng.integers(1, 9, len(cells)) * (most / 4), float(most)).round().clip(1)
+            packed = centrality._pack_cells(cells, 1000)
+            assert (centrality._unpack_cells(packed, 1000) == cells).all() and len(packed) <= min(125, 4 * len(cells))
+            assert (centrality._unpack_paths(centrality._pack_paths(paths), len(cells)) == paths).all()
+    # every account reaches the others by two steps at most, and few paths: some bits and a byte a cell
+    n, sizes = 60, []
+    edges = spark.createDataFrame([(f"A{a:02d}", f"A{(a + k) % n:02d}", 1.0) for a in range(n) for k in range(1, 31)], "src string, dst string, weight double")
+
+    def cut(df, f=centrality.cut):
+        table = f(df)
+        if "sigma" in table.columns:
+            sizes.append(table.agg(F.sum("found"), F.sum(F.length("cells") + F.length("sigma"))).first())
+        return table
+
+    monkeypatch.setattr(centrality, "cut", cut)
+    got = {r.account_id: r.betweenness_centrality for r in centrality.betweenness(edges).collect()}
+    assert sum(s[0] for s in sizes) == n * n and all(s[1] < 3 * s[0] for s in sizes[1:])
+    assert got == pytest.approx(dict.fromkeys(got, sum(1 for d in range(31, n)) / ((n - 1) * (n - 2))))
