@@ -1,11 +1,12 @@
 """Inputs and sizes at which earlier versions changed their answer."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.functions.segments import value_segment
-from flowsentry.operators import centrality, components, dictionary, graph, models, preprocess
+from flowsentry.operators import centrality, components, dictionary, graph, models, motifs, preprocess
 from flowsentry.operators.alerts import alert_id
 from flowsentry.operators.isolation import _sampled
 from flowsentry.sources import readers
@@ -185,3 +186,33 @@ def test_levels_are_packed_without_loss(spark, monkeypatch):
     got = {r.account_id: r.betweenness_centrality for r in centrality.betweenness(edges).collect()}
     assert sum(s[0] for s in sizes) == n * n and all(s[1] < 3 * s[0] for s in sizes[1:])
     assert got == pytest.approx(dict.fromkeys(got, sum(1 for d in range(31, n)) / ((n - 1) * (n - 2))))
+
+
+def test_whole_numbers_beyond_32_bit_floats_stay_exact():
+    """Path counts are added as 32-bit floats only where no sum can leave their exact range."""
+    side, width = 4, 2
+    links = np.array([[0, 3], [1, 3], [2, 3]], np.uint16)
+    cells = np.array([0, 1, 2, 4, 5, 6], np.int32)
+    for big, kind in ((1 << 10, np.float32), ((1 << 24) - 1, np.float64)):
+        paths = np.array([big, big, 3, 1, 1, 1], float)
+        block, level = centrality._Block(links[:, 0].astype(np.int32), links[:, 1].astype(np.int32), side), centrality._Level(cells, paths, width, side)
+        assert block.busy(level) and (block.most(level) < centrality.EXACT) == (kind is np.float32)
+        rows = pd.DataFrame(
+            [("links", 0, links[:, 0].tobytes(), links[:, 1].tobytes()), ("level", 0, centrality._pack_cells(cells, width * side), centrality._pack_paths(paths))],
+            columns=["kind", "k", "x", "y"],
+        )
+        out = centrality._forward(width, side)((0, 0), rows).iloc[0]
+        assert list(centrality._unpack_cells(out.cells, width * side)) == [3, 7]
+        assert list(centrality._unpack_paths(out.sigma, 2)) == [2 * big + 3, 3]
+
+
+def test_codes_that_lie_close_are_numbered_without_a_sort(monkeypatch):
+    rng = np.random.default_rng(4)
+    sparse = rng.integers(0, 1 << 40, 50)
+    for codes in (np.zeros(0, np.int64), rng.integers(1000, 1100, 200), sparse, np.array([7])):
+        names, at = motifs._numbered(codes)
+        assert (names == np.unique(codes)).all() and (names[at] == codes).all()
+    monkeypatch.setattr(motifs.np, "unique", None)
+    motifs._numbered(rng.integers(1000, 1100, 200))
+    with pytest.raises(TypeError):
+        motifs._numbered(sparse)

@@ -1,12 +1,15 @@
 """The feature table as a whole."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from flowsentry.operators import dictionary, isolation, models
+from flowsentry.operators import dictionary, flow, isolation, models
+from flowsentry.operators.legs import legs
 from flowsentry.plans import feature_matrix as fm
+from flowsentry.session import together
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +58,33 @@ def test_split_choice_and_fallback(spark):
     assert isinstance(models.train_or_detect(one_class, ["x"], "label"), isolation.IsolationForest)
     labelled = df.drop("created_at").withColumn("label", (F.col("x") > 4).cast("int"))
     assert {r.fold for r in models.auto_split(labelled, "label").select("fold").distinct().collect()} == {"train", "validation", "test"}
+
+
+def test_graph_and_accounts_are_worked_on_at_once(small, monkeypatch):
+    """Neither waits for the other: each is held until the other has begun too."""
+    begun = threading.Barrier(2, timeout=60)
+    for module, name in ((fm, "betweenness"), (fm.af, "activity")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name): begun.wait() is None or f(*a))
+    assert fm.build_feature_matrix(small, extended=False).count() == 9
+
+
+def test_parts_run_together_and_faults_are_seen(spark):
+    frames = together(spark, lambda: spark.range(3), lambda: spark.range(5))
+    assert [f.count() for f in frames] == [3, 5]
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: spark.range(3), lambda: 1 / 0)
+
+
+def test_one_pass_finds_outflows_at_and_after_an_inflow(make_txns):
+    rows = [
+        ("2026-01-01 00:00:00", "A", "B", 5.0), ("2026-01-01 00:00:00", "B", "C", 4.0), ("2026-01-01 00:10:00", "B", "D", 3.0),
+        ("2026-01-01 09:00:00", "C", "B", 2.0), ("2026-01-03 00:00:00", "B", "A", 1.0), ("2026-01-03 00:00:00", "A", "B", 1.0),
+    ]
+    at = flow.instants(legs(make_txns(rows)))
+    both = {(r.account_id, r.delay_us, r.later_us) for r in flow.matched_both(at).collect()}
+    minute = 60_000_000
+    # B's last inflow goes out at once and never later, C sends nine hours after its inflow
+    assert both == {("B", 0, 10 * minute), ("B", 39 * 60 * minute, 39 * 60 * minute), ("B", 0, None), ("C", 9 * 60 * minute, 9 * 60 * minute), ("A", 0, None)}
+    for strict, name in ((False, "delay_us"), (True, "later_us")):
+        apart = sorted((r.account_id, r.delay_us) for r in flow.matched_inflows(at, strict).collect())
+        assert apart == sorted((r.account_id, r[name]) for r in flow.matched_both(at).collect() if r[name] is not None)
