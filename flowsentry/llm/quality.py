@@ -36,12 +36,12 @@ MAX_REPEAT_PERCENT = 50
 #: rule -> (statistic of the columns of `text_statistics`, mildest to strictest cutoffs)
 _RATIO = [round(x / 100, 2) for x in range(60, 0, -1)]
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / word_chars", _RATIO),
-    "repeats": ("n_repeat_words / n_words", _RATIO),
-    "duplicate_lines": ("n_dup_lines / n_lines", _RATIO),
-    "upper_case": ("n_upper / word_chars", _RATIO),
-    "shouting": ("n_exclaim / n_words", _RATIO),
-    "digits": ("n_digits / word_chars", _RATIO),
+    "symbols": ("try_divide(n_symbols, word_chars)", _RATIO),
+    "repeats": ("try_divide(n_repeat_words, n_words)", _RATIO),
+    "duplicate_lines": ("try_divide(n_dup_lines, n_lines)", _RATIO),
+    "upper_case": ("try_divide(n_upper, word_chars)", _RATIO),
+    "shouting": ("try_divide(n_exclaim, n_words)", _RATIO),
+    "digits": ("try_divide(n_digits, word_chars)", _RATIO),
 }
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_digits")
@@ -142,7 +142,7 @@ def base_failed() -> Column:
 
 
 def _statistic(rule: str) -> Column:
-    return F.coalesce(F.expr(RULES[rule][0]), F.lit(0.0))  # x / 0 is null: nothing to reject
+    return F.coalesce(F.expr(RULES[rule][0]), F.lit(0.0))  # null for a text without words: nothing to reject
 
 
 def within_risk(rejected: int, good: int, alpha: float, level: float) -> bool:

@@ -257,6 +257,19 @@ def test_cutoffs_are_certified_per_stratum(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_texts_without_words_meet_certified_cutoffs(spark):
+    """Every ratio of such a text is undefined; it falls to the base rules and to no other."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 10**6)}{'###' if i % 5 == 0 else ''}" for _ in range(60)), "en", "s", 1) for i in range(3000)]
+    marks = [(i, int(i % 5 != 0), 0) for i, *_ in rows]
+    rows += [(9000, None, "en", "s", None), (9001, "", "en", "s", 0), (9002, " \n\t", "en", "s", 3)]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows), labels(spark, marks)).collect()}
+    assert got[0].failed_rules == ["symbols"] and len(got) == len(rows)
+    assert all((got[i].n_words, got[i].base_failed, got[i].kept, got[i].failed_rules) == (0, True, False, []) for i in (9000, 9001, 9002))
+    kept = quality.keep_documents(docs(spark, rows), labels(spark, marks))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r.kept}
+
+
 # Mixing -------------------------------------------------------------------------------------------
 
 
