@@ -116,6 +116,56 @@ def test_betweenness_of_several_blocks_and_tasks(spark, monkeypatch):
     assert got == pytest.approx({f"A{a:02d}": v / ((n - 1) * (n - 2)) for a, v in want.items()})
 
 
+def test_betweenness_stores_no_level(spark, monkeypatch):
+    """A long chain with a dense end: few tables whatever its depth, the same sums in rounds and in blocks, whose levels are deleted."""
+    pairs = [(i, i + 1) for i in range(30)] + [(a, b) for a in range(26, 38) for b in range(26, 38) if (a * 7 + b * 3) % 5 and a != b] + [(36, 3), (3, 3)]
+    edges = spark.createDataFrame([(f"A{a:02d}", f"A{b:02d}", 1.0) for a, b in pairs], "src string, dst string, weight double")
+    written, deleted = [], []
+    write, delete = centrality.cut, centrality.discard
+    monkeypatch.setattr(centrality, "cut", lambda df: written.append(1) or write(df))
+    monkeypatch.setattr(centrality, "discard", lambda df: deleted.append(1) or delete(df))
+    monkeypatch.setattr(centrality, "LEAST_WORK", 0)
+    whole = {r.account_id: r.betweenness_centrality for r in centrality.betweenness(edges).collect()}
+    assert len(written) <= 6
+    monkeypatch.setattr(centrality, "ROUND_CELLS", 38 * 5)
+    monkeypatch.setattr(centrality, "LEAST_STARTS", 9)
+    monkeypatch.setattr(centrality, "SIDE", 10)
+    rounds = {r.account_id: r.betweenness_centrality for r in centrality.betweenness(edges).collect()}
+    monkeypatch.setattr(centrality, "HELD_LINKS", 0)
+    blocks = {r.account_id: r.betweenness_centrality for r in centrality.betweenness(edges).collect()}
+    assert len(deleted) > 30 and whole["A03"] > 0
+    assert rounds == pytest.approx(whole, abs=1e-12) and blocks == pytest.approx(whole, abs=1e-12)
+
+
+def test_levels_go_the_way_that_meets_fewer_links():
+    """Along and against the links, several start nodes in a round or one, against single steps of the definition."""
+    rng = np.random.default_rng(5)
+    for n, share in ((40, 0.04), (40, 0.1), (25, 0.6), (30, 0.0)):
+        a = (rng.random((n, n)) < share) & ~np.eye(n, dtype=bool)
+        if not share:
+            a[:-1, 1:] = np.eye(n - 1, dtype=bool)
+        src, dst = np.nonzero(a)
+        back = np.lexsort((src, dst))
+        packed = lambda k, e: {0: (np.bincount(k, minlength=n).astype(np.int32).tobytes(), e.astype(np.int32).tobytes())}
+        out, into = centrality._Lists(packed(src, dst), n, n), centrality._Lists(packed(dst, src[back]), n, n)
+        want = np.zeros(n)
+        for s in range(n):
+            dist, sigma, order = {s: 0}, np.eye(n)[s], [s]
+            for v in order:
+                for w in np.flatnonzero(a[v]):
+                    if w not in dist:
+                        dist[w] = dist[v] + 1
+                        order.append(w)
+                    if dist[w] == dist[v] + 1:
+                        sigma[w] += sigma[v]
+            delta = np.zeros(n)
+            for v in reversed(order):
+                delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in np.flatnonzero(a[v]) if dist[w] == dist[v] + 1)
+                want[v] += delta[v] if v != s else 0.0
+        one = sum(centrality._dependencies_of(np.array([s]), out, into, n) for s in range(n))
+        assert np.allclose(centrality._dependencies_of(np.arange(n), out, into, n), want) and np.allclose(one, want)
+
+
 def test_busy_blocks_of_links_add_whole_rows():
     """Rows of start nodes added along the links, both ways, against a product of matrices."""
     rng = np.random.default_rng(3)
