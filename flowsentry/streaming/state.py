@@ -1,10 +1,12 @@
 """Recent legs of accounts as expiring state of the stream, kept by RocksDB.
 
-The state is keyed by (account, slot of some hours), not by account: a busy account's legs spread
-over slots, and what is merged per account is merged by the segmented rolling operator behind it.
-A new leg goes to its own slot and asks the slots of the 24 hours before it; a slot answers with
-the legs it holds. A slot is cleared by an event-time timer once the watermark has passed the last
-moment at which anyone may ask it, so the state is bounded by the legs of the last day and the lateness.
+The state is keyed by (group of accounts, slot of some hours), not by account: a busy account's legs
+spread over slots, and what is merged per account is merged by the segmented rolling operator behind
+it. A call costs some milliseconds whatever it holds, so accounts share a key; a key's legs of a
+micro-batch are one packed value. A new leg goes to its own slot and asks the slots of the 24 hours
+before it; a slot answers with the legs it holds of the accounts that ask. A slot is cleared by an
+event-time timer once the watermark has passed the last moment at which anyone may ask it, so the
+state is bounded by the legs of the last day and the lateness.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,13 +28,28 @@ from flowsentry.streaming.live import LEG_COLUMNS, LiveScorer
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Width of a slot; a day is asked for in DAY / SLOT + 1 of them.
 SLOT_US = 12 * HOUR_US
+#: Groups that accounts are dealt to by hash: calls of a slot and micro-batch at most.
+GROUPS = 256
 
-_HELD = "counterparty string, direction string, us long, amount double, transaction_id string"
-_OUT = f"account_id string, {_HELD}, is_new boolean"
+_LEG = ["account_id", "counterparty", "direction", "us", "amount", "transaction_id"]
+_LEG_ARROW = pa.schema([(c, pa.int64() if c == "us" else pa.float64() if c == "amount" else pa.string()) for c in _LEG])
+_HELD = "legs binary"
+_OUT = "account_id string, counterparty string, direction string, us long, amount double, transaction_id string, is_new boolean"
+
+
+def _pack(legs_: pd.DataFrame) -> bytes:
+    batch, out = pa.RecordBatch.from_pandas(legs_, _LEG_ARROW, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _LEG_ARROW) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(packed: list[bytes]) -> pd.DataFrame:
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in packed], promote_options="none").to_pandas() if packed else pd.DataFrame(columns=_LEG)
 
 
 class RecentLegs(StatefulProcessor):
-    """State of one (account, slot): its legs."""
+    """State of one (group of accounts, slot): their legs, a packed value per micro-batch that brought some."""
 
     def __init__(self, slot_us: int = SLOT_US, keep_us: int = DAY_US):
         self.slot_us, self.keep_us = slot_us, keep_us
@@ -41,26 +59,24 @@ class RecentLegs(StatefulProcessor):
         self.legs = handle.getListState("legs", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        new, asked = [], None
-        for part in rows:
-            own = part[part["own"]]
-            new += list(own[["counterparty", "direction", "us", "amount", "transaction_id"]].itertuples(index=False, name=None))
-            asked = min(x for x in (asked, int(part["us"].min())) if x is not None)
-        held = [tuple(x) for x in self.legs.get()] if self.legs.exists() else []
-        if new:
-            self.legs.appendList(new)
-            if not held:
+        asking = pd.concat(list(rows), ignore_index=True)
+        new = asking.loc[asking["own"], _LEG]
+        packed = [bytes(x[0]) for x in self.legs.get()] if self.legs.exists() else []
+        if len(new):
+            self.legs.appendList([(_pack(new),)])
+            if not packed:
                 ends = (int(key[1]) + 1) * self.slot_us + self.keep_us
                 self.handle.registerTimer(ends // 1000 + 1)
-        context = [x for x in held if x[2] >= asked - self.keep_us]
-        frame = pd.DataFrame([*context, *new], columns=["counterparty", "direction", "us", "amount", "transaction_id"])
-        frame.insert(0, "account_id", key[0])
-        frame["is_new"] = [False] * len(context) + [True] * len(new)
-        yield frame
+        held = _unpack(packed)
+        # an account that does not ask gets no answer; null is an account like others
+        asked = asking.groupby("account_id", dropna=False)["us"].min()
+        since = held["account_id"].map(asked)
+        context = held[since.notna() & (held["us"] >= since - self.keep_us)]
+        yield pd.concat([context.assign(is_new=False), new.assign(is_new=True)], ignore_index=True)[[*_LEG, "is_new"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.legs.clear()
-        yield pd.DataFrame(columns=["account_id", "counterparty", "direction", "us", "amount", "transaction_id", "is_new"])
+        yield pd.DataFrame(columns=[*_LEG, "is_new"])
 
     def close(self) -> None:
         pass
@@ -77,15 +93,15 @@ def with_recent_legs(txns: DataFrame, lateness: str = LATENESS, slot_us: int = S
     Events behind the watermark are dropped. The stream must be started with RocksDB state.
     """
     rows = legs(txns.withWatermark("timestamp", lateness), "transaction_id")
-    slot = F.floor(F.col("us") / slot_us).cast("long")
+    slot, group = F.floor(F.col("us") / slot_us).cast("long"), F.pmod(F.xxhash64("account_id"), F.lit(GROUPS)).cast("int").alias("group")
     back = F.explode(F.sequence(F.floor((F.col("us") - DAY_US) / slot_us).cast("long"), slot)).alias("slot")
-    asking = rows.select("account_id", back, "timestamp", "us", "counterparty", "direction", "amount", "transaction_id", slot.alias("_home"))
+    asking = rows.select(group, "account_id", back, "timestamp", "us", "counterparty", "direction", "amount", "transaction_id", slot.alias("_home"))
     # A leg is sent whole to its own slot, as a bare question to the others.
     own = F.col("slot") == F.col("_home")
     sent = asking.select(
-        "account_id", "slot", "timestamp", "us", own.alias("own"), *[F.when(own, F.col(c)).alias(c) for c in ("counterparty", "direction", "amount", "transaction_id")]
+        "group", "account_id", "slot", "timestamp", "us", own.alias("own"), *[F.when(own, F.col(c)).alias(c) for c in ("counterparty", "direction", "amount", "transaction_id")]
     )
-    return sent.groupBy("account_id", "slot").transformWithStateInPandas(RecentLegs(slot_us), _OUT, "Append", "EventTime")
+    return sent.groupBy("group", "slot").transformWithStateInPandas(RecentLegs(slot_us), _OUT, "Append", "EventTime")
 
 
 class StatefulScorer(LiveScorer):
