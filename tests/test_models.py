@@ -122,6 +122,24 @@ def brute_boost(x, y, w, edges, setting, rounds, base):
     return margin
 
 
+def test_trees_meet_rows_a_column_at_a_time():
+    """The leaves of rows and their values by lists of rows, in their order, as row by row; for sums, not every row of the batch is walked again."""
+    tree = boosting.Tree()
+    for node, (f, b) in enumerate([(1, 3), (0, 5), (1, 6)]):
+        tree.feature[node], tree.bin[node] = f, b
+        for side in ("left", "right"):
+            getattr(tree, side)[node] = tree.add()
+    tree.value = [0.1 * k for k in range(len(tree.value))]
+    rows = np.random.default_rng(1).integers(0, 9, (200, 2)).astype(np.uint8)
+    want, columns = tree.node_of(rows, True), np.ascontiguousarray(rows.T)
+    some = np.arange(0, 200, 3)
+    got = dict(tree.leaves_of(columns, some))
+    assert all((got[leaf] == some[want[some] == leaf]).all() for leaf in got) and sum(map(len, got.values())) == len(some)
+    margin = np.full(200, 0.25)
+    tree.add_values(columns, margin)
+    assert (margin == 0.25 + np.array(tree.value)[want]).all()
+
+
 def test_boosting_against_plain_arrays(spark, monkeypatch):
     """Trees of several tasks, stored margins and the shuffled way give the margins of a brute-force search."""
     rng = np.random.default_rng(3)
